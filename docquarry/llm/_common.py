@@ -10,13 +10,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: A word is a run of characters that are not ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512, mb: int = 8) -> None:
-    """Bound the Arrow batches that Python workers get, by rows and by bytes."""
+    """Bound the Arrow batches that Python workers get, by rows and by bytes, and give the workers this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)
 
@@ -106,3 +109,15 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/docquarry")
     return df.checkpoint()
+
+
+def fresh(names, *wanted: str) -> list[str]:
+    """Names for helper columns that clash with none of a table's, whatever their case."""
+    taken = {n.lower() for n in names}
+    out = []
+    for w in wanted:
+        while w.lower() in taken:
+            w += "_"
+        taken.add(w.lower())
+        out.append(w)
+    return out

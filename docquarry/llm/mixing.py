@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, cut
+from ._common import bounded_batches, cut, fresh
 
 BLOCK = 256
 MAX_SOURCES = 100_000
@@ -143,6 +143,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: flo
 
 def resample(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix, columns unchanged: each row as often as the mix takes its words, to the nearest whole pass (0, 1 or 2). Documents without words are never taken."""
-    copies = mix(docs, **how).where("size > 0 and taken > 0").groupBy("k").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_copies")).where("_copies > 0")
-    copies = copies.withColumnRenamed("k", "_k")
-    return docs.withColumn("_k", F.xxhash64("doc_id", "source", "text")).join(copies, "_k").select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_i")).drop("_i")
+    k, copies, i = fresh(docs.columns, "k", "copies", "i")
+    taken = mix(docs, **how).where("size > 0 and taken > 0").groupBy("k").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias(copies))
+    taken = taken.select(F.col("k").alias(k), copies).where(F.col(copies) > 0)
+    keyed = docs.withColumn(k, F.xxhash64("doc_id", "source", "text")).join(taken, k)
+    return keyed.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(i)).drop(i)

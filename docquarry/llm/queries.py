@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_fm, quality_rules, toxicity
+from . import bagminhash, bpe, line_align, mixing, mtree, quality_fm, quality_rules, suffix_dedup, toxicity, unit_dedup
 from ._common import read
 
 
@@ -25,6 +25,22 @@ def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.score(docs, quality_fm.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op4_line_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_align.align(read(spark, sf_dir, "documents"))
+
+
+def op5_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_dedup.dedup(read(spark, sf_dir, "documents"))
+
+
+def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.search(read(spark, sf_dir, "embeddings"), k=20, scale=64.0, every=20)
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(read(spark, sf_dir, "documents"), length=400)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
@@ -34,6 +50,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_quality_fm, op8_bpe, op9_toxicity)}
+def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_quality_fm, op4_line_align, op5_unit_dedup, op6_mtree, op7_suffix_dedup, op8_bpe, op9_toxicity, op10_bagminhash)}
 
 ORACLES: dict[str, str] = {}
