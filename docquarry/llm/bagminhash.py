@@ -17,6 +17,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import WORD, bounded_batches, cut, fresh, mix64, shards, starts_of, texts_of, word_hashes, words_of
 
@@ -119,8 +120,8 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "root")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """doc_id, class_id, n_words for every document."""
+def _classes(docs: DataFrame, threshold: float, size: int) -> DataFrame:
+    """doc_id, class_id, n_words, dig and stands (the row is its class's first) for every document."""
     spark = docs.sparkSession
     bounded_batches(spark, rows=1024)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -206,12 +207,26 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE)
     roots = found.join(digs, "node").join(digs.select(F.col("node").alias("root"), F.col("dig").alias("root_dig")), "root").select("dig", "root_dig")
     named = base.mapInArrow(name, "doc_id long, node long, dig binary, n_words long").drop("node")
     keyed = named.join(roots, "dig", "left").withColumn("class", F.coalesce("root_dig", "dig"))
-    least = keyed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    return keyed.join(least, "class", "left").select("doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_words")
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("dig").alias("d"))
+    least = keyed.where("class is not null").groupBy("class").agg(F.min(rank).alias("first"))
+    got = keyed.join(least, "class", "left")
+    return got.select("doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("first.i")).alias("class_id"), "n_words", "dig", (F.col("class").isNull() | (F.col("first") == rank)).alias("stands"))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+    """doc_id, class_id, n_words for every document."""
+    return _classes(docs, threshold, size).select("doc_id", "class_id", "n_words")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """The rows of docs, columns unchanged, that stand for their class: those of its least doc_id. Rows that repeat that doc_id all stay only if their texts differ; texts without words and rows without doc_id stay."""
-    (gone,) = fresh(docs.columns, "gone")
-    out = classes(docs, threshold, size).where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(out, docs["doc_id"] == out[gone], "left_anti")
+    """The rows of docs, columns unchanged, that stand for their class: its least doc_id (rows without one come last), and of several texts of that id the least digest. Rows that repeat both doc_id and words stay together; texts without words stay."""
+    i, d, dig = fresh(docs.columns, "gone_id", "gone_dig", "dig")
+    gone = _classes(docs, threshold, size).where(~F.col("stands")).select(F.col("doc_id").alias(i), F.col("dig").alias(d)).distinct()
+
+    def name(batches):
+        for b in batches:
+            words = [WORD.findall(t) for t in texts_of(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_digest(w) if w else None for w in words], pa.binary())], [*b.schema.names, dig])
+
+    named = docs.mapInArrow(name, T.StructType([*docs.schema.fields, T.StructField(dig, T.BinaryType())]))
+    return named.join(gone, named["doc_id"].cast("long").eqNullSafe(gone[i]) & (named[dig] == gone[d]), "left_anti").select(*docs.columns)

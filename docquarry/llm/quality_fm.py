@@ -90,8 +90,8 @@ def scores(model: Model, texts: list[str]) -> np.ndarray:
     return out
 
 
-def fit(ids, values, lengths, y, seed: int = 5, epochs: int = 8, lr: float = 0.1, decay: float = 1e-5) -> Model:
-    """Train on features. With no rows, or rows of one class, scores are that class's smoothed rate."""
+def fit(ids, values, lengths, y, seed: int = 5, epochs: int = 8, steps: int = 600, lr: float = 0.1, decay: float = 1e-5) -> Model:
+    """Train on features for at least ``epochs`` passes and ``steps`` steps. With no rows, or rows of one class, scores are that class's smoothed rate."""
     rng = np.random.default_rng(seed)
     rate = (y.sum() + 1) / (len(y) + 2)
     m = Model(float(np.log(rate / (1 - rate))), np.zeros(SIZE, np.float32), rng.normal(0, 0.05, (SIZE, RANK)).astype(np.float32))
@@ -101,7 +101,7 @@ def fit(ids, values, lengths, y, seed: int = 5, epochs: int = 8, lr: float = 0.1
     cw, cv, c0 = np.full(SIZE, 1e-2, np.float32), np.full(SIZE, 1e-2, np.float32), 1e-2
     at = starts_of(lengths)
     order = np.arange(len(y))
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps * 128 // len(y)))):
         rng.shuffle(order)
         for s in range(0, len(order), 128):
             batch = order[s : s + 128]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import bagminhash, bpe, line_align, mixing, mtree, quality_fm, quality_rules, suffix_dedup, toxicity, unit_dedup
 from ._common import read
+from .oracles import ORACLES as ORACLES
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,5 +56,3 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_quality_fm, op4_line_align, op5_unit_dedup, op6_mtree, op7_suffix_dedup, op8_bpe, op9_toxicity, op10_bagminhash)}
-
-ORACLES: dict[str, str] = {}

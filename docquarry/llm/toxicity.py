@@ -92,8 +92,8 @@ def scores(model: Model, texts: list[str]) -> np.ndarray:
     return out
 
 
-def fit(rows: list[tuple[str, int, str | None]], seed: int = 7, epochs: int = 4) -> Model:
-    """Train on (text, label, language) rows; every fifth row is kept for calibration.
+def fit(rows: list[tuple[str, int, str | None]], seed: int = 7, epochs: int = 4, steps: int = 150) -> Model:
+    """Train on (text, label, language) rows; every fifth row is kept for calibration. At least ``epochs`` passes and ``steps`` steps are made.
 
     With no rows, or rows of one class, the model scores every text with that class's smoothed rate.
     """
@@ -131,7 +131,7 @@ def fit(rows: list[tuple[str, int, str | None]], seed: int = 7, epochs: int = 4)
     bcache, lr = 1e-3, 0.05
     train = np.flatnonzero(~cal)
     model.w = None
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps * 64 // max(len(train), 1)))):
         rng.shuffle(train)
         for s in range(0, len(train), 64):
             batch = train[s : s + 64]
