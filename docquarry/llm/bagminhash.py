@@ -2,15 +2,17 @@
 
 A text's words give a multiset of shingles (five words; a text of fewer words is one shingle). The weight axis of a shingle is split into the dyadic blocks [0,1), [1,2), [2,4), [4,8)...; each block has a Poisson process of its width's rate, seeded by shingle and block. A point falls on a register and on a weight in its block, and counts if that weight lies below the shingle's: the hierarchical splitting of one process, so that equal parts of two weights see equal points. A register keeps its earliest point; two signatures agree in a register with a probability equal to the weighted Jaccard similarity of the multisets. Points of a shingle are made in order of time and only while they can still change a register, so the work hardly grows with weights.
 
-1. Texts of equal words are one node. Signatures are cut into bands; nodes that share a band are linked to the band's leader (its least node), never all to all.
+1. Texts of equal words are one node. Signatures are cut into bands. Nodes that share a band are linked to the band's leader only, never all to all: its most popular node, the one that meets most others over all its bands, which in a group of edited copies is the text nearest to all.
 2. Each link is verified by the exact overlap of the multisets, min over max. Links of at least the threshold give classes (connected components).
-3. A band whose nodes ended in more than one class may still hide a pair between non-leaders. 1 - J is a metric, so a pair can only be similar if its distances to the leader differ by at most 1 - threshold; all such pairs between different classes are verified, and classes are joined again. Within a class no further link can change the result. With 32 bands of 4 registers, a pair at the threshold 0.8 shares no band with probability 5e-8.
+3. Nodes of one band have one leader, so pairs of non-leaders that no class joins yet are found among the nodes around a leader. These are dealt into pages of about PAGE texts by their distance to it; as 1 - J is a metric, only pages whose distances differ by at most 1 - threshold can hold a pair. Pages of nodes outside the leader's class meet all such pages, and the exact overlaps of a whole page with another come from one product of incidence matrices. Within a class no further link can change the result. With 32 bands of 4 registers, a pair at the threshold 0.8 shares no band with probability 5e-8.
 
 A null text counts as empty. Texts without words are never near duplicates; each is a class of its own (class_id is its doc_id). Rows that repeat share a class. class_id is the least doc_id of the class. Extra columns are ignored by ``classes`` and passed through by ``keep_one``. Candidates use 64-bit node numbers; equality of texts is by 128 bits.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,6 +25,8 @@ from ._common import WORD, bounded_batches, cut, fresh, mix64, shards, starts_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 REGISTERS, ROWS = 128, 4
+#: Texts that one page holds when pages are compared whole.
+PAGE = 256
 BANDS = REGISTERS // ROWS
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -120,6 +124,48 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "root")
 
 
+def _pack(t: pa.Table) -> pa.Table:
+    blob = pickle.dumps([t.column(c).to_pylist() for c in ("node", "root", "dig", "z")])
+    return pa.table([t.column(c).slice(0, 1) for c in ("lead", "home", "cell", "page")] + [pa.array([blob], pa.binary())], ["lead", "home", "cell", "page", "blob"])
+
+
+def _elements(zs: list[bytes], size: int):
+    """The multisets of packed texts as sets: the n-th copy of a shingle is an element of its own. (elements, owners, sizes)"""
+    expand = zstandard.ZstdDecompressor()
+    bags = shingles([expand.decompress(z).decode() for z in zs], size)
+    key, count = np.concatenate([k for k, _ in bags]), np.concatenate([c for _, c in bags])
+    nth = np.arange(int(count.sum())) - np.repeat(starts_of(count), count)
+    sizes = np.array([c.sum() for _, c in bags])
+    with np.errstate(over="ignore"):
+        return mix64(np.repeat(key, count) + nth.astype(np.uint64) * _ODD[4]), np.repeat(np.arange(len(bags)), sizes), sizes
+
+
+def _links(one: list, two: list, threshold: float, size: int) -> list[dict]:
+    """Links of at least the threshold between nodes of two pages that lie in different classes, one for each node and class."""
+    (e1, o1, n1), (e2, o2, n2) = _elements(one[3], size), _elements(two[3], size)
+    both = np.intersect1d(e1, e2)
+    inter = np.zeros((len(n1), len(n2)), np.float32)
+    for s in range(0, len(both), 4096):
+        some = both[s : s + 4096]
+        m = []
+        for e, o, n in ((e1, o1, n1), (e2, o2, n2)):
+            at = np.minimum(np.searchsorted(some, e), len(some) - 1)
+            hit = some[at] == e
+            x = np.zeros((len(n), len(some)), np.float32)
+            x[o[hit], at[hit]] = 1
+            m.append(x)
+        inter += m[0] @ m[1].T
+    j = inter / (n1[:, None] + n2[None, :] - inter)
+    r1, r2 = np.array(one[1]), np.array(two[1])
+    out, seen = [], set()
+    for i, k in zip(*np.nonzero((j >= threshold - 1e-6) & (r1[:, None] != r2[None, :])), strict=True):
+        exact = float(inter[i, k]) / float(n1[i] + n2[k] - inter[i, k])
+        if exact >= threshold and (i, r2[k]) not in seen:
+            seen.add((i, r2[k]))
+            out.append({"a": one[0][i], "b": two[0][k], "da": one[2][i], "db": two[2][k], "j": exact})
+    return out
+
+
 def _classes(docs: DataFrame, threshold: float, size: int) -> DataFrame:
     """doc_id, class_id, n_words, dig and stands (the row is its class's first) for every document."""
     spark = docs.sparkSession
@@ -155,11 +201,13 @@ def _classes(docs: DataFrame, threshold: float, size: int) -> DataFrame:
             own = distinct(texts_of(b.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array([_node(d) for d, _ in own], pa.int64()), pa.array([d for d, _ in own], pa.binary()), pa.array([squeeze.compress(t.encode()) for _, t in own], pa.binary())], ["node", "dig", "z"])
 
-    signed = cut(base.select("text").mapInArrow(sign, "node long, bands array<long>").groupBy("node").agg(F.first("bands").alias("bands")))
-    members = signed.select("node", F.explode("bands").alias("band"))
-    leaders = cut(members.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1"))
-    grouped = members.join(leaders, "band")
-    stars = cut(grouped.where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
+    signed = base.select("text").mapInArrow(sign, "node long, bands array<long>").groupBy("node").agg(F.first("bands").alias("bands"))
+    members = cut(signed.select("node", F.explode("bands").alias("band")))
+    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    grouped = cut(members.join(shared, "band"))
+    popular = grouped.groupBy("node").agg(F.sum("n").alias("popular"))
+    leaders = grouped.select("band", "node").join(popular, "node").groupBy("band").agg(F.max(F.struct("popular", "node")).alias("top")).select("band", F.col("top.node").alias("lead"))
+    stars = cut(grouped.select("band", "node").join(leaders, "band").where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
     texts = base.select("text").mapInArrow(pack, "node long, dig binary, z binary").groupBy("node").agg(F.first(F.struct("dig", "z")).alias("t"))
 
     def verify(batches):
@@ -186,23 +234,29 @@ def _classes(docs: DataFrame, threshold: float, size: int) -> DataFrame:
     links = verified(stars)
     same = links.where(F.col("j") >= threshold)
     found = components(same)
-    # Bands of three or more nodes that lie in more than one class.
-    wide = grouped.where("n > 2").select("band", "node", "lead").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = wide.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("band")
-    far = links.select(F.col("a").alias("node"), F.col("b").alias("lead"), (1 - F.col("j")).alias("far"))
-    spread = cut(wide.join(mixed, "band").where("node != lead").join(far, ["node", "lead"]).select("band", "node", "root", "far"))
+    # Nodes around one leader that ended in different classes: pages of them, by distance to the leader, are compared whole.
+    root = lambda t, c: t.join(found.select(F.col("node").alias(c), F.col("root").alias(c + "_root")), c, "left").withColumn(c + "_root", F.coalesce(c + "_root", c))
     slack = 1 - threshold + 1e-9
-    # Distances are dealt into cells as wide as the slack; a pair's cells differ by one at most.
-    cell = F.floor(F.col("far") / slack)
-    one = spread.select("band", cell.alias("cell"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("far").alias("fa"))
-    two = spread.select("band", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("far").alias("fb"))
-    more = one.join(two, ["band", "cell"]).where((F.col("ra") < F.col("rb")) & (F.abs(F.col("fa") - F.col("fb")) <= slack)).select("a", "b").distinct()
-    more = cut(more)
-    if not more.isEmpty():
-        late = verified(more)
-        if not late.where(F.col("j") >= threshold).isEmpty():
-            same = same.unionByName(late.where(F.col("j") >= threshold))
-            found = components(same)
+    around = root(root(links.select("a", "b", F.floor((1 - F.col("j")) / slack).alias("cell")), "a"), "b").select(F.col("b").alias("lead"), F.col("a").alias("node"), F.col("a_root").alias("root"), (F.col("a_root") == F.col("b_root")).alias("home"), "cell")
+    strays = around.groupBy("lead").agg(F.count("*").alias("n"), F.sum((~F.col("home")).cast("int")).alias("out")).where("n > 1 and out > 0").select("lead")
+    around = cut(around.join(strays, "lead"))
+    pages = around.groupBy("lead", "home", "cell").agg(F.ceil(F.count("*") / PAGE).cast("int").alias("pages"))
+    dealt = around.join(pages, ["lead", "home", "cell"]).withColumn("page", F.pmod(F.xxhash64("node"), F.col("pages")).cast("int"))
+    schema = "lead long, home boolean, cell long, page int, blob binary"
+    packed = cut(dealt.join(texts, "node").select("lead", "home", "cell", "page", "node", "root", F.col("t.dig").alias("dig"), F.col("t.z").alias("z")).groupBy("lead", "home", "cell", "page").applyInArrow(_pack, schema))
+    one = packed.where(~F.col("home")).select("lead", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"), F.struct("cell", "page").alias("pa"), F.col("blob").alias("one"))
+    two = packed.select("lead", "cell", "home", F.struct("cell", "page").alias("pb"), F.col("blob").alias("two"))
+    meet = one.join(two, ["lead", "cell"]).where(F.col("home") | (F.col("pa") <= F.col("pb"))).repartition("lead", "pa", "pb", "home")
+
+    def compare(batches):
+        for b in batches:
+            for x, y in zip(b.column("one").to_pylist(), b.column("two").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_pylist(_links(pickle.loads(x), pickle.loads(y), threshold, size), schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("da", pa.binary()), ("db", pa.binary()), ("j", pa.float64())]))
+
+    late = cut(meet.select("one", "two").mapInArrow(compare, "a long, b long, da binary, db binary, j double"))
+    if not late.isEmpty():
+        same = same.unionByName(late)
+        found = components(same)
     digs = same.select(F.col("a").alias("node"), F.col("da").alias("dig")).unionByName(same.select(F.col("b").alias("node"), F.col("db").alias("dig"))).groupBy("node").agg(F.first("dig").alias("dig"))
     roots = found.join(digs, "node").join(digs.select(F.col("node").alias("root"), F.col("dig").alias("root_dig")), "root").select("dig", "root_dig")
     named = base.mapInArrow(name, "doc_id long, node long, dig binary, n_words long").drop("node")
