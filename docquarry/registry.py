@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .plans import base, measures, search, texts  # noqa: F401  importing them registers their queries
+from .session import ship
+
+QUERIES = base.QUERIES
+ORACLES = base.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Hybrid search: lexical and dense lists of each benchmark item, fused by reciprocal rank, six documents each."""
+    ship(spark)
+    return QUERIES["rrf_hybrid"](spark, sf_dir)
