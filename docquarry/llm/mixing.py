@@ -94,7 +94,8 @@ def slots(spark, quotas: list[int], block: int = BLOCK) -> DataFrame:
     made = spark.range(-(-n // CHUNK)).mapInArrow(run, "chunk long, src int, own long, slot long")
     counts = made.groupBy("chunk", "src").agg(F.count("*").alias("c"))
     before = counts.select("chunk", "src", (F.sum("c").over(Window.partitionBy("src").orderBy("chunk")) - F.col("c")).alias("b"))
-    return made.join(before, ["chunk", "src"]).select("src", (F.col("b") + F.col("own")).alias("rank"), "slot")
+    # A range of a few chunks makes many slots, so the size that the planner expects is far too small: no broadcast of slots.
+    return made.hint("merge").join(before, ["chunk", "src"]).select("src", (F.col("b") + F.col("own")).alias("rank"), "slot")
 
 
 def _prepare(docs: DataFrame, weights, share, most):
@@ -113,7 +114,7 @@ def _schedule(sized: DataFrame, plan: DataFrame, quotas: list[int], block: int)
     placed = _streams(sized, plan).where((F.col("size") > 0) & (F.col("at") < F.col("quota")))
     end = F.least(F.col("at") + F.col("size"), F.col("quota"))
     parts = placed.select("doc_id", "k", "src", "pass", "at", end.alias("end"), F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block))).alias("rank"))
-    joined = parts.join(slots(sized.sparkSession, quotas, block), ["src", "rank"], "left")
+    joined = parts.join(slots(sized.sparkSession, quotas, block).hint("merge"), ["src", "rank"], "left")
     n = sum(-(-q // block) for q in quotas)
     first = F.greatest(F.col("rank") * block, F.col("at"))
     return joined.select(
