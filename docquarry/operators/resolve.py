@@ -95,3 +95,33 @@ def fuzzy_entities(values: DataFrame, threshold: float = 0.88) -> DataFrame:
 
     first = values.groupBy("field", "value").agg(F.min("pos").alias("pos"))
     return first.groupBy("field").applyInPandas(fold, "field string, value string, canonical string, ratio double")
+
+
+# Nouns of a publication, and the qualifiers that may stand between a year and such a noun.
+PUBLICATION_WORDS = "report reports statement statements filing filings edition document documents review rapport rapports exercice millesime".split()
+PUBLICATION_QUALIFIERS = "annual integrated sustainability financial interim consolidated final draft full half year annuel annuelle integre integree financier financiere consolide consolidee intermediaire finale".split()
+
+
+def publication_years(toks):
+    """struct(publication, named) of a token array: a year right behind a publication noun, or before one with only qualifiers between (within three tokens), dates a publication; any other year is a value's. Both sorted and distinct."""
+    place = F.sequence(F.lit(1), F.greatest(F.size(toks), F.lit(1)))
+
+    def dated(i):
+        at = lambda k: F.coalesce(F.get(toks, i - 1 + k), F.lit(""))
+        noun, qualifier = (lambda k: at(k).isin(PUBLICATION_WORDS)), (lambda k: at(k).isin(PUBLICATION_QUALIFIERS))
+        return noun(-1) | noun(1) | (qualifier(1) & noun(2)) | (qualifier(1) & qualifier(2) & noun(3))
+
+    years = F.filter(F.transform(place, lambda i: F.struct(F.coalesce(F.get(toks, i - 1), F.lit("")).alias("y"), F.coalesce(dated(i), F.lit(False)).alias("p"))), lambda x: x["y"].rlike(r"^(19|20)\d{2}$"))
+    pick = lambda want: F.array_sort(F.array_distinct(F.transform(F.filter(years, lambda x: x["p"] == F.lit(want)), lambda x: x["y"].cast("int"))))
+    return F.struct(pick(True).alias("publication"), pick(False).alias("named"))
+
+
+def verbatim(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """(qid, status, doc_id): identifier-shaped words of a question (a separator, digit or extension in them), freed of quotes and punctuation at their ends, against identifiers without regard to case; exact if they name one document in all."""
+    words = F.transform(F.split("text", r"\s+"), lambda w: F.lower(F.regexp_replace(w, r"""^["'`()\[\]{}<>.,;:!?…“”«»]+|["'`()\[\]{}<>.,;:!?…“”«»]+$""", "")))
+    shaped = F.array_distinct(F.filter(words, lambda w: w.rlike(r"[_\-/]|\.[a-z0-9]{1,5}$|\d")))
+    hits = questions.select("qid", F.explode(shaped).alias("k")).join(names.select("doc_id", F.lower("identifier").alias("k")), "k")
+    found = hits.groupBy("qid").agg(F.countDistinct("doc_id").alias("n"), F.min("doc_id").alias("doc_id"))
+    got = questions.select("qid").join(found, "qid", "left")
+    one = F.coalesce(F.col("n") == 1, F.lit(False))
+    return got.select("qid", F.when(one, "exact").otherwise("none").alias("status"), F.when(one, F.col("doc_id")).alias("doc_id"))
