@@ -82,40 +82,58 @@ def token_ids(texts: list[str]):
     return a, b, lengths
 
 
+def chance(model: Model, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    h, _, _ = model.pooled(a, b, n)
+    return 1 / (1 + np.exp(-np.clip(h @ model.w + model.b, -30, 30)))
+
+
 def scores(model: Model, texts: list[str]) -> np.ndarray:
     """Probability of toxicity for each whole text."""
     out = np.zeros(len(texts))
     for s, e in shards(texts, 1 << 20):
-        a, b, n = token_ids(texts[s:e])
-        h, _, _ = model.pooled(a, b, n)
-        out[s:e] = 1 / (1 + np.exp(-np.clip(h @ model.w + model.b, -30, 30)))
+        out[s:e] = chance(model, *token_ids(texts[s:e]))
     return out
 
 
-def fit(rows: list[tuple[str, int, str | None]], seed: int = 7, epochs: int = 4, steps: int = 150) -> Model:
-    """Train on (text, label, language) rows; every fifth row is kept for calibration. At least ``epochs`` passes and ``steps`` steps are made.
+@dataclass
+class Tokens:
+    """Token ids of many texts, pads included, in two flat arrays; text i starts at ``at[i]`` and has n[i] words."""
+
+    a: np.ndarray
+    b: np.ndarray
+    n: np.ndarray
+
+    def __post_init__(self):
+        self.at = starts_of(self.n + max(WIDTHS) - 1)
+
+    def take(self, some: np.ndarray):
+        size = self.n[some] + max(WIDTHS) - 1
+        where = np.repeat(self.at[some] - starts_of(size), size) + np.arange(int(size.sum()))
+        return self.a[where], self.b[where], self.n[some]
+
 
-    With no rows, or rows of one class, the model scores every text with that class's smoothed rate.
+def fit(data: Tokens, y: np.ndarray, langs: list, seed: int = 7, epochs: int = 4, steps: int = 150) -> Model:
+    """Train on token ids with labels and languages; every fifth text is kept for calibration. At least ``epochs`` passes and ``steps`` steps are made.
+
+    With no texts, or texts of one class, the model scores every text with that class's smoothed rate.
     """
     rng = np.random.default_rng(seed)
     dim = 2 * HALF
     size = 1 << BITS
     e1, e2 = (rng.normal(0, 0.05, (size, HALF)).astype(np.float32) for _ in range(2))
     convs = [(rng.normal(0, 0.15, (m, dim, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32)) for m in WIDTHS]
-    y = np.array([r[1] for r in rows], np.float64)
+    y = np.asarray(y, np.float64)
     rate = (y.sum() + 1) / (len(y) + 4) if len(y) else 0.01
     n_out = FILTERS * len(WIDTHS)
     model = Model(e1, e2, convs, np.zeros(n_out, np.float32), float(np.log(rate / (1 - rate))))
     if len(y) < 10 or y.min() == y.max():
         return model
-    data = [token_ids([r[0]]) for r in rows]
-    pad = max(WIDTHS) - 1
-    cal = np.arange(len(rows)) % 5 == 4
+    cal = np.arange(len(y)) % 5 == 4
     # The first component of each half starts from the smoothed log-odds of its bucket.
-    for table, k in ((e1, 0), (e2, 1)):
+    for table, ids in ((e1, data.a), (e2, data.b)):
         counts = np.zeros((2, size))
         for i in np.flatnonzero(~cal):
-            counts[int(y[i])][np.unique(data[i][k])] += 1
+            counts[int(y[i])][np.unique(ids[data.at[i] : data.at[i] + data.n[i]])] += 1
         n0, n1 = max((y[~cal] == 0).sum(), 1), max((y[~cal] == 1).sum(), 1)
         p1, p0 = (counts[1] + 0.2) / (n1 + 1), (counts[0] + 0.2 * n0 / n1 + 0.2) / (n0 + 1)
         table[:, 0] = np.where(counts.sum(0) >= 5, np.clip(np.log(p1 / p0), -1, 3), 0).astype(np.float32) * 0.5
@@ -135,8 +153,7 @@ def fit(rows: list[tuple[str, int, str | None]], seed: int = 7, epochs: int = 4,
         rng.shuffle(train)
         for s in range(0, len(train), 64):
             batch = train[s : s + 64]
-            a, c = (np.concatenate([data[i][j] for i in batch]) for j in (0, 1))
-            n = np.array([data[i][2][0] for i in batch])
+            a, c, n = data.take(batch)
             h, where, x = model.pooled(a, c, n)
             p = 1 / (1 + np.exp(-np.clip(h @ w + b, -30, 30)))
             g = ((p - y[batch]) / len(batch)).astype(np.float32)
@@ -167,15 +184,17 @@ def fit(rows: list[tuple[str, int, str | None]], seed: int = 7, epochs: int = 4,
                 table[u] -= 0.5 * lr * gs / np.sqrt(cache[u])[:, None]
                 table[0] = 0
     model.w, model.b = w, float(b)
-    _calibrate(model, [rows[i] for i in np.flatnonzero(cal)], y[cal])
+    kept = np.flatnonzero(cal)
+    p = np.concatenate([chance(model, *data.take(kept[s : s + 256])) for s in range(0, len(kept), 256)])
+    _calibrate(model, p, y[cal], [langs[i] for i in kept])
     return model
 
 
-def _calibrate(model: Model, rows: list, y: np.ndarray) -> None:
-    """Rescale the logit on the rows kept back, then choose for each language with enough of both classes the threshold of the best F1."""
+def _calibrate(model: Model, p: np.ndarray, y: np.ndarray, langs: list) -> None:
+    """Rescale the logit on the texts kept back, then choose for each language with enough of both classes the threshold of the best F1."""
     if not len(y) or y.min() == y.max():
         return
-    p = np.clip(scores(model, [r[0] for r in rows]), 1e-9, 1 - 1e-9)
+    p = np.clip(p, 1e-9, 1 - 1e-9)
     z = np.log(p / (1 - p))
     a, c = 1.0, 0.0
     for _ in range(200):
@@ -190,7 +209,7 @@ def _calibrate(model: Model, rows: list, y: np.ndarray) -> None:
     a = float(np.clip(a, 0.2, 5))
     model.w, model.b = (model.w * a).astype(np.float32), float(model.b * a + c)
     q = 1 / (1 + np.exp(-np.clip(a * z + c, -30, 30)))
-    langs = np.array([r[2] or "" for r in rows])
+    langs = np.array([x or "" for x in langs])
     for lang in sorted(set(langs)):
         own = langs == lang
         if y[own].sum() < 8 or (1 - y[own]).sum() < 8:
@@ -201,11 +220,22 @@ def _calibrate(model: Model, rows: list, y: np.ndarray) -> None:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     """Fit on at most ``most`` labelled documents outside the held-out remainder."""
-    has_lang = "lang" in docs.columns
-    got = label_sample(docs, labels, "toxic", HELD_MOD, HELD, most, ("lang",) if has_lang else ()).toPandas()
-    got = got.sort_values(["doc_id", "text"], kind="stable")
-    got = got.iloc[np.random.default_rng(3).permutation(len(got))]
-    return fit(list(zip(got.text.fillna(""), got.y.astype(int), got.lang if has_lang else [None] * len(got), strict=True)))
+    bounded_batches(docs.sparkSession)
+    more = ("lang",) if "lang" in docs.columns else ()
+
+    def run(batches):
+        for b in batches:
+            ids = [token_ids([t]) for t in texts_of(b.column("text"))]
+            langs = b.column("lang").cast(pa.string()) if more else pa.nulls(b.num_rows, pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), langs, *(pa.array([x[k].astype("<i4").tobytes() for x in ids], pa.binary()) for k in (0, 1))], ["doc_id", "y", "lang", "a", "b"])
+
+    got = label_sample(docs, labels, "toxic", HELD_MOD, HELD, most, more).mapInArrow(run, "doc_id long, y int, lang string, a binary, b binary").toArrow()
+    keys = list(zip(got.column("doc_id").to_pylist(), (x.as_buffer().size for x in got.column("a")), range(got.num_rows), strict=True))
+    order = np.array([k[2] for k in sorted(keys)], np.int64)[np.random.default_rng(3).permutation(len(keys))]
+    got = got.take(pa.array(order))
+    flat = [np.frombuffer(b"".join(x.as_buffer() for x in got.column(c)), "<i4") for c in ("a", "b")]
+    n = np.array([x.as_buffer().size // 4 for x in got.column("a")], np.int64) - (max(WIDTHS) - 1)
+    return fit(Tokens(*flat, n), np.array(got.column("y").to_pylist(), np.float64), got.column("lang").to_pylist())
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

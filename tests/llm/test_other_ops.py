@@ -118,7 +118,7 @@ def test_sum_of_squares_identity():
 
 
 def test_cnn_pooling_equals_plain_loops():
-    m = toxicity.fit([])
+    m = toxicity.fit(toxicity.Tokens(*(np.zeros(0, np.int32),) * 2, np.zeros(0, np.int64)), np.zeros(0), [])
     m.e1[:], m.e2[:] = np.random.default_rng(1).normal(size=m.e1.shape), np.random.default_rng(2).normal(size=m.e2.shape)
     texts = ["a b c d", "", "one", "x y " * 30]
     got, _, _ = m.pooled(*toxicity.token_ids(texts))
