@@ -262,7 +262,7 @@ def _classes(docs: DataFrame, threshold: float, size: int) -> DataFrame:
     named = base.mapInArrow(name, "doc_id long, node long, dig binary, n_words long").drop("node")
     keyed = named.join(roots, "dig", "left").withColumn("class", F.coalesce("root_dig", "dig"))
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("dig").alias("d"))
-    least = keyed.where("class is not null").groupBy("class").agg(F.min(rank).alias("first"))
+    least = cut(keyed.where("class is not null").groupBy("class").agg(F.min(rank).alias("first")))  # cut, so that the join below can split a class with many rows
     got = keyed.join(least, "class", "left")
     return got.select("doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("first.i")).alias("class_id"), "n_words", "dig", (F.col("class").isNull() | (F.col("first") == rank)).alias("stands"))
 
