@@ -1,6 +1,6 @@
 """Toxicity by a convolutional text classifier: hashed word embeddings, several filter widths, max pooling, trained in numpy.
 
-A word is looked up in two embedding tables by two hashes and the halves are joined, so that a rare word seldom shares both halves with a toxic one. Filters of each width slide over the words of the whole text, the largest activation of each filter over the text is kept, and a logistic layer scores them. Scores see the text alone. Thresholds by language are calibrated afterwards and only turn scores into decisions.
+A word is looked up in four embedding tables, by two hashes of the word and by hashes of its first four and five letters, and the parts are joined: a rare word seldom shares all parts with a toxic one, and an inflected or compound form shares the last two with its stem. Filters of each width slide over the words of the whole text, the largest activation of each filter over the text is kept, and a logistic layer scores them. Scores see the text alone. Thresholds by language are calibrated afterwards and only turn scores into decisions.
 
 Nulls and empty texts score as texts without words. A document is never cut: long texts only fill larger batches. Rows that repeat get the same score. Extra columns are ignored by ``score`` and passed through by ``keep``.
 """
@@ -19,27 +19,29 @@ from ._common import bounded_batches, label_sample, remainder, shards, starts_of
 
 TOKEN = re.compile(r"\w+")
 #: Most labelled documents that a model is fitted on.
-MAX_TRAIN = 12_000
-BITS, HALF, WIDTHS, FILTERS = 17, 8, (1, 2, 3), 12
+MAX_TRAIN = 8_000
+BITS, PART, WIDTHS, FILTERS = 17, 6, (1, 2, 3), 12
+#: Letters of the prefixes that have tables of their own.
+PREFIXES = (4, 5)
+TABLES = 2 + len(PREFIXES)
 HELD_MOD, HELD = 4, 2
 
 
 @dataclass
 class Model:
-    """e1, e2: embedding tables; convs: for each width its (width, dim, filters) weights and bias; w, b: the logistic layer; thresholds: by language."""
+    """tables: embeddings; convs: for each width its (width, dim, filters) weights and bias; w, b: the logistic layer; thresholds: by language."""
 
-    e1: np.ndarray
-    e2: np.ndarray
+    tables: list
     convs: list
     w: np.ndarray
     b: float
     thresholds: dict = field(default_factory=dict)
 
-    def pooled(self, ids1: np.ndarray, ids2: np.ndarray, lengths: np.ndarray):
+    def pooled(self, ids: list, lengths: np.ndarray):
         """Largest activation of each filter over each text, and where it is. ids hold the pads that follow each text."""
         pad = max(WIDTHS) - 1
         starts = starts_of(lengths + pad)
-        x = np.concatenate([self.e1[ids1], self.e2[ids2]], axis=1)
+        x = np.concatenate([e[i] for e, i in zip(self.tables, ids, strict=True)], axis=1)
         out, where = [], []
         full = lengths > 0
         for k, c in self.convs:
@@ -68,22 +70,25 @@ class Model:
 
 
 def token_ids(texts: list[str]):
-    """Two hashed ids for each word, with pads after each text, and the numbers of words."""
+    """For each table the hashed ids of the words, with pads after each text; and the numbers of words."""
     codes, lengths, uniques = words_of(texts, TOKEN, lower=True)
     h = word_hashes(uniques)
     mask = np.uint64((1 << BITS) - 2)
-    one, two = ((h & mask) + np.uint64(1)).astype(np.int32), (((h >> np.uint64(32)) & mask) + np.uint64(1)).astype(np.int32)
+    hashed = [h, h >> np.uint64(32), *(word_hashes([u[:n] for u in uniques], n) for n in PREFIXES)]
     pad = max(WIDTHS) - 1
     total = int(lengths.sum()) + pad * len(lengths)
     place = np.arange(len(codes)) + pad * np.repeat(np.arange(len(lengths)), lengths)
-    a, b = np.zeros(total, np.int32), np.zeros(total, np.int32)
-    if len(codes):
-        a[place], b[place] = one[codes], two[codes]
-    return a, b, lengths
+    out = []
+    for x in hashed:
+        ids = np.zeros(total, np.int32)
+        if len(codes):
+            ids[place] = ((x & mask) + np.uint64(1)).astype(np.int32)[codes]
+        out.append(ids)
+    return out, lengths
 
 
-def chance(model: Model, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
-    h, _, _ = model.pooled(a, b, n)
+def chance(model: Model, ids: list, n: np.ndarray) -> np.ndarray:
+    h, _, _ = model.pooled(ids, n)
     return 1 / (1 + np.exp(-np.clip(h @ model.w + model.b, -30, 30)))
 
 
@@ -97,10 +102,9 @@ def scores(model: Model, texts: list[str]) -> np.ndarray:
 
 @dataclass
 class Tokens:
-    """Token ids of many texts, pads included, in two flat arrays; text i starts at ``at[i]`` and has n[i] words."""
+    """Token ids of many texts, pads included, in a flat array a table; text i starts at ``at[i]`` and has n[i] words."""
 
-    a: np.ndarray
-    b: np.ndarray
+    ids: list
     n: np.ndarray
 
     def __post_init__(self):
@@ -109,7 +113,7 @@ class Tokens:
     def take(self, some: np.ndarray):
         size = self.n[some] + max(WIDTHS) - 1
         where = np.repeat(self.at[some] - starts_of(size), size) + np.arange(int(size.sum()))
-        return self.a[where], self.b[where], self.n[some]
+        return [x[where] for x in self.ids], self.n[some]
 
 
 def fit(data: Tokens, y: np.ndarray, langs: list, seed: int = 7, epochs: int = 4, steps: int = 150) -> Model:
@@ -118,19 +122,19 @@ def fit(data: Tokens, y: np.ndarray, langs: list, seed: int = 7, epochs: int = 4
     With no texts, or texts of one class, the model scores every text with that class's smoothed rate.
     """
     rng = np.random.default_rng(seed)
-    dim = 2 * HALF
+    dim = TABLES * PART
     size = 1 << BITS
-    e1, e2 = (rng.normal(0, 0.05, (size, HALF)).astype(np.float32) for _ in range(2))
+    tables = [rng.normal(0, 0.05, (size, PART)).astype(np.float32) for _ in range(TABLES)]
     convs = [(rng.normal(0, 0.15, (m, dim, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32)) for m in WIDTHS]
     y = np.asarray(y, np.float64)
     rate = (y.sum() + 1) / (len(y) + 4) if len(y) else 0.01
     n_out = FILTERS * len(WIDTHS)
-    model = Model(e1, e2, convs, np.zeros(n_out, np.float32), float(np.log(rate / (1 - rate))))
+    model = Model(tables, convs, np.zeros(n_out, np.float32), float(np.log(rate / (1 - rate))))
     if len(y) < 10 or y.min() == y.max():
         return model
     cal = np.arange(len(y)) % 5 == 4
-    # The first component of each half starts from the smoothed log-odds of its bucket.
-    for table, ids in ((e1, data.a), (e2, data.b)):
+    # The first component of each part starts from the smoothed log-odds of its bucket.
+    for table, ids in zip(tables, data.ids, strict=True):
         counts = np.zeros((2, size))
         for i in np.flatnonzero(~cal):
             counts[int(y[i])][np.unique(ids[data.at[i] : data.at[i] + data.n[i]])] += 1
@@ -139,13 +143,12 @@ def fit(data: Tokens, y: np.ndarray, langs: list, seed: int = 7, epochs: int = 4
         table[:, 0] = np.where(counts.sum(0) >= 5, np.clip(np.log(p1 / p0), -1, 3), 0).astype(np.float32) * 0.5
         table[0] = 0
     for k, _ in convs:
-        k[0, 0, :] = np.abs(k[0, 0, :]) + 0.2
-        k[0, HALF, :] = np.abs(k[0, HALF, :]) + 0.2
+        k[0, ::PART, :] = np.abs(k[0, ::PART, :]) + 0.2
     w = np.full(n_out, 0.1, np.float32)
     b = model.b
     params = [w] + [p for kc in convs for p in kc]
     caches = [np.full(p.shape, 1e-3, np.float32) for p in params]
-    ecache = [np.full(size, 1e-2, np.float32) for _ in range(2)]
+    ecache = [np.full(size, 1e-2, np.float32) for _ in range(TABLES)]
     bcache, lr = 1e-3, 0.05
     train = np.flatnonzero(~cal)
     model.w = None
@@ -153,8 +156,8 @@ def fit(data: Tokens, y: np.ndarray, langs: list, seed: int = 7, epochs: int = 4
         rng.shuffle(train)
         for s in range(0, len(train), 64):
             batch = train[s : s + 64]
-            a, c, n = data.take(batch)
-            h, where, x = model.pooled(a, c, n)
+            ids, n = data.take(batch)
+            h, where, x = model.pooled(ids, n)
             p = 1 / (1 + np.exp(-np.clip(h @ w + b, -30, 30)))
             g = ((p - y[batch]) / len(batch)).astype(np.float32)
             gw, gb = h.T @ g, float(g.sum())
@@ -176,10 +179,10 @@ def fit(data: Tokens, y: np.ndarray, langs: list, seed: int = 7, epochs: int = 4
                 p_ -= lr * g_ / np.sqrt(c_)
             bcache += gb * gb
             b -= lr * gb / np.sqrt(bcache)
-            for table, ids, cache, cols in ((e1, a, ecache[0], slice(0, HALF)), (e2, c, ecache[1], slice(HALF, dim))):
-                u, inv = np.unique(ids[pos], return_inverse=True)
-                gs = np.zeros((len(u), HALF), np.float32)
-                np.add.at(gs, inv, gr[:, cols])
+            for q, (table, own, cache) in enumerate(zip(tables, ids, ecache, strict=True)):
+                u, inv = np.unique(own[pos], return_inverse=True)
+                gs = np.zeros((len(u), PART), np.float32)
+                np.add.at(gs, inv, gr[:, q * PART : (q + 1) * PART])
                 cache[u] += (gs * gs).mean(1)
                 table[u] -= 0.5 * lr * gs / np.sqrt(cache[u])[:, None]
                 table[0] = 0
@@ -222,20 +225,21 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     """Fit on at most ``most`` labelled documents outside the held-out remainder."""
     bounded_batches(docs.sparkSession)
     more = ("lang",) if "lang" in docs.columns else ()
+    names = [f"t{k}" for k in range(TABLES)]
 
     def run(batches):
         for b in batches:
             ids = [token_ids([t]) for t in texts_of(b.column("text"))]
             langs = b.column("lang").cast(pa.string()) if more else pa.nulls(b.num_rows, pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), langs, *(pa.array([x[k].astype("<i4").tobytes() for x in ids], pa.binary()) for k in (0, 1))], ["doc_id", "y", "lang", "a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), langs, *(pa.array([x[0][k].astype("<i4").tobytes() for x in ids], pa.binary()) for k in range(TABLES))], ["doc_id", "y", "lang", *names])
 
-    got = label_sample(docs, labels, "toxic", HELD_MOD, HELD, most, more).mapInArrow(run, "doc_id long, y int, lang string, a binary, b binary").toArrow()
-    keys = list(zip(got.column("doc_id").to_pylist(), (x.as_buffer().size for x in got.column("a")), range(got.num_rows), strict=True))
+    got = label_sample(docs, labels, "toxic", HELD_MOD, HELD, most, more).mapInArrow(run, "doc_id long, y int, lang string, " + ", ".join(f"{c} binary" for c in names)).toArrow()
+    keys = list(zip(got.column("doc_id").to_pylist(), (x.as_buffer().size for x in got.column("t0")), range(got.num_rows), strict=True))
     order = np.array([k[2] for k in sorted(keys)], np.int64)[np.random.default_rng(3).permutation(len(keys))]
     got = got.take(pa.array(order))
-    flat = [np.frombuffer(b"".join(x.as_buffer() for x in got.column(c)), "<i4") for c in ("a", "b")]
-    n = np.array([x.as_buffer().size // 4 for x in got.column("a")], np.int64) - (max(WIDTHS) - 1)
-    return fit(Tokens(*flat, n), np.array(got.column("y").to_pylist(), np.float64), got.column("lang").to_pylist())
+    flat = [np.frombuffer(b"".join(x.as_buffer() for x in got.column(c)), "<i4") for c in names]
+    n = np.array([x.as_buffer().size // 4 for x in got.column("t0")], np.int64) - (max(WIDTHS) - 1)
+    return fit(Tokens(flat, n), np.array(got.column("y").to_pylist(), np.float64), got.column("lang").to_pylist())
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

@@ -118,13 +118,14 @@ def test_sum_of_squares_identity():
 
 
 def test_cnn_pooling_equals_plain_loops():
-    m = toxicity.fit(toxicity.Tokens(*(np.zeros(0, np.int32),) * 2, np.zeros(0, np.int64)), np.zeros(0), [])
-    m.e1[:], m.e2[:] = np.random.default_rng(1).normal(size=m.e1.shape), np.random.default_rng(2).normal(size=m.e2.shape)
+    m = toxicity.fit(toxicity.Tokens([np.zeros(0, np.int32)] * toxicity.TABLES, np.zeros(0, np.int64)), np.zeros(0), [])
+    for k, e in enumerate(m.tables):
+        e[:] = np.random.default_rng(k).normal(size=e.shape)
     texts = ["a b c d", "", "one", "x y " * 30]
     got, _, _ = m.pooled(*toxicity.token_ids(texts))
     for t, row in zip(texts, got, strict=True):
-        a, b, n = toxicity.token_ids([t])
-        x = np.concatenate([m.e1[a], m.e2[b]], axis=1)
+        ids, n = toxicity.token_ids([t])
+        x = np.concatenate([e[i] for e, i in zip(m.tables, ids, strict=True)], axis=1)
         want = [max([max(sum(x[i + j] @ k[j, :, f] for j in range(len(k))) + c[f] for i in range(int(n[0])))] if n[0] else [0], default=0) for k, c in m.convs for f in range(k.shape[2])]
         assert np.allclose(row, np.maximum(want, 0), atol=1e-3)
 
