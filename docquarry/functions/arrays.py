@@ -32,3 +32,19 @@ def json_object(c: Column) -> Column:
     from .text import without_thinking
 
     return F.nullif(F.regexp_extract(without_thinking(c), r"(?s)(\{.*\})", 1), F.lit(""))
+
+
+def list_or_scalar(c: Column) -> Column:
+    """A cell that holds a JSON list, values parted by bars, or one value, as an array of trimmed texts."""
+    parts = F.when(F.trim(c).startswith("["), F.from_json(c, "array<string>")).otherwise(F.split(c, r"\|"))
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+
+
+def valid_entries(json_text: Column, fields: list[str], allowed: Column) -> Column:
+    """Entries (field, value, citations) of an extraction answer in JSON {field: [{value, citations}]}: known fields, some value, and one citation at least that is allowed; others are dropped."""
+    from .text import collapse
+
+    entry = "array<struct<value:string,citations:array<string>>>"
+    got = F.from_json(json_object(json_text), f"map<string,{entry}>")
+    flat = F.flatten(F.transform(F.array(*map(F.lit, fields)), lambda f: F.transform(F.coalesce(got[f], F.array().cast(entry)), lambda e: F.struct(f.alias("field"), collapse(e["value"]).alias("value"), F.array_intersect(e["citations"], allowed).alias("citations")))))
+    return F.filter(flat, lambda e: (e["value"] != "") & (F.size(e["citations"]) > 0))

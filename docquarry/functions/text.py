@@ -169,3 +169,39 @@ def slug(c: Column) -> Column:
 def clean_lines(c: Column) -> Column:
     """Lines with something in them, trimmed and collapsed."""
     return F.filter(F.transform(F.split(c, "\r\n|\r|\n"), collapse), lambda x: x != "")
+
+
+def redact_stack(c: Column, most: int = 8000) -> Column:
+    """A traceback without folders in its file names and without secrets, of at most ``most`` characters."""
+    return F.substring(redact(F.regexp_replace(c, r'File "(?:[^"\r\n]*[/\\])?([^"/\\\r\n]+)"', 'File "$1"')), 1, most)
+
+
+def is_request_id(c: Column) -> Column:
+    return c.rlike(r"^[A-Za-z0-9._-]{1,128}$")
+
+
+def is_corpus_id(c: Column) -> Column:
+    return c.rlike("^[a-z0-9][a-z0-9_-]{0,63}$")
+
+
+def match_label(c: Column, labels: list[str]) -> Column:
+    """The label of a closed list that a text equals but for case and white space, in the list's spelling; else null."""
+    out = F.lit(None).cast("string")
+    for x in reversed(labels):
+        out = F.when(F.lower(collapse(c)) == " ".join(x.lower().split()), F.lit(x)).otherwise(out)
+    return out
+
+
+def numbered_name(i: Column, prefix: str, width: int, suffix: str) -> Column:
+    return F.concat(F.lit(prefix), F.lpad(i.cast("string"), width, "0"), F.lit(suffix))
+
+
+def holds_words(answer: Column, expected: Column) -> Column:
+    """Whether the expected words stand in an answer as whole words, after normalisation."""
+    plain = lambda c: F.concat(F.lit(" "), F.array_join(eval_tokens(c), " "), F.lit(" "))
+    return (F.size(eval_tokens(expected)) > 0) & F.contains(plain(answer), plain(expected))
+
+
+def location(label: Column, page: Column, section: Column) -> Column:
+    """Where a passage stands: label, page, section, as far as known."""
+    return F.concat_ws(", ", label, F.concat(F.lit("page "), page.cast("string")), F.nullif(F.trim(section), F.lit("")))

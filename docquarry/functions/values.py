@@ -91,3 +91,26 @@ def date(c: Column, day_first: bool = True) -> Column:
 def within(expected: Column, got: Column, tolerance: float = 1e-6) -> Column:
     """Relative tolerance; absolute where zero is expected."""
     return F.abs(expected - got) <= F.when(expected == 0, F.lit(tolerance)).otherwise(F.abs(expected) * tolerance)
+
+
+def typed(c: Column, kind: str) -> Column:
+    """A text column as a declared type: text, number, integer, boolean, date, or list[...] of a delimited text (distinct, in order; null if empty)."""
+    one = {"text": lambda x: F.when(~is_null_word(x), collapse(x)), "number": number, "integer": integer, "boolean": boolean, "date": date}
+    if not kind.startswith("list["):
+        return one[kind](c)
+    got = F.array_distinct(F.filter(F.transform(F.split(c, r"\s*[;|]\s*"), one[kind[5:-1]]), lambda x: x.isNotNull()))
+    return F.when(F.size(got) > 0, got)
+
+
+def confidence(c: Column) -> Column:
+    """A number held in 0 to 1 with four decimals; 0 for what is none."""
+    n = c.try_cast("double")
+    return F.round(F.when(n.isNull() | F.isnan(n), 0.0).otherwise(F.least(F.greatest(n, F.lit(0.0)), F.lit(1.0))), 4)
+
+
+def answers_match(expected: Column, got: Column, tolerance: float = 1e-6) -> Column:
+    """Numbers agree within the tolerance if the expected answer is one; else its words stand in the answer."""
+    from .text import holds_words
+
+    numeric = comparison_key(expected).rlike(r"^[(+-]?\s*\d[\d\s.,']*\)?\s*[%€$]?$")
+    return F.when(numeric, F.coalesce(within(number(expected), number(got), tolerance), F.lit(False))).otherwise(F.coalesce(holds_words(got, expected), F.lit(False)))

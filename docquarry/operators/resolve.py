@@ -125,3 +125,26 @@ def verbatim(questions: DataFrame, names: DataFrame) -> DataFrame:
     got = questions.select("qid").join(found, "qid", "left")
     one = F.coalesce(F.col("n") == 1, F.lit(False))
     return got.select("qid", F.when(one, "exact").otherwise("none").alias("status"), F.when(one, F.col("doc_id")).alias("doc_id"))
+
+
+def targets(references: DataFrame, names: DataFrame, least: int = 2, most: int = 4) -> DataFrame:
+    """(qid, status, doc_ids): references (qid, reference) to documents by document key; each must name one document, and together they must name least to most different ones. status: ok, unknown_reference, ambiguous_reference, too_few, too_many."""
+    known = names.select(text.document_key(F.col("name")).alias("k"), "doc_id").distinct()
+    per = references.select("qid", "reference", text.document_key(F.col("reference")).alias("k")).join(known, "k", "left").groupBy("qid", "reference").agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("doc_id"))
+    got = per.groupBy("qid").agg(F.min("n").alias("fewest"), F.max("n").alias("largest"), F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
+    size = F.size("doc_ids")
+    status = F.when(F.col("fewest") == 0, "unknown_reference").when(F.col("largest") > 1, "ambiguous_reference").when(size < least, "too_few").when(size > most, "too_many").otherwise("ok")
+    return got.select("qid", status.alias("status"), F.when(status == "ok", F.col("doc_ids")).alias("doc_ids"))
+
+
+def match_fields(expected: DataFrame, given: DataFrame, least: float = 0.34) -> DataFrame:
+    """(case_id, label, field, pass): for each expected label of a case the given field that fits: equal after normalisation, else one holds the other, else the best Jaccard of tokens of at least ``least``; ties by the given position."""
+    a = expected.select("case_id", "label", F.array_join(text.tokens(F.col("label")), " ").alias("x"), F.array_distinct(text.tokens(F.col("label"))).alias("xs"))
+    b = given.select("case_id", "field", "pos", F.array_join(text.tokens(F.col("field")), " ").alias("y"), F.array_distinct(text.tokens(F.col("field"))).alias("ys"))
+    both = a.join(b, "case_id")
+    similar = F.size(F.array_intersect("xs", "ys")) / F.greatest(F.size(F.array_union("xs", "ys")), F.lit(1))
+    held = (F.col("x") != "") & (F.col("y") != "") & (F.contains("x", F.col("y")) | F.contains("y", F.col("x")))
+    step = F.when(F.col("x") == F.col("y"), 1).when(held, 2).when(similar >= least, 3)
+    ranked = both.withColumn("pass", step).withColumn("similar", similar).where("pass is not null")
+    w = Window.partitionBy("case_id", "label").orderBy("pass", F.when(F.col("pass") == 3, -F.col("similar")).otherwise(0.0), "pos")
+    return ranked.withColumn("n", F.row_number().over(w)).where("n = 1").select("case_id", "label", "field", "pass")

@@ -51,17 +51,19 @@ def lexical(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
 def dense(queries: DataFrame, points: DataFrame, k: int = 20, metric: str = "cosine") -> DataFrame:
     """(qid, doc_id, score, rank): exact nearest points by cosine, dot or euclid (negative distance); scores round to nine places, ties by doc_id.
 
-    Queries (qid, vector) go in blocks of QUERY_BLOCK rows, which bounds what is broadcast; each block meets the points (doc_id, vector) batch by batch in one matrix product and keeps k a query and batch.
+    Queries (qid, vector) go in blocks of about QUERY_BLOCK rows, which bounds what is broadcast; each block meets the points (doc_id, vector) batch by batch in one matrix product and keeps k a query and batch.
     """
     spark = points.sparkSession
     ship(spark)
     rows = queries.where("vector is not null").select("qid", "vector")
     n = rows.count()
-    w = Window.orderBy("qid")
-    numbered = rows.withColumn("block", F.floor((F.row_number().over(w) - 1) / QUERY_BLOCK)) if n > QUERY_BLOCK else rows.withColumn("block", F.lit(0))
+    blocks = 1 if n <= QUERY_BLOCK else -(-n * 5 // (QUERY_BLOCK * 4))  # a hash deals queries, so blocks are filled to four fifths on average
+    numbered = rows.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
     out = None
-    for block in range(max(1, -(-n // QUERY_BLOCK))):
+    for block in range(blocks):
         got = numbered.where(F.col("block") == block).select("qid", "vector").toArrow()
+        if not got.num_rows and out is not None:
+            continue
         ids = np.array(got.column("qid").to_pylist(), np.int64)
         q = np.array(got.column("vector").to_pylist(), np.float64).reshape(len(ids), -1)
         sent = spark.sparkContext.broadcast((ids, q))
@@ -185,3 +187,32 @@ def expand_context(hits: DataFrame, chunks: DataFrame, radius: int = 1, most: in
         return pd.DataFrame({"qid": key[0], "place": np.arange(1, len(e) + 1), "doc_id": e.doc_id, "chunk_index": e.chunk_index, "added": e.added, "n_chars": e.text.str.len()})
 
     return hits.groupBy("qid").cogroup(wanted.groupBy("qid")).applyInPandas(run, "qid long, place long, doc_id long, chunk_index long, added boolean, n_chars long")
+
+
+def absence_reason(perimeter: Column, candidates: Column, kept: Column) -> Column:
+    """Why a search has no passage: nothing in the perimeter, no candidate, nothing kept; null if it has some."""
+    return F.when(kept > 0, F.lit(None).cast("string")).when((candidates == 0) & perimeter, "perimeter_without_passage").when(candidates == 0, "no_candidate").otherwise("no_passage_kept")
+
+
+def check_dimensions(points: DataFrame, column: str = "vector") -> DataFrame:
+    """(dimension, n): how many vectors of each dimension there are; a sound table has one row."""
+    return points.where(F.col(column).isNotNull()).groupBy(F.size(column).alias("dimension")).agg(F.count("*").alias("n"))
+
+
+def in_perimeter(hits: DataFrame, perimeter: DataFrame) -> DataFrame:
+    """Hits whose document is in the query's perimeter (qid, doc_id); queries without a perimeter are not restricted."""
+    bound = perimeter.select("qid").distinct().withColumn("bound", F.lit(True))
+    inside = perimeter.select("qid", "doc_id").distinct().withColumn("inside", F.lit(True))
+    return hits.join(bound, "qid", "left").join(inside, ["qid", "doc_id"], "left").where(F.col("bound").isNull() | F.col("inside")).drop("bound", "inside")
+
+
+def narrow_by_year(cards: DataFrame, years: Column) -> DataFrame:
+    """Cards (qid, doc_id, card_years) whose years meet the question's; a question for which none does keeps all of its cards."""
+    marked = cards.withColumn("meets", F.arrays_overlap("card_years", years))
+    any_ = F.max(F.coalesce("meets", F.lit(False))).over(Window.partitionBy("qid"))
+    return marked.withColumn("any_", any_).where(F.col("meets") | ~F.col("any_")).drop("meets", "any_")
+
+
+def source_block(citation: Column, label: Column, page: Column, body: Column) -> Column:
+    """A passage as it enters a context: citation, document and page on the first line, then its text."""
+    return F.concat(F.lit("["), citation, F.lit("] "), F.coalesce(label, F.lit("unknown source")), F.lit(", page "), F.coalesce(page.cast("string"), F.lit("unknown")), F.lit("\n"), F.trim(body))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import capability, incremental, retrieval, structure
+from ..operators import capability, incremental, order, retrieval, structure
 from .base import query
 from .search import _LEX, _lexical
 from .texts import TOK
@@ -133,9 +133,9 @@ def documents_ranking(spark, table):
 
 @query("""SELECT conv_id, turn, 'D' || dense_rank() OVER (ORDER BY conv_id) || 'S' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS citation FROM conversations""")
 def multi_numbering(spark, table):
-    """Citations D<k>S<j>: documents are numbered on their own table, so no window holds all passages."""
+    """Citations D<k>S<j>: documents are numbered range by range, so no window holds all of them."""
     t = table("conversations").select("conv_id", "turn")
-    docs = t.select("conv_id").distinct().withColumn("k", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("conv_id")))
+    docs = order.number(t.select("conv_id").distinct(), "conv_id", name="k")
     j = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     return t.withColumn("j", j).join(docs, "conv_id").select("conv_id", "turn", F.concat(F.lit("D"), "k", F.lit("S"), "j").alias("citation"))
 

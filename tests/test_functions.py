@@ -91,3 +91,27 @@ def test_signature_is_stable():
 
 def test_indel_ratio():
     assert round(indel_ratio("kitten", "sitting"), 3) == 0.615 and indel_ratio("", "") == 1.0 and indel_ratio("ab", "") == 0.0 and indel_ratio("abc", "abc") == 1.0
+
+
+def test_more_text_functions(one):
+    assert one(text.redact_stack, 'File "/home/me/app/x.py", line 3 password=abc').startswith('File "x.py", line 3 [SECRET]')
+    assert one(text.is_request_id, "a.b-1") and not one(text.is_request_id, "a b") and not one(text.is_corpus_id, "Upper")
+    assert one(lambda c: text.match_label(c, ["Annual Report", "Note"]), " annual  report ") == "Annual Report" and one(lambda c: text.match_label(c, ["Note"]), "x") is None
+    assert one(lambda c: text.numbered_name(c, "q", 4, ".txt"), 7, "int") == "q0007.txt"
+    assert one(lambda c: text.holds_words(c, F.lit("le chat")), "Voici LE chat.") and not one(lambda c: text.holds_words(c, F.lit("chat")), "chaton")
+    assert one(lambda c: text.location(c, F.lit(3), F.lit(" ")), "a.pdf") == "a.pdf, page 3"
+
+
+def test_typed_values(one):
+    assert one(lambda c: values.typed(c, "list[integer]"), "1; 2 |x|1") == [1, 2] and one(lambda c: values.typed(c, "list[integer]"), "x") is None
+    assert one(lambda c: values.typed(c, "text"), " a  b ") == "a b" and one(lambda c: values.typed(c, "text"), "N/A") is None
+    assert [one(values.confidence, x) for x in ("0.55555", "7", "-1", "x", None)] == [0.5556, 1.0, 0.0, 0.0, 0.0]
+    assert one(lambda c: values.answers_match(F.lit("1 445"), c), "about 1,445 units") and not one(lambda c: values.answers_match(F.lit("12"), c), "13")
+    assert one(lambda c: values.answers_match(F.lit("Paris"), c), "in paris.") and not one(lambda c: values.answers_match(F.lit("Paris"), c), "comparison")
+
+
+def test_json(one):
+    assert one(arrays.list_or_scalar, '["a", " b"]') == ["a", "b"] and one(arrays.list_or_scalar, "a| |b") == ["a", "b"] and one(arrays.list_or_scalar, "x") == ["x"]
+    answer = 'Sure: {"total": [{"value": " 12 ", "citations": ["S1", "S9"]}, {"value": "", "citations": ["S1"]}], "date": [{"value": "x", "citations": ["S9"]}], "other": [{"value": "y", "citations": ["S1"]}]}'
+    got = one(lambda c: arrays.valid_entries(c, ["total", "date"], F.array(F.lit("S1"))), answer)
+    assert [(e.field, e.value, e.citations) for e in got] == [("total", "12", ["S1"])]

@@ -153,3 +153,33 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     q.stop()
     want = sorted(map(tuple, windows.counts(events).collect()))
     assert sorted(map(tuple, spark.table("dq_counts").collect())) == want
+
+
+def test_numbers_are_consecutive(spark):
+    from docquarry.operators import order
+
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v")).repartition(5)
+    assert [(r.v, r.number) for r in order.number(df, "v").orderBy("v").collect()] == [(i, i + 1) for i in range(1000)]
+
+
+def test_perimeter_years_and_reasons(spark):
+    hits = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "qid long, doc_id long")
+    assert sorted(map(tuple, retrieval.in_perimeter(hits, spark.createDataFrame([(1, 2)], hits.schema)).collect())) == [(1, 2), (2, 1)]
+    cards = spark.createDataFrame([(1, 1, [2020]), (1, 2, [2021]), (2, 1, [2020])], "qid long, doc_id long, card_years array<int>")
+    assert sorted((r.qid, r.doc_id) for r in retrieval.narrow_by_year(cards, F.array(F.lit(2021))).collect()) == [(1, 2), (2, 1)]
+    why = spark.createDataFrame([(True, 0, 0), (False, 0, 0), (True, 3, 0), (True, 3, 1)], "p boolean, c int, k int").select(retrieval.absence_reason(F.col("p"), F.col("c"), F.col("k")).alias("r"))
+    assert [r.r for r in why.collect()] == ["perimeter_without_passage", "no_candidate", "no_passage_kept", None]
+    pts = spark.createDataFrame([([1.0],), ([1.0, 2.0],), (None,), ([3.0],)], "vector array<double>")
+    assert {r.dimension: r.n for r in retrieval.check_dimensions(pts).collect()} == {1: 2, 2: 1}
+
+
+def test_targets_and_fields(spark):
+    from docquarry.operators import resolve
+
+    names = spark.createDataFrame([(1, "a.pdf"), (2, "x/b.docx"), (3, "c.txt"), (4, "c.md")], "doc_id long, name string")
+    refs = spark.createDataFrame([(1, "A"), (1, "b.docx"), (2, "a.pdf"), (3, "a.pdf"), (3, "zz"), (4, "a.pdf"), (4, "c")], "qid long, reference string")
+    got = {r.qid: (r.status, r.doc_ids) for r in resolve.targets(refs, names).collect()}
+    assert got == {1: ("ok", [1, 2]), 2: ("too_few", None), 3: ("unknown_reference", None), 4: ("ambiguous_reference", None)}
+    want = spark.createDataFrame([(1, "Total amount"), (1, "Date"), (1, "Supplier legal name"), (1, "Nothing")], "case_id long, label string")
+    have = spark.createDataFrame([(1, "total_amount", 0), (1, "due date", 1), (1, "name of supplier", 2)], "case_id long, field string, pos int")
+    assert {r.label: (r.field, r["pass"]) for r in resolve.match_fields(want, have).collect()} == {"Total amount": ("total_amount", 1), "Date": ("due date", 2), "Supplier legal name": ("name of supplier", 3)}
