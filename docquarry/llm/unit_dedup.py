@@ -1,6 +1,6 @@
 """Substring dedup by hashing units of lines: normalised units are grouped by digest over the whole corpus, the earliest keeps its place, the others are removed; original offsets are retained.
 
-Lines are cut further at punctuation, so that a passage is found wherever in a line it was put. A unit is a clause of at least UNIT_WORDS words together with the shorter clauses right before it; this depends on its surroundings only up to the clause before, so units of a shared passage agree after its first clause. A unit is normalised by case folding and by joining its words with single spaces. Short clauses after the last unit are never removed.
+Lines are cut further at punctuation and after some words chosen by their hash, so that a passage is found wherever in a line it was put. A unit has at least UNIT_WORDS words and ends at the first such place after them. Where units start depends on what stands before, but soon no more, so the units of a shared passage agree after its first ones. A unit is normalised by case folding and by joining its words with single spaces. Fewer words than a unit at the end of a text are never removed.
 
 Ranks are by doc_id, nulls last, then by a digest of doc_id and text, then by place. Rows that repeat doc_id and text are one document and get one result. Null and empty texts have no units. Digests have 128 bits. Units that repeat within a batch are brought together before the shuffle, so a frequent unit reaches its group once a batch. Extra columns are ignored.
 """
@@ -8,6 +8,8 @@ Ranks are by doc_id, nulls last, then by a digest of doc_id and text, then by pl
 from __future__ import annotations
 
 import re
+import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,28 +17,38 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, bounded_batches, texts_of
+from ._common import bounded_batches, texts_of
 
 UNIT_WORDS = 6
-CLAUSE = re.compile(r"[^\n.!?,;:]*[\n.!?,;:]+\s*|[^\n.!?,;:]+")
+#: One word in CUT ends a unit where punctuation does not.
+CUT, PUNCTUATION = 4, ".!?,;:"
+PIECE = re.compile(r"[^\x20\x09-\x0D]+|\n")
 UNIT = np.dtype([("d1", "<u8"), ("d2", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("end", "<u4"), ("flag", "u1")])
 FREE, KNOWN = 0, 1
 _NULL = np.iinfo(np.int64).max
 
 
+@lru_cache(1 << 16)
+def _cuts(word: str) -> bool:
+    """Whether a unit may end after a word: at punctuation, or for one word in CUT by its hash."""
+    return word[-1] in PUNCTUATION or zlib.crc32(word.casefold().encode()) % CUT == 0
+
+
 def units(text: str, least: int = UNIT_WORDS) -> list[tuple[int, int, str]]:
     """(start, end, normalised unit) of a text, in code points; end leaves out white space at the end."""
-    out, start, words, n = [], None, [], 0
-    for m in CLAUSE.finditer(text):
-        own = WORD.findall(m.group())
-        if not own:
-            continue
-        if start is None:
-            start = m.start()
-        words += own
-        if len(own) >= least:
-            out.append((start, m.start() + len(m.group().rstrip()), " ".join(words).casefold()))
-            start, words = None, []
+    out, start, end, words = [], 0, 0, []
+    for m in PIECE.finditer(text):
+        w = m.group()
+        if w != "\n":
+            if not words:
+                start = m.start()
+            words.append(w)
+            end = m.end()
+        if len(words) >= least and (w == "\n" or _cuts(w)):
+            out.append((start, end, " ".join(words).casefold()))
+            words = []
+    if len(words) >= least:
+        out.append((start, end, " ".join(words).casefold()))
     return out
 
 

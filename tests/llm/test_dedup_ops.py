@@ -100,9 +100,10 @@ def test_unit_dedup_equals_brute_force(docs, rows):
 
 
 def test_units_agree_inside_other_text():
-    passage = "One clause of some seven words here, then. Short. Another clause of seven words goes on, and a last one that is long enough."
+    passage = prose(random.Random(8), 120).replace("\n", " ")
     inside = {u for _, _, u in unit_dedup.units("lead in " + passage + " and out again with more words")}
-    assert len({u for _, _, u in unit_dedup.units(passage)} & inside) >= 2
+    own = [u for _, _, u in unit_dedup.units(passage)]
+    assert sum(u in inside for u in own) >= 0.7 * len(own)
 
 
 def test_line_alignment_equals_brute_force(docs, rows):
