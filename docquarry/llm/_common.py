@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut as cut
 from ..session import ship
 
 #: A word is a run of characters that are not ASCII white space.
@@ -103,14 +104,6 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held:
     return docs.select("doc_id", "text", *extra).join(F.broadcast(picked), "doc_id")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the folder that the session names; one of its own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/docquarry")
-    return df.checkpoint()
-
-
 def fresh(names, *wanted: str) -> list[str]:
     """Names for helper columns that clash with none of a table's, whatever their case."""
     taken = {n.lower() for n in names}
