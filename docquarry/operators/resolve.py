@@ -25,23 +25,26 @@ def resolve(questions: DataFrame, cards: DataFrame, key: str = "doc_id", label:
 
     A card's score is the idf of its label's tokens found in the question over that of all its tokens, times BOOST under a scope phrase (1 at most). Cards equal in score and tokens are one group. Under THRESHOLD nothing is named; a lead under MARGIN is ambiguous; one document is exact, several are compatible. Tokens meet by an equi-join, so only cards that share a token with a question are scored.
     """
-    sigs = signatures(cards, key, label)
+    labels = cards.groupBy(label).agg(F.countDistinct(key).alias("n_cards"))  # cards of one label are scored once
+    sigs = signatures(labels, "n_cards", label)
     n = cards.select(F.greatest(F.countDistinct(key), F.lit(1)).alias("n"))
-    weights = sigs.groupBy("token").agg(F.countDistinct(key).alias("df")).crossJoin(F.broadcast(n)).select("token", F.log(1 + F.col("n") / (1 + F.col("df"))).alias("idf"))
+    weights = sigs.groupBy("token").agg(F.sum("n_cards").alias("df")).crossJoin(F.broadcast(n)).select("token", F.log(1 + F.col("n") / (1 + F.col("df"))).alias("idf"))
     weighted = sigs.join(weights, "token")
-    whole = weighted.groupBy(key, label).agg(F.sum("idf").alias("whole"))
-    asked = questions.select("qid", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
-    hits = asked.join(weighted, "token").groupBy("qid", key, label).agg(F.sum("idf").alias("part"), F.array_join(F.array_sort(F.collect_set("token")), " ").alias("found"))
+    whole = weighted.groupBy(label).agg(F.sum("idf").alias("whole"))
+    texts = questions.select("text").distinct()  # questions of one text, too
+    asked = texts.select("text", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
+    hits = asked.join(weighted, "token").groupBy("text", label).agg(F.sum("idf").alias("part"), F.max("n_cards").alias("n_cards"), F.array_join(F.array_sort(F.collect_set("token")), " ").alias("found"))
     plain = F.array_join(text.tokens(F.col("text")), " ")
     marked = F.lit(False)
     for m in SCOPE_MARKS:
         marked = marked | F.contains(plain, F.lit(m))
-    scored = hits.join(whole, [key, label]).join(questions.select("qid", marked.alias("marked")), "qid")
-    scored = scored.withColumn("score", F.round(F.when(F.col("marked"), F.least(F.lit(1.0), F.col("part") / F.col("whole") * BOOST)).otherwise(F.col("part") / F.col("whole")), 6))
-    groups = scored.groupBy("qid", "score", "found").agg(F.count("*").alias("n_documents"), F.min(label).alias("first_label"))
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "first_label", "found")
+    scored = hits.join(whole, label)
+    share = F.col("part") / F.col("whole")
+    scored = scored.withColumn("score", F.round(F.when(marked, F.least(F.lit(1.0), share * BOOST)).otherwise(share), 6))
+    groups = scored.groupBy("text", "score", "found").agg(F.sum("n_cards").alias("n_documents"), F.min(label).alias("first_label"))
+    w = Window.partitionBy("text").orderBy(F.col("score").desc(), "first_label", "found")
     ranked = groups.withColumn("place", F.row_number().over(w)).withColumn("second_score", F.coalesce(F.lead("score").over(w), F.lit(0.0))).where("place = 1")
-    got = questions.select("qid").join(ranked, "qid", "left")
+    got = questions.select("qid", "text").join(ranked, "text", "left")
     status = (
         F.when(F.col("score").isNull() | (F.col("score") < THRESHOLD), "none").when(F.col("score") - F.col("second_score") < MARGIN, "ambiguous")
         .when(F.col("n_documents") == 1, "exact").otherwise("compatible")
