@@ -45,8 +45,9 @@ SECRETS = (
 
 
 def unaccent(c: Column) -> Column:
-    """Lower case without the marks of Latin letters."""
-    return F.translate(F.lower(c), "".join(_PAIRS), "".join(_PAIRS.values()))
+    """Lower case without the marks of Latin letters. Plain ASCII texts skip the letter-by-letter translation."""
+    low = F.lower(c)
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, "".join(_PAIRS), "".join(_PAIRS.values())))
 
 
 @F.pandas_udf(T.StringType())

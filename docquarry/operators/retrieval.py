@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text
-from ..session import ship
+from ..session import ship, spread
 
 #: Query rows that are broadcast at once; more are worked through in further rounds.
 QUERY_BLOCK = 1024
@@ -41,10 +41,12 @@ def lexical(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
     Only query tokens leave the scan; pairs meet by token, so work follows the postings of query tokens.
     """
     asked = queries.select("qid", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
-    counts = term_counts(docs, wanted=asked)
+    # A document's distinct tokens are known within its row, so nothing has to be counted; only postings of query tokens leave the scan.
+    have = spread(docs.select("doc_id", "text")).select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
+    counts = have.join(asked.select("token").distinct(), "token", "left_semi")
     n = docs.select(F.count("*").alias("n"))
     weights = counts.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("token", F.log(1 + F.greatest("n", F.lit(1)) / (1 + F.col("df"))).alias("idf"))
-    scored = asked.join(weights, "token").join(counts.select("doc_id", "token"), "token").groupBy("qid", "doc_id").agg(F.sum(F.round(F.col("idf") * 1e9).cast("long")).alias("units"))
+    scored = asked.join(weights, "token").join(counts, "token").groupBy("qid", "doc_id").agg(F.sum(F.round(F.col("idf") * 1e9).cast("long")).alias("units"))
     return best(scored.select("qid", "doc_id", (F.col("units") / 1e9).alias("score")), k)
 
 

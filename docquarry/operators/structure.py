@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, spread
 
 # What starts a list item, what ends a sentence, a separator cell of a table, and separators for splitting text.
 BULLET = r"^\s*(?:[-*•·–—o]|\(?\d{1,3}[.)]|[a-zA-Z][.)])\s+\S"
@@ -154,7 +154,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                 d["parent_id"] = "p1s" + d.parent.astype(str)
                 yield d[["doc_id", "chunk_index", "kind", "section", "parent_id", "place", "text"]]
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index long, kind string, section string, parent_id string, place long, text string")
+    return spread(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, chunk_index long, kind string, section string, parent_id string, place long, text string")
 
 
 def batches(items: DataFrame, by: str, order: str, cost: Column, limit: int = 16_000) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, text, values
 from ..operators import evaluate, retrieval, routing
+from ..session import spread
 from ..streaming import windows
 from .base import query
 from .texts import TOK
@@ -110,7 +111,7 @@ def coverage_cumulative(spark, table):
     """Evidence tokens that each of the six best documents of an item adds, and the share covered so far."""
     bt = table("benchmark").select("item_id", F.array_distinct(text.tokens(F.col("text"))).alias("g"))
     w = bt.select("item_id", F.size("g").alias("n"), F.explode("g").alias("w"))
-    dt = table("documents").select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("w"))
+    dt = spread(table("documents").select("doc_id", "text")).select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("w"))
     meet = w.join(dt, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("score"), F.collect_list("w").alias("ws"), F.max("n").alias("n"))
     top = retrieval.best(meet, 6, by="item_id")
     firsts = top.select("item_id", "n", "rank", F.explode("ws").alias("w")).groupBy("item_id", "w").agg(F.min("rank").alias("rank"), F.max("n").alias("n"))

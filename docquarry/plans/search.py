@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, text
 from ..operators import filters, resolve, retrieval, structure
+from ..session import spread
 from .base import query
 from .texts import TOK, useful_sql
 
@@ -77,7 +78,7 @@ def stagnation_lag(spark, table):
 SELECT token, count(*)::BIGINT AS df, round(ln(1 + greatest(max(n), 1) / (1.0 + count(*))), 9) AS idf FROM t, n GROUP BY token""")
 def idf(spark, table):
     docs = table("documents")
-    toks = docs.select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
+    toks = spread(docs.select("doc_id", "text")).select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
     df = toks.groupBy("token").agg(F.count("*").alias("df"))
     n = docs.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
     return df.crossJoin(F.broadcast(n)).select("token", "df", F.round(F.log(1 + F.col("n") / (1 + F.col("df"))), 9).alias("idf"))
@@ -144,6 +145,7 @@ SELECT qid, doc_id, rerank_score, new_rank FROM (SELECT *, row_number() OVER (PA
 def rerank_cascade(spark, table):
     q = table("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     cand = _lexical(table).join(table("documents").select("doc_id", "text"), "doc_id").join(q, "qid")
+    cand = spread(cand)  # candidates are few, so a broadcast leaves them in the tasks of the scan
     bearing = F.array_distinct(F.filter(text.tokens(F.col("question")), lambda t: t.rlike(r"^\d+$") | ((F.length(t) > 3) & ~t.isin(text.TOOL_WORDS))))
     score = F.round(arrays.share(bearing, text.tokens(F.col("text"))), 6)
     return retrieval.rerank(cand, score, 6, 0.15).select("qid", "doc_id", "rerank_score", "new_rank")
@@ -198,7 +200,7 @@ def ngram_overlap(spark, table):
     """Documents that hold eight-word runs of benchmark items. Runs of documents are kept only if an item has them, before anything is counted."""
     grams = lambda d, k: d.select(k, F.explode(F.when(F.size("t") >= 8, text.ngrams(F.col("t"), 8)).otherwise(F.array().cast("array<string>"))).alias("g"))
     items = grams(table("benchmark").select("item_id", text.tokens(F.col("text")).alias("t")), "item_id")
-    found = grams(table("documents").select("doc_id", text.tokens(F.col("text")).alias("t")), "doc_id").join(items, "g")
+    found = grams(spread(table("documents").select("doc_id", "text")).select("doc_id", text.tokens(F.col("text")).alias("t")), "doc_id").join(items, "g")
     n = items.groupBy("item_id").agg(F.count("*").alias("n"))
     return found.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared")).join(n, "item_id").select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("part"))
 

@@ -27,6 +27,12 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer tasks than that (a single row group cannot be split); otherwise df as it is. For scans that heavy work on each row follows."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the folder that the session names; one of its own only where none is set."""
     sc = df.sparkSession.sparkContext
