@@ -19,8 +19,8 @@ from ._common import bounded_batches, label_sample, remainder, shards, starts_of
 
 TOKEN = re.compile(r"\w+")
 #: Most labelled documents that a model is fitted on.
-MAX_TRAIN = 8_000
-BITS, PART, WIDTHS, FILTERS = 17, 6, (1, 2, 3), 12
+MAX_TRAIN = 6_000
+BITS, PART, WIDTHS, FILTERS = 16, 6, (1, 2, 3), 12
 #: Letters of the prefixes that have tables of their own.
 PREFIXES = (4, 5)
 TABLES = 2 + len(PREFIXES)
@@ -239,7 +239,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     got = got.take(pa.array(order))
     flat = [np.frombuffer(b"".join(x.as_buffer() for x in got.column(c)), "<i4") for c in names]
     n = np.array([x.as_buffer().size // 4 for x in got.column("t0")], np.int64) - (max(WIDTHS) - 1)
-    return fit(Tokens(flat, n), np.array(got.column("y").to_pylist(), np.float64), got.column("lang").to_pylist())
+    y, langs = np.array(got.column("y").to_pylist(), np.float64), got.column("lang").to_pylist()
+    del got, keys
+    pa.default_memory_pool().release_unused()
+    return fit(Tokens(flat, n), y, langs)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
