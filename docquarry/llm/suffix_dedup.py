@@ -77,15 +77,17 @@ def _heads(buf: np.ndarray) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], length: int) -> np.ndarray:
-    """The anchors of texts (a batch of any size, worked through in slices)."""
-    out = []
+    """The anchors of texts (a batch of any size, worked through in slices; the starts of one anchor on both sides of a slice's end are one run)."""
+    out, places = [], []
     sizes = np.array([len(t) for t in texts], np.int64)
     group, held = [], 0
 
     def flush():
         nonlocal group, held
         if group:
-            out.append(_anchors(group, length))
+            got, place = _anchors(group, length)
+            out.append(got)
+            places.append(place)
         group, held = [], 0
 
     for i in np.flatnonzero(sizes >= length):
@@ -98,13 +100,24 @@ def anchors(texts: list[bytes], length: int) -> np.ndarray:
             if held >= SLICE:
                 flush()
     flush()
-    return np.concatenate(out) if out else np.zeros(0, ANCHOR)
+    if not out:
+        return np.zeros(0, ANCHOR)
+    x, place = np.concatenate(out), np.concatenate(places)
+    new = np.ones(len(x), bool)
+    new[1:] = (x["doc"][1:] != x["doc"][:-1]) | (place[1:] != place[:-1])
+    if new.all():
+        return x
+    at = np.flatnonzero(new)
+    y = x[at]
+    y["n"] = np.add.reduceat(x["n"].astype(np.int64), at)  # at most GAP, as all are starts of one anchor
+    return y
 
 
-def _anchors(group: list, length: int) -> np.ndarray:
+def _anchors(group: list, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(anchors, their places in their texts) of slices; a run of starts ends with its slice."""
     buf = np.frombuffer(b"".join(g[5] for g in group), np.uint8)
     if len(buf) < length:
-        return np.zeros(0, ANCHOR)
+        return np.zeros(0, ANCHOR), np.zeros(0, np.int64)
     offset = starts_of(np.array([len(g[5]) for g in group]))
     head = _heads(buf)
     count = np.array([g[3] - g[2] for g in group])
@@ -126,7 +139,7 @@ def _anchors(group: list, length: int) -> np.ndarray:
         got["core"] = of(a, end)
         got["all"] = mix64(of(left, a) * np.uint64(3) + of(end, right) * np.uint64(5) + ((a - left) * 4096 + (right - end)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     got["doc"], got["lo"], got["n"], got["flag"] = g[0], lo - shift, n, ALONE
-    return got
+    return got, a - shift
 
 
 def _groups(x: np.ndarray, *names: str) -> tuple[np.ndarray, np.ndarray]:

@@ -81,6 +81,30 @@ def test_suffix_slices_do_not_change_anchors(monkeypatch):
     assert whole["n"].sum() == cut["n"].sum() == len(t[0]) - 399
 
 
+@pytest.mark.parametrize("size", [50, 1777])
+def test_suffix_slices_merge_runs_at_their_ends(monkeypatch, size):
+    t = [prose(random.Random(9), 1500).encode(), b"ab" * 900, prose(random.Random(10), 900).encode()]
+    whole = suffix_dedup.anchors(t, 400)
+    monkeypatch.setattr(suffix_dedup, "SLICE", size)
+    assert suffix_dedup.anchors(t, 400).tolist() == whole.tolist()
+
+
+def test_suffix_dedup_of_texts_longer_than_a_slice(spark):
+    """End to end over texts of several slices: only what is written twice goes."""
+    rng = random.Random(4)
+    letters = bytes(range(97, 123))
+    long, other = (bytes(rng.choices(letters, k=k)) for k in ((4 << 20) + 5000, (2 << 20) + 3000))
+    at = suffix_dedup.SLICE - 700
+    texts = [long, other[:at] + long[1000:1900] + other[at:], long[50:300]]
+    got = suffix_dedup.dedup(spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string"), 400, texts=True).collect()
+    spans = {r.doc_id: r.spans for r in got}
+    # Where the bytes around the inserted passage happen to agree, the spans are longer by as many.
+    a = next(k for k in range(9) if long[999 - k] != texts[1][at - 1 - k])
+    b = next(k for k in range(9) if long[1900 + k] != texts[1][at + 900 + k])
+    assert spans == {0: [[1000 - a, 1900 + b]], 1: [[at - a, at + 900 + b]], 2: []}
+    assert all(r.kept_sha256 == hashlib.sha256(b"".join(texts[r.doc_id][s:e] for s, e in zip([0, *(x[1] for x in r.spans)], [*(x[0] for x in r.spans), len(texts[r.doc_id])], strict=True))).hexdigest() for r in got)
+
+
 def test_suffix_refuses_short_lengths(docs):
     with pytest.raises(ValueError):
         suffix_dedup.dedup(docs, 100)
