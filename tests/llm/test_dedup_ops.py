@@ -156,6 +156,28 @@ def test_patience_is_increasing_and_keeps_unique_order():
     assert all(a[i] == b[j] for i, j in m) and m == sorted(m) and "".join(a[i] for i, _ in m) == "abcdefg"
 
 
+@pytest.mark.parametrize("places", [4, 1 << 20])
+def test_longest_equals_the_plain_table(monkeypatch, places):
+    monkeypatch.setattr(line_align, "PLACES", places)
+    rng = random.Random(6)
+    for _ in range(150):
+        a, b = ([rng.randint(0, 4) for _ in range(rng.randint(0, 40))] for _ in "ab")
+        size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                size[i + 1][j + 1] = size[i][j] + 1 if x == y else max(size[i][j + 1], size[i + 1][j])
+        m = line_align.longest(a, b)
+        assert len(m) == size[-1][-1] and all(a[i] == b[j] for i, j in m)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(m, m[1:]))
+
+
+def test_lines_repeated_on_either_side_are_aligned(spark):
+    p = "this telling line has more than eight words in it"
+    texts = [f"x\n{p}\ny\n{p}\nz", f"u\n{p}\nv", f"r\n{p}\ns\n{p}\nt"]
+    got = line_align.align(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: list(r.removed) for r in got} == {0: [], 1: [1], 2: [1, 3]}
+
+
 def test_strip_keeps_columns_and_clean_rows(docs, rows):
     out = line_align.strip(docs)
     assert out.columns == docs.columns
