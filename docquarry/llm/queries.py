@@ -27,7 +27,7 @@ def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_align.align(read(spark, sf_dir, "documents"))
+    return line_align.align(read(spark, sf_dir, "documents"), rare=line_align.RARE)
 
 
 def op5_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

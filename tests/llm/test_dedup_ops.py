@@ -178,6 +178,39 @@ def test_lines_repeated_on_either_side_are_aligned(spark):
     assert {r.doc_id: list(r.removed) for r in got} == {0: [], 1: [1], 2: [1, 3]}
 
 
+def test_rare_short_lines_link_and_short_copies_go(spark):
+    common = ["yes", "no", ""]
+    texts = ["roses are red\nyes\nviolets are blue", "a\nroses are red\nyes\nb", "one\ntwo\n", "one\ntwo\n", "", "\n", "\n"] + [f"{c}\n{i} of its own" for i in range(12) for c in common]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: list(r.removed) for r in line_align.align(df, rare=line_align.RARE).collect()}
+    assert {i: x for i, x in got.items() if x and i < 7} == {1: [1, 2], 3: [0, 1, 2]}
+    # "i of its own" is held by three texts; the frequent lines before it differ and stay.
+    assert all(got[7 + k] == ([1] if k % 3 else []) for k in range(36))
+    assert {r.doc_id for r in line_align.strip(df, rare=line_align.RARE).collect()} == set(range(len(texts))) - {3}
+
+
+def test_rare_alignment_equals_brute_force(docs, rows):
+    order = sorted({(i is None, i or 0, line_align._key(i, t), i, t) for i, t in rows}, key=lambda x: x[:3])
+    split = {(i, t): tuple(x.strip(" \t\r\v\f") for x in t.split("\n")) if t is not None else () for *_, i, t in order}
+    holders = collections.Counter(x for lines in set(split.values()) for x in set(lines))
+    seen, lead, want = set(), {}, {}
+    for *_, i, t in order:
+        lines = split[i, t]
+        links = {k for k, x in enumerate(lines) if x and (len(line_align.WORD.findall(x)) >= line_align.LINK_WORDS or holders[x] <= line_align.RARE)}
+        if lines in seen:
+            want[i, t] = list(range(len(lines))) if any(lines) else []
+            continue
+        seen.add(lines)
+        gone = set()
+        for p in {lead[lines[k]] for k in links if lines[k] in lead}:
+            gone |= set(line_align.blocks(line_align.patience(list(p), list(lines)), {k for k in links if lines[k] in lead or len(line_align.WORD.findall(lines[k])) >= line_align.LINK_WORDS}))
+        want[i, t] = sorted(gone)
+        for k in links:
+            lead.setdefault(lines[k], lines)
+    got = line_align.align(docs, rare=line_align.RARE).collect()
+    assert sorted(((r.doc_id, list(r.removed)) for r in got), key=str) == sorted(((i, want[i, t]) for i, t in rows), key=str)
+
+
 def test_strip_keeps_columns_and_clean_rows(docs, rows):
     out = line_align.strip(docs)
     assert out.columns == docs.columns
