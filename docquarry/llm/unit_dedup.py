@@ -1,13 +1,13 @@
 """Substring dedup by hashing units of lines: normalised units are grouped by digest over the whole corpus, the earliest keeps its place, the others are removed; original offsets are retained.
 
-Lines are cut further at punctuation and after some words chosen by their hash, so that a passage is found wherever in a line it was put. A unit has at least UNIT_WORDS words and ends at the first such place after them. Where units start depends on what stands before, but soon no more, so the units of a shared passage agree after its first ones. A unit is normalised by case folding and by joining its words with single spaces. Fewer words than a unit at the end of a text are never removed.
+Lines are cut further at punctuation and after some words chosen by their hash, so that a passage is found wherever in a line it was put. A unit has at least UNIT_WORDS words and ends at the first such place after them. Where units start depends on what stands before, but soon no more, so the units of a shared passage agree after its first ones. A unit is normalised by case folding and by joining its words with single spaces.
+A line of fewer words is a unit of its own, so a short line that is repeated goes whatever stands around it, and a short text is its lines. What is left after the last unit before such a line or the end of the text is too little to be told by itself: it counts together with the unit before it, and goes where both are repeated. So a copy of a whole text goes as a whole.
 
 Ranks are by doc_id, nulls last, then by a digest of doc_id and text, then by place. Rows that repeat doc_id and text are one document and get one result. Null and empty texts have no units. Digests have 128 bits. Units that repeat within a batch are brought together before the shuffle, so a frequent unit reaches its group once a batch. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from functools import lru_cache
 
@@ -17,12 +17,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, texts_of
+from ._common import WORD, bounded_batches, texts_of
 
 UNIT_WORDS = 6
 #: One word in CUT ends a unit where punctuation does not.
 CUT, PUNCTUATION = 4, ".!?,;:"
-PIECE = re.compile(r"[^\x20\x09-\x0D]+|\n")
 UNIT = np.dtype([("d1", "<u8"), ("d2", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("end", "<u4"), ("flag", "u1")])
 FREE, KNOWN = 0, 1
 _NULL = np.iinfo(np.int64).max
@@ -36,19 +35,29 @@ def _cuts(word: str) -> bool:
 
 def units(text: str, least: int = UNIT_WORDS) -> list[tuple[int, int, str]]:
     """(start, end, normalised unit) of a text, in code points; end leaves out white space at the end."""
-    out, start, end, words = [], 0, 0, []
-    for m in PIECE.finditer(text):
-        w = m.group()
-        if w != "\n":
+    out, start, end, words, at = [], 0, 0, [], 0
+    # None is the end of the text.
+    for line in [*text.split("\n"), None]:
+        found = [(m.group(), at + m.start(), at + m.end()) for m in WORD.finditer(line or "")]
+        at += len(line or "") + 1
+        if words and (line is None or 0 < len(found) < least):
+            # The unit before ends in the same line, as fewer words than a unit are left of a line only after one.
+            out.append((start, end, f"{out[-1][2]} {' '.join(words).casefold()}"))
+            words = []
+        if 0 < len(found) < least:
+            out.append((found[0][1], found[-1][2], " ".join(w for w, _, _ in found).casefold()))
+            continue
+        for w, s, e in found:
             if not words:
-                start = m.start()
+                start = s
             words.append(w)
-            end = m.end()
-        if len(words) >= least and (w == "\n" or _cuts(w)):
+            end = e
+            if len(words) >= least and _cuts(w):
+                out.append((start, end, " ".join(words).casefold()))
+                words = []
+        if len(words) >= least:
             out.append((start, end, " ".join(words).casefold()))
             words = []
-    if len(words) >= least:
-        out.append((start, end, " ".join(words).casefold()))
     return out
 
 

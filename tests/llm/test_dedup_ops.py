@@ -130,6 +130,22 @@ def test_units_agree_inside_other_text():
     assert sum(u in inside for u in own) >= 0.7 * len(own)
 
 
+def test_copies_and_short_lines_go_whole(spark):
+    long = prose(random.Random(12), 300)
+    ends = [f"One sentence of six words ends. {x}" for x in ("the tail", "the tail", "another tail")]
+    texts = [long, long, "Short text", "short  text", "Part two\n" + prose(random.Random(13), 40), "Part two\n" + prose(random.Random(14), 40), *ends, "Six other words stand here first. the tail"]
+    got = {r.doc_id: r for r in unit_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), texts=True).collect()}
+    assert [got[k].kept.strip() for k in (1, 3, 7)] == ["", "", ""]
+    assert got[5].spans[0] == [0, 8] and got[8].kept.strip() == "another tail"
+    assert all(got[k].n_removed == 0 for k in (0, 2, 4, 6, 9))
+
+
+def test_every_word_is_in_one_unit(rows):
+    for _, t in rows:
+        found = unit_dedup.units(t or "")
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:])) and " ".join(t[s:e] for s, e, _ in found).split() == (t or "").split()
+
+
 def test_line_alignment_equals_brute_force(docs, rows):
     order = sorted({(i is None, i or 0, line_align._key(i, t), i, t) for i, t in rows}, key=lambda x: x[:3])
     seen, lead, want = set(), {}, {}
