@@ -18,11 +18,30 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512, mb: int = 8) -> None:
-    """Bound the Arrow batches that Python workers get, by rows and by bytes, and give the workers this package."""
+#: Bounds of an Arrow batch, the same for every operator, so that the order in which plans are built changes nothing.
+BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python workers get, by rows and by bytes, and give the workers this package. A session whose bounds are tighter keeps them."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = re.fullmatch(r"([1-9]\d*)b?", spark.conf.get(key))
+        if not now or int(now[1]) > most:
+            spark.conf.set(key, most)
+
+
+def buckets_of(docs: DataFrame, each: int = 8 << 20) -> int:
+    """Number of hash buckets so that one holds about ``each`` bytes of input, whatever the size of the table; at least the session's shuffle partitions.
+
+    The size is the planner's (the files' bytes for a scan); where it knows none, the bytes of the texts are summed up.
+    """
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > 1 << 56:
+        size = int(docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0)
+    return max(least, -(-size // each))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -94,14 +113,14 @@ def remainder(n: int):
 def label_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, most: int, extra: tuple = ()) -> DataFrame:
     """At most ``most`` labelled documents (doc_id, text, y) whose remainder is not ``held``, the first in the order of a hash of doc_id.
 
-    The sampled labels are bounded by ``most``, so they are broadcast and the texts are not shuffled. Labels that contradict one another for a doc_id are averaged and rounded up.
+    The sampled labels are bounded by ``most``, so they are broadcast and the texts are not shuffled. Of labels that contradict one another for a doc_id the greater holds. A doc_id that several rows bear may give more texts than labels; the limit is set again after the join, so that never more than ``most`` rows come to the driver.
     """
     picked = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder(mod) != held))
         .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
-    return docs.select("doc_id", "text", *extra).join(F.broadcast(picked), "doc_id")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra).join(F.broadcast(picked.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id").limit(most)
 
 
 def fresh(names, *wanted: str) -> list[str]:

@@ -155,4 +155,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             p = scores(sent.value, texts_of(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", (remainder(HELD_MOD) == HELD).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(HELD_MOD) == HELD).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

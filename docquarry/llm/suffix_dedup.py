@@ -4,9 +4,11 @@ A byte is removed when a string of ``length`` bytes that covers it also starts a
 
 Sorting every suffix would shuffle many times the input, so suffixes are chosen by content first. In any run of GAP starts, the start whose 16 leading bytes hash least is the run's anchor; equal strings have equal anchors. Each anchor stands for the starts (at most GAP) whose string it heads, and all these strings hold its core, the length - GAP + 1 bytes from the anchor on.
 1. Anchors meet by the hash of their core. An anchor whose core is found once has no repeated string. One whose whole surroundings (all bytes of all strings that it may head) are found again has only repeated strings. What is equal within a batch is brought together before the shuffle.
-2. For the others, and one of each group of equal surroundings, every start becomes a suffix (8 leading bytes, then a 128-bit digest of all ``length`` bytes). Sampled splitters deal the suffixes into ranges by their leading bytes; each range is sorted by the leading bytes and, only where these tie, by the next keys; neighbours are compared. Splitters compare the same keys as the sort, so equal suffixes never lie on both sides of a boundary, and the sort may spill.
+2. For the others, and one of each group of equal surroundings, every start becomes a suffix (8 leading bytes, then a 128-bit digest of all ``length`` bytes). Suffixes that are equal within a batch are settled there, and one of them goes on as a witness, so that a string that many documents hold does not fill one range. Sampled splitters deal the suffixes into ranges by their leading bytes; each range is sorted by the leading bytes and, only where these tie, by the next keys; neighbours are compared. Splitters compare the same keys as the sort, so equal suffixes never lie on both sides of a boundary, and the sort may spill.
 3. The starts found repeated become spans; spans meet the texts once more and are cut out.
 
+``least`` (at most ``length``) makes cores shorter: any string of ``least`` bytes that stands anywhere else holds a whole core, least - GAP + 1 bytes, at an anchor of both places. Removal does not change, but n_shared then counts the bytes of all cores found again, so that passages too short to be removed are reported. Buckets grow in number with the input, not in size.
+
 A null text counts as empty. Documents shorter than ``length`` keep all bytes. Rows that repeat a text are documents of their own, so each is removed whole (if long enough). Strings never run over the end of a text. Very long texts are worked through in slices of 2 MB. Extra columns are ignored.
 """
 
@@ -20,15 +22,30 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, mix64, starts_of
+from ._common import bounded_batches, buckets_of, mix64, starts_of
 
 GAP, GRAM = 64, 16
 SLICE = 2 << 20
 _TABLE = np.random.default_rng(20).integers(1, 2**63, (2, 256)).astype(np.uint64)
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-ANCHOR = np.dtype([("core", "<u8"), ("all", "<u8"), ("doc", "<u4"), ("lo", "<u4"), ("n", "u1"), ("flag", "u1")])
+ANCHOR = np.dtype([("core", "<u8"), ("all", "<u8"), ("doc", "<u4"), ("lo", "<u4"), ("off", "u1"), ("n", "u1"), ("flag", "u1")])
 #: Flags: an anchor on its own; one that stands for several in its batch; one known to be repeated.
 ALONE, MANY, KNOWN = 0, 1, 2
+#: A run of starts as one number: first start, place of its anchor after it, number of starts (SINGLE: one start, whose anchor is not told).
+SINGLE = 127
+#: judge of a suffix: a witness whose starts are settled elsewhere, a start to be judged, a start settled within its batch.
+WITNESS, OPEN, SETTLED = 0, 1, 2
+
+
+def pack(lo, off, n):
+    return (lo * GAP + off) * 128 + n
+
+
+def unpack(packs):
+    """(first start, place of the anchor, number of starts) of packed runs."""
+    q = np.asarray(packs, np.int64)
+    lo, off, n = q // (128 * GAP), q // 128 % GAP, q % 128
+    return lo, lo + off, n
 
 
 class _Powers:
@@ -76,8 +93,9 @@ def _heads(buf: np.ndarray) -> np.ndarray:
     return (m & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def anchors(texts: list[bytes], length: int) -> np.ndarray:
+def anchors(texts: list[bytes], length: int, least: int | None = None) -> np.ndarray:
     """The anchors of texts (a batch of any size, worked through in slices; the starts of one anchor on both sides of a slice's end are one run)."""
+    least = least or length
     out, places = [], []
     sizes = np.array([len(t) for t in texts], np.int64)
     group, held = [], 0
@@ -85,15 +103,15 @@ def anchors(texts: list[bytes], length: int) -> np.ndarray:
     def flush():
         nonlocal group, held
         if group:
-            got, place = _anchors(group, length)
+            got, place = _anchors(group, length, least)
             out.append(got)
             places.append(place)
         group, held = [], 0
 
-    for i in np.flatnonzero(sizes >= length):
+    for i in np.flatnonzero(sizes >= least):
         t, n = texts[i], int(sizes[i])
-        for s in range(0, n - length + 1, SLICE):  # starts from s on, with the bytes around that they need
-            e = min(s + SLICE, n - length + 1)
+        for s in range(0, n - least + 1, SLICE):  # starts from s on, with the bytes around that they need
+            e = min(s + SLICE, n - least + 1)
             a, b = max(0, s - GAP), min(n, e + length + GAP)
             group.append((int(i), n, s, e, a, t[a:b]))
             held += b - a
@@ -113,11 +131,9 @@ def anchors(texts: list[bytes], length: int) -> np.ndarray:
     return y
 
 
-def _anchors(group: list, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _anchors(group: list, length: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(anchors, their places in their texts) of slices; a run of starts ends with its slice."""
     buf = np.frombuffer(b"".join(g[5] for g in group), np.uint8)
-    if len(buf) < length:
-        return np.zeros(0, ANCHOR), np.zeros(0, np.int64)
     offset = starts_of(np.array([len(g[5]) for g in group]))
     head = _heads(buf)
     count = np.array([g[3] - g[2] for g in group])
@@ -134,11 +150,11 @@ def _anchors(group: list, length: int) -> tuple[np.ndarray, np.ndarray]:
     of = _ranges(buf)
     left, right = np.maximum(a - GAP + 1, shift), np.minimum(a + length, g[1] + shift)
     got = np.empty(len(at), ANCHOR)
-    end = a + length - GAP + 1
+    end = a + least - GAP + 1
     with np.errstate(over="ignore"):
         got["core"] = of(a, end)
         got["all"] = mix64(of(left, a) * np.uint64(3) + of(end, right) * np.uint64(5) + ((a - left) * 4096 + (right - end)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    got["doc"], got["lo"], got["n"], got["flag"] = g[0], lo - shift, n, ALONE
+    got["doc"], got["lo"], got["off"], got["n"], got["flag"] = g[0], lo - shift, a - lo, n, ALONE
     return got, a - shift
 
 
@@ -181,19 +197,20 @@ def _bytes(batch) -> list[bytes]:
     return [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
 
 
-def duplicate_spans(docs: DataFrame, length: int = 400):
-    """(texts, spans): texts are the distinct texts (key, z: zstandard-compressed bytes); spans (key, packs) pack each repeated run of starts as 128 * first + number."""
-    if length < 2 * GAP + GRAM:
-        raise ValueError(f"length must be at least {2 * GAP + GRAM}")
+def duplicate_spans(docs: DataFrame, length: int = 400, least: int | None = None):
+    """(texts, spans): texts are the distinct texts (key, z: zstandard-compressed bytes); spans (key, packs, starts) hold runs whose cores are found again (negative: their starts are judged one by one) and the single starts found repeated."""
+    least = least or length
+    if not 2 * GAP + GRAM <= least <= length:
+        raise ValueError(f"length must be at least {2 * GAP + GRAM}, and least between it and length")
     spark = docs.sparkSession
-    bounded_batches(spark, rows=2048, mb=8)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounded_batches(spark)
+    parts = buckets_of(docs)
     text = docs.select("text")
 
     def prepare(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            t = [x for x in _bytes(b) if len(x) >= length]
+            t = [x for x in _bytes(b) if len(x) >= least]
             yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in t], pa.binary()), pa.array([squeeze.compress(x) for x in t], pa.binary())], ["key", "z"])
 
     texts = text.mapInArrow(prepare, "key binary, z binary").dropDuplicates(["key"])
@@ -201,7 +218,7 @@ def duplicate_spans(docs: DataFrame, length: int = 400):
     def deal(batches):
         for b in batches:
             t = _bytes(b)
-            x = anchors(t, length)
+            x = anchors(t, length, least)
             if not len(x):
                 continue
             order, same = _groups(x, "core", "all")
@@ -235,11 +252,11 @@ def duplicate_spans(docs: DataFrame, length: int = 400):
         known, open_ = _settle(np.concatenate(blobs))
         both = np.concatenate([known, open_])
         kind = np.concatenate([np.full(len(known), KNOWN), open_["flag"]]).astype(np.int32)
-        pack = both["lo"].astype(np.int64) * 128 + both["n"]
-        return pa.table([pa.array([k.tobytes() for k in keys[both["doc"]]], pa.binary()), pa.array(pack), pa.array(kind)], ["key", "pack", "kind"])
+        packs = pack(both["lo"].astype(np.int64), both["off"].astype(np.int64), both["n"].astype(np.int64))
+        return pa.table([pa.array([k.tobytes() for k in keys[both["doc"]]], pa.binary()), pa.array(packs), pa.array(kind)], ["key", "pack", "kind"])
 
     settled = text.mapInArrow(deal, "bucket long, keys binary, blob binary").groupBy("bucket").applyInArrow(settle, "key binary, pack long, kind int")
-    # One collection for both uses: known runs, and open ones marked by a negative sign (witnesses by an even one).
+    # Known runs, and open ones marked by a negative sign (witnesses by an even number).
     coded = settled.select("key", F.when(F.col("kind") == KNOWN, F.col("pack")).otherwise(-(F.col("pack") * 2 + (F.col("kind") == ALONE).cast("long"))).alias("pack"))
     found = coded.groupBy("key").agg(F.collect_set("pack").alias("packs"))
 
@@ -253,8 +270,10 @@ def duplicate_spans(docs: DataFrame, length: int = 400):
                     if q >= 0:
                         continue
                     t = t if t is not None else expand.decompress(z)
-                    pack, alone = divmod(-q, 2)
-                    lo, n = divmod(pack, 128)
+                    run, alone = divmod(-q, 2)
+                    lo, n = run // (128 * GAP), min(run % 128, len(t) - length + 1 - run // (128 * GAP))
+                    if n <= 0:  # too near the end of the text for a whole string
+                        continue
                     raw.append(t[lo : lo + n - 1 + length])
                     runs.append((lo, n, alone))
                     owner.append(k)
@@ -287,8 +306,7 @@ def duplicate_spans(docs: DataFrame, length: int = 400):
     pieces = texts.join(found.where(F.exists("packs", lambda q: q < 0)), "key").mapInArrow(suffixes, "lead long, d1 long, d2 long, key binary, at long, judge int")
     sorted_ = pieces.repartitionByRange(parts, "lead", "d1").sortWithinPartitions("lead", "d1", "d2")
     starts = sorted_.mapInArrow(compare, "key binary, pack long")
-    spans = coded.where("pack >= 0").unionByName(starts).groupBy("key").agg(F.collect_set("pack").alias("packs"))
-    return texts, spans
+    return texts, found.join(starts.groupBy("key").agg(F.collect_set("pack").alias("starts")), "key", "left")
 
 
 def _suffix_rows(runs, raw, owner, length):
@@ -302,26 +320,36 @@ def _suffix_rows(runs, raw, owner, length):
     for k in range(8):
         lead = (lead << np.uint64(8)) | buf[s + k]
     d1, d2 = (_ranges(buf, k)(s, s + length) for k in (0, 1))
-    table = {"lead": (lead ^ np.uint64(1 << 63)).view(np.int64), "d1": d1.view(np.int64), "d2": d2.view(np.int64)}
-    # judge is 1 for a start to be judged, 0 for a witness whose starts are known to be repeated.
+    at, judge = lo[run] + step, np.where(alone[run] == 1, OPEN, WITNESS)
+    # Equal strings of this batch: one goes on as a witness, the others are settled and only travel to their texts, so their keys are mere noise.
+    order = np.lexsort((d2, d1))
+    new = np.ones(len(s), bool)
+    new[1:] = (d1[order][1:] != d1[order][:-1]) | (d2[order][1:] != d2[order][:-1])
+    many = np.empty(len(s), bool)
+    many[order] = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
+    on, done = order[new], np.flatnonzero(many & (judge == OPEN))
+    noise = mix64(d1[done] + mix64(at[done].astype(np.uint64) * np.uint64(_BASE[1]) + run[done].astype(np.uint64)))
+    take = np.concatenate([on, done])
+    keys = [np.concatenate([v, mix64(noise + np.uint64(k))]) for k, v in enumerate(((lead ^ np.uint64(1 << 63))[on], d1[on], d2[on]))]
+    judge = np.concatenate([np.where(many[on], WITNESS, judge[on]), np.full(len(done), SETTLED)]).astype(np.int32)
     return pa.RecordBatch.from_arrays(
-        [*(pa.array(v) for v in table.values()), pa.array([owner[i] for i in run.tolist()], pa.binary()), pa.array(lo[run] + step), pa.array(alone[run].astype(np.int32))],
+        [*(pa.array(v.view(np.int64)) for v in keys), pa.array([owner[i] for i in run[take].tolist()], pa.binary()), pa.array(at[take]), pa.array(judge)],
         ["lead", "d1", "d2", "key", "at", "judge"],
     )
 
 
 def _starts(rows: pa.Table, dup: np.ndarray):
-    take = np.flatnonzero(dup & (rows.column("judge").to_numpy() == 1))
+    judge = rows.column("judge").to_numpy()
+    take = np.flatnonzero((dup & (judge == OPEN)) | (judge == SETTLED))
     if len(take):
         got = rows.take(pa.array(take)).combine_chunks()
-        pack = got.column("at").to_numpy() * 128 + 1
-        yield pa.RecordBatch.from_arrays([got.column("key").combine_chunks(), pa.array(pack)], ["key", "pack"])
+        yield pa.RecordBatch.from_arrays([got.column("key").combine_chunks(), pa.array(pack(got.column("at").to_numpy(), 0, SINGLE))], ["key", "pack"])
 
 
-def covered(packs, length: int, size: int) -> list[tuple[int, int]]:
-    """Maximal runs [start, end) of bytes that the packed runs of starts cover."""
-    q = np.sort(np.asarray(packs, np.int64))
-    s, e = q // 128, np.minimum(q // 128 + q % 128 - 1 + length, size)
+def merged(s: np.ndarray, e: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs [start, end) of the intervals (s, e)."""
+    if not len(s):
+        return []
     order = np.argsort(s, kind="stable")
     s, e = s[order], np.maximum.accumulate(e[order])
     new = np.ones(len(s), bool)
@@ -330,9 +358,24 @@ def covered(packs, length: int, size: int) -> list[tuple[int, int]]:
     return list(zip(s[at].tolist(), e[np.append(at[1:], len(s)) - 1].tolist(), strict=True))
 
 
-def dedup(docs: DataFrame, length: int = 400, texts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document; with ``texts`` also spans (start, end in bytes) and kept (bytes)."""
-    distinct, spans = duplicate_spans(docs, length)
+def covered(packs, length: int, size: int) -> list[tuple[int, int]]:
+    """Maximal runs [start, end) of bytes that the packed runs of starts cover; starts too near the end for a whole string cover none."""
+    s, _, n = unpack(packs)
+    n = np.minimum(np.where(n == SINGLE, 1, n), size - length + 1 - s)
+    return merged(s[n > 0], (s + n - 1 + length)[n > 0])
+
+
+def shared(packs, least: int) -> int:
+    """Bytes of the cores of packed runs (negative: open ones)."""
+    q = np.asarray(packs, np.int64)
+    _, a, _ = unpack(np.where(q < 0, -q // 2, q))
+    return sum(e - s for s, e in merged(a, a + least - GAP + 1))
+
+
+def dedup(docs: DataFrame, length: int = 400, texts: bool = False, least: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_shared (bytes of cores found again) for every document; with ``texts`` also spans (start, end in bytes) and kept (bytes)."""
+    least = least or length
+    distinct, spans = duplicate_spans(docs, length, least)
 
     def slim(batches):
         for b in batches:
@@ -343,22 +386,22 @@ def dedup(docs: DataFrame, length: int = 400, texts: bool = False) -> DataFrame:
 
     def remove(batches):
         expand = zstandard.ZstdDecompressor()
-        schema = pa.schema([("key", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha", pa.string())] + ([("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())] if texts else []))
+        schema = pa.schema([("key", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha", pa.string()), ("n_shared", pa.int64())] + ([("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())] if texts else []))
         for b in batches:
             rows = []
-            for k, z, packs in zip(b.column("key").to_pylist(), b.column("z").to_pylist(), b.column("packs").to_pylist(), strict=True):
+            for k, z, packs, starts in zip(*(b.column(c).to_pylist() for c in ("key", "z", "packs", "starts")), strict=True):
                 t = expand.decompress(z)
-                runs = covered(packs, length, len(t))
+                runs = covered([*(q for q in packs if q >= 0), *(starts or ())], length, len(t))
                 ends = [0, *(x for r in runs for x in r), len(t)]
                 kept = b"".join(t[a:e] for a, e in zip(ends[::2], ends[1::2], strict=True))
-                rows.append({"key": k, "n_removed": len(t) - len(kept), "n_spans": len(runs), "kept_sha": hashlib.sha256(kept).hexdigest()} | ({"spans": [list(r) for r in runs], "kept": kept} if texts else {}))
+                rows.append({"key": k, "n_removed": len(t) - len(kept), "n_spans": len(runs), "kept_sha": hashlib.sha256(kept).hexdigest(), "n_shared": shared(packs, least)} | ({"spans": [list(r) for r in runs], "kept": kept} if texts else {}))
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     more = ", spans array<array<long>>, kept binary" if texts else ""
-    cut_out = distinct.join(spans, "key").mapInArrow(remove, "key binary, n_removed long, n_spans long, kept_sha string" + more)
+    cut_out = distinct.join(spans, "key").mapInArrow(remove, "key binary, n_removed long, n_spans long, kept_sha string, n_shared long" + more)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(slim, "doc_id long, key binary, n_bytes long, sha string" + (", raw binary" if texts else ""))
     zero = F.lit(0).cast("long")
     return base.join(cut_out, "key", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha", "sha").alias("kept_sha256"),
+        "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha", "sha").alias("kept_sha256"), F.coalesce("n_shared", zero).alias("n_shared"),
         *([F.coalesce("spans", F.array().cast("array<array<bigint>>")).alias("spans"), F.coalesce("kept", "raw").alias("kept")] if texts else []),
     )
