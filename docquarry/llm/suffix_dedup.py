@@ -28,16 +28,17 @@ GAP, GRAM = 64, 16
 SLICE = 2 << 20
 _TABLE = np.random.default_rng(20).integers(1, 2**63, (2, 256)).astype(np.uint64)
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-ANCHOR = np.dtype([("core", "<u8"), ("all", "<u8"), ("doc", "<u4"), ("lo", "<u4"), ("off", "u1"), ("n", "u1"), ("flag", "u1")])
-#: Flags: an anchor on its own; one that stands for several in its batch; one known to be repeated.
-ALONE, MANY, KNOWN = 0, 1, 2
-#: A run of starts as one number: first start, place of its anchor after it, number of starts (SINGLE: one start, whose anchor is not told).
-SINGLE = 127
-#: judge of a suffix: a witness whose starts are settled elsewhere, a start to be judged, a start settled within its batch.
+ANCHOR = np.dtype([("core", "<u8"), ("all", "<u8"), ("long", "<u4"), ("doc", "<u4"), ("lo", "<u4"), ("off", "u1"), ("n", "u1"), ("flag", "u1")])
+#: Bytes of a text's key.
+KEY = 12
+#: Flags: an anchor on its own; one that stands for several in its batch; one known to be repeated; one whose core is repeated, but no string of ``length`` bytes around it.
+ALONE, MANY, KNOWN, SHARED = 0, 1, 2, 3
+#: judge of a suffix: a witness whose starts are settled elsewhere, a start to be judged, starts settled within their batch (plus 4 times their number).
 WITNESS, OPEN, SETTLED = 0, 1, 2
 
 
 def pack(lo, off, n):
+    """A run of starts as one number: first start, place of its anchor after it, number of starts (at most GAP)."""
     return (lo * GAP + off) * 128 + n
 
 
@@ -153,6 +154,7 @@ def _anchors(group: list, length: int, least: int) -> tuple[np.ndarray, np.ndarr
     end = a + least - GAP + 1
     with np.errstate(over="ignore"):
         got["core"] = of(a, end)
+        got["long"] = of(a, np.minimum(a + length - GAP + 1, right)) >> np.uint64(32)
         got["all"] = mix64(of(left, a) * np.uint64(3) + of(end, right) * np.uint64(5) + ((a - left) * 4096 + (right - end)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     got["doc"], got["lo"], got["off"], got["n"], got["flag"] = g[0], lo - shift, a - lo, n, ALONE
     return got, a - shift
@@ -167,30 +169,32 @@ def _groups(x: np.ndarray, *names: str) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new) - 1
 
 
-def _settle(x: np.ndarray):
-    """(known, open): anchors all of whose strings are repeated, and anchors whose starts must be compared one by one (with witnesses of known groups)."""
-    known = x["flag"] == KNOWN
-    rest = np.flatnonzero(~known)
-    y = x[rest]
+def _settle(x: np.ndarray) -> np.ndarray:
+    """Of the anchors of a bucket those whose core is repeated, with new flags: all their strings are repeated (KNOWN), none of ``length`` bytes is (SHARED), or their starts must be compared one by one (ALONE, or MANY for a witness of a known group)."""
+    known = x[x["flag"] == KNOWN]
+    y = x[x["flag"] != KNOWN]
     if not len(y):
-        return x[known], x[:0]
-    order, same = _groups(y, "core", "all")
+        return known
+    order, same = _groups(y, "core", "long", "all")
     size = np.bincount(same, weights=1 + (y["flag"][order] == MANY))
     lead = np.ones(len(y), bool)
     lead[1:] = same[1:] != same[:-1]
     heads = order[lead]  # one anchor of each group of equal surroundings
-    core = y["core"][heads]
-    new = np.ones(len(heads), bool)
-    new[1:] = core[1:] != core[:-1]
-    which = np.cumsum(new) - 1
-    various = np.bincount(which)[which] > 1
-    open_ = y[heads[various]]
-    open_["flag"] = np.where(size[various] > 1, MANY, ALONE)
-    return np.concatenate([x[known], y[order[size[same] > 1]]]), open_
+    met = []
+    for names in (("core",), ("core", "long")):  # whether another group has the same
+        new = np.ones(len(heads), bool)
+        new[1:] = np.any([y[c][heads][1:] != y[c][heads][:-1] for c in names], axis=0)
+        which = np.cumsum(new) - 1
+        met.append(np.bincount(which)[which] > 1)
+    settled = y[order[size[same] > 1]]
+    settled["flag"] = KNOWN
+    open_ = y[heads]
+    open_["flag"] = np.where(size > 1, MANY, np.where(met[1], ALONE, SHARED))
+    return np.concatenate([known, settled, open_[met[1] | (met[0] & (size == 1))]])
 
 
 def _key(text: bytes) -> bytes:
-    return hashlib.sha256(text).digest()[:16]
+    return hashlib.sha256(text).digest()[:KEY]
 
 
 def _bytes(batch) -> list[bytes]:
@@ -198,7 +202,7 @@ def _bytes(batch) -> list[bytes]:
 
 
 def duplicate_spans(docs: DataFrame, length: int = 400, least: int | None = None):
-    """(texts, spans): texts are the distinct texts (key, z: zstandard-compressed bytes); spans (key, packs, starts) hold runs whose cores are found again (negative: their starts are judged one by one) and the single starts found repeated."""
+    """(texts, spans): texts are the distinct texts (key, z: zstandard-compressed bytes); spans (key, packs, starts) hold runs whose cores are found again (4 times the packed run, plus its flag) and the runs of starts found repeated."""
     least = least or length
     if not 2 * GAP + GRAM <= least <= length:
         raise ValueError(f"length must be at least {2 * GAP + GRAM}, and least between it and length")
@@ -221,7 +225,7 @@ def duplicate_spans(docs: DataFrame, length: int = 400, least: int | None = None
             x = anchors(t, length, least)
             if not len(x):
                 continue
-            order, same = _groups(x, "core", "all")
+            order, same = _groups(x, "core", "long", "all")
             size = np.bincount(same)[same]
             lead = np.ones(len(x), bool)
             lead[1:] = same[1:] != same[:-1]
@@ -245,20 +249,16 @@ def duplicate_spans(docs: DataFrame, length: int = 400, least: int | None = None
         for k, b in zip(table.column("keys").to_pylist(), table.column("blob").to_pylist(), strict=True):
             own = np.frombuffer(b, ANCHOR).copy()
             own["doc"] += at
-            at += len(k) // 16
-            keys.append(np.frombuffer(k, np.dtype((np.void, 16))))
+            at += len(k) // KEY
+            keys.append(np.frombuffer(k, np.dtype((np.void, KEY))))
             blobs.append(own)
         keys = np.concatenate(keys)
-        known, open_ = _settle(np.concatenate(blobs))
-        both = np.concatenate([known, open_])
-        kind = np.concatenate([np.full(len(known), KNOWN), open_["flag"]]).astype(np.int32)
-        packs = pack(both["lo"].astype(np.int64), both["off"].astype(np.int64), both["n"].astype(np.int64))
-        return pa.table([pa.array([k.tobytes() for k in keys[both["doc"]]], pa.binary()), pa.array(packs), pa.array(kind)], ["key", "pack", "kind"])
+        x = _settle(np.concatenate(blobs))
+        coded = pack(x["lo"].astype(np.int64), x["off"].astype(np.int64), x["n"].astype(np.int64)) * 4 + x["flag"]
+        return pa.table([pa.array([k.tobytes() for k in keys[x["doc"]]], pa.binary()), pa.array(coded)], ["key", "coded"])
 
-    settled = text.mapInArrow(deal, "bucket long, keys binary, blob binary").groupBy("bucket").applyInArrow(settle, "key binary, pack long, kind int")
-    # Known runs, and open ones marked by a negative sign (witnesses by an even number).
-    coded = settled.select("key", F.when(F.col("kind") == KNOWN, F.col("pack")).otherwise(-(F.col("pack") * 2 + (F.col("kind") == ALONE).cast("long"))).alias("pack"))
-    found = coded.groupBy("key").agg(F.collect_set("pack").alias("packs"))
+    settled = text.mapInArrow(deal, "bucket long, keys binary, blob binary").groupBy("bucket").applyInArrow(settle, "key binary, coded long")
+    found = settled.groupBy("key").agg(F.collect_set("coded").alias("packs"))
 
     def suffixes(batches):
         expand = zstandard.ZstdDecompressor()
@@ -267,15 +267,15 @@ def duplicate_spans(docs: DataFrame, length: int = 400, least: int | None = None
             for k, z, packs in zip(b.column("key").to_pylist(), b.column("z").to_pylist(), b.column("packs").to_pylist(), strict=True):
                 t = None
                 for q in packs:
-                    if q >= 0:
+                    if q & 3 not in (ALONE, MANY):
                         continue
                     t = t if t is not None else expand.decompress(z)
-                    run, alone = divmod(-q, 2)
+                    run = q >> 2
                     lo, n = run // (128 * GAP), min(run % 128, len(t) - length + 1 - run // (128 * GAP))
                     if n <= 0:  # too near the end of the text for a whole string
                         continue
                     raw.append(t[lo : lo + n - 1 + length])
-                    runs.append((lo, n, alone))
+                    runs.append((lo, n, q & 3 == ALONE))
                     owner.append(k)
                 if len(raw) > 4000:
                     yield _suffix_rows(runs, raw, owner, length)
@@ -303,7 +303,7 @@ def duplicate_spans(docs: DataFrame, length: int = 400, least: int | None = None
         if last is not None:
             yield from _starts(last[0], np.array([last[1]]))
 
-    pieces = texts.join(found.where(F.exists("packs", lambda q: q < 0)), "key").mapInArrow(suffixes, "lead long, d1 long, d2 long, key binary, at long, judge int")
+    pieces = texts.join(found.where(F.exists("packs", lambda q: q.bitwiseAND(F.lit(3).cast("long")) < KNOWN)), "key").mapInArrow(suffixes, "lead long, d1 long, d2 long, key binary, at long, judge int")
     sorted_ = pieces.repartitionByRange(parts, "lead", "d1").sortWithinPartitions("lead", "d1", "d2")
     starts = sorted_.mapInArrow(compare, "key binary, pack long")
     return texts, found.join(starts.groupBy("key").agg(F.collect_set("pack").alias("starts")), "key", "left")
@@ -321,17 +321,20 @@ def _suffix_rows(runs, raw, owner, length):
         lead = (lead << np.uint64(8)) | buf[s + k]
     d1, d2 = (_ranges(buf, k)(s, s + length) for k in (0, 1))
     at, judge = lo[run] + step, np.where(alone[run] == 1, OPEN, WITNESS)
-    # Equal strings of this batch: one goes on as a witness, the others are settled and only travel to their texts, so their keys are mere noise.
+    # Equal strings of this batch: one goes on as a witness. The starts are settled and only travel to their texts, as runs, so their keys are mere noise.
     order = np.lexsort((d2, d1))
     new = np.ones(len(s), bool)
     new[1:] = (d1[order][1:] != d1[order][:-1]) | (d2[order][1:] != d2[order][:-1])
     many = np.empty(len(s), bool)
     many[order] = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
     on, done = order[new], np.flatnonzero(many & (judge == OPEN))
-    noise = mix64(d1[done] + mix64(at[done].astype(np.uint64) * np.uint64(_BASE[1]) + run[done].astype(np.uint64)))
-    take = np.concatenate([on, done])
+    cut = np.ones(len(done), bool)
+    cut[1:] = (np.diff(done) != 1) | (np.diff(run[done]) != 0)
+    first, number = done[cut], np.diff(np.append(np.flatnonzero(cut), len(done)))
+    noise = mix64(d1[first] + mix64(at[first].astype(np.uint64) * np.uint64(_BASE[1]) + run[first].astype(np.uint64)))
+    take = np.concatenate([on, first])
     keys = [np.concatenate([v, mix64(noise + np.uint64(k))]) for k, v in enumerate(((lead ^ np.uint64(1 << 63))[on], d1[on], d2[on]))]
-    judge = np.concatenate([np.where(many[on], WITNESS, judge[on]), np.full(len(done), SETTLED)]).astype(np.int32)
+    judge = np.concatenate([np.where(many[on], WITNESS, judge[on]), SETTLED + 4 * number]).astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [*(pa.array(v.view(np.int64)) for v in keys), pa.array([owner[i] for i in run[take].tolist()], pa.binary()), pa.array(at[take]), pa.array(judge)],
         ["lead", "d1", "d2", "key", "at", "judge"],
@@ -340,10 +343,10 @@ def _suffix_rows(runs, raw, owner, length):
 
 def _starts(rows: pa.Table, dup: np.ndarray):
     judge = rows.column("judge").to_numpy()
-    take = np.flatnonzero((dup & (judge == OPEN)) | (judge == SETTLED))
+    take = np.flatnonzero((dup & (judge == OPEN)) | (judge % 4 == SETTLED))
     if len(take):
         got = rows.take(pa.array(take)).combine_chunks()
-        yield pa.RecordBatch.from_arrays([got.column("key").combine_chunks(), pa.array(pack(got.column("at").to_numpy(), 0, SINGLE))], ["key", "pack"])
+        yield pa.RecordBatch.from_arrays([got.column("key").combine_chunks(), pa.array(pack(got.column("at").to_numpy(), 0, np.maximum(judge[take] // 4, 1)))], ["key", "pack"])
 
 
 def merged(s: np.ndarray, e: np.ndarray) -> list[tuple[int, int]]:
@@ -361,14 +364,13 @@ def merged(s: np.ndarray, e: np.ndarray) -> list[tuple[int, int]]:
 def covered(packs, length: int, size: int) -> list[tuple[int, int]]:
     """Maximal runs [start, end) of bytes that the packed runs of starts cover; starts too near the end for a whole string cover none."""
     s, _, n = unpack(packs)
-    n = np.minimum(np.where(n == SINGLE, 1, n), size - length + 1 - s)
+    n = np.minimum(n, size - length + 1 - s)
     return merged(s[n > 0], (s + n - 1 + length)[n > 0])
 
 
 def shared(packs, least: int) -> int:
-    """Bytes of the cores of packed runs (negative: open ones)."""
-    q = np.asarray(packs, np.int64)
-    _, a, _ = unpack(np.where(q < 0, -q // 2, q))
+    """Bytes of the cores of packed runs."""
+    _, a, _ = unpack(packs)
     return sum(e - s for s, e in merged(a, a + least - GAP + 1))
 
 
@@ -381,7 +383,7 @@ def dedup(docs: DataFrame, length: int = 400, texts: bool = False, least: int |
         for b in batches:
             t = _bytes(b)
             shas = [hashlib.sha256(x).digest() for x in t]
-            cols = [b.column("doc_id"), pa.array([x[:16] for x in shas], pa.binary()), pa.array([len(x) for x in t], pa.int64()), pa.array([x.hex() for x in shas])]
+            cols = [b.column("doc_id"), pa.array([x[:KEY] for x in shas], pa.binary()), pa.array([len(x) for x in t], pa.int64()), pa.array([x.hex() for x in shas])]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(t, pa.binary())] if texts else []), ["doc_id", "key", "n_bytes", "sha", *(["raw"] if texts else [])])
 
     def remove(batches):
@@ -391,10 +393,10 @@ def dedup(docs: DataFrame, length: int = 400, texts: bool = False, least: int |
             rows = []
             for k, z, packs, starts in zip(*(b.column(c).to_pylist() for c in ("key", "z", "packs", "starts")), strict=True):
                 t = expand.decompress(z)
-                runs = covered([*(q for q in packs if q >= 0), *(starts or ())], length, len(t))
+                runs = covered([*(q >> 2 for q in packs if q & 3 == KNOWN), *(starts or ())], length, len(t))
                 ends = [0, *(x for r in runs for x in r), len(t)]
                 kept = b"".join(t[a:e] for a, e in zip(ends[::2], ends[1::2], strict=True))
-                rows.append({"key": k, "n_removed": len(t) - len(kept), "n_spans": len(runs), "kept_sha": hashlib.sha256(kept).hexdigest(), "n_shared": shared(packs, least)} | ({"spans": [list(r) for r in runs], "kept": kept} if texts else {}))
+                rows.append({"key": k, "n_removed": len(t) - len(kept), "n_spans": len(runs), "kept_sha": hashlib.sha256(kept).hexdigest(), "n_shared": shared([q >> 2 for q in packs], least)} | ({"spans": [list(r) for r in runs], "kept": kept} if texts else {}))
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     more = ", spans array<array<long>>, kept binary" if texts else ""
