@@ -6,7 +6,7 @@ A text's words give a multiset of shingles (five words; a text of fewer words is
 2. Each link is verified by the exact overlap of the multisets, min over max. Links of at least the threshold give classes (connected components).
 3. Nodes of one band have one leader, so pairs of non-leaders that no class joins yet are found among the nodes around a leader. These are dealt into pages of about PAGE texts by their distance to it; as 1 - J is a metric, only pages whose distances differ by at most 1 - threshold can hold a pair. Pages of nodes outside the leader's class meet all such pages, and the exact overlaps of a whole page with another come from one product of incidence matrices. Within a class no further link can change the result. With 32 bands of 4 registers, a pair at the threshold 0.8 shares no band with probability 5e-8.
 
-A null text counts as empty. Texts without words are never near duplicates; each is a class of its own (class_id is its doc_id). Rows that repeat share a class. class_id is the least doc_id of the class. Extra columns are ignored by ``classes`` and passed through by ``keep_one``. Candidates use 64-bit node numbers; equality of texts is by 128 bits.
+A null text counts as empty. Texts without words are never near duplicates; each is a class of its own (class_id is its doc_id). Rows that repeat share a class. class_id is the least doc_id of the class. Extra columns are ignored by ``classes`` and passed through by ``keep_one``. Texts are known by a 128-bit digest of their words; shingles by 64 bits.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import WORD, bounded_batches, cut, fresh, mix64, shards, starts_of, texts_of, word_hashes, words_of
+from ._common import bounded_batches, cut, fresh, mix64, shards, starts_of, texts_of, word_hashes, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 REGISTERS, ROWS = 128, 4
@@ -102,12 +102,10 @@ def similarity(a, b) -> float:
     return float(least / total) if total else 0.0
 
 
-def _digest(words: list[str]) -> bytes:
-    return xxhash.xxh3_128_digest(" ".join(words))
-
-
-def _node(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "big", signed=True)
+def _digest(text: str) -> tuple[bytes | None, int]:
+    """Digest of a text's words (None without words), and their number."""
+    words = text.encode("utf-8", "surrogatepass").split()  # bytes part at ASCII white space, as WORD does
+    return xxhash.xxh3_128_digest(b" ".join(words)) if words else None, len(words)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -125,7 +123,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _pack(t: pa.Table) -> pa.Table:
-    blob = pickle.dumps([t.column(c).to_pylist() for c in ("node", "root", "dig", "z")])
+    blob = pickle.dumps([t.column(c).to_pylist() for c in ("node", "root", "z")])
     return pa.table([t.column(c).slice(0, 1) for c in ("lead", "home", "cell", "page")] + [pa.array([blob], pa.binary())], ["lead", "home", "cell", "page", "blob"])
 
 
@@ -142,7 +140,7 @@ def _elements(zs: list[bytes], size: int):
 
 def _links(one: list, two: list, threshold: float, size: int) -> list[dict]:
     """Links of at least the threshold between nodes of two pages that lie in different classes, one for each node and class."""
-    (e1, o1, n1), (e2, o2, n2) = _elements(one[3], size), _elements(two[3], size)
+    (e1, o1, n1), (e2, o2, n2) = _elements(one[2], size), _elements(two[2], size)
     both = np.intersect1d(e1, e2)
     inter = np.zeros((len(n1), len(n2)), np.float32)
     for s in range(0, len(both), 4096):
@@ -156,59 +154,50 @@ def _links(one: list, two: list, threshold: float, size: int) -> list[dict]:
             m.append(x)
         inter += m[0] @ m[1].T
     j = inter / (n1[:, None] + n2[None, :] - inter)
-    r1, r2 = np.array(one[1]), np.array(two[1])
+    r1, r2 = (np.array(x[1], dtype=object) for x in (one, two))
     out, seen = [], set()
     for i, k in zip(*np.nonzero((j >= threshold - 1e-6) & (r1[:, None] != r2[None, :])), strict=True):
         exact = float(inter[i, k]) / float(n1[i] + n2[k] - inter[i, k])
         if exact >= threshold and (i, r2[k]) not in seen:
             seen.add((i, r2[k]))
-            out.append({"a": one[0][i], "b": two[0][k], "da": one[2][i], "db": two[2][k], "j": exact})
+            out.append({"a": one[0][i], "b": two[0][k], "j": exact})
     return out
 
 
 def _classes(docs: DataFrame, threshold: float, size: int) -> DataFrame:
-    """doc_id, class_id, n_words, dig and stands (the row is its class's first) for every document."""
+    """doc_id, class_id, n_words, n_links, dig and stands (the row is its class's first) for every document."""
     spark = docs.sparkSession
     bounded_batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def name(batches):
         for b in batches:
-            words = [WORD.findall(t) for t in texts_of(b.column("text"))]
-            d = [_digest(w) if w else None for w in words]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([_node(x) if x else None for x in d], pa.int64()), pa.array(d, pa.binary()), pa.array([len(w) for w in words], pa.int64())], ["doc_id", "node", "dig", "n_words"])
-
-    def distinct(texts):
-        """Texts with words, one of each digest: (digest, text)."""
-        found = {}
-        for t in texts:
-            if w := WORD.findall(t):
-                found.setdefault(_digest(w), t)
-        return list(found.items())
-
-    def sign(batches):
-        for b in batches:
-            own = distinct(texts_of(b.column("text")))
-            for s, e in shards([t for _, t in own], 1 << 20):
-                h = bands(signatures(shingles([t for _, t in own[s:e]], size)))
-                flat = pa.array(h.view(np.int64).reshape(-1))
-                cuts = pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array([_node(d) for d, _ in own[s:e]], pa.int64()), pa.ListArray.from_arrays(cuts, flat)], ["node", "bands"])
+            d = [_digest(t) for t in texts_of(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x for x, _ in d], pa.binary()), pa.array([n for _, n in d], pa.int64())], ["doc_id", "dig", "n_words"])
 
-    def pack(batches):
+    def prepare(batches):
+        """Of the texts with words, one of each digest: its bands, and the text compressed."""
         squeeze = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            own = distinct(texts_of(b.column("text")))
-            yield pa.RecordBatch.from_arrays([pa.array([_node(d) for d, _ in own], pa.int64()), pa.array([d for d, _ in own], pa.binary()), pa.array([squeeze.compress(t.encode()) for _, t in own], pa.binary())], ["node", "dig", "z"])
+            found = {}
+            for t in texts_of(b.column("text")):
+                d, n = _digest(t)
+                if n:
+                    found.setdefault(d, t)
+            own = list(found.items())
+            for s, e in shards([t for _, t in own], 1 << 20):
+                h = bands(signatures(shingles([t for _, t in own[s:e]], size)))
+                cuts = pa.array(np.arange(0, h.size + 1, BANDS, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in own[s:e]], pa.binary()), pa.ListArray.from_arrays(cuts, pa.array(h.view(np.int64).reshape(-1))), pa.array([squeeze.compress(t.encode()) for _, t in own[s:e]], pa.binary())], ["node", "bands", "z"])
 
-    signed = base.select("text").mapInArrow(sign, "node long, bands array<long>").groupBy("node").agg(F.first("bands").alias("bands"))
-    members = cut(signed.select("node", F.explode("bands").alias("band")))
-    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    # Everything below starts from this table: the texts are read and split into words once. The tables that are cut are so that joins on their keys, which may be hot, can be split.
+    texts = cut(base.select("text").mapInArrow(prepare, "node binary, bands array<long>, z binary").groupBy("node").agg(F.first(F.struct("bands", "z")).alias("t")).select("node", "t.bands", "t.z"))
+    members = texts.select("node", F.explode("bands").alias("band"))
+    shared = cut(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     grouped = cut(members.join(shared, "band"))
     popular = grouped.groupBy("node").agg(F.sum("n").alias("popular"))
-    leaders = grouped.select("band", "node").join(popular, "node").groupBy("band").agg(F.max(F.struct("popular", "node")).alias("top")).select("band", F.col("top.node").alias("lead"))
+    leaders = cut(grouped.select("band", "node").join(popular, "node").groupBy("band").agg(F.max(F.struct("popular", "node")).alias("top")).select("band", F.col("top.node").alias("lead")))
     stars = cut(grouped.select("band", "node").join(leaders, "band").where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
-    texts = base.select("text").mapInArrow(pack, "node long, dig binary, z binary").groupBy("node").agg(F.first(F.struct("dig", "z")).alias("t"))
 
     def verify(batches):
         expand = zstandard.ZstdDecompressor()
@@ -224,26 +213,22 @@ def _classes(docs: DataFrame, threshold: float, size: int) -> DataFrame:
                 cache |= zip(need, shingles([expand.decompress(z).decode() for z in need], size), strict=True)
                 j = [similarity(cache[p], cache[q]) for p, q in zip(za[s : s + 256], zb[s : s + 256], strict=True)]
                 part = b.slice(s, 256)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "b", "da", "db")), pa.array(j)], ["a", "b", "da", "db", "j"])
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(j)], ["a", "b", "j"])
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        one = texts.select(F.col("node").alias("a"), F.col("t.dig").alias("da"), F.col("t.z").alias("za"))
-        two = texts.select(F.col("node").alias("b"), F.col("t.dig").alias("db"), F.col("t.z").alias("zb"))
-        return cut(pairs.join(one, "a").join(two, "b").mapInArrow(verify, "a long, b long, da binary, db binary, j double"))
-
-    links = verified(stars)
+    one, two = (texts.select(F.col("node").alias(c), F.col("z").alias("z" + c)) for c in "ab")
+    links = cut(stars.join(one, "a").join(two, "b").mapInArrow(verify, "a binary, b binary, j double"))
     same = links.where(F.col("j") >= threshold)
     found = components(same)
     # Nodes around one leader that ended in different classes: pages of them, by distance to the leader, are compared whole.
     root = lambda t, c: t.join(found.select(F.col("node").alias(c), F.col("root").alias(c + "_root")), c, "left").withColumn(c + "_root", F.coalesce(c + "_root", c))
     slack = 1 - threshold + 1e-9
-    around = root(root(links.select("a", "b", F.floor((1 - F.col("j")) / slack).alias("cell")), "a"), "b").select(F.col("b").alias("lead"), F.col("a").alias("node"), F.col("a_root").alias("root"), (F.col("a_root") == F.col("b_root")).alias("home"), "cell")
-    strays = around.groupBy("lead").agg(F.count("*").alias("n"), F.sum((~F.col("home")).cast("int")).alias("out")).where("n > 1 and out > 0").select("lead")
-    around = cut(around.join(strays, "lead"))
-    pages = around.groupBy("lead", "home", "cell").agg(F.ceil(F.count("*") / PAGE).cast("int").alias("pages"))
+    around = cut(root(root(links.select("a", "b", F.floor((1 - F.col("j")) / slack).alias("cell")), "a"), "b").select(F.col("b").alias("lead"), F.col("a").alias("node"), F.col("a_root").alias("root"), (F.col("a_root") == F.col("b_root")).alias("home"), "cell"))
+    strays = cut(around.groupBy("lead").agg(F.count("*").alias("n"), F.sum((~F.col("home")).cast("int")).alias("out")).where("n > 1 and out > 0").select("lead"))
+    around = around.join(strays, "lead")
+    pages = cut(around.groupBy("lead", "home", "cell").agg(F.ceil(F.count("*") / PAGE).cast("int").alias("pages")))
     dealt = around.join(pages, ["lead", "home", "cell"]).withColumn("page", F.pmod(F.xxhash64("node"), F.col("pages")).cast("int"))
-    schema = "lead long, home boolean, cell long, page int, blob binary"
-    packed = cut(dealt.join(texts, "node").select("lead", "home", "cell", "page", "node", "root", F.col("t.dig").alias("dig"), F.col("t.z").alias("z")).groupBy("lead", "home", "cell", "page").applyInArrow(_pack, schema))
+    schema = "lead binary, home boolean, cell long, page int, blob binary"
+    packed = cut(dealt.join(texts, "node").select("lead", "home", "cell", "page", "node", "root", "z").groupBy("lead", "home", "cell", "page").applyInArrow(_pack, schema))
     one = packed.where(~F.col("home")).select("lead", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"), F.struct("cell", "page").alias("pa"), F.col("blob").alias("one"))
     two = packed.select("lead", "cell", "home", F.struct("cell", "page").alias("pb"), F.col("blob").alias("two"))
     meet = one.join(two, ["lead", "cell"]).where(F.col("home") | (F.col("pa") <= F.col("pb"))).repartition("lead", "pa", "pb", "home")
@@ -251,36 +236,46 @@ def _classes(docs: DataFrame, threshold: float, size: int) -> DataFrame:
     def compare(batches):
         for b in batches:
             for x, y in zip(b.column("one").to_pylist(), b.column("two").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_pylist(_links(pickle.loads(x), pickle.loads(y), threshold, size), schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("da", pa.binary()), ("db", pa.binary()), ("j", pa.float64())]))
+                yield pa.RecordBatch.from_pylist(_links(pickle.loads(x), pickle.loads(y), threshold, size), schema=pa.schema([("a", pa.binary()), ("b", pa.binary()), ("j", pa.float64())]))
 
-    late = cut(meet.select("one", "two").mapInArrow(compare, "a long, b long, da binary, db binary, j double"))
+    late = cut(meet.select("one", "two").mapInArrow(compare, "a binary, b binary, j double"))
     if not late.isEmpty():
         same = same.unionByName(late)
         found = components(same)
-    digs = same.select(F.col("a").alias("node"), F.col("da").alias("dig")).unionByName(same.select(F.col("b").alias("node"), F.col("db").alias("dig"))).groupBy("node").agg(F.first("dig").alias("dig"))
-    roots = found.join(digs, "node").join(digs.select(F.col("node").alias("root"), F.col("dig").alias("root_dig")), "root").select("dig", "root_dig")
-    named = base.mapInArrow(name, "doc_id long, node long, dig binary, n_words long").drop("node")
-    keyed = named.join(roots, "dig", "left").withColumn("class", F.coalesce("root_dig", "dig"))
+    pairs = same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    counts = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    roots = cut(found.join(counts, "node").select(F.col("node").alias("dig"), "root", "n_links"))
+    named = base.mapInArrow(name, "doc_id long, dig binary, n_words long")
+    keyed = named.join(roots, "dig", "left").withColumn("class", F.coalesce("root", "dig"))
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("dig").alias("d"))
-    least = cut(keyed.where("class is not null").groupBy("class").agg(F.min(rank).alias("first")))  # cut, so that the join below can split a class with many rows
+    least = cut(keyed.where("class is not null").groupBy("class").agg(F.min(rank).alias("first")))
     got = keyed.join(least, "class", "left")
-    return got.select("doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("first.i")).alias("class_id"), "n_words", "dig", (F.col("class").isNull() | (F.col("first") == rank)).alias("stands"))
+    class_id = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("first.i"))
+    return got.select("doc_id", class_id.alias("class_id"), "n_words", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "dig", (F.col("class").isNull() | (F.col("first") == rank)).alias("stands"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """doc_id, class_id, n_words for every document."""
-    return _classes(docs, threshold, size).select("doc_id", "class_id", "n_words")
+    """doc_id, class_id, n_words, n_links for every document; n_links counts the other texts that its text was found similar to on the way to its class (not all there are in it)."""
+    return _classes(docs, threshold, size).select("doc_id", "class_id", "n_words", "n_links")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """The rows of docs, columns unchanged, that stand for their class: its least doc_id (rows without one come last), and of several texts of that id the least digest. Rows that repeat both doc_id and words stay together; texts without words stay."""
-    i, d, dig = fresh(docs.columns, "gone_id", "gone_dig", "dig")
-    gone = _classes(docs, threshold, size).where(~F.col("stands")).select(F.col("doc_id").alias(i), F.col("dig").alias(d)).distinct()
+    """One row of docs for each class, columns unchanged: its least doc_id (rows without one come last), and of several texts of that id the least digest; of rows that repeat both, one. Texts without words stay, all of them."""
+    i, d, dig, twice = fresh(docs.columns, "mark_id", "mark_dig", "dig", "twice")
+    held = _classes(docs, threshold, size).where("dig is not null").groupBy("doc_id", "dig").agg(F.first("stands").alias("stands"), F.count("*").alias("n"))
+    # Texts to drop, and texts that stand but have several rows.
+    marks = cut(held.where("not stands or n > 1").select(F.col("doc_id").alias(i), F.col("dig").alias(d), F.col("stands").alias(twice)))
 
     def name(batches):
         for b in batches:
-            words = [WORD.findall(t) for t in texts_of(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_digest(w) if w else None for w in words], pa.binary())], [*b.schema.names, dig])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_digest(t)[0] for t in texts_of(b.column("text"))], pa.binary())], [*b.schema.names, dig])
+
+    def met(how: str, which: DataFrame) -> DataFrame:
+        named = docs.mapInArrow(name, T.StructType([*docs.schema.fields, T.StructField(dig, T.BinaryType())]))
+        return named.join(which, named["doc_id"].cast("long").eqNullSafe(which[i]) & (named[dig] == which[d]), how)
 
-    named = docs.mapInArrow(name, T.StructType([*docs.schema.fields, T.StructField(dig, T.BinaryType())]))
-    return named.join(gone, named["doc_id"].cast("long").eqNullSafe(gone[i]) & (named[dig] == gone[d]), "left_anti").select(*docs.columns)
+    once = met("left_anti", marks).select(*docs.columns)
+    several = marks.where(F.col(twice))
+    if several.isEmpty():
+        return once
+    return once.unionByName(met("left_semi", several).dropDuplicates(["doc_id", dig]).select(*docs.columns))
