@@ -182,7 +182,7 @@ def test_line_alignment_equals_brute_force(docs, rows):
         want[i, t] = sorted(gone)
         for k in links:
             lead.setdefault(lines[k], tuple(lines))
-    got = line_align.align(docs).collect()
+    got = line_align.align(docs, rare=0).collect()
     assert sorted(((r.doc_id, list(r.removed)) for r in got), key=str) == sorted(((i, want[i, t]) for i, t in rows), key=str)
 
 
@@ -218,11 +218,11 @@ def test_rare_short_lines_link_and_short_copies_go(spark):
     common = ["yes", "no", ""]
     texts = ["roses are red\nyes\nviolets are blue", "a\nroses are red\nyes\nb", "one\ntwo\n", "one\ntwo\n", "", "\n", "\n"] + [f"{c}\n{i} of its own" for i in range(12) for c in common]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: list(r.removed) for r in line_align.align(df, rare=line_align.RARE).collect()}
+    got = {r.doc_id: list(r.removed) for r in line_align.align(df).collect()}
     assert {i: x for i, x in got.items() if x and i < 7} == {1: [1, 2], 3: [0, 1, 2]}
     # "i of its own" is held by three texts; the frequent lines before it differ and stay.
     assert all(got[7 + k] == ([1] if k % 3 else []) for k in range(36))
-    assert {r.doc_id for r in line_align.strip(df, rare=line_align.RARE).collect()} == set(range(len(texts))) - {3}
+    assert {r.doc_id for r in line_align.strip(df).collect()} == set(range(len(texts))) - {3}
 
 
 def test_rare_alignment_equals_brute_force(docs, rows):
@@ -243,7 +243,7 @@ def test_rare_alignment_equals_brute_force(docs, rows):
         want[i, t] = sorted(gone)
         for k in links:
             lead.setdefault(lines[k], lines)
-    got = line_align.align(docs, rare=line_align.RARE).collect()
+    got = line_align.align(docs).collect()
     assert sorted(((r.doc_id, list(r.removed)) for r in got), key=str) == sorted(((i, want[i, t]) for i, t in rows), key=str)
 
 
