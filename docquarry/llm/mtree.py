@@ -2,12 +2,13 @@
 
 Components x become floor(scale * x). A vector v with |v| <= M is lifted to (v, sqrt(M^2 - |v|^2)); then the Euclidean distance of a lifted vector to a query (q, 0) falls as the inner product rises, so nearest neighbours in a metric space are the highest scores.
 
-The tree has three levels of nodes with a centre, a covering radius and the distances of their entries to it: pivots chosen from a bounded sample (at most PIVOTS), pages of about PAGE vectors of one pivot, leaves of about LEAF vectors. Every vector is in exactly one leaf; a pivot with more vectors, even equal ones, is dealt over several pages.
-1. Each query visits a page of its nearest pivot, which gives its k-th best score so far.
-2. Blocks of queries (dealt by pivot) meet every page; a page, then a leaf, is left out for a query when its distance to the centre less the radius already exceeds what the k-th score allows, and an entry when the stored distance to its centre differs too much from the query's. Leaves are visited in the order of their nearest possible distance, and k-th scores tighten as results come in. Partial results are cut to k for each query and merged.
-Bounds only leave out what cannot be among the k highest, ties included, so the result equals brute force.
+The tree has three levels of nodes. The root's entries are pivots chosen from a bounded sample; there are more of them the more vectors there are, up to PIVOTS. Every vector belongs to its nearest pivot's cell, whose covering radius is known. A cell is cut into rings by the distance to the pivot, and a ring into pages of about PAGE vectors (a ring of equal vectors into several); each page has a centre, a covering radius and its centre's distance to the pivot, its parent. A page's vectors lie in leaves of about LEAF, each with a centre, a radius and the distance of every entry to it.
+1. Each query visits a page of its nearest pivot, which gives its k-th best score so far and with it the distance that a better vector may have.
+2. Queries of one pivot form blocks of about BLOCK, each with a centre, a radius and its farthest reach. A block goes to the cells that its reach touches, and in them to the pages that it touches: first by the stored distance to the parent alone, then by the distance of the centres. Pages and queries are shuffled for these pairs only.
+3. In a page a query is left out by the page's radius, a leaf by its radius, an entry when its stored distance to the leaf's centre differs too much from the query's. Leaves are visited in the order of their nearest possible distance (best first), and k-th scores tighten as results come in. Partial results are cut to k for each query and merged.
+Bounds only leave out what cannot be among the k highest, ties included, with a slack above the rounding of the distances, so the result equals brute force. Scores are exact at every size: products are made in the narrowest of 32-bit and 64-bit floats, 64-bit integers and unbounded integers that holds M^2 exactly. A score beyond 64 bits is ranked in its page by its true value and returned as the nearest 64-bit one.
 
-Vectors that are null, or hold a null or non-finite component, or have no component or no id, take no part. A repeated id stands for one vector, the least. Only vectors of one dimension are compared with each other. An empty table gives no rows; extra columns are ignored.
+Vectors that are null or empty, or hold a null or non-finite component (or one whose scaled square is not finite), or have no id, take no part. Rows that repeat an id are vectors of their own: each is a candidate for all other rows, and a query of its own if the id is divisible. Only vectors of one dimension are compared with each other. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,21 +23,48 @@ from pyspark.sql import functions as F
 
 from ._common import bounded_batches, cut
 
-PIVOTS, SAMPLE, PAGE, LEAF, BLOCK = 64, 4096, 2048, 64, 512
+PIVOTS, SAMPLE, PAGE, LEAF, BLOCK = 512, 8, 2048, 64, 512
+_LONG = np.iinfo(np.int64)
 
 
 def _matrix(column, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(-1, dim).astype(np.float64)
+    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
 
 
 def lift(v: np.ndarray, m2: float) -> np.ndarray:
     return np.concatenate([v, np.sqrt(np.maximum(m2 - (v * v).sum(1, keepdims=True), 0))], axis=1)
 
 
+def flat(q: np.ndarray) -> np.ndarray:
+    """Queries in the lifted space."""
+    return np.concatenate([q, np.zeros((len(q), 1))], axis=1)
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
 
 
+def slack(m2: float) -> float:
+    """More than the error of a distance of lifted vectors in 64-bit floats."""
+    return 1e-6 * float(np.sqrt(m2)) + 1e-9
+
+
+def reach(q: np.ndarray, bound: np.ndarray, m2: float) -> np.ndarray:
+    """Distance that a vector may have to each query at most so that its score is at least the bound."""
+    return np.sqrt(np.maximum((q * q).sum(1) + m2 - 2 * bound, 0)) + slack(m2)
+
+
+def exact(v: np.ndarray, m2: float) -> np.ndarray:
+    """Whole components in the narrowest type in which all products and their sums, at most m2, are exact."""
+    if m2 < 2**24:
+        return v.astype(np.float32)
+    if m2 < 2**53:
+        return v
+    if m2 < 2**62:
+        return v.astype(np.int64)
+    return np.array([[int(x) for x in row] for row in v.tolist()], dtype=object).reshape(v.shape)
+
+
 def spread(x: np.ndarray, n: int) -> np.ndarray:
     """Up to n pivots of x, each the farthest from those before it."""
     picked = [0]
@@ -64,11 +92,11 @@ def leaves(x: np.ndarray) -> np.ndarray:
 class Page:
     """A page: its vectors sorted by leaf, leaf centres and radii, and each entry's distance to its leaf's centre."""
 
-    def __init__(self, ids: np.ndarray, v: np.ndarray, m2: float):
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, v: np.ndarray, m2: float):
         x = lift(v, m2)
         leaf = leaves(x)
         order = np.lexsort((ids, leaf))
-        self.ids, self.v, leaf = ids[order], v[order].astype(np.float32), leaf[order]
+        self.rows, self.ids, self.v, leaf = rows[order], ids[order], exact(v[order], m2), leaf[order]
         x = x[order]
         self.cuts = np.concatenate((np.flatnonzero(np.diff(leaf, prepend=-1)), [len(leaf)]))
         self.centres = np.stack([x[a:b].mean(0) for a, b in zip(self.cuts, self.cuts[1:], strict=False)])
@@ -77,52 +105,71 @@ class Page:
         self.centre = x.mean(0)
         self.radius = float(np.sqrt(((x - self.centre) ** 2).sum(1)).max())
 
-    def search(self, qid: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, m2: float):
-        """(query number, id, score) of the page's k best for each query that may still beat its bound (the k-th score known)."""
-        qx = np.concatenate([q, np.zeros((len(q), 1))], axis=1)
-        q2 = (q * q).sum(1) + m2
-        allow = lambda s: np.sqrt(np.maximum(q2 - 2 * (s - 0.25), 0))  # noqa: E731  distance that a score of s allows
-        live = np.flatnonzero(distances(qx, self.centre[None])[:, 0] - self.radius <= allow(bound))
+    def search(self, own: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, m2: float):
+        """(query number, row, id, score) of the page's k best for each query that may still beat its bound (the k-th score known); own are the queries' rows."""
+        qx = flat(q)
+        live = np.flatnonzero(distances(qx, self.centre[None])[:, 0] - self.radius <= reach(q, bound, m2))
         if not len(live):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        q32, bound = q[live].astype(np.float32), bound[live].astype(np.float64)
-        q2 = q2[live]
+            return (np.zeros(0, np.int64),) * 4
+        own, q, bound = own[live], q[live], bound[live].astype(np.float64)
+        q_exact = exact(q, m2)
         near = distances(qx[live], self.centres)
         least = np.maximum(near - self.radii[None], 0)
-        best_s = np.full((len(live), k), -np.inf)
-        best_i = np.full((len(live), k), np.iinfo(np.int64).max)
-        order = np.argsort(least.mean(0), kind="stable")
-        for s in range(0, len(order), 8):
-            some = order[s : s + 8]
-            reach = allow(bound)
-            rows = np.flatnonzero((least[:, some] <= reach[:, None]).any(1))
+        whole = self.v.dtype in (object, np.int64)
+        worst = _LONG.min if whole else -np.inf
+        best_s = np.full((len(live), k), worst, dtype=self.v.dtype if whole else np.float64)
+        best_i = np.full((len(live), k), _LONG.max)
+        best_at = np.full((len(live), k), -1)
+        left = np.ones(least.shape, bool)
+        while True:
+            far = reach(q, bound, m2)
+            left &= least <= far[:, None]
+            rows = np.flatnonzero(left.any(1))
             if not len(rows):
-                continue
+                break
+            # Best first: every query's nearest leaf that is left; their entries are one block for all queries that still need one of them.
+            some = np.unique(np.where(left[rows], least[rows], np.inf).argmin(1))
+            rows = rows[left[rows][:, some].any(1)]
             at = np.concatenate([np.arange(self.cuts[j], self.cuts[j + 1]) for j in some])
             leaf = np.repeat(np.arange(len(some)), self.cuts[some + 1] - self.cuts[some])
             # An entry is computed if some query cannot rule it out by its stored distance.
-            gap = np.abs(near[rows][:, some][:, leaf] - self.to_centre[at][None]) <= reach[rows][:, None]
-            at = at[gap.any(0)]
+            at = at[(np.abs(near[rows][:, some][:, leaf] - self.to_centre[at][None]) <= far[rows][:, None]).any(0)]
+            left[:, some] = False
             if not len(at):
                 continue
-            score = (q32[rows] @ self.v[at].T).astype(np.float64)
-            score[self.ids[at][None] == qid[live][rows][:, None]] = -np.inf
+            score = (q_exact[rows] @ self.v[at].T).astype(best_s.dtype)
+            self_ = self.rows[at][None] == own[rows][:, None]
+            score[self_] = worst
             both_s = np.concatenate([best_s[rows], score], axis=1)
-            both_i = np.concatenate([best_i[rows], np.broadcast_to(self.ids[at], score.shape)], axis=1)
-            take = np.lexsort((both_i, -both_s), axis=1)[:, :k] if both_s.shape[1] <= 4 * k else _top(both_s, both_i, k)
-            best_s[rows], best_i[rows] = np.take_along_axis(both_s, take, 1), np.take_along_axis(both_i, take, 1)
-            bound = np.maximum(bound, best_s[:, -1])
-        row, col = np.nonzero((best_s > -np.inf) & (best_s >= bound[:, None]))
-        return live[row], best_i[row, col], best_s[row, col].astype(np.int64)
+            both_i = np.concatenate([best_i[rows], np.where(self_, _LONG.max, self.ids[at][None])], axis=1)
+            both_at = np.concatenate([best_at[rows], np.where(self_, -1, at[None])], axis=1)
+            take = _top(both_s, both_i, k)
+            best_s[rows], best_i[rows], best_at[rows] = (np.take_along_axis(x, take, 1) for x in (both_s, both_i, both_at))
+            bound = np.where(best_at[:, -1] >= 0, np.maximum(bound, _below(best_s[:, -1])), bound)
+        row, col = np.nonzero((best_at >= 0) & (best_s.astype(np.float64) >= bound[:, None]))
+        s, at = best_s[row, col], best_at[row, col]
+        score = np.array([min(max(x, _LONG.min), _LONG.max) for x in s], np.int64) if self.v.dtype == object else s.astype(np.int64)
+        return live[row], self.rows[at], self.ids[at], score
+
+
+def _below(s: np.ndarray) -> np.ndarray:
+    """Scores as 64-bit floats that are not above them."""
+    f = s.astype(np.float64)
+    return f if s.dtype == np.float64 else f - np.abs(f) * 1e-12
 
 
 def _top(s: np.ndarray, i: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best of each row by (score down, id up)."""
-    kth = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+    if s.dtype == object:
+        return np.array([sorted(range(s.shape[1]), key=lambda c: (-a[c], b[c]))[:k] for a, b in zip(s.tolist(), i.tolist(), strict=True)])  # noqa: B023
+    down = -s if s.dtype != np.int64 else ~s  # ~s orders like -s and does not overflow
+    if s.shape[1] <= 4 * k:
+        return np.lexsort((i, down), axis=1)[:, :k]
+    kth = np.partition(down, k - 1, axis=1)[:, k - 1 : k]
     out = np.empty((len(s), k), np.int64)
     for r in range(len(s)):
-        c = np.flatnonzero(s[r] >= kth[r])
-        out[r] = c[np.lexsort((i[r][c], -s[r][c]))[:k]]
+        c = np.flatnonzero(down[r] <= kth[r])
+        out[r] = c[np.lexsort((i[r][c], down[r][c]))[:k]]
     return out
 
 
@@ -130,95 +177,114 @@ def search(vectors: DataFrame, k: int = 20, scale: float = 64.0, every: int = 20
     """query_id, rank, vec_id, score: the k highest inner products for each vector whose id is divisible by ``every``, among all other vectors."""
     spark = vectors.sparkSession
     bounded_batches(spark)
-    raw = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
-    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    one = raw.where(finite & (F.size("embedding") > 0)).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    raw = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(F.col("embedding").cast("array<double>"), lambda x: x * F.lit(scale)).alias("e"))
+    usable = ~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (F.size("e") > 0)
 
     def whole(batches):
         for b in batches:
-            v = [np.floor(scale * np.array(x, np.float64)).astype("<i4") for x in b.column("embedding").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([len(x) for x in v], pa.int32()), pa.array([int((x.astype(np.int64) ** 2).sum()) for x in v], pa.int64()), pa.array([x.tobytes() for x in v], pa.binary())], ["vec_id", "dim", "norm2", "v"])
-
-    ints = cut(one.mapInArrow(whole, "vec_id long, dim int, norm2 long, v binary"))
-    dims = ints.groupBy("dim").agg(F.max("norm2").alias("m2")).collect()  # one row for each dimension in the table
-    parts = [_search(ints.where(F.col("dim") == r["dim"]), r["dim"], float(r["m2"]), k, every, page) for r in dims]
+            v = [np.floor(np.array(x, np.float64)) for x in b.column("e").to_pylist()]
+            with np.errstate(over="ignore"):
+                norms = [float((x * x).sum()) for x in v]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([len(x) for x in v], pa.int32()), pa.array(norms, pa.float64()), pa.array([x.astype("<f8").tobytes() for x in v], pa.binary())], ["vec_id", "dim", "norm2", "v"])
+
+    vectors = raw.where("vec_id is not null and e is not null").where(usable).mapInArrow(whole, "vec_id long, dim int, norm2 double, v binary").where("norm2 < double('infinity')")
+    ints = cut(vectors.withColumn("row", F.monotonically_increasing_id()))  # a number for each row, frozen by the checkpoint
+    dims = ints.groupBy("dim").agg(F.max("norm2").alias("m2"), F.count("*").alias("n")).collect()  # one row for each dimension in the table
+    parts = [_search(ints.where(F.col("dim") == r["dim"]), r["dim"], float(r["m2"]) * (1 + 1e-9) + 1e-9, r["n"], k, every, page) for r in dims]
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    w = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(ints: DataFrame, dim: int, m2: float, k: int, every: int, page: int) -> DataFrame:
+def _search(ints: DataFrame, dim: int, m2: float, n: int, k: int, every: int, page: int) -> DataFrame:
     spark = ints.sparkSession
-    sample = _matrix(pa.array([r["v"] for r in ints.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()], pa.binary()), dim)
-    pivots = spark.sparkContext.broadcast(spread(lift(sample, m2), PIVOTS))
+    most = max(1, min(PIVOTS, -(-n // page)))
+    sample = _matrix(pa.array([r["v"] for r in ints.orderBy(F.xxhash64("row")).limit(SAMPLE * most).select("v").collect()], pa.binary()), dim)
+    pivots = spread(lift(sample, m2), most)
+    sent = spark.sparkContext.broadcast(pivots)
 
     def route(batches):
         for b in batches:
             if b.num_rows:
                 v = _matrix(b.column("v"), dim)
-                near = distances(lift(v, m2), pivots.value).argmin(1)
-                home = distances(np.concatenate([v, np.zeros((len(v), 1))], axis=1), pivots.value).argmin(1)
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(near.astype(np.int32)), pa.array(home.astype(np.int32))], ["vec_id", "v", "pivot", "home"])
-
-    routed = cut(ints.select("vec_id", "v").mapInArrow(route, "vec_id long, v binary, pivot int, home int"))
-    # One row for each pivot, so at most PIVOTS rows; pages of a pivot follow one another.
-    counts = {r["pivot"]: r["n"] for r in routed.groupBy("pivot").agg(F.count("*").alias("n")).collect()}
-    n_pages = [max(1, -(-counts.get(p, 0) // page)) for p in range(len(pivots.value))]
-    first = np.concatenate(([0], np.cumsum(n_pages))).tolist()
-    table = spark.createDataFrame([(p, first[p], n_pages[p]) for p in range(len(n_pages))], "pivot int, first int, n int")
-    paged = routed.join(F.broadcast(table), "pivot").select("vec_id", "v", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("n"))).cast("int").alias("page"))
+                near = distances(lift(v, m2), sent.value)
+                home = distances(flat(v), sent.value).argmin(1)
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("vec_id"), b.column("v"), pa.array(near.argmin(1).astype(np.int32)), pa.array(near.min(1)), pa.array(home.astype(np.int32))], ["row", "vec_id", "v", "cell", "d", "home"])
+
+    routed = cut(ints.select("row", "vec_id", "v").mapInArrow(route, "row long, vec_id long, v binary, cell int, d double, home int"))
+    # One row for each pivot, so at most PIVOTS rows.
+    cells = {r["cell"]: r for r in routed.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).collect()}
+    radii = np.array([cells[c]["high"] if c in cells else -np.inf for c in range(len(pivots))])
+    rings = spark.createDataFrame([(c, r["low"], max(r["high"] - r["low"], 1e-9), -(-r["n"] // page)) for c, r in cells.items()], "cell int, low double, width double, rings long")
+    ring = F.least(F.floor((F.col("d") - F.col("low")) / F.col("width") * F.col("rings")), F.col("rings") - 1)
+    ringed = routed.join(F.broadcast(rings), "cell").select("row", "vec_id", "v", "cell", ring.alias("ring"))
+    split = cut(ringed.groupBy("cell", "ring").agg(F.ceil(F.count("*") / page).alias("pages")))  # cut, so that the join below can split a ring with many rows
+    paged = ringed.join(split, ["cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("pages")))
 
     def build(t: pa.Table) -> pa.Table:
-        p = Page(t.column("vec_id").to_numpy(), _matrix(t.column("v"), dim), m2)
-        return pa.table([pa.array([t.column("page")[0].as_py()], pa.int32()), pa.array([pickle.dumps(p)], pa.binary())], ["page", "node"])
-
-    nodes = cut(paged.groupBy("page").applyInArrow(build, "page int, node binary"))
-    asked = routed.where(F.col("vec_id") % every == 0)
-    lowest = -float(m2) - 1
+        p = Page(t.column("row").to_numpy(), t.column("vec_id").to_numpy(), _matrix(t.column("v"), dim), m2)
+        cell, ring, part = (t.column(c)[0].as_py() for c in ("cell", "ring", "part"))
+        parent = float(distances(p.centre[None], sent.value[cell : cell + 1])[0, 0])
+        return pa.table([pa.array([cell << 48 | ring << 24 | part]), pa.array([cell], pa.int32()), pa.array([p.centre.tobytes()], pa.binary()), pa.array([p.radius]), pa.array([parent]), pa.array([pickle.dumps(p)], pa.binary())], ["page", "cell", "centre", "radius", "parent", "node"])
+
+    nodes = cut(paged.groupBy("cell", "ring", "part").applyInArrow(build, "page long, cell int, centre binary, radius double, parent double, node binary"))
+    asked = routed.where(F.col("vec_id") % every == 0).select("row", F.col("vec_id").alias("query_id"), "v", "home")
+
+    # Queries of one pivot are dealt into groups of about BLOCK; a group visits the page nearest to the pivot (any page is right; a near one gives a better bound).
+    groups = cut(asked.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("groups")))
+    first = cut(nodes.groupBy(F.col("cell").alias("home")).agg(F.min("page").alias("page")))
+    dealt = asked.join(groups, "home").withColumn("g", F.pmod(F.xxhash64("row", F.lit(9)), F.col("groups"))).select("row", "query_id", "v", "home", "g")
+    guests = groups.select("home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g")).join(first, "home").join(nodes.select("page", "node"), "page")
+    empty = F.lit(None)
+    both = dealt.withColumn("node", empty.cast("binary")).unionByName(
+        guests.select(empty.cast("long").alias("row"), empty.cast("long").alias("query_id"), empty.cast("binary").alias("v"), "home", "g", "node")
+    )
 
     def visit(t: pa.Table) -> pa.Table:
+        """A block of queries: pickled rows, ids, vectors and bounds, with the block's centre, radius and reach, and the cells that it must see."""
         node = next((x for x in t.column("node").to_pylist() if x is not None), None)
-        t = t.filter(pc.is_valid(t.column("query_id")))
-        qid = t.column("query_id").to_numpy()
-        bound = np.full(len(qid), lowest)
-        if node is not None and len(qid):
-            row, _, score = pickle.loads(node).search(qid, _matrix(t.column("v"), dim), bound, k, m2)
-            n = np.bincount(row, minlength=len(qid))
-            least = np.full(len(qid), np.inf)
-            np.minimum.at(least, row, score)
-            bound = np.where(n >= k, least, lowest)
-        return pa.table([pa.array(qid, pa.int64()), t.column("v"), t.column("home"), pa.array(bound)], ["query_id", "v", "home", "bound"])
-
-    # Queries of one pivot are dealt into groups of about BLOCK, each of which visits one page of that pivot.
-    groups = max(1, -(-sum(counts.values()) // (every * BLOCK)))
-    homes = asked.join(F.broadcast(table.withColumnRenamed("pivot", "home")), "home").select(F.col("vec_id").alias("query_id"), "v", "home", (F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("n"))).cast("int").alias("page"), F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(groups)).cast("int").alias("g"))
-    empty = F.lit(None)
-    both = homes.select("page", "g", "query_id", "v", "home", empty.cast("binary").alias("node")).unionByName(
-        nodes.join(homes.select("page", "g").distinct(), "page").select("page", "g", empty.cast("long").alias("query_id"), empty.cast("binary").alias("v"), empty.cast("int").alias("home"), "node")
-    )
-    bounded = cut(both.groupBy("page", "g").applyInArrow(visit, "query_id long, v binary, home int, bound double"))
-    # Blocks of about BLOCK queries; a hash deals them, so that no block depends on how queries lie.
-    packed = bounded.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(groups)).cast("int")).groupBy("block").applyInArrow(_pack, "block int, queries binary")
+        home, g = t.column("home")[0].as_py(), t.column("g")[0].as_py()
+        t = t.filter(pc.is_valid(t.column("row")))
+        own, q = t.column("row").to_numpy(), _matrix(t.column("v"), dim)
+        bound = np.full(len(own), -m2 - 1)
+        if node is not None:
+            at, _, _, score = pickle.loads(node).search(own, q, bound, k, m2)
+            kth = np.full(len(own), np.inf)
+            np.minimum.at(kth, at, _below(score))
+            bound = np.where(np.bincount(at, minlength=len(own)) >= k, kth, bound)
+        qx, far = flat(q), reach(q, bound, m2)
+        centre = qx.mean(0)
+        radius = float(np.sqrt(((qx - centre) ** 2).sum(1)).max())
+        see = np.flatnonzero((distances(qx, sent.value) - radii[None] <= far[:, None]).any(0))
+        names = ["block", "q_centre", "q_radius", "far", "cells", "to_pivot", "queries"]
+        blob = pickle.dumps((own, t.column("query_id").to_numpy(), q, bound))
+        return pa.table([pa.array([home << 32 | g]), pa.array([centre.tobytes()], pa.binary()), pa.array([radius]), pa.array([float(far.max())]), pa.array([see.tolist()], pa.list_(pa.int32())), pa.array([distances(centre[None], sent.value)[0][see].tolist()], pa.list_(pa.float64())), pa.array([blob], pa.binary())], names)
+
+    blocks = cut(both.groupBy("home", "g").applyInArrow(visit, "block long, q_centre binary, q_radius double, far double, cells array<int>, to_pivot array<double>, queries binary"))
+    seen = blocks.select("block", "q_centre", "q_radius", "far", F.explode(F.arrays_zip("cells", "to_pivot")).alias("c")).select("block", "q_centre", "q_radius", "far", F.col("c.cells").alias("cell"), F.col("c.to_pivot").alias("to_pivot"))
+    # The stored distances to the common parent bound the distance of the centres from below.
+    touch = F.col("far") + F.col("q_radius") + F.col("radius") + F.lit(2 * slack(m2))
+    near = seen.join(nodes.select("page", "cell", "centre", "radius", "parent"), "cell").where(F.abs(F.col("to_pivot") - F.col("parent")) <= touch).select("block", "page", "q_centre", "centre", touch.alias("touch"))
+
+    def meets(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.float64).reshape(-1, dim + 1) for c in ("q_centre", "centre"))
+            yield b.filter(pa.array(np.sqrt(((x - y) ** 2).sum(1)) <= b.column("touch").to_numpy())).select(["block", "page"])
 
     def meet(batches):
         for b in batches:
             for node, queries in zip(b.column("node").to_pylist(), b.column("queries").to_pylist(), strict=True):
                 p = pickle.loads(node)
-                qid, v, bound = pickle.loads(queries)
-                q = np.frombuffer(v, "<i4").reshape(-1, dim).astype(np.float64)
-                for s in range(0, len(qid), BLOCK):
-                    row, ids, score = p.search(qid[s : s + BLOCK], q[s : s + BLOCK], bound[s : s + BLOCK], k, m2)
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[s : s + BLOCK][row]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
-
-    dealt = nodes.select("page", "node", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("block"))
-    pairs = dealt.join(packed, "block").repartition("page", "block")
-    return pairs.select("node", "queries").mapInArrow(meet, "query_id long, vec_id long, score long")
-
-
-def _pack(t: pa.Table) -> pa.Table:
-    blob = pickle.dumps((t.column("query_id").to_numpy(), b"".join(t.column("v").to_pylist()), t.column("bound").to_numpy()))
-    return pa.table([pa.array([t.column("block")[0].as_py()], pa.int32()), pa.array([blob], pa.binary())], ["block", "queries"])
+                own, qid, q, bound = pickle.loads(queries)
+                for s in range(0, len(own), BLOCK):
+                    e = s + BLOCK
+                    at, row, ids, score = p.search(own[s:e], q[s:e], bound[s:e], k, m2)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[s:e][at]), pa.array(qid[s:e][at]), pa.array(row), pa.array(ids), pa.array(score)], ["query_row", "query_id", "row", "vec_id", "score"])
+
+    pairs = near.mapInArrow(meets, "block long, page long")
+    shipped = pairs.join(nodes.select("page", "node"), "page").join(blocks.select("block", "queries"), "block").repartition("page", "block")
+    return shipped.select("node", "queries").mapInArrow(meet, "query_row long, query_id long, row long, vec_id long, score long")

@@ -130,24 +130,47 @@ def test_cnn_pooling_equals_plain_loops():
         assert np.allclose(row, np.maximum(want, 0), atol=1e-3)
 
 
-def test_search_equals_brute_force(spark):
+def _search_rows():
     rng = np.random.default_rng(2)
     v = {i: [float(np.float32(x)) for x in rng.normal(size=8)] for i in range(400)}
     for i in range(300, 400):
         v[i] = v[7]
-    rows = [*v.items(), (None, v[1]), (500, None), (501, [float("nan")] * 8), (502, [None] + [1.0] * 7), (503, [float("inf")] * 8), (20, v[20]), (504, []), (520, [1.0, 2.0]), (521, [0.5, 0.25])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
-    got = sorted(tuple(r) for r in mtree.search(df, k=7, page=50).collect())
-    ints = {i: np.floor(64 * np.array(x)).astype(int) for i, x in v.items()} | {520: np.array([64, 128]), 521: np.array([32, 16])}
-    want = []
-    for q in sorted(ints):
+    return [*v.items(), (20, v[20]), (20, v[3]), (33, v[33])]  # repeated ids, equal vectors and others
+
+
+def _brute_force(rows, k, scale=64.0):
+    """Integers of any size, every row a candidate for every other."""
+    ints = [(i, [int(np.floor(scale * x)) for x in v]) for i, v in rows]
+    out = []
+    for a, (q, x) in enumerate(ints):
         if q % 20 == 0:
-            best = sorted(((-int(ints[q] @ ints[c]), c) for c in ints if c != q and len(ints[c]) == len(ints[q])))[:7]
-            want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
-    assert got == sorted(want)
+            best = sorted((-sum(s * t for s, t in zip(x, y, strict=True)), c) for b, (c, y) in enumerate(ints) if a != b and len(x) == len(y))[:k]
+            out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [1.0, 20.0, 300.0, 3e6, 1e7])
+def test_search_equals_brute_force_at_every_size(spark, size):
+    rows = [(i, [x * size for x in v]) for i, v in _search_rows()]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in mtree.search(df, k=7, page=50).collect()) == _brute_force(rows, 7)
+
+
+def test_search_leaves_out_what_is_no_vector(spark):
+    rows = [*_search_rows(), (520, [1.0, 2.0]), (521, [0.5, 0.25]), (540, [1e9, 0.0]), (541, [1.0, 0.0])]
+    odd = [(None, [1.0] * 8), (500, None), (501, [float("nan")] * 8), (502, [None] + [1.0] * 7), (503, [float("inf")] * 8), (504, []), (560, [1e307] * 8)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
+    got = sorted(tuple(r) for r in mtree.search(df, k=7, page=50).collect())
+    assert got == _brute_force(rows, 7) and (540, 1, 541, 4096000000000) in got
     assert mtree.search(df.limit(0)).count() == 0
 
 
+def test_search_clips_scores_beyond_64_bits(spark):
+    rows = [(0, [1e12, 1.0]), (1, [1e12, 2.0]), (2, [-1e12, 0.0]), (3, [1.0, 5.0])]
+    got = mtree.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(1, 1, 2**63 - 1), (2, 3, 64 * 64 * 10**12 + 64 * 320), (3, 2, -(2**63))]
+
+
 @pytest.fixture(scope="module")
 def encoding():
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
