@@ -223,9 +223,10 @@ def _classes(docs: DataFrame, threshold: float, size: int) -> DataFrame:
     root = lambda t, c: t.join(found.select(F.col("node").alias(c), F.col("root").alias(c + "_root")), c, "left").withColumn(c + "_root", F.coalesce(c + "_root", c))
     slack = 1 - threshold + 1e-9
     around = cut(root(root(links.select("a", "b", F.floor((1 - F.col("j")) / slack).alias("cell")), "a"), "b").select(F.col("b").alias("lead"), F.col("a").alias("node"), F.col("a_root").alias("root"), (F.col("a_root") == F.col("b_root")).alias("home"), "cell"))
-    strays = cut(around.groupBy("lead").agg(F.count("*").alias("n"), F.sum((~F.col("home")).cast("int")).alias("out")).where("n > 1 and out > 0").select("lead"))
-    around = around.join(strays, "lead")
-    pages = cut(around.groupBy("lead", "home", "cell").agg(F.ceil(F.count("*") / PAGE).cast("int").alias("pages")))
+    # What decides about a leader is summed up by cell first, so no table is dealt by leader alone.
+    pages = cut(around.groupBy("lead", "home", "cell").agg(F.count("*").alias("n")))
+    strays = pages.groupBy("lead").agg(F.sum("n").alias("n"), F.sum(F.when(~F.col("home"), F.col("n"))).alias("out")).where("n > 1 and out > 0")
+    pages = cut(pages.join(strays.select("lead"), "lead", "left_semi").withColumn("pages", F.ceil(F.col("n") / PAGE).cast("int")).drop("n"))
     dealt = around.join(pages, ["lead", "home", "cell"]).withColumn("page", F.pmod(F.xxhash64("node"), F.col("pages")).cast("int"))
     schema = "lead binary, home boolean, cell long, page int, blob binary"
     packed = cut(dealt.join(texts, "node").select("lead", "home", "cell", "page", "node", "root", "z").groupBy("lead", "home", "cell", "page").applyInArrow(_pack, schema))

@@ -2,31 +2,38 @@
 
 Texts of up to ``chunk`` characters are pre-tokenised in one piece. A longer text is dealt out as chunks that overlap; each chunk is pre-tokenised on its own, in parallel, and the chunks of a text are stitched at the first boundary that both sides of an overlap share. Matches depend only on what follows them, so from a shared boundary on both sides agree. Where an overlap holds no shared boundary (a single match longer than it), matching goes on from the last known boundary until it meets the next chunk's boundaries, so results stay exact. The pieces are then encoded by the ranks; decoding concatenates the tokens' bytes.
 
-A null text counts as empty and gives no tokens. Repeated rows give repeated results; extra columns are ignored. A text's ids are one value of a row, so they must fit in one task.
+A piece is encoded by joining the neighbours of the least rank until none can be joined. A null text counts as empty and gives no tokens. Repeated rows give repeated results; extra columns are ignored. A text's ids are one value of a row, so they must fit in one task.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import bounded_batches, shards, starts_of, texts_of
 
 CHUNK, OVERLAP = 1 << 16, 1 << 10
+#: Least overlap: a match near a chunk's end may look so many characters ahead (a contraction's letters, the end of white space).
+LEAST_OVERLAP = 4
+#: Pieces of more bytes are merged by a heap.
+HEAP = 48
 #: Entries that a worker keeps in its memo of encoded pieces; a full memo is emptied.
 MEMO = 200_000
 #: Vocabularies larger than this are refused, as they are broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 
 
+_NONE = 1 << 62
+
+
 class Codec:
     """Encodes pieces by merge ranks; made once in each worker from the vocabulary's bytes."""
 
@@ -34,7 +41,6 @@ class Codec:
 
     def __init__(self, vocabulary: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in vocabulary.splitlines() if x.strip())}
-        self.core = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={})
         self.match = regex.compile(pattern)
         self.bytes = dict(zip(self.ranks.values(), self.ranks.keys(), strict=True))
         self.memo: dict[str, list[int]] = {}
@@ -49,13 +55,55 @@ class Codec:
     def piece(self, p: str) -> list[int]:
         got = self.memo.get(p)
         if got is None:
-            got = self.core._encode_single_piece(p)
+            got = self.merge(p.encode())
             if len(p) < 64:
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
                 self.memo[p] = got
         return got
 
+    def merge(self, raw: bytes) -> list[int]:
+        """Token ids of a piece: of the neighbours whose join is in the vocabulary, those of the least rank (the leftmost of equals) are joined, until there are none."""
+        ranks = self.ranks
+        if (whole := ranks.get(raw)) is not None:
+            return [whole]
+        if len(raw) > HEAP:
+            return self._merge_long(raw)
+        parts = [raw[i : i + 1] for i in range(len(raw))]
+        joins = [ranks.get(a + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        while joins:
+            least = min(joins)
+            if least == _NONE:
+                break
+            i = joins.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del joins[i]
+            if i < len(joins):
+                joins[i] = ranks.get(parts[i] + parts[i + 1], _NONE)
+            if i:
+                joins[i - 1] = ranks.get(parts[i - 1] + parts[i], _NONE)
+        return [ranks[x] for x in parts]
+
+    def _merge_long(self, raw: bytes) -> list[int]:
+        """The same for a long piece, in time that hardly grows faster than it: candidates wait in a heap, stale ones are skipped."""
+        ranks, n = self.ranks, len(raw)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts at a place; 0 marks a start that is gone
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(raw[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, e = heapq.heappop(heap)
+            middle = end[i]
+            if not middle or middle >= n or end[middle] != e:
+                continue
+            end[i], end[middle] = e, 0
+            if e < n:
+                before[e] = i
+                if (r := ranks.get(raw[i : end[e]])) is not None:
+                    heapq.heappush(heap, (r, i, end[e]))
+            if (j := before[i]) >= 0 and (r := ranks.get(raw[j:e])) is not None:
+                heapq.heappush(heap, (r, j, e))
+        return [ranks[raw[i:e]] for i, e in enumerate(end) if e]
+
     def ids(self, pieces: list[list[str]]) -> list[np.ndarray]:
         """Token ids of texts that are given as their pieces; each distinct piece is encoded once."""
         n = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -123,6 +171,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, chunk: int = CHUNK, o
     ``vocabulary`` is the path of a rank file on the driver; its bytes are broadcast, at most MAX_VOCABULARY_BYTES.
     """
     spark = docs.sparkSession
+    if overlap < LEAST_OVERLAP:
+        raise ValueError(f"chunks must overlap by {LEAST_OVERLAP} characters at least")
     bounded_batches(spark)
     with open(vocabulary, "rb") as f:
         raw = f.read(MAX_VOCABULARY_BYTES + 1)
@@ -148,22 +198,24 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, chunk: int = CHUNK, o
     def pretokenise(batches):
         codec = Codec.of(sent.value, pattern)
         for b in batches:
-            for row in b.to_pylist():
-                cuts = np.array(codec.boundaries(row["piece"], row["last"]), "<i4").tobytes()
-                yield pa.RecordBatch.from_pylist([{"uid": row["uid"], "doc_id": row["doc_id"], "start": row["start"], "piece": row["piece"], "cuts": cuts}], schema=pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("piece", pa.string()), ("cuts", pa.binary())]))
+            cuts = [np.array(codec.boundaries(p, last), "<i4").tobytes() for p, last in zip(b.column("piece").to_pylist(), b.column("last").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "doc_id", "start", "piece", "n")), pa.array(cuts, pa.binary())], ["key", "doc_id", "start", "piece", "n", "cuts"])
 
     def join(table: pa.Table) -> pa.Table:
         codec = Codec.of(sent.value, pattern)
         parts = sorted((r["start"], r["piece"], np.frombuffer(r["cuts"], "<i4").tolist()) for r in table.to_pylist())
-        return pa.Table.from_batches([rows(codec, pa.array([table.column("doc_id")[0].as_py()], pa.int64()), codec.ids([codec.stitch(parts)]))])
+        got = rows(codec, pa.array([table.column("doc_id")[0].as_py()], pa.int64()), codec.ids([codec.stitch(parts)]))
+        return pa.Table.from_batches([got]).append_column("n", pa.array([table.column("n")[0].as_py()], pa.int64()))
 
     size = F.length("text")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     whole = base.where(F.col("text").isNull() | (size <= chunk)).mapInArrow(short, schema)
-    # All chunks of a text come from one task, so uid is the same for them even when the task is run again.
-    long_ones = base.where(size > chunk).withColumn("uid", F.monotonically_increasing_id())
+    # A text's chunks meet by its digest; rows that repeat doc_id and text are counted as chunks and written out again at the end, so nothing depends on which task has read a row.
+    long_ones = base.where(size > chunk).withColumn("key", F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), "text"), 256)))
     pieces = long_ones.select(
-        "uid", "doc_id", F.explode(F.sequence(F.lit(0), size - 1, F.lit(chunk))).alias("start"), "text",
-    ).select("uid", "doc_id", F.col("start").cast("long").alias("start"), F.substring("text", F.col("start") + 1, F.lit(chunk + overlap)).alias("piece"), (F.col("start") + chunk + overlap >= size).alias("last"))
-    stitched = pieces.repartition("uid", "start").mapInArrow(pretokenise, "uid long, doc_id long, start long, piece string, cuts binary").groupBy("uid").applyInArrow(join, schema)
-    return whole.unionByName(stitched)
+        "key", "doc_id", F.explode(F.sequence(F.lit(0), size - 1, F.lit(chunk))).alias("start"), "text",
+    ).select("key", "doc_id", F.col("start").cast("long").alias("start"), F.substring("text", F.col("start") + 1, F.lit(chunk + overlap)).alias("piece"), (F.col("start") + chunk + overlap >= size).alias("last"))
+    counted = pieces.groupBy("key", "start").agg(F.first("doc_id").alias("doc_id"), F.first("piece").alias("piece"), F.first("last").alias("last"), F.count("*").alias("n"))
+    stitched = counted.mapInArrow(pretokenise, "key binary, doc_id long, start long, piece string, n long, cuts binary").groupBy("key").applyInArrow(join, schema + ", n long")
+    again = stitched.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
+    return whole.unionByName(again)

@@ -4,7 +4,7 @@ Slot i of the schedule is the point i * golden ratio mod 1, mapped through the c
 
 Sizes are numbers of words; a null text has none and takes no part in the streams (it is listed with 0 words). A null source is a source of its own, the last. Rows that repeat are documents of their own with the same key; whichever comes first in the stream, the results are the same set of rows. An empty table gives no rows. Extra columns are ignored by ``mix``; ``resample`` passes them through.
 
-The table of sources (one row each, at most MAX_SOURCES) comes to the driver for the targets; documents never do. Positions in a stream are sums over 1024 hash buckets a source plus sums within a bucket, so a source with a third of all rows spreads over 1024 tasks.
+The table of sources (one row each, at most MAX_SOURCES) comes to the driver for the targets; documents never do. Positions in a stream are sums over hash buckets of a source plus sums within a bucket; the number of buckets follows the largest source, so a source with a third of all rows spreads over as many tasks as it needs. Rows are known by a 128-bit digest of doc_id, source and text.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from ._common import bounded_batches, cut, fresh
 
 BLOCK = 256
 MAX_SOURCES = 100_000
-BUCKET_BITS = 10
+#: Words that a hash bucket of a source's stream holds about, and the bits of the most buckets that a source may have.
+BUCKET_WORDS, MOST_BITS = 1 << 20, 20
 CHUNK = 1 << 15
 GOLDEN = 0x9E3779B97F4A7C15
 WEIGHTS = (3, 1, 2)
@@ -44,25 +45,31 @@ def targets(sizes: dict, weights: tuple = WEIGHTS, share: float = 1.5, most: flo
     return {s: max(0.0, float(out[s])) for s in names}
 
 
+def _key():
+    """128-bit digest of doc_id, source and text; a null differs from every value."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in ("doc_id", "source", "text")]
+    return F.unhex(F.md5(F.concat_ws("\0", *parts)))
+
+
 def _sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, k (a key of the row), size for every document; cut, as all later steps start from it."""
     bounded_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("k", pa.int64()), ("size", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("k", pa.binary()), ("size", pa.int64())])
 
     def run(batches):
         for b in batches:
             n = [len(t.split()) if t else 0 for t in b.column("text").cast(pa.large_binary()).to_pylist()]  # bytes.split() parts at ASCII white space
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source").cast(pa.string()), b.column("k"), pa.array(n, pa.int64())], schema=schema)
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("doc_id", "source", "text").alias("k"), "text")
-    return cut(base.mapInArrow(run, "doc_id long, source string, k long, size long"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _key().alias("k"), "text")
+    return cut(base.mapInArrow(run, "doc_id long, source string, k binary, size long"))
 
 
-def _streams(sized: DataFrame, plan: DataFrame) -> DataFrame:
+def _streams(sized: DataFrame, plan: DataFrame, bits: int) -> DataFrame:
     """sized with src, source_size, target, quota, pos0 and, for each pass that its source needs, at: where the document starts in its source's stream."""
     both = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["name"])).drop("name")
     h = [F.xxhash64(F.lit(s), "k") for s in (11, 23)]
-    passes = both.select("*", F.explode(F.array(*(F.struct(F.lit(p).alias("pass"), h[p].alias("h")) for p in (0, 1)))).alias("p")).select("*", "p.pass", "p.h", F.shiftrightunsigned("p.h", 64 - BUCKET_BITS).alias("bucket")).drop("p")
+    passes = both.select("*", F.explode(F.array(*(F.struct(F.lit(p).alias("pass"), h[p].alias("h")) for p in (0, 1)))).alias("p")).select("*", "p.pass", "p.h", F.shiftrightunsigned("p.h", 64 - bits).alias("bucket")).drop("p")
     passes = passes.where((F.col("pass") == 0) | (F.col("quota") > F.col("source_size")))
     sums = passes.groupBy("src", "pass", "bucket").agg(F.sum("size").alias("b_size"))
     before = sums.select("src", "pass", "bucket", (F.sum("b_size").over(Window.partitionBy("src", "pass").orderBy("bucket")) - F.col("b_size")).alias("b_at"))
@@ -111,7 +118,8 @@ def _prepare(docs: DataFrame, weights, share, most):
 
 
 def _schedule(sized: DataFrame, plan: DataFrame, quotas: list[int], block: int) -> DataFrame:
-    placed = _streams(sized, plan).where((F.col("size") > 0) & (F.col("at") < F.col("quota")))
+    bits = min(MOST_BITS, max(4, (max(quotas, default=0) // BUCKET_WORDS).bit_length()))
+    placed = _streams(sized, plan, bits).where((F.col("size") > 0) & (F.col("at") < F.col("quota")))
     end = F.least(F.col("at") + F.col("size"), F.col("quota"))
     parts = placed.select("doc_id", "k", "src", "pass", "at", end.alias("end"), F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block))).alias("rank"))
     joined = parts.join(slots(sized.sparkSession, quotas, block).hint("merge"), ["src", "rank"], "left")
@@ -143,9 +151,21 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: flo
 
 
 def resample(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix, columns unchanged: each row as often as the mix takes its words, to the nearest whole pass (0, 1 or 2). Documents without words are never taken."""
-    k, copies, i = fresh(docs.columns, "k", "copies", "i")
-    taken = mix(docs, **how).where("size > 0 and taken > 0").groupBy("k").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias(copies))
-    taken = taken.select(F.col("k").alias(k), copies).where(F.col(copies) > 0)
-    keyed = docs.withColumn(k, F.xxhash64("doc_id", "source", "text")).join(taken, k)
-    return keyed.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(i)).drop(i)
+    """The documents of the mix, columns unchanged: each as often as the mix takes its words, to the nearest whole pass (0, 1 or 2).
+
+    A source's stream takes documents whole, pass by pass, up to its target, where it cuts one document in two; only that one is rounded. So a source's words differ from its target by half of one document at most, and the texts need not be cut. Rows that repeat doc_id, source and text come as often as all of them together are taken. Documents without words are never taken.
+    """
+    k, n, copies, i, j = fresh(docs.columns, "k", "n", "copies", "i", "j")
+    taken = mix(docs, **how).where("size > 0").groupBy("k").agg(F.count("*").alias("rows"), F.round(F.sum("taken") / F.max("size")).cast("long").alias("times")).where("times > 0")
+    taken = cut(taken.select(F.col("k").alias(k), F.col("rows").alias(n), F.col("times").alias(copies)))
+    keyed = docs.withColumn(k, _key())
+    out = keyed.join(taken.where(F.col(n) == 1), k)
+    several = taken.where(F.col(n) > 1)
+    if not several.isEmpty():  # one row stands for its repeats, brought together before the shuffle
+        whole = F.struct(*(F.col(c) for c in docs.columns))
+        rows = keyed.join(several, k).groupBy(k).agg(F.first(whole).alias(i), F.first(n).alias(n), F.first(copies).alias(copies))
+        out = out.unionByName(rows.select(k, n, copies, *(F.col(f"{i}.`{c}`").alias(c) for c in docs.columns)))
+    # Two steps, so that no array is long.
+    half = out.withColumn(i, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / 1024))))
+    full = half.withColumn(j, F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(1024).cast("long"), F.col(copies) - F.col(i) * 1024))))
+    return full.select(*docs.columns)

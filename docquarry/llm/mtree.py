@@ -116,7 +116,7 @@ class Page:
         near = distances(qx[live], self.centres)
         least = np.maximum(near - self.radii[None], 0)
         whole = self.v.dtype in (object, np.int64)
-        worst = _LONG.min if whole else -np.inf
+        worst = -int(np.finfo(np.float64).max) if self.v.dtype == object else _LONG.min if whole else -np.inf
         best_s = np.full((len(live), k), worst, dtype=self.v.dtype if whole else np.float64)
         best_i = np.full((len(live), k), _LONG.max)
         best_at = np.full((len(live), k), -1)
@@ -261,7 +261,7 @@ def _search(ints: DataFrame, dim: int, m2: float, n: int, k: int, every: int, pa
         radius = float(np.sqrt(((qx - centre) ** 2).sum(1)).max())
         see = np.flatnonzero((distances(qx, sent.value) - radii[None] <= far[:, None]).any(0))
         names = ["block", "q_centre", "q_radius", "far", "cells", "to_pivot", "queries"]
-        blob = pickle.dumps((own, t.column("query_id").to_numpy(), q, bound))
+        blob = pickle.dumps((own, t.column("query_id").to_numpy(), exact(q, m2), bound))
         return pa.table([pa.array([home << 32 | g]), pa.array([centre.tobytes()], pa.binary()), pa.array([radius]), pa.array([float(far.max())]), pa.array([see.tolist()], pa.list_(pa.int32())), pa.array([distances(centre[None], sent.value)[0][see].tolist()], pa.list_(pa.float64())), pa.array([blob], pa.binary())], names)
 
     blocks = cut(both.groupBy("home", "g").applyInArrow(visit, "block long, q_centre binary, q_radius double, far double, cells array<int>, to_pivot array<double>, queries binary"))
@@ -280,11 +280,13 @@ def _search(ints: DataFrame, dim: int, m2: float, n: int, k: int, every: int, pa
             for node, queries in zip(b.column("node").to_pylist(), b.column("queries").to_pylist(), strict=True):
                 p = pickle.loads(node)
                 own, qid, q, bound = pickle.loads(queries)
+                q = q.astype(np.float64)
                 for s in range(0, len(own), BLOCK):
                     e = s + BLOCK
                     at, row, ids, score = p.search(own[s:e], q[s:e], bound[s:e], k, m2)
                     yield pa.RecordBatch.from_arrays([pa.array(own[s:e][at]), pa.array(qid[s:e][at]), pa.array(row), pa.array(ids), pa.array(score)], ["query_row", "query_id", "row", "vec_id", "score"])
 
     pairs = near.mapInArrow(meets, "block long, page long")
-    shipped = pairs.join(nodes.select("page", "node"), "page").join(blocks.select("block", "queries"), "block").repartition("page", "block")
+    # Blocks are smaller than pages, so they travel to the pages.
+    shipped = pairs.join(blocks.select("block", "queries"), "block").repartition("page").join(nodes.select("page", "node"), "page")
     return shipped.select("node", "queries").mapInArrow(meet, "query_row long, query_id long, row long, vec_id long, score long")

@@ -2,7 +2,7 @@
 
 A word is looked up in four embedding tables, by two hashes of the word and by hashes of its first four and five letters, and the parts are joined: a rare word seldom shares all parts with a toxic one, and an inflected or compound form shares the last two with its stem. Filters of each width slide over the words of the whole text, the largest activation of each filter over the text is kept, and a logistic layer scores them. Scores see the text alone. Thresholds by language are calibrated afterwards and only turn scores into decisions.
 
-Nulls and empty texts score as texts without words. A document is never cut: long texts only fill larger batches. Rows that repeat get the same score. Extra columns are ignored by ``score`` and passed through by ``keep``.
+Nulls and empty texts score as texts without words. A document is never cut: filters slide over all its words, in windows that overlap where a text is very long. Rows that repeat get the same score. Extra columns are ignored by ``score`` and passed through by ``keep``.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ BITS, PART, WIDTHS, FILTERS = 16, 6, (1, 2, 3), 12
 PREFIXES = (4, 5)
 TABLES = 2 + len(PREFIXES)
 HELD_MOD, HELD = 4, 2
+#: Words of a very long text whose activations are held at once.
+WINDOW = 1 << 18
 
 
 @dataclass
@@ -88,7 +90,13 @@ def token_ids(texts: list[str]):
 
 
 def chance(model: Model, ids: list, n: np.ndarray) -> np.ndarray:
-    h, _, _ = model.pooled(ids, n)
+    if len(n) == 1 and n[0] > WINDOW:
+        # The largest activation over a text is the largest over windows of it; a window is followed by the words that its last filters reach.
+        pad = max(WIDTHS) - 1
+        parts = [model.pooled([x[s : s + WINDOW + pad] for x in ids], np.array([min(WINDOW, n[0] - s)]))[0] for s in range(0, int(n[0]), WINDOW)]
+        h = np.maximum.reduce(parts)
+    else:
+        h, _, _ = model.pooled(ids, n)
     return 1 / (1 + np.exp(-np.clip(h @ model.w + model.b, -30, 30)))
 
 

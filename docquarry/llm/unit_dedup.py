@@ -1,6 +1,8 @@
-"""Substring dedup by hashing units of lines: normalised units are grouped by digest over the whole corpus, the earliest keeps its place, the others are removed; original offsets are retained.
+"""Substring dedup by hashing lines, paragraphs or parts of lines: normalised units are grouped by digest over the whole corpus, the earliest keeps its place, the others are removed; original offsets are retained.
 
-Lines are cut further at punctuation and after some words chosen by their hash, so that a passage is found wherever in a line it was put. A unit has at least UNIT_WORDS words and ends at the first such place after them. Where units start depends on what stands before, but soon no more, so the units of a shared passage agree after its first ones. A unit is normalised by case folding and by joining its words with single spaces.
+``unit`` says what is hashed: "line", each line with a word; "paragraph", the lines between two that are blank; "part" (the default), lines cut further, as a passage that was put in the middle of a line is in no whole line or paragraph that another text has. Units are normalised by case folding and by joining their words with single spaces.
+
+In parts, lines are cut further at punctuation and after some words chosen by their hash, so that a passage is found wherever in a line it was put. A unit has at least UNIT_WORDS words and ends at the first such place after them. Where units start depends on what stands before, but soon no more, so the units of a shared passage agree after its first ones.
 A line of fewer words is a unit of its own, so a short line that is repeated goes whatever stands around it, and a short text is its lines. What is left after the last unit before such a line or the end of the text is too little to be told by itself: it counts together with the unit before it, and goes where both are repeated. So a copy of a whole text goes as a whole.
 
 Ranks are by doc_id, nulls last, then by a digest of doc_id and text, then by place. Rows that repeat doc_id and text are one document and get one result. Null and empty texts have no units. Digests have 128 bits. Units that repeat within a batch are brought together before the shuffle, so a frequent unit reaches its group once a batch. Extra columns are ignored.
@@ -8,6 +10,7 @@ Ranks are by doc_id, nulls last, then by a digest of doc_id and text, then by pl
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -17,9 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, bounded_batches, texts_of
+from ._common import WORD, bounded_batches, buckets_of, texts_of
 
 UNIT_WORDS = 6
+UNITS = ("part", "line", "paragraph")
+LINE, PARAGRAPH = re.compile(r"[^\n]+"), re.compile(r"(?:[^\n]*[^\x20\x09-\x0D][^\n]*(?:\n|$))+")
 #: One word in CUT ends a unit where punctuation does not.
 CUT, PUNCTUATION = 4, ".!?,;:"
 UNIT = np.dtype([("d1", "<u8"), ("d2", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("end", "<u4"), ("flag", "u1")])
@@ -33,8 +38,14 @@ def _cuts(word: str) -> bool:
     return word[-1] in PUNCTUATION or zlib.crc32(word.casefold().encode()) % CUT == 0
 
 
-def units(text: str, least: int = UNIT_WORDS) -> list[tuple[int, int, str]]:
+def units(text: str, least: int = UNIT_WORDS, unit: str = "part") -> list[tuple[int, int, str]]:
     """(start, end, normalised unit) of a text, in code points; end leaves out white space at the end."""
+    if unit not in UNITS:
+        raise ValueError(f"unit must be one of {', '.join(UNITS)}")
+    if unit != "part":
+        pattern = LINE if unit == "line" else PARAGRAPH
+        found = [list(WORD.finditer(text, *m.span())) for m in pattern.finditer(text)]
+        return [(ws[0].start(), ws[-1].end(), " ".join(w.group() for w in ws).casefold()) for ws in found if ws]
     out, start, end, words, at = [], 0, 0, [], 0
     # None is the end of the text.
     for line in [*text.split("\n"), None]:
@@ -91,11 +102,11 @@ def _settle(x: np.ndarray, ids: np.ndarray, keys: np.ndarray):
 _KEY = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
-def spans(docs: DataFrame, least: int = UNIT_WORDS) -> DataFrame:
+def spans(docs: DataFrame, least: int = UNIT_WORDS, unit: str = "part") -> DataFrame:
     """key, packs: for each document with removed units, their (start << 31 | end)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = buckets_of(docs)
 
     def deal(batches):
         digest = xxhash.xxh3_128_digest
@@ -104,7 +115,7 @@ def spans(docs: DataFrame, least: int = UNIT_WORDS) -> DataFrame:
             texts = texts_of(b.column("text"))
             d, doc, at = [], [], []
             for i, t in enumerate(texts):
-                for s, e, u in units(t, least):
+                for s, e, u in units(t, least, unit):
                     d.append(digest(u))
                     doc.append(i)
                     at.append((s, e))
@@ -154,9 +165,11 @@ def spans(docs: DataFrame, least: int = UNIT_WORDS) -> DataFrame:
     return found.groupBy("key").agg(F.array_sort(F.collect_set("pack")).alias("packs"))
 
 
-def dedup(docs: DataFrame, least: int = UNIT_WORDS, texts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, least: int = UNIT_WORDS, texts: bool = False, unit: str = "part") -> DataFrame:
     """doc_id, n_chars, n_removed (code points), n_units (removed), spans (start, end) for every document; with ``texts`` also kept, the text that is left."""
-    found = spans(docs, least)
+    if unit not in UNITS:
+        raise ValueError(f"unit must be one of {', '.join(UNITS)}")
+    found = spans(docs, least, unit)
 
     def name(batches):
         for b in batches:

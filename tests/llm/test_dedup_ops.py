@@ -143,6 +143,34 @@ def test_unit_dedup_equals_brute_force(docs, rows):
     assert all(len(r.kept) == r.n_chars - r.n_removed for r in got)
 
 
+@pytest.mark.parametrize("unit", ["line", "paragraph"])
+def test_line_and_paragraph_dedup_equal_brute_force(spark, unit):
+    rng = random.Random(5)
+    lines = ["One line", "one  LINE ", "", "  ", "another", "é x", "last"]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(0, 12))) for _ in range(60)] + [None, "", "\n"]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        kept, block = [], []
+        for x in [*(t or "").split("\n"), ""]:
+            if unit == "line":
+                block = [x]
+            elif x.strip():
+                block.append(x)
+                continue
+            key = " ".join(" ".join(block).casefold().split())
+            if key and key not in seen:
+                kept.append(key)
+            seen.add(key)
+            block = []
+        want[i] = kept
+    got = unit_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), unit=unit, texts=True).collect()
+    for r in got:
+        left = [" ".join(x.casefold().split()) for x in (r.kept.split("\n") if unit == "line" else r.kept.replace("\n  \n", "\n\n").split("\n\n"))]
+        assert " ".join(" ".join(left).split()) == " ".join(want[r.doc_id])
+    with pytest.raises(ValueError):
+        unit_dedup.dedup(spark.createDataFrame([], "doc_id long, text string"), unit="word")
+
+
 def test_units_agree_inside_other_text():
     passage = prose(random.Random(8), 120).replace("\n", " ")
     inside = {u for _, _, u in unit_dedup.units("lead in " + passage + " and out again with more words")}

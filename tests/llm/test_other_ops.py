@@ -64,6 +64,49 @@ def test_schedule_interleaves_and_covers_each_word_once_a_pass(docs):
     assert (early - s.src.value_counts(normalize=True)).abs().max() < 0.12
 
 
+def test_mix_equals_brute_force(spark, docs, rows):
+    """The schedule made anew in plain loops: streams of both passes, golden-ratio points, ranks, blocks."""
+    block, golden = 16, 0x9E3779B97F4A7C15
+    base = mixing._sizes(docs).select("*", F.xxhash64(F.lit(11), "k").alias("h0"), F.xxhash64(F.lit(23), "k").alias("h1")).collect()
+    names = sorted({r.source for r in base if r.source is not None}) + [None]
+    sizes = {s: sum(r["size"] for r in base if r.source == s) for s in names}
+    want = mixing.targets(sizes)
+    quota = {s: min(int(want[s] + 0.5), 2 * sizes[s]) for s in names}
+    need = [-(-quota[s] // block) for s in names]
+    edges = [min(int(sum(map(float, need[: i + 1])) / sum(need) * 2.0**64), 2**64 - 1) for i in range(len(need) - 1)]
+    ranked = collections.defaultdict(list)
+    for i in range(sum(need)):
+        point = (i + 1) * golden % 2**64
+        ranked[sum(point >= e for e in edges)].append(i)
+    parts = []
+    for n, s in enumerate(names):
+        at = 0
+        for p, h in enumerate(("h0", "h1")):
+            # Spark cuts streams by the leading bits of the hash as an unsigned number, then orders by it as a signed one.
+            own = sorted((r for r in base if r.source == s), key=lambda r: ((r[h] % 2**64) >> 60, r[h], str(r.doc_id), r.k))  # noqa: B023
+            for r in own:
+                end = min(at + r["size"], quota[s])
+                while at < end:
+                    rank = at // block
+                    stop = min((rank + 1) * block, end)
+                    parts.append((ranked[n][rank] if rank < len(ranked[n]) else rank + sum(need), n, rank, r.doc_id, p, stop - at))
+                    at = stop
+                at = max(at, end)
+    got = [(r.slot, r.src, r["rank"], r.doc_id, r["pass"], r.to_word - r.from_word) for r in mixing.schedule(docs, block=block).collect()]
+    assert sorted(got, key=str) == sorted(parts, key=str)
+
+
+def test_resample_meets_targets_to_half_a_document(docs, rows):
+    got, sizes = collections.Counter(), collections.Counter()
+    for _, t, _, s in rows:
+        sizes[s] += len((t or "").split())
+    for r in mixing.resample(docs, block=16).collect():
+        got[r.source] += len(r.text.split())
+    for s, want in mixing.targets(dict(sizes)).items():
+        longest = max(len((t or "").split()) for _, t, _, x in rows if x == s)
+        assert abs(got[s] - want) <= longest / 2 + 1
+
+
 def test_resample_keeps_columns(docs, nothing):
     out = mixing.resample(docs, block=16)
     assert out.columns == docs.columns and out.where("text is null or text = ''").count() == 0
@@ -156,12 +199,22 @@ def test_search_equals_brute_force_at_every_size(spark, size):
     assert sorted(tuple(r) for r in mtree.search(df, k=7, page=50).collect()) == _brute_force(rows, 7)
 
 
+def test_windows_of_very_long_texts_change_no_score(monkeypatch):
+    rng = np.random.default_rng(1)
+    m = toxicity.Model([rng.normal(size=(1 << toxicity.BITS, toxicity.PART)).astype(np.float32) for _ in range(toxicity.TABLES)], [(rng.normal(size=(w, toxicity.TABLES * toxicity.PART, toxicity.FILTERS)).astype(np.float32), np.zeros(toxicity.FILTERS, np.float32)) for w in toxicity.WIDTHS], rng.normal(size=toxicity.FILTERS * len(toxicity.WIDTHS)).astype(np.float32) / 50, 0.0)
+    text = " ".join(f"w{i * i % 211}" for i in range(1000))
+    whole = toxicity.scores(m, [text])
+    for window in (1, 7, 333):
+        monkeypatch.setattr(toxicity, "WINDOW", window)
+        assert np.allclose(toxicity.scores(m, [text]), whole, atol=1e-5)
+
+
 def test_search_leaves_out_what_is_no_vector(spark):
     rows = [*_search_rows(), (520, [1.0, 2.0]), (521, [0.5, 0.25]), (540, [1e9, 0.0]), (541, [1.0, 0.0])]
     odd = [(None, [1.0] * 8), (500, None), (501, [float("nan")] * 8), (502, [None] + [1.0] * 7), (503, [float("inf")] * 8), (504, []), (560, [1e307] * 8)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
     got = sorted(tuple(r) for r in mtree.search(df, k=7, page=50).collect())
-    assert got == _brute_force(rows, 7) and (540, 1, 541, 4096000000000) in got
+    assert got == _brute_force(rows, 7) and (540, 2, 541, 4096000000000) in got
     assert mtree.search(df.limit(0)).count() == 0
 
 
@@ -181,6 +234,7 @@ def encoding():
 def test_encode_equals_plain_encoding(spark, docs, rows, nothing, encoding):
     codec, plain = encoding
     extra = [(1000, "word " * 9000, "en", "s"), (1001, "q" * 3000 + " é\n\n  " * 700, "en", "s"), (1002, "<|endoftext|>'s 12  x", "en", "s")]
+    extra += [extra[1], extra[1], (None, extra[0][1]), (1003, extra[0][1])]
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([r[:2] for r in extra], "doc_id long, text string"))
     got = bpe.encode(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, chunk=1000, overlap=64).collect()
     want = [(i, tuple(plain.encode_ordinary(t or "")), (t or "").encode()) for i, t, *_ in [*rows, *extra]]
@@ -191,9 +245,23 @@ def test_encode_equals_plain_encoding(spark, docs, rows, nothing, encoding):
 def test_stitching_of_chunks(encoding):
     codec, _ = encoding
     rng = random.Random(1)
-    parts = ["a", "b", " ", "  ", "\n", "'s", "1", "!!", "é", " the", "\t", "x" * 40, " " * 30]
-    for _ in range(400):
+    parts = ["a", "b", " ", "  ", "\n", "'s", "'ll", "'re", "'ve", "'", "1", "!!", "é", " the", "\t", "x" * 40, " " * 30]
+    for _ in range(1500):
         t = "".join(rng.choice(parts) for _ in range(rng.randint(1, 60)))
-        c, o = rng.choice([3, 5, 8, 16]), rng.choice([1, 2, 4, 8])
+        c, o = rng.choice([3, 5, 8, 16]), rng.choice([4, 5, 8])
         chunks = [(s, t[s : s + c + o], codec.boundaries(t[s : s + c + o], s + c + o >= len(t))) for s in range(0, len(t), c)]
         assert codec.stitch(chunks) == codec.match.findall(t)
+
+
+def test_merges_equal_the_library(encoding):
+    codec, plain = encoding
+    rng = random.Random(4)
+    for k in range(600):
+        raw = "".join(rng.choice(["the", "ing", "q", "é", "x" * 9, "  ", "1", "日", "ab", "er"]) for _ in range(rng.randint(1, 12 if k % 3 else 90))).encode()
+        assert codec.merge(raw) == codec._merge_long(raw) if codec.ranks.get(raw) is None else True
+        assert codec.merge(raw) == plain._encode_single_piece(raw)
+
+
+def test_short_overlaps_are_refused(docs):
+    with pytest.raises(ValueError):
+        bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, overlap=1)
