@@ -255,7 +255,8 @@ def _search(ints: DataFrame, dim: int, m2: float, n: int, k: int, every: int, pa
             at, _, _, score = pickle.loads(node).search(own, q, bound, k, m2)
             kth = np.full(len(own), np.inf)
             np.minimum.at(kth, at, _below(score))
-            bound = np.where(np.bincount(at, minlength=len(own)) >= k, kth, bound)
+            # A k-th score that was clipped from below bounds nothing.
+            bound = np.where((np.bincount(at, minlength=len(own)) >= k) & (kth > float(_LONG.min)), kth, bound)
         qx, far = flat(q), reach(q, bound, m2)
         centre = qx.mean(0)
         radius = float(np.sqrt(((qx - centre) ** 2).sum(1)).max())
