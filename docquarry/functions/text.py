@@ -5,7 +5,9 @@ Accents are removed from the Latin letters in ACCENTED by translate(), which sta
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -71,6 +73,20 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(unaccent(c), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+_PLAIN = str.maketrans(_PAIRS)
+_TOKEN = re.compile("[a-z0-9]+")
+
+
+def tokens_of(t: str | None) -> list[str]:
+    """The same as ``tokens``, for operators that work on batches in Python."""
+    return _TOKEN.findall(t.lower().translate(_PLAIN)) if t else []
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def eval_tokens(c: Column) -> Column:
     """Tokens for measurement: as ``tokens``, after thousands separators between digits are dropped."""
     return F.regexp_extract_all(F.regexp_replace(unaccent(c), r"(?<=\d)[\s ,](?=\d{3}\b)", ""), F.lit("[a-z0-9]+"), F.lit(0))
@@ -206,3 +222,77 @@ def holds_words(answer: Column, expected: Column) -> Column:
 def location(label: Column, page: Column, section: Column) -> Column:
     """Where a passage stands: label, page, section, as far as known."""
     return F.concat_ws(", ", label, F.concat(F.lit("page "), page.cast("string")), F.nullif(F.trim(section), F.lit("")))
+
+
+@F.pandas_udf(T.StringType())
+def compatible(s: pd.Series) -> pd.Series:
+    """Unicode compatibility form (NFKC); no built-in function makes it."""
+    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def normal_text(c: Column, accents: bool = False, lower: bool = True, joiners: bool = True, punctuation: bool = True) -> Column:
+    """Text for comparison, each step by choice: without accents and case, hyphens and underscores as spaces, punctuation as spaces; white space collapsed."""
+    out = F.lower(c) if lower else c
+    if not accents:
+        low = F.translate(out, "".join(_PAIRS), "".join(_PAIRS.values()))
+        out = low if lower else F.translate(low, "".join(_PAIRS).upper(), "".join(_PAIRS.values()).upper())
+    if joiners:
+        out = F.regexp_replace(out, "[-_]+", " ")
+    if punctuation:
+        out = F.regexp_replace(out, r"[^\p{L}\p{M}\p{N}_\s-]", " ")
+    return collapse(out)
+
+
+def document_citations(c: Column) -> Column:
+    """Citations [D2S1] of several documents, once each, in order."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"\[(D\d+S\d+)\]"), F.lit(1)))
+
+
+def split_citations(found: Column, allowed: Column) -> Column:
+    """struct(valid, invalid) of citations, both in the order given."""
+    return F.struct(F.filter(found, lambda x: F.array_contains(allowed, x)).alias("valid"), F.filter(found, lambda x: ~F.array_contains(allowed, x)).alias("invalid"))
+
+
+def keep_document_citations(c: Column, allowed: Column) -> Column:
+    """The text without [DkSj] outside ``allowed``; runs of white space collapse where something may have gone."""
+    bad = F.array_except(document_citations(c), allowed)
+    gone = F.aggregate(bad, c, lambda t, s: F.replace(t, F.concat(F.lit("["), s, F.lit("]")), F.lit("")))
+    return F.trim(F.regexp_replace(gone, r"\s{2,}", " "))
+
+
+def cited_items(items: Column, allowed: Column) -> Column:
+    """Items of a list that cite something allowed, without their other citations."""
+    return F.transform(F.filter(items, lambda x: F.arrays_overlap(document_citations(x), allowed)), lambda x: keep_document_citations(x, allowed))
+
+
+def first_spellings(values: Column, key: Callable[[Column], Column] = unaccent) -> Column:
+    """Distinct values of an array by a key, collapsed, empty ones dropped; the first spelling of each key stays."""
+    clean = F.filter(F.transform(values, collapse), lambda x: x != "")
+    start = F.expr("cast(named_struct('keys', array(), 'out', array()) as struct<keys:array<string>,out:array<string>>)")
+    step = lambda s, x: let(key(x), lambda k: F.when(F.array_contains(s["keys"], k), s).otherwise(F.struct(F.array_append(s["keys"], k).alias("keys"), F.array_append(s["out"], x).alias("out"))))
+    return F.aggregate(clean, start, step, lambda s: s["out"])
+
+
+def keywords(values: Column) -> Column:
+    """Keywords without repeats that differ in case, accents or white space only."""
+    return first_spellings(values)
+
+
+def line_print(c: Column) -> Column:
+    """What tells a line of a table from another: no bars, white space collapsed, lower case."""
+    return F.lower(collapse(F.replace(c, F.lit("|"), F.lit(" "))))
+
+
+def title_text(c: Column) -> Column:
+    """A heading without its leading signs."""
+    return F.trim(F.regexp_replace(c, "^[#\\s]+", ""))
+
+
+def comparable(c: Column) -> Column:
+    """An answer for comparison: tokens for measurement, parted by one space."""
+    return F.array_join(eval_tokens(c), " ")
+
+
+def source_identity(*parts: Column) -> Column:
+    """Names of a source's document in one lower-case text, parted by bars; empty parts are left out."""
+    return F.lower(F.concat_ws(" | ", *(F.nullif(F.trim(p), F.lit("")) for p in parts)))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import values
+
 # Column names that hold a facet of a document's identity, in the order of preference.
 FACETS = {
     "document_id": ("doc_id", "document_id", "id_document", "identifiant"),
@@ -53,7 +55,7 @@ def condition(df: DataFrame, criteria: dict, profile: Profile | None = None) ->
             for op, bound in want.items():
                 if bound is not None:
                     b = F.lit(bound)
-                    out = out & RANGE[op](c, b.cast("timestamp_ntz") if isinstance(bound, str) and "-" in bound else b)
+                    out = out & RANGE[op](c, b.cast("timestamp_ntz") if isinstance(bound, str) and "-" in bound[1:] else b)
         elif isinstance(want, (list, tuple, set, frozenset)):
             values = [v for v in want if v is not None]
             out = out & (F.arrays_overlap(c, F.array(*map(F.lit, values))) if kinds[name].startswith("array") else c.isin(values))
@@ -68,12 +70,105 @@ def select(df: DataFrame, criteria: dict, profile: Profile | None = None) -> Dat
 
 
 def facet(df: DataFrame, name: str) -> Column:
-    """The first non-empty of a facet's columns, as trimmed text; null if the table has none."""
-    found = [F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in FACETS[name] if c in df.columns]
+    """The first non-empty of a facet's columns, as trimmed text (the elements of a list parted by a space); null if the table has none."""
+    kinds = dict(df.dtypes)
+
+    def one(c: str) -> Column:
+        if not kinds[c].startswith("array"):
+            return F.trim(F.col(c).cast("string"))
+        return F.array_join(F.filter(F.transform(F.col(c).cast("array<string>"), lambda x: F.trim(x)), lambda x: x != ""), " ")
+
+    found = [F.nullif(one(c), F.lit("")) for c in catalogue_columns(df, name)]
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
+def catalogue_columns(df: DataFrame, *names: str) -> list[str]:
+    """The columns of a table that a catalogue of its documents reads: those of the facets given (all by default), in the order of preference."""
+    return [c for n in names or FACETS for c in FACETS[n] if c in df.columns]
+
+
 def identities(df: DataFrame) -> DataFrame:
     """One identity card for each document: id, file name, source, title, years; the first row of an id wins by its other columns."""
     cards = df.select(F.coalesce(facet(df, "document_id"), facet(df, "file_name"), facet(df, "source")).alias("document_id"), *(facet(df, n).alias(n) for n in ("file_name", "source", "title", "year")))
     return cards.where("document_id is not null").groupBy("document_id").agg(*(F.min(n).alias(n) for n in ("file_name", "source", "title", "year")))
+
+
+# Columns of a passage that any profile may filter, and how their values are read.
+TECHNICAL = {"category": "category", "ocr": "boolean", "page": "integer", "chunk_index": "integer", "doc_id": "id", "source": "id", "file_name": "id", "content_hash": "id"}
+#: Columns that name a document, in the order in which a filter on them sets the scope of a search.
+SCOPE = ("doc_id", "file_name", "source")
+
+
+def _read(spark: SparkSession, wanted: list[tuple[object, str]]) -> list[object]:
+    """Values as their declared types, by the same expressions that read columns; one job over one row."""
+    if not wanted:
+        return []
+    row = spark.range(1).select(*(values.typed(F.lit(None if v is None else str(v)), kind.removeprefix("list[").removesuffix("]")).alias(f"c{i}") for i, (v, kind) in enumerate(wanted))).first()
+    return list(row)
+
+
+def normalize(spark: SparkSession, criteria: dict, profile: Profile, categories: tuple[str, ...] = ()) -> dict:
+    """Criteria with values of the declared types: technical columns by their fixed kinds, declared fields by the profile. A null criterion is dropped.
+
+    An unknown field, category or bound, a range on a field that has no order (only dates, numbers and integers have), or a value that cannot be read is an error. Of a list, values that cannot be read are dropped unless none is left; for technical columns each must be readable.
+    """
+    out: dict = {}
+    for name, want in criteria.items():
+        if want is None:
+            continue
+        technical = name in TECHNICAL
+        kind = TECHNICAL[name] if technical else profile.fields.get(name)
+        if kind is None or not (technical or name in profile.filterable):
+            raise ValueError(f"no filter on {name!r}")
+        if isinstance(want, dict):
+            if kind not in ("integer", "number", "date") or not want or set(want) - set(RANGE):
+                raise ValueError(f"no range {want!r} on {name!r} of type {kind}")
+            got = _read(spark, [(v, kind) for v in want.values()])
+            if None in got:
+                raise ValueError(f"no value of type {kind} in {want!r} for {name!r}")
+            out[name] = dict(zip(want, got, strict=True))
+            continue
+        listed = isinstance(want, (list, tuple, set, frozenset))
+        given = list(want) if listed else [want]
+        if kind in ("id", "category"):
+            got = [t for t in (str(v).strip() for v in given) if t]
+            if kind == "category" and set(got) - set(categories):
+                raise ValueError(f"unknown category in {got!r}; there are {', '.join(categories) or 'none'}")
+        else:
+            got = _read(spark, [(v, kind) for v in given])
+            if None in got and (technical or not listed):
+                raise ValueError(f"no value of type {kind} in {want!r} for {name!r}")
+            got = list(dict.fromkeys(v for v in got if v is not None))
+        if not got:
+            raise ValueError(f"no usable value in {want!r} for {name!r}")
+        out[name] = got if listed else got[0]
+    return out
+
+
+def document_scope(criteria: dict) -> tuple[str, tuple[str, ...]]:
+    """The column and values by which criteria restrict a search to documents: doc_id, else file_name, else source; empty if none does."""
+    for name in SCOPE:
+        want = criteria.get(name)
+        given = [want] if isinstance(want, str) else list(want) if isinstance(want, (list, tuple)) else []
+        if found := tuple(t for t in (str(v).strip() for v in given) if t):
+            return name, found
+    return "", ()
+
+
+def argument_type(kind: str) -> T.DataType:
+    """Type of a search argument for a field: a range for what has an order, a list of values for the rest."""
+    base = Profile.TYPES[kind[5:-1] if kind.startswith("list[") else kind]
+    if kind in ("number", "integer", "date"):
+        return T.StructType([T.StructField(op, base) for op in RANGE] + [T.StructField("values", T.ArrayType(base))])
+    return T.ArrayType(base)
+
+
+def argument_schema(profile: Profile) -> T.StructType:
+    """Arguments of a search over a profile: the question, how many passages, and one argument for each field that may be filtered."""
+    fixed = [T.StructField("query", T.StringType(), False), T.StructField("top_k", T.IntegerType())]
+    return T.StructType(fixed + [T.StructField(n, argument_type(k)) for n, k in sorted(profile.fields.items()) if n in profile.filterable])
+
+
+def index_type(kind: str) -> str:
+    """How a field is looked up in a point table: by ranges, by value, or by words."""
+    return {"number": "range", "integer": "range", "date": "range", "boolean": "value"}.get(kind, "value")

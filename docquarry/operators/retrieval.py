@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import arrays, text
 from ..session import ship, spread
 
-#: Query rows that are broadcast at once; more are worked through in further rounds.
-QUERY_BLOCK = 1024
+#: Queries of a block, documents or points of a page: what one step of a search holds at once.
+QUERY_BLOCK, PAGE = 64, 2048
 
 
 def best(scored: DataFrame, k: int, by: str = "qid", score: str = "score", tie: str = "doc_id", rank: str = "rank") -> DataFrame:
@@ -35,63 +38,172 @@ def idf(counts: DataFrame, n_docs: Column | int) -> DataFrame:
     return counts.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.log(1 + F.greatest(n, F.lit(1)) / (1 + F.col("df"))))
 
 
-def lexical(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
-    """(qid, doc_id, score, rank): sum of the idf of the distinct query tokens that a document has.
+def _packed(df: DataFrame, blob: str, pack, most: int) -> DataFrame:
+    """df as blobs of at most ``most`` rows, made batch by batch without a shuffle; ``pack`` turns a record batch into what is pickled."""
+
+    def run(batches):
+        for b in batches:
+            for s in range(0, b.num_rows, most):
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(pack(b.slice(s, most)))], pa.binary())], [blob])
+
+    return df.mapInArrow(run, f"{blob} binary")
+
+
+def _meet(pages: DataFrame, blocks: DataFrame, score, schema: str) -> DataFrame:
+    """``score`` (a page's and a block's content to columns) for every page and block. Blocks of a stated query set against all rows: the planner sends the blocks to the pages where they are small, and else pairs partitions."""
+
+    def run(batches):
+        for b in batches:
+            for x, y in zip(b.column("page").to_pylist(), b.column("block").to_pylist(), strict=True):
+                got = score(pickle.loads(x), pickle.loads(y))
+                if len(got[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names)
+
+    names = [x.split()[0] for x in schema.split(", ")]
+    return pages.crossJoin(blocks).mapInArrow(run, schema)
+
+
+def _pages_of_tokens(docs: DataFrame) -> DataFrame:
+    """Documents as pages: ids, vocabulary, and each document's distinct tokens as numbers into it."""
+
+    def pack(b: pa.RecordBatch):
+        number: dict[str, int] = {}
+        codes = [np.unique(np.array([number.setdefault(t, len(number)) for t in text.tokens_of(x)], np.int64)) for x in b.column("text").to_pylist()]
+        return b.column("doc_id").to_numpy(zero_copy_only=False), list(number), np.array([len(c) for c in codes], np.int64), np.concatenate(codes or [np.zeros(0, np.int64)]).astype(np.int32)
+
+    return _packed(docs.select("doc_id", "text"), "page", pack, PAGE)
+
+
+def _held_words(k: int):
+    """Scores a page of documents for a block of queries: the units of a query's tokens that a document has, the k best for each query."""
+
+    def score(page, block):
+        ids, vocabulary, lengths, codes = page
+        qids, sizes, toks, units = block
+        column = {t: i for i, t in enumerate(dict.fromkeys(toks))}
+        place = np.array([column.get(t, -1) for t in vocabulary], np.int64)
+        hit = place[codes] >= 0 if len(codes) else np.zeros(0, bool)
+        doc = np.repeat(np.arange(len(ids)), lengths)[hit]
+        have = np.zeros((len(ids), len(column)))
+        have[doc, place[codes[hit]]] = 1
+        weight = np.zeros((len(column), len(qids)))
+        weight[[column[t] for t in toks], np.repeat(np.arange(len(qids)), sizes)] = units
+        s = (have @ weight).T.astype(np.int64)  # whole units, exact below 2^53
+        top = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+        row = np.repeat(np.arange(len(qids)), top.shape[1])
+        got = s[row, top.ravel()]
+        keep = got > 0
+        return np.array(qids)[row][keep], ids[top.ravel()][keep].astype(np.int64), got[keep]
 
-    Only query tokens leave the scan; pairs meet by token, so work follows the postings of query tokens.
+    return score
+
+
+def by_words(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(qid, doc_id, units): the k documents of most units for each query (at least) and page; asked (qid, token, units) are the distinct tokens of queries with whole weights.
+
+    A document is scored in its own row against blocks of queries, so no postings are shuffled; what leaves a page is k rows a query.
     """
+    ship(docs.sparkSession)
+    grouped = asked.groupBy("qid").agg(F.collect_list(F.struct("token", "units")).alias("ts")).select("qid", "ts.token", "ts.units")
+
+    def pack(b: pa.RecordBatch):
+        toks, units = b.column("token").to_pylist(), b.column("units").to_pylist()
+        return b.column("qid").to_pylist(), [len(t) for t in toks], [x for t in toks for x in t], [x for t in units for x in t]
+
+    return _meet(_pages_of_tokens(docs), _packed(grouped, "block", pack, QUERY_BLOCK), _held_words(k), "qid long, doc_id long, units long")
+
+
+def document_frequencies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(token, df) of the wanted tokens: counted within batches, reduced to the wanted ones, then summed."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            n: Counter = Counter()
+            for t in b.column("text").to_pylist():
+                n.update(set(text.tokens_of(t)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["token", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "token string, n long")
+    return counted.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.sum("n").alias("df"))
+
+
+def lexical(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
+    """(qid, doc_id, score, rank): sum of the idf of the distinct query tokens that a document has; idf = ln(1 + N / (1 + df))."""
+    docs = spread(docs.select("doc_id", "text"))
     asked = queries.select("qid", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
-    # A document's distinct tokens are known within its row, so nothing has to be counted; only postings of query tokens leave the scan.
-    have = spread(docs.select("doc_id", "text")).select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
-    counts = have.join(asked.select("token").distinct(), "token", "left_semi")
     n = docs.select(F.count("*").alias("n"))
-    weights = counts.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("token", F.log(1 + F.greatest("n", F.lit(1)) / (1 + F.col("df"))).alias("idf"))
-    scored = asked.join(weights, "token").join(counts, "token").groupBy("qid", "doc_id").agg(F.sum(F.round(F.col("idf") * 1e9).cast("long")).alias("units"))
-    return best(scored.select("qid", "doc_id", (F.col("units") / 1e9).alias("score")), k)
+    weights = document_frequencies(docs, asked).crossJoin(F.broadcast(n)).select("token", F.round(F.log(1 + F.greatest("n", F.lit(1)) / (1 + F.col("df"))) * 1e9).cast("long").alias("units"))
+    found = by_words(asked.join(weights, "token"), docs, k)
+    return best(found.select("qid", "doc_id", (F.col("units") / 1e9).alias("score")), k)
 
 
 def dense(queries: DataFrame, points: DataFrame, k: int = 20, metric: str = "cosine") -> DataFrame:
     """(qid, doc_id, score, rank): exact nearest points by cosine, dot or euclid (negative distance); scores round to nine places, ties by doc_id.
 
-    Queries (qid, vector) go in blocks of about QUERY_BLOCK rows, which bounds what is broadcast; each block meets the points (doc_id, vector) batch by batch in one matrix product and keeps k a query and batch.
+    Queries (qid, vector) in blocks meet points (doc_id, vector) in pages, each pair in one matrix product; k rows a query leave a page. Only vectors of one dimension are compared; null vectors take no part.
     """
-    spark = points.sparkSession
-    ship(spark)
-    rows = queries.where("vector is not null").select("qid", "vector")
-    n = rows.count()
-    blocks = 1 if n <= QUERY_BLOCK else -(-n * 5 // (QUERY_BLOCK * 4))  # a hash deals queries, so blocks are filled to four fifths on average
-    numbered = rows.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-    out = None
-    for block in range(blocks):
-        got = numbered.where(F.col("block") == block).select("qid", "vector").toArrow()
-        if not got.num_rows and out is not None:
-            continue
-        ids = np.array(got.column("qid").to_pylist(), np.int64)
-        q = np.array(got.column("vector").to_pylist(), np.float64).reshape(len(ids), -1)
-        sent = spark.sparkContext.broadcast((ids, q))
-
-        def run(batches, sent=sent):
-            ids, q = sent.value
-            for b in batches:
-                keep = [i for i, v in enumerate(b.column("vector").to_pylist()) if v is not None and len(v) == q.shape[1]]
-                if not keep or not len(ids):
-                    continue
-                at = b.column("doc_id").to_numpy(zero_copy_only=False)[keep]
-                p = np.array([b.column("vector")[i].as_py() for i in keep], np.float64)
-                s = q @ p.T
-                if metric == "cosine":
-                    norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(p, axis=1)[None]
-                    s = np.divide(s, norm, out=np.zeros_like(s), where=norm > 0)
-                elif metric == "euclid":
-                    s = -np.sqrt(np.maximum((q * q).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * s, 0))
-                s = np.round(s, 9) + 0.0
-                top = np.lexsort((np.broadcast_to(at, s.shape), -s), axis=1)[:, :k]
-                r = np.repeat(np.arange(len(ids)), top.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(at[top.ravel()].astype(np.int64)), pa.array(s[r, top.ravel()])], ["qid", "doc_id", "score"])
-
-        part = points.select("doc_id", "vector").mapInArrow(run, "qid long, doc_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    return best(out, k)
+    ship(points.sparkSession)
+
+    def pack(b: pa.RecordBatch):
+        """Ids and matrix for each dimension."""
+        by: dict[int, list[int]] = {}
+        vectors = b.column("vector").to_pylist()
+        for i, v in enumerate(vectors):
+            if v is not None and None not in v:
+                by.setdefault(len(v), []).append(i)
+        ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64) if by else None
+        return {d: (ids[rows], np.array([vectors[i] for i in rows], np.float64).reshape(len(rows), d)) for d, rows in by.items()}
+
+    def score(page, block):
+        out = [[], [], []]
+        for d, (qids, q) in block.items():
+            if d not in page:
+                continue
+            ids, p = page[d]
+            s = q @ p.T
+            if metric == "cosine":
+                norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(p, axis=1)[None]
+                s = np.divide(s, norm, out=np.zeros_like(s), where=norm > 0)
+            elif metric == "euclid":
+                s = -np.sqrt(np.maximum((q * q).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * s, 0))
+            s = np.round(s, 9) + 0.0
+            top = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+            row = np.repeat(np.arange(len(qids)), top.shape[1])
+            for o, x in zip(out, (qids[row], ids[top.ravel()], s[row, top.ravel()]), strict=True):
+                o.append(x)
+        return [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
+
+    blocks = _packed(queries.where("vector is not null").select("qid", "vector"), "block", pack, QUERY_BLOCK * 16)
+    pages = _packed(points.select("doc_id", "vector"), "page", pack, PAGE)
+    return best(_meet(pages, blocks, score, "qid long, doc_id long, score double"), k)
+
+
+def sparse(queries: DataFrame, points: DataFrame, k: int = 20) -> DataFrame:
+    """(qid, doc_id, score, rank): nearest points by the dot product of sparse vectors (structs of indices and values, column sparse); points that share no index with a query are no candidates."""
+    ship(points.sparkSession)
+
+    def pack(b: pa.RecordBatch):
+        v = [x or {"indices": [], "values": []} for x in b.column("sparse").to_pylist()]
+        n = np.array([len(x["indices"]) for x in v], np.int64)
+        flat = lambda c, t: np.array([y for x in v for y in x[c]], t)
+        return b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), n, flat("indices", np.int64), flat("values", np.float64)
+
+    def score(page, block):
+        (ids, n, at, w), (qids, m, q_at, q_w) = page, block
+        axis = np.unique(q_at)
+        hit = np.isin(at, axis)
+        have, ask = np.zeros((len(ids), len(axis))), np.zeros((len(qids), len(axis)))
+        have[np.repeat(np.arange(len(ids)), n)[hit], np.searchsorted(axis, at[hit])] = w[hit]
+        ask[np.repeat(np.arange(len(qids)), m), np.searchsorted(axis, q_at)] = q_w
+        s = ask @ have.T
+        top = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+        row = np.repeat(np.arange(len(qids)), top.shape[1])
+        got = s[row, top.ravel()]
+        return qids[row][got > 0], ids[top.ravel()][got > 0], got[got > 0]
+
+    blocks, pages = _packed(queries.select("qid", "sparse"), "block", pack, QUERY_BLOCK), _packed(points.select("doc_id", "sparse"), "page", pack, PAGE)
+    return best(_meet(pages, blocks, score, "qid long, doc_id long, score double"), k)
 
 
 def rrf(*lists: DataFrame, k: int = 60, limit: int = 6) -> DataFrame:

@@ -29,6 +29,19 @@ def is_tabular(line: Column) -> Column:
     return line.contains("|") & (F.size(cells(line)) >= 2) & F.exists(cells(line), lambda x: x != "")
 
 
+def is_separator(line: Column) -> Column:
+    """A row of a table that only parts its header from its body: every cell dashes, with a colon at either end perhaps."""
+    return is_tabular(line) & F.forall(F.filter(cells(line), lambda x: x != ""), lambda x: x.rlike(SEPARATOR_CELL))
+
+
+def without_table_lines(text: Column, table: Column) -> Column:
+    """A text without the lines that stand in one of the tables (an array of texts) too, by their print."""
+    from ..functions.text import line_print
+
+    prints = F.transform(F.flatten(F.transform(table, lambda t: F.split(t, "\n"))), line_print)
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: (line_print(x) == "") | ~F.array_contains(prints, line_print(x))), "\n")
+
+
 def lines(docs: DataFrame, column: str = "text") -> DataFrame:
     """(doc_id, pos, line): every line of every text."""
     return docs.select("doc_id", F.posexplode(F.split(F.col(column), "\r\n|\r|\n", -1)).alias("pos", "line"))
@@ -142,13 +155,25 @@ def chunks_of(text: str, size: int = CHUNK, parent: int = PARENT) -> list[dict]:
     return out
 
 
-def chunks(docs: DataFrame) -> DataFrame:
+def recursive_chunks_of(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[dict]:
+    """Chunks of a page by size alone, without kinds, sections or parents."""
+    return [{"chunk_index": i, "kind": "text", "section": None, "parent": 1, "place": i, "text": p} for i, p in enumerate(split_text(text, size, overlap))]
+
+
+#: Ways to cut documents into chunks.
+STRATEGIES = {"structure": lambda t: chunks_of(t), "recursive": lambda t: recursive_chunks_of(t)}
+
+
+def chunks(docs: DataFrame, strategy: str = "structure") -> DataFrame:
     """(doc_id, chunk_index, kind, section, parent_id, place, text): every chunk of every document; a null or empty text has none."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"no strategy {strategy!r}")
+    cut_up = STRATEGIES[strategy]
     ship(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            rows = [{"doc_id": i, **c} for i, t in zip(b.doc_id, b.text, strict=True) if t for c in chunks_of(t)]
+            rows = [{"doc_id": i, **c} for i, t in zip(b.doc_id, b.text, strict=True) if t for c in cut_up(t)]
             if rows:
                 d = pd.DataFrame(rows)
                 d["parent_id"] = "p1s" + d.parent.astype(str)
@@ -177,7 +202,8 @@ def batches(items: DataFrame, by: str, order: str, cost: Column, limit: int = 16
 
 
 def context(items: DataFrame, by: str, order: str, size: Column, limit: int = 16_000) -> DataFrame:
-    """Items that enter a context: from the first on while their sizes fit; it stops at the first overflow. A first item that is too large alone enters cut (column cut)."""
+    """Items that enter a context: from the first on while their sizes fit; it stops at the first overflow. A first item that is too large alone enters cut. Adds the columns size, used and cut, in place of those of the same name."""
     w = Window.partitionBy(by).orderBy(order)
-    run = items.withColumn("size", size.cast("long")).withColumn("used", F.sum("size").over(w)).withColumn("n", F.row_number().over(w))
-    return run.where((F.col("used") <= limit) | (F.col("n") == 1)).withColumn("cut", F.col("used") > limit).drop("n")
+    sized = items.withColumn("size", size.cast("long"))
+    run = sized.withColumn("used", F.sum("size").over(w)).withColumn("place_", F.row_number().over(w))
+    return run.where((F.col("used") <= limit) | (F.col("place_") == 1)).withColumn("cut", F.col("used") > limit).drop("place_")

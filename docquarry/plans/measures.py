@@ -74,13 +74,12 @@ def metrics_at_k(spark, table):
 coalesce(o_orderpriority, o_orderstatus, y) AS value, count(*)::BIGINT AS n, (count(*) FILTER (o_orderstatus = 'F'))::BIGINT AS errors, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents
 FROM (SELECT *, year(o_orderdate)::VARCHAR AS y FROM orders) GROUP BY GROUPING SETS ((o_orderpriority), (o_orderstatus), (y)))""")
 def failure_axes(spark, table):
-    table("orders").createOrReplaceTempView("dq_orders")
     return spark.sql("""
         SELECT axis, value, n, errors, round(errors / n, 6) AS rate, cents FROM (
           SELECT CASE WHEN grouping(o_orderpriority) = 0 THEN 'priority' WHEN grouping(o_orderstatus) = 0 THEN 'status' ELSE 'year' END AS axis,
             coalesce(o_orderpriority, o_orderstatus, y) AS value, count(*) AS n, count_if(o_orderstatus = 'F') AS errors, sum(cast(round(o_totalprice * 100) AS bigint)) AS cents
-          FROM (SELECT *, cast(year(o_orderdate) AS string) AS y FROM dq_orders)
-          GROUP BY GROUPING SETS ((o_orderpriority), (o_orderstatus), (y)))""")
+          FROM (SELECT *, cast(year(o_orderdate) AS string) AS y FROM {orders})
+          GROUP BY GROUPING SETS ((o_orderpriority), (o_orderstatus), (y)))""", orders=table("orders"))
 
 
 @query("""WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), t AS (SELECT sum(n) AS t FROM c), s AS (SELECT lang, n, (97 * n) // t AS base, (97 * n) % t AS rest, t FROM c, t),
@@ -109,12 +108,12 @@ c AS (SELECT item_id, rank, gain, sum(gain) OVER (PARTITION BY item_id ORDER BY
 SELECT item_id, rank, gain::BIGINT AS gain, round(have / len(g)::DOUBLE, 6) AS covered FROM c JOIN b USING (item_id)""")
 def coverage_cumulative(spark, table):
     """Evidence tokens that each of the six best documents of an item adds, and the share covered so far."""
-    bt = table("benchmark").select("item_id", F.array_distinct(text.tokens(F.col("text"))).alias("g"))
-    w = bt.select("item_id", F.size("g").alias("n"), F.explode("g").alias("w"))
-    dt = spread(table("documents").select("doc_id", "text")).select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("w"))
-    meet = w.join(dt, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("score"), F.collect_list("w").alias("ws"), F.max("n").alias("n"))
-    top = retrieval.best(meet, 6, by="item_id")
-    firsts = top.select("item_id", "n", "rank", F.explode("ws").alias("w")).groupBy("item_id", "w").agg(F.min("rank").alias("rank"), F.max("n").alias("n"))
+    bt = table("benchmark").select(F.col("item_id").alias("qid"), F.array_distinct(text.tokens(F.col("text"))).alias("g"))
+    docs = table("documents").select("doc_id", "text")
+    found = retrieval.by_words(bt.select("qid", F.explode("g").alias("token"), F.lit(1).cast("long").alias("units")), spread(docs), 6)
+    top = retrieval.best(found.withColumnRenamed("units", "score"), 6).join(docs, "doc_id").join(bt, "qid")
+    held = F.array_intersect("g", text.tokens(F.col("text")))
+    firsts = top.select(F.col("qid").alias("item_id"), F.size("g").alias("n"), "rank", F.explode(held).alias("w")).groupBy("item_id", "w").agg(F.min("rank").alias("rank"), F.max("n").alias("n"))
     gains = firsts.groupBy("item_id", "rank").agg(F.count("*").alias("gain"), F.max("n").alias("n"))
     have = F.sum("gain").over(Window.partitionBy("item_id").orderBy("rank"))
     return gains.select("item_id", "rank", "gain", F.round(have / F.col("n"), 6).alias("covered"))

@@ -145,9 +145,9 @@ SELECT qid, doc_id, rerank_score, new_rank FROM (SELECT *, row_number() OVER (PA
 def rerank_cascade(spark, table):
     q = table("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     cand = _lexical(table).join(table("documents").select("doc_id", "text"), "doc_id").join(q, "qid")
-    cand = spread(cand)  # candidates are few, so a broadcast leaves them in the tasks of the scan
     bearing = F.array_distinct(F.filter(text.tokens(F.col("question")), lambda t: t.rlike(r"^\d+$") | ((F.length(t) > 3) & ~t.isin(text.TOOL_WORDS))))
-    score = F.round(arrays.share(bearing, text.tokens(F.col("text"))), 6)
+    cand = cand.withColumn("toks", text.tokens(F.col("text"))).withColumn("bearing", bearing)
+    score = F.round(arrays.share(F.col("bearing"), F.col("toks")), 6)
     return retrieval.rerank(cand, score, 6, 0.15).select("qid", "doc_id", "rerank_score", "new_rank")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import base, measures, more, search, texts  # noqa: F401  importing them registers their queries
+from .plans import base, controls, measures, more, scores, search, texts  # noqa: F401  importing them registers their queries
 from .session import ship
 
 QUERIES = base.QUERIES

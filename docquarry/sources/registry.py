@@ -42,9 +42,9 @@ def upsert(points: DataFrame, incoming: DataFrame, key: str = "point_id") -> Dat
     return points.join(incoming.select(key), key, "left_anti").unionByName(incoming)
 
 
-def publish(points: DataFrame, path: str, partition: str = "corpus_id") -> None:
-    """Write a new version of a point table, partitioned by corpus; readers switch by reading the new path, so no path is read and overwritten at once."""
-    points.repartition(partition).write.mode("errorifexists").partitionBy(partition).parquet(path)
+def publish(points: DataFrame, path: str, partition: str = "corpus_id", key: str = "point_id") -> None:
+    """Write a new version of a point table, partitioned by corpus (a large corpus is written by many tasks, by ranges of its keys); readers switch by reading the new path, so no path is read and overwritten at once."""
+    points.repartitionByRange(partition, key).write.mode("errorifexists").partitionBy(partition).parquet(path)
 
 
 def fill_rates(df: DataFrame, fields: list[str]) -> DataFrame:

@@ -93,7 +93,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "~$lock.txt").write_text("x")
     (tmp_path / "e.bin").write_bytes(b"x")
     got = {r.name: (r.text, r.error) for r in files.load(files.discover(spark, str(tmp_path))).collect()}
-    assert got == {"a.txt": ("hello", None), "b.html": ("x & y", None), "c.csv": ("h1 | h2\n1 | 2", None), "d.pdf": (None, "unsupported")}
+    assert got == {"a.txt": ("hello", None), "b.html": ("x &\ny", None), "c.csv": ("h1 | h2\n1 | 2", None), "d.pdf": (None, "needs_recognition")}
 
 
 def test_registry(spark, tmp_path):
