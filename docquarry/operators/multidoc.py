@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text
+from ..session import cut
 from . import capability, structure
 from .capability import BATCH, MOST_BATCHES, Model
 
@@ -79,7 +80,8 @@ def maps(plan: DataFrame, targets: DataFrame, passages: DataFrame, model: Model,
     part = F.concat(F.lit("\n\nBATCH "), F.col("batch").cast("string"), F.lit(" OF "), F.col("n_batches").cast("string"), F.lit("\n"))
     prompt = F.concat(F.lit("AXES\n"), lines(F.col("axes")), expected, F.lit("\n\nOBJECTIVE\n"), "objective", part, "passages", F.lit('\n\nAnswer with JSON: {"elements": [{"axis": "...", "content": "...", "citations": ["D1S1"]}]}'))
     called = capability.call(open_.select("qid", "index", "batch", "axes", "allowed", prompt.alias("prompt")), model).drop("prompt")
-    called = called.withColumn("ok", F.col("ok") & F.coalesce(arrays.json_object(F.col("answer")).isNotNull(), F.lit(False)))
+    # Cut: a model is called once, whatever is made of its answers.
+    called = cut(called.withColumn("ok", F.col("ok") & F.coalesce(arrays.json_object(F.col("answer")).isNotNull(), F.lit(False))))
     each = called.where("ok").select("qid", "index", "batch", F.posexplode(arrays.map_elements(F.col("answer"), F.col("axes"), F.col("allowed"))).alias("at", "e"))
     place = F.struct("batch", "at")
     first = each.groupBy("qid", "index", F.col("e.axis").alias("axis"), F.col("e.content").alias("content")).agg(F.min(F.struct(place.alias("pos"), F.col("e.citations").alias("citations"))).alias("f"))
@@ -123,12 +125,13 @@ def run(questions: DataFrame, targets: DataFrame, passages: DataFrame, model: Mo
     sized = sized.withColumn("refused", refused)
     ready = sized.where("refused is null").select("qid", "text", "operation", "scope")
     own = targets.join(ready.select("qid"), "qid", "left_semi")
-    plan = plans(ready, own, model, budget)
+    plan = cut(plans(ready, own, model, budget))
     elements, documents = maps(plan, own, passages, model, limit, MOST_BATCHES, budget)
+    documents = cut(documents)
     usable = documents.groupBy("qid").agg(F.count_if(F.col("status") == "usable").alias("n_usable"), F.count("*").alias("n_documents"))
     prompts = rendered(elements, documents).join(ready.select("qid", "text", "operation"), "qid").join(usable.where("n_usable > 0").select("qid"), "qid", "left_semi")
     whole = F.concat(F.lit("REDUCE\n"), "operation", F.lit("\n\nQUESTION\n"), "text", F.lit("\n\n"), "prompt")
-    reduced = capability.call(prompts.withColumn("prompt", whole), model).drop("prompt")
+    reduced = cut(capability.call(prompts.withColumn("prompt", whole), model).drop("prompt"))
     clean = text.keep_document_citations(F.col("answer"), F.col("allowed"))
     reduced = reduced.select("qid", "ok", F.col("answer").alias("raw"), clean.alias("answer")).withColumn("citations", text.document_citations(F.col("answer")))
     got = sized.select("qid", "refused").join(usable, "qid", "left").join(reduced, "qid", "left")

@@ -235,15 +235,16 @@ def candidate_budget(top_k: int) -> int:
     return max(top_k, min(100, max(4 * top_k, 20)))
 
 
-def diversify(ranked: DataFrame, per_document: int = 3, limit: int = 6) -> DataFrame:
-    """Greedy in the order of rank, for each query: empty texts and texts equal to a retained one are skipped, then documents that are full; a text skipped for a full document does not count as retained. Stops at ``limit``. Candidates of a query are at most a hundred."""
+def diversify(ranked: DataFrame, per_document: int | Column = 3, limit: int = 6) -> DataFrame:
+    """Greedy in the order of rank, for each query (``per_document`` may differ by row): empty texts and texts equal to a retained one are skipped, then documents that are full; a text skipped for a full document does not count as retained. Stops at ``limit``. Candidates of a query are at most a hundred."""
     prints = ranked.withColumn("print", text.fingerprint(F.col("text")))
     state = "struct<kept:array<long>,prints:array<string>,docs:array<long>>"
-    items = F.array_sort(F.collect_list(F.struct("rank", "doc_id", "print", (F.trim("text") != "").alias("full"))))
+    most = per_document if isinstance(per_document, Column) else F.lit(per_document)
+    items = F.array_sort(F.collect_list(F.struct("rank", "doc_id", "print", (F.trim("text") != "").alias("full"), most.alias("most"))))
     start = F.expr(f"cast(named_struct('kept', array(), 'prints', array(), 'docs', array()) as {state})")
 
     def step(s, x):
-        take = x["full"] & ~F.array_contains(s["prints"], x["print"]) & (F.size(F.filter(s["docs"], lambda d: d == x["doc_id"])) < per_document) & (F.size(s["kept"]) < limit)
+        take = x["full"] & ~F.array_contains(s["prints"], x["print"]) & (F.size(F.filter(s["docs"], lambda d: d == x["doc_id"])) < x["most"]) & (F.size(s["kept"]) < limit)
         return F.when(
             F.coalesce(take, F.lit(False)),
             F.struct(F.array_append(s["kept"], x["rank"]).alias("kept"), F.array_append(s["prints"], x["print"]).alias("prints"), F.array_append(s["docs"], x["doc_id"]).alias("docs")),

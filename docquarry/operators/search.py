@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import spread
+from ..session import cut, spread
 from . import filters, perimeter, retrieval
 
 #: Least score of a passage for an answer, and the default threshold of a reranked passage.
@@ -100,17 +100,15 @@ def search(
     hits = fused.join(chunks, "point")
     # The guard stays even though candidates came from the perimeter: a passage of another document must never pass.
     identity = [F.col(c) for c in filters.SCOPE if c in chunks.columns]
-    guarded = hits.join(binding.select("qid", F.col("values").alias("within")), "qid", "left").where(F.col("within").isNull() | ~perimeter.outside(F.col("within"), *identity))
+    # Cut: at most a hundred rows a question, which all that follows starts from.
+    guarded = cut(hits.join(binding.select("qid", F.col("values").alias("within")), "qid", "left").where(F.col("within").isNull() | ~perimeter.outside(F.col("within"), *identity)))
 
     if score is not None:
         ranked = retrieval.rerank(guarded.join(asked.select("qid", F.col("text").alias("question")), "qid"), score(F.col("question"), F.col("text")), None, threshold).drop("rank").withColumnRenamed("new_rank", "rank")
     else:
         ranked = guarded.withColumn("rerank_score", F.lit(None).cast("double"))
     single = F.coalesce(F.size("within") == 1, F.lit(False))
-    slim = ranked.select("qid", "rank", "doc_id", "text", single.alias("single"))
-    many = retrieval.diversify(slim.where("not single").drop("single"), per_document, top_k)
-    one = retrieval.diversify(slim.where("single").drop("single"), top_k, top_k)
-    kept = many.unionByName(one).select("qid", "rank", "place").join(ranked, ["qid", "rank"])
+    kept = retrieval.diversify(ranked, F.when(single, top_k).otherwise(per_document), top_k)
     passages = kept.select("qid", F.col("place").alias("rank"), "point", "doc_id", "chunk_index", F.col("text"), F.col("rerank_score").alias("score"), *(["parent_id"] if "parent_id" in chunks.columns else []))
     if expand:
         parent = [] if "parent_id" in chunks.columns else [F.lit(None).cast("string").alias("parent_id")]
@@ -120,7 +118,7 @@ def search(
         passages = at.join(passages.select("qid", "point", "score"), ["qid", "point"], "left")
     else:
         passages = passages.withColumn("added", F.lit(False))
-    passages = passages.select("qid", "rank", F.concat(F.lit("S"), F.col("rank").cast("string")).alias("citation"), "point", "doc_id", "chunk_index", "text", "score", "added")
+    passages = cut(passages).select("qid", "rank", F.concat(F.lit("S"), F.col("rank").cast("string")).alias("citation"), "point", "doc_id", "chunk_index", "text", "score", "added")
 
     n_candidates = guarded.groupBy("qid").agg(F.count("*").alias("n_candidates"))
     n_passages = passages.groupBy("qid").agg(F.count("*").alias("n_passages"))

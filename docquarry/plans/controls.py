@@ -32,13 +32,13 @@ def identify_references(spark, table):
 
 
 @query("""SELECT p_partkey AS qid, CASE WHEN p_size % 4 = 0 THEN 'unknown' WHEN p_size % 4 = 1 THEN 'exact' ELSE 'compatible' END AS status, CASE WHEN p_size % 4 > 0 THEN CASE WHEN p_size % 3 = 0 AND p_size % 4 = 1 THEN 'doc_id' ELSE 'doc_id' END END AS field,
-CASE WHEN p_size % 4 > 1 THEN p_partkey || ',' || CASE WHEN p_partkey = 1 THEN 2 ELSE p_partkey - 1 END WHEN p_size % 4 = 1 THEN p_partkey::VARCHAR END AS "values", 'explicit' AS origin FROM part""")
+CASE WHEN p_size % 4 > 1 THEN p_partkey || ',' || CASE WHEN p_partkey <= 1 THEN 2 ELSE p_partkey - 1 END WHEN p_size % 4 = 1 THEN p_partkey::VARCHAR END AS "values", 'explicit' AS origin FROM part""")
 def explicit_perimeters(spark, table):
     """Perimeters that callers impose: one document, two, or one that is not there."""
     p = table("part")
     cards = p.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.lit(".pdf")).alias("file_name"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("title"))
     k, size = F.col("p_partkey"), F.col("p_size") % 4
-    other = F.when(k == 1, F.lit(2)).otherwise(k - 1).cast("string")
+    other = F.when(k <= 1, F.lit(2)).otherwise(k - 1).cast("string")
     refs = F.when(size == 0, F.array(k.cast("string"), F.lit("nowhere"))).when(size == 1, F.array(F.concat(F.lit("F"), k.cast("string"), F.lit(".PDF")))).otherwise(F.array(F.concat(F.lit("f"), k.cast("string"), F.lit(".pdf")), other))
     got = perimeter.explicit(p.select(k.alias("qid"), F.posexplode(refs).alias("pos", "reference")), cards)
     return got.select("qid", "status", "field", F.array_join("values", ",").alias("values"), "origin")
