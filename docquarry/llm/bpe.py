@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, shards, starts_of, texts_of
+from ._common import bounded_batches, released, shards, starts_of, texts_of
 
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: Least overlap: a match near a chunk's end may look so many characters ahead (a contraction's letters, the end of white space).
@@ -26,7 +27,7 @@ LEAST_OVERLAP = 4
 #: Pieces of more bytes are merged by a heap.
 HEAP = 48
 #: Entries that a worker keeps in its memo of encoded pieces; a full memo is emptied.
-MEMO = 200_000
+MEMO = 300_000
 #: Vocabularies larger than this are refused, as they are broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -43,7 +44,7 @@ class Codec:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in vocabulary.splitlines() if x.strip())}
         self.match = regex.compile(pattern)
         self.bytes = dict(zip(self.ranks.values(), self.ranks.keys(), strict=True))
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, vocabulary: bytes, pattern: str) -> Codec:
@@ -52,10 +53,12 @@ class Codec:
             cls._made = {key: cls(vocabulary, pattern)}
         return cls._made[key]
 
-    def piece(self, p: str) -> list[int]:
+    def piece(self, p: str) -> bytes:
+        """Token ids of a piece as little-endian 32-bit integers."""
         got = self.memo.get(p)
         if got is None:
-            got = self.merge(p.encode())
+            ids = self.merge(p.encode())
+            got = struct.pack(f"<{len(ids)}I", *ids)
             if len(p) < 64:
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
@@ -114,8 +117,8 @@ class Codec:
             at += len(p)
         codes, uniques = pd.factorize(flat)
         coded = [self.piece(u) for u in uniques]
-        size = np.fromiter(map(len, coded), np.int64, len(coded))
-        table = np.fromiter((i for c in coded for i in c), np.uint32, int(size.sum()))
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        table = np.frombuffer(b"".join(coded), "<u4")
         counts = size[codes]
         out = table[np.repeat(starts_of(size)[codes] - starts_of(counts), counts) + np.arange(int(counts.sum()))] if len(codes) else np.zeros(0, np.uint32)
         per = np.zeros(len(pieces), np.int64)
@@ -209,13 +212,13 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, chunk: int = CHUNK, o
 
     size = F.length("text")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    whole = base.where(F.col("text").isNull() | (size <= chunk)).mapInArrow(short, schema)
+    whole = base.where(F.col("text").isNull() | (size <= chunk)).mapInArrow(released(short), schema)
     # A text's chunks meet by its digest; rows that repeat doc_id and text are counted as chunks and written out again at the end, so nothing depends on which task has read a row.
     long_ones = base.where(size > chunk).withColumn("key", F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), "text"), 256)))
     pieces = long_ones.select(
         "key", "doc_id", F.explode(F.sequence(F.lit(0), size - 1, F.lit(chunk))).alias("start"), "text",
     ).select("key", "doc_id", F.col("start").cast("long").alias("start"), F.substring("text", F.col("start") + 1, F.lit(chunk + overlap)).alias("piece"), (F.col("start") + chunk + overlap >= size).alias("last"))
     counted = pieces.groupBy("key", "start").agg(F.first("doc_id").alias("doc_id"), F.first("piece").alias("piece"), F.first("last").alias("last"), F.count("*").alias("n"))
-    stitched = counted.mapInArrow(pretokenise, "key binary, doc_id long, start long, piece string, n long, cuts binary").groupBy("key").applyInArrow(join, schema + ", n long")
+    stitched = counted.mapInArrow(released(pretokenise), "key binary, doc_id long, start long, piece string, n long, cuts binary").groupBy("key").applyInArrow(join, schema + ", n long")
     again = stitched.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
     return whole.unionByName(again)
