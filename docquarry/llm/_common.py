@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +22,7 @@ WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 
 #: Bounds of an Arrow batch, the same for every operator, so that the order in which plans are built changes nothing.
-BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -32,6 +35,18 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, most)
 
 
+def released(run):
+    """A function over batches that gives what it has freed back to the system when its partition ends: workers live on, and what they keep adds up over the stages of a job."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # no glibc
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return whole
+
+
 def buckets_of(docs: DataFrame, each: int = 8 << 20) -> int:
     """Number of hash buckets so that one holds about ``each`` bytes of input, whatever the size of the table; at least the session's shuffle partitions.
 

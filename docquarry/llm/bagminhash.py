@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bounded_batches, cut, fresh, mix64, shards, starts_of, texts_of, word_hashes, words_of
+from ._common import bounded_batches, cut, fresh, mix64, released, shards, starts_of, texts_of, word_hashes, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 REGISTERS, ROWS = 128, 4
@@ -191,7 +191,7 @@ def _classes(docs: DataFrame, threshold: float, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in own[s:e]], pa.binary()), pa.ListArray.from_arrays(cuts, pa.array(h.view(np.int64).reshape(-1))), pa.array([squeeze.compress(t.encode()) for _, t in own[s:e]], pa.binary())], ["node", "bands", "z"])
 
     # Everything below starts from this table: the texts are read and split into words once. The tables that are cut are so that joins on their keys, which may be hot, can be split.
-    texts = cut(base.select("text").mapInArrow(prepare, "node binary, bands array<long>, z binary").groupBy("node").agg(F.first(F.struct("bands", "z")).alias("t")).select("node", "t.bands", "t.z"))
+    texts = cut(base.select("text").mapInArrow(released(prepare), "node binary, bands array<long>, z binary").groupBy("node").agg(F.first(F.struct("bands", "z")).alias("t")).select("node", "t.bands", "t.z"))
     members = texts.select("node", F.explode("bands").alias("band"))
     shared = cut(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     grouped = cut(members.join(shared, "band"))
@@ -216,7 +216,7 @@ def _classes(docs: DataFrame, threshold: float, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(j)], ["a", "b", "j"])
 
     one, two = (texts.select(F.col("node").alias(c), F.col("z").alias("z" + c)) for c in "ab")
-    links = cut(stars.join(one, "a").join(two, "b").mapInArrow(verify, "a binary, b binary, j double"))
+    links = cut(stars.join(one, "a").join(two, "b").mapInArrow(released(verify), "a binary, b binary, j double"))
     same = links.where(F.col("j") >= threshold)
     found = components(same)
     # Nodes around one leader that ended in different classes: pages of them, by distance to the leader, are compared whole.
@@ -239,14 +239,14 @@ def _classes(docs: DataFrame, threshold: float, size: int) -> DataFrame:
             for x, y in zip(b.column("one").to_pylist(), b.column("two").to_pylist(), strict=True):
                 yield pa.RecordBatch.from_pylist(_links(pickle.loads(x), pickle.loads(y), threshold, size), schema=pa.schema([("a", pa.binary()), ("b", pa.binary()), ("j", pa.float64())]))
 
-    late = cut(meet.select("one", "two").mapInArrow(compare, "a binary, b binary, j double"))
+    late = cut(meet.select("one", "two").mapInArrow(released(compare), "a binary, b binary, j double"))
     if not late.isEmpty():
         same = same.unionByName(late)
         found = components(same)
     pairs = same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     counts = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     roots = cut(found.join(counts, "node").select(F.col("node").alias("dig"), "root", "n_links"))
-    named = base.mapInArrow(name, "doc_id long, dig binary, n_words long")
+    named = base.mapInArrow(released(name), "doc_id long, dig binary, n_words long")
     keyed = named.join(roots, "dig", "left").withColumn("class", F.coalesce("root", "dig"))
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("dig").alias("d"))
     least = cut(keyed.where("class is not null").groupBy("class").agg(F.min(rank).alias("first")))
@@ -272,7 +272,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_digest(t)[0] for t in texts_of(b.column("text"))], pa.binary())], [*b.schema.names, dig])
 
     def met(how: str, which: DataFrame) -> DataFrame:
-        named = docs.mapInArrow(name, T.StructType([*docs.schema.fields, T.StructField(dig, T.BinaryType())]))
+        named = docs.mapInArrow(released(name), T.StructType([*docs.schema.fields, T.StructField(dig, T.BinaryType())]))
         return named.join(which, named["doc_id"].cast("long").eqNullSafe(which[i]) & (named[dig] == which[d]), how)
 
     once = met("left_anti", marks).select(*docs.columns)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, cut, fresh
+from ._common import bounded_batches, cut, fresh, released
 
 BLOCK = 256
 MAX_SOURCES = 100_000
@@ -62,7 +62,7 @@ def _sizes(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source").cast(pa.string()), b.column("k"), pa.array(n, pa.int64())], schema=schema)
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _key().alias("k"), "text")
-    return cut(base.mapInArrow(run, "doc_id long, source string, k binary, size long"))
+    return cut(base.mapInArrow(released(run), "doc_id long, source string, k binary, size long"))
 
 
 def _streams(sized: DataFrame, plan: DataFrame, bits: int) -> DataFrame:
@@ -98,7 +98,7 @@ def slots(spark, quotas: list[int], block: int = BLOCK) -> DataFrame:
                 own[order] = np.arange(len(src)) - np.repeat(np.cumsum(counts) - counts, counts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(src), c)), pa.array(src.astype(np.int32)), pa.array(own), pa.array(i.astype(np.int64))], schema=schema)
 
-    made = spark.range(-(-n // CHUNK)).mapInArrow(run, "chunk long, src int, own long, slot long")
+    made = spark.range(-(-n // CHUNK)).mapInArrow(released(run), "chunk long, src int, own long, slot long")
     counts = made.groupBy("chunk", "src").agg(F.count("*").alias("c"))
     before = counts.select("chunk", "src", (F.sum("c").over(Window.partitionBy("src").orderBy("chunk")) - F.col("c")).alias("b"))
     # A range of a few chunks makes many slots, so the size that the planner expects is far too small: no broadcast of slots.

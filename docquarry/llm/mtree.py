@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, cut
+from ._common import bounded_batches, cut, released
 
 PIVOTS, SAMPLE, PAGE, LEAF, BLOCK = 512, 8, 2048, 64, 512
 _LONG = np.iinfo(np.int64)
@@ -187,7 +187,7 @@ def search(vectors: DataFrame, k: int = 20, scale: float = 64.0, every: int = 20
                 norms = [float((x * x).sum()) for x in v]
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([len(x) for x in v], pa.int32()), pa.array(norms, pa.float64()), pa.array([x.astype("<f8").tobytes() for x in v], pa.binary())], ["vec_id", "dim", "norm2", "v"])
 
-    vectors = raw.where("vec_id is not null and e is not null").where(usable).mapInArrow(whole, "vec_id long, dim int, norm2 double, v binary").where("norm2 < double('infinity')")
+    vectors = raw.where("vec_id is not null and e is not null").where(usable).mapInArrow(released(whole), "vec_id long, dim int, norm2 double, v binary").where("norm2 < double('infinity')")
     ints = cut(vectors.withColumn("row", F.monotonically_increasing_id()))  # a number for each row, frozen by the checkpoint
     dims = ints.groupBy("dim").agg(F.max("norm2").alias("m2"), F.count("*").alias("n")).collect()  # one row for each dimension in the table
     parts = [_search(ints.where(F.col("dim") == r["dim"]), r["dim"], float(r["m2"]) * (1 + 1e-9) + 1e-9, r["n"], k, every, page) for r in dims]
@@ -215,7 +215,7 @@ def _search(ints: DataFrame, dim: int, m2: float, n: int, k: int, every: int, pa
                 home = distances(flat(v), sent.value).argmin(1)
                 yield pa.RecordBatch.from_arrays([b.column("row"), b.column("vec_id"), b.column("v"), pa.array(near.argmin(1).astype(np.int32)), pa.array(near.min(1)), pa.array(home.astype(np.int32))], ["row", "vec_id", "v", "cell", "d", "home"])
 
-    routed = cut(ints.select("row", "vec_id", "v").mapInArrow(route, "row long, vec_id long, v binary, cell int, d double, home int"))
+    routed = cut(ints.select("row", "vec_id", "v").mapInArrow(released(route), "row long, vec_id long, v binary, cell int, d double, home int"))
     # One row for each pivot, so at most PIVOTS rows.
     cells = {r["cell"]: r for r in routed.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).collect()}
     radii = np.array([cells[c]["high"] if c in cells else -np.inf for c in range(len(pivots))])
@@ -287,7 +287,7 @@ def _search(ints: DataFrame, dim: int, m2: float, n: int, k: int, every: int, pa
                     at, row, ids, score = p.search(own[s:e], q[s:e], bound[s:e], k, m2)
                     yield pa.RecordBatch.from_arrays([pa.array(own[s:e][at]), pa.array(qid[s:e][at]), pa.array(row), pa.array(ids), pa.array(score)], ["query_row", "query_id", "row", "vec_id", "score"])
 
-    pairs = near.mapInArrow(meets, "block long, page long")
+    pairs = near.mapInArrow(released(meets), "block long, page long")
     # Blocks are smaller than pages, so they travel to the pages.
     shipped = pairs.join(blocks.select("block", "queries"), "block").repartition("page").join(nodes.select("page", "node"), "page")
-    return shipped.select("node", "queries").mapInArrow(meet, "query_row long, query_id long, row long, vec_id long, score long")
+    return shipped.select("node", "queries").mapInArrow(released(meet), "query_row long, query_id long, row long, vec_id long, score long")

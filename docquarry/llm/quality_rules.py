@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, bounded_batches, shards, texts_of, words_of
+from ._common import WORD, bounded_batches, released, shards, texts_of, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Measurements of a text, all long.
@@ -94,7 +94,7 @@ def ledger(docs: DataFrame) -> DataFrame:
             got = measure(texts_of(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(np.asarray(x, np.int64)) for x in got)], ["doc_id", *MEASURES])
 
-    measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
+    measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
     bits = F.lit(0).cast("long")
     for k, (_, fails) in enumerate(rules()):
         bits = bits.bitwiseOR(F.when(fails, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))

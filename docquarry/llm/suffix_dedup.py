@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, buckets_of, mix64, starts_of
+from ._common import bounded_batches, buckets_of, mix64, released, starts_of
 
 GAP, GRAM = 64, 16
 SLICE = 2 << 20
@@ -217,7 +217,7 @@ def duplicate_spans(docs: DataFrame, length: int = 400, least: int | None = None
             t = [x for x in _bytes(b) if len(x) >= least]
             yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in t], pa.binary()), pa.array([squeeze.compress(x) for x in t], pa.binary())], ["key", "z"])
 
-    texts = text.mapInArrow(prepare, "key binary, z binary").dropDuplicates(["key"])
+    texts = text.mapInArrow(released(prepare), "key binary, z binary").dropDuplicates(["key"])
 
     def deal(batches):
         for b in batches:
@@ -257,7 +257,7 @@ def duplicate_spans(docs: DataFrame, length: int = 400, least: int | None = None
         coded = pack(x["lo"].astype(np.int64), x["off"].astype(np.int64), x["n"].astype(np.int64)) * 4 + x["flag"]
         return pa.table([pa.array([k.tobytes() for k in keys[x["doc"]]], pa.binary()), pa.array(coded)], ["key", "coded"])
 
-    settled = text.mapInArrow(deal, "bucket long, keys binary, blob binary").groupBy("bucket").applyInArrow(settle, "key binary, coded long")
+    settled = text.mapInArrow(released(deal), "bucket long, keys binary, blob binary").groupBy("bucket").applyInArrow(settle, "key binary, coded long")
     found = settled.groupBy("key").agg(F.collect_set("coded").alias("packs"))
 
     def suffixes(batches):
@@ -303,9 +303,9 @@ def duplicate_spans(docs: DataFrame, length: int = 400, least: int | None = None
         if last is not None:
             yield from _starts(last[0], np.array([last[1]]))
 
-    pieces = texts.join(found.where(F.exists("packs", lambda q: q.bitwiseAND(F.lit(3).cast("long")) < KNOWN)), "key").mapInArrow(suffixes, "lead long, d1 long, d2 long, key binary, at long, judge int")
+    pieces = texts.join(found.where(F.exists("packs", lambda q: q.bitwiseAND(F.lit(3).cast("long")) < KNOWN)), "key").mapInArrow(released(suffixes), "lead long, d1 long, d2 long, key binary, at long, judge int")
     sorted_ = pieces.repartitionByRange(parts, "lead", "d1").sortWithinPartitions("lead", "d1", "d2")
-    starts = sorted_.mapInArrow(compare, "key binary, pack long")
+    starts = sorted_.mapInArrow(released(compare), "key binary, pack long")
     return texts, found.join(starts.groupBy("key").agg(F.collect_set("pack").alias("starts")), "key", "left")
 
 
@@ -400,8 +400,8 @@ def dedup(docs: DataFrame, length: int = 400, texts: bool = False, least: int |
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     more = ", spans array<array<long>>, kept binary" if texts else ""
-    cut_out = distinct.join(spans, "key").mapInArrow(remove, "key binary, n_removed long, n_spans long, kept_sha string, n_shared long" + more)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(slim, "doc_id long, key binary, n_bytes long, sha string" + (", raw binary" if texts else ""))
+    cut_out = distinct.join(spans, "key").mapInArrow(released(remove), "key binary, n_removed long, n_spans long, kept_sha string, n_shared long" + more)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(slim), "doc_id long, key binary, n_bytes long, sha string" + (", raw binary" if texts else ""))
     zero = F.lit(0).cast("long")
     return base.join(cut_out, "key", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha", "sha").alias("kept_sha256"), F.coalesce("n_shared", zero).alias("n_shared"),

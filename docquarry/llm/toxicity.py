@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, label_sample, remainder, shards, starts_of, texts_of, word_hashes, words_of
+from ._common import bounded_batches, label_sample, released, remainder, shards, starts_of, texts_of, word_hashes, words_of
 
 TOKEN = re.compile(r"\w+")
 #: Most labelled documents that a model is fitted on.
@@ -241,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
             langs = b.column("lang").cast(pa.string()) if more else pa.nulls(b.num_rows, pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), langs, *(pa.array([x[0][k].astype("<i4").tobytes() for x in ids], pa.binary()) for k in range(TABLES))], ["doc_id", "y", "lang", *names])
 
-    got = label_sample(docs, labels, "toxic", HELD_MOD, HELD, most, more).mapInArrow(run, "doc_id long, y int, lang string, " + ", ".join(f"{c} binary" for c in names)).toArrow()
+    got = label_sample(docs, labels, "toxic", HELD_MOD, HELD, most, more).mapInArrow(released(run), "doc_id long, y int, lang string, " + ", ".join(f"{c} binary" for c in names)).toArrow()
     keys = list(zip(got.column("doc_id").to_pylist(), (x.as_buffer().size for x in got.column("t0")), range(got.num_rows), strict=True))
     order = np.array([k[2] for k in sorted(keys)], np.int64)[np.random.default_rng(3).permutation(len(keys))]
     got = got.take(pa.array(order))
@@ -264,7 +264,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             p = scores(sent.value, texts_of(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(HELD_MOD) == HELD).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(HELD_MOD) == HELD).alias("held_out"), "text").mapInArrow(released(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -280,4 +280,4 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             limit = np.array([max(threshold, sent.value.thresholds.get(x or "", threshold)) for x in langs])
             yield b.filter(pa.array(p < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

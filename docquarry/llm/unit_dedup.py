@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, bounded_batches, buckets_of, texts_of
+from ._common import WORD, bounded_batches, buckets_of, released, texts_of
 
 UNIT_WORDS = 6
 UNITS = ("part", "line", "paragraph")
@@ -161,7 +161,7 @@ def spans(docs: DataFrame, least: int = UNIT_WORDS, unit: str = "part") -> DataF
         return pa.table([pa.array([k.tobytes() for k in keys[gone["doc"]]], pa.binary()), pa.array(pack)], ["key", "pack"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = base.mapInArrow(deal, "bucket long, docs binary, blob binary").groupBy("bucket").applyInArrow(settle, "key binary, pack long")
+    found = base.mapInArrow(released(deal), "bucket long, docs binary, blob binary").groupBy("bucket").applyInArrow(settle, "key binary, pack long")
     return found.groupBy("key").agg(F.array_sort(F.collect_set("pack")).alias("packs"))
 
 
@@ -178,7 +178,7 @@ def dedup(docs: DataFrame, least: int = UNIT_WORDS, texts: bool = False, unit: s
             cols = [b.column("doc_id"), pa.array([_key(i, x) for i, x in zip(b.column("doc_id").to_pylist(), t, strict=True)], pa.binary()), pa.array([len(x) for x in t], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols + ([raw] if texts else []), ["doc_id", "key", "n_chars", *(["text"] if texts else [])])
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(name, "doc_id long, key binary, n_chars long" + (", text string" if texts else ""))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(name), "doc_id long, key binary, n_chars long" + (", text string" if texts else ""))
     packs = F.coalesce("packs", F.array().cast("array<bigint>"))
     start, end = (lambda p: F.shiftright(p, 31)), (lambda p: p.bitwiseAND(F.lit((1 << 31) - 1).cast("long")))
     got = base.join(found, "key", "left").withColumn("packs", packs)
@@ -195,4 +195,4 @@ def dedup(docs: DataFrame, least: int = UNIT_WORDS, texts: bool = False, unit: s
                 kept.append("".join(t[a:e] for a, e in zip(ends[::2], ends[1::2], strict=True)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "n_chars", "n_removed", "n_units", "spans")), pa.array(kept, pa.string())], ["doc_id", "n_chars", "n_removed", "n_units", "spans", "kept"])
 
-    return out.mapInArrow(keep, "doc_id long, n_chars long, n_removed long, n_units long, spans array<array<long>>, kept string")
+    return out.mapInArrow(released(keep), "doc_id long, n_chars long, n_removed long, n_units long, spans array<array<long>>, kept string")

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -235,6 +236,33 @@ def test_longest_equals_the_plain_table(monkeypatch, places):
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(m, m[1:]))
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_ordered_lines_go_where_an_earlier_text_has_them(spark, seed):
+    """Texts that take lines from one list in its order align in one way only: a later text loses every line that any earlier one has."""
+    rng = random.Random(seed)
+    pool = [f"line {i} " + " ".join(rng.choices("abcdefgh", k=8)) for i in range(60)]
+    texts = [[x for x in pool if rng.random() < 0.2] for _ in range(40)]
+    seen, want = set(), {}
+    for i, lines in enumerate(texts):
+        want[i] = [k for k, x in enumerate(lines) if x in seen]
+        seen |= set(lines)
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    for rare in (0, line_align.RARE):
+        assert {r.doc_id: list(r.removed) for r in line_align.align(df, rare=rare).collect()} == want
+
+
+def test_operators_take_a_very_long_text(spark):
+    """Three megabytes in one line next to a short text: nothing is cut, nothing fails."""
+    rng = random.Random(15)
+    long = " ".join(f"w{rng.randint(0, 99_999)}" for _ in range(420_000))
+    df = spark.createDataFrame([(1, long), (2, long), (3, long[:2000] + "#x"), (4, "short")], "doc_id long, text string")
+    n = len(long.encode())
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.dedup(df, 400).collect()} == {1: n, 2: n, 3: 2000, 4: 0}
+    assert {r.doc_id: r.kept.strip() for r in unit_dedup.dedup(df, texts=True).collect() if r.doc_id != 3} == {1: long, 2: "", 4: "short"}
+    assert {r.doc_id: r.n_removed for r in line_align.align(df).collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
+    assert {r.doc_id: r.class_id for r in bagminhash.classes(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_lines_repeated_on_either_side_are_aligned(spark):
     p = "this telling line has more than eight words in it"
     texts = [f"x\n{p}\ny\n{p}\nz", f"u\n{p}\nv", f"r\n{p}\ns\n{p}\nt"]
@@ -282,8 +310,18 @@ def test_strip_keeps_columns_and_clean_rows(docs, rows):
     assert len(got) <= len(rows) and all(r.n_chars == len(r.text or "") for r in got)
 
 
+def weighted_jaccard(a, b):
+    return sum((a & b).values()) / max(sum((a | b).values()), 1)
+
+
+def word_shingles(t):
+    """Five words in a row as tuples, counted; a shorter text is one shingle. Written apart from the operator."""
+    w = [x for x in re.split("[ \t\n\x0b\x0c\r]+", t or "") if x]
+    return collections.Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else collections.Counter()
+
+
 def test_classes_equal_brute_force(docs, rows):
-    bags = bagminhash.shingles([t or "" for _, t in rows])
+    bags = [word_shingles(t) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -293,7 +331,7 @@ def test_classes_equal_brute_force(docs, rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if bagminhash.similarity(bags[i], bags[j]) >= 0.8:
+            if weighted_jaccard(bags[i], bags[j]) >= 0.8:
                 root[find(i)] = find(j)
     groups = collections.defaultdict(list)
     for i, (d, _) in enumerate(rows):
@@ -305,6 +343,21 @@ def test_classes_equal_brute_force(docs, rows):
     assert kept.columns == docs.columns and len({find(i) for i in range(len(rows)) if (rows[i][1] or "").split()}) == len({(r.doc_id, r.text) for r in kept.collect() if (r.text or "").split()})
 
 
+def test_links_are_counted_and_repeats_go(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = [*base[:30], "x", *base[31:]]
+    texts = [" ".join(base), " ".join(base), " ".join(near), "alone in the world", None, ""]
+    df = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (2, texts[2]), (3, texts[3]), (None, texts[3]), (None, texts[3]), (4, texts[4]), (4, texts[4]), (5, texts[5])], "doc_id long, text string")
+    j = weighted_jaccard(word_shingles(texts[0]), word_shingles(texts[2]))
+    got = sorted(((r.doc_id, r.class_id, r.n_words, r.n_links) for r in bagminhash.classes(df).collect()), key=str)
+    linked = int(j >= 0.8)
+    assert j >= 0.8 and got == sorted([(1, 1, 60, linked), (1, 1, 60, linked), (2, 1, 60, linked), (3, 3, 4, 0), (None, 3, 4, 0), (None, 3, 4, 0), (4, 4, 0, 0), (4, 4, 0, 0), (5, 5, 0, 0)], key=str)
+    kept = collections.Counter(r.doc_id for r in bagminhash.keep_one(df).collect())
+    assert kept == {1: 1, 3: 1, 4: 2, 5: 1}
+    lone = spark.createDataFrame([(None, texts[3]), (None, texts[3])], "doc_id long, text string")
+    assert bagminhash.keep_one(lone).count() == 1
+
+
 def test_links_between_non_leaders_are_found(spark):
     """A chain: each text is similar to the next one only, so most links do not touch a band's leader."""
     words = [f"w{i}" for i in range(400)]

@@ -107,6 +107,16 @@ def test_resample_meets_targets_to_half_a_document(docs, rows):
         assert abs(got[s] - want) <= longest / 2 + 1
 
 
+def test_scores_take_a_very_long_text(spark):
+    long = " ".join(f"w{i % 7919}" for i in range(300_000))
+    df = spark.createDataFrame([(1, long), (2, "short text")], "doc_id int, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.n_words for r in quality_rules.ledger(df).collect()} == {1: 300_000, 2: 2}
+    assert quality_fm.score(df, quality_fm.train(df, none)).count() == toxicity.score(df, toxicity.train(df, none)).count() == 2
+    with_source = df.withColumn("source", F.lit("s"))
+    assert sum(r.taken for r in mixing.mix(with_source).collect()) == round(1.5 * 300_002)
+
+
 def test_resample_keeps_columns(docs, nothing):
     out = mixing.resample(docs, block=16)
     assert out.columns == docs.columns and out.where("text is null or text = ''").count() == 0
@@ -160,6 +170,36 @@ def test_sum_of_squares_identity():
     assert abs(quality_fm.raw(m, ids, x, np.array([4]))[0][0] - slow) < 1e-9
 
 
+def test_machine_learns_interactions():
+    """Labels that only a pair of features decides: no linear model can tell them."""
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 2, 400), rng.integers(0, 2, 400)
+    ids = np.stack([a, 2 + b], axis=1).ravel()
+    model = quality_fm.fit(ids, np.ones(len(ids), np.float32), np.full(400, 2), (a ^ b).astype(float), epochs=60)
+    z, _ = quality_fm.raw(model, np.array([0, 2, 0, 3, 1, 2, 1, 3]), np.ones(8, np.float32), np.full(4, 2))
+    assert (z > 0).tolist() == [False, True, True, False]
+
+
+def test_network_learns_words_in_a_row():
+    """Toxic only where two words stand next to each other; both words are in every text."""
+    rng = random.Random(2)
+    fill = [f"f{i}" for i in range(30)]
+    texts, y = [], []
+    for k in range(600):
+        w = rng.choices(fill, k=12)
+        at = rng.randint(0, 5)
+        w[at] = "zap"
+        w[at + 1 if k % 2 else at + 4 + rng.randint(0, 2)] = "bolt"
+        texts.append(" ".join(w))
+        y.append(k % 2)
+    cut = 480
+    ids = [toxicity.token_ids([t]) for t in texts]
+    data = toxicity.Tokens([np.concatenate([x[0][k] for x in ids[:cut]]) for k in range(toxicity.TABLES)], np.array([int(x[1][0]) for x in ids[:cut]]))
+    model = toxicity.fit(data, np.array(y[:cut]), ["en"] * cut, epochs=40)
+    p = toxicity.scores(model, texts[cut:])
+    assert ((p >= 0.5) == np.array(y[cut:])).mean() > 0.9
+
+
 def test_cnn_pooling_equals_plain_loops():
     m = toxicity.fit(toxicity.Tokens([np.zeros(0, np.int32)] * toxicity.TABLES, np.zeros(0, np.int64)), np.zeros(0), [])
     for k, e in enumerate(m.tables):
