@@ -253,6 +253,16 @@ def generate(questions: DataFrame, passages: DataFrame, model: Model, bounds: Da
     return got.select("qid", status.alias("status"), F.when(good, F.coalesce("new", "answer")).alias("answer"), F.when(good, F.coalesce("new_citations", "citations")).otherwise(none).alias("citations"), (good & F.col("new").isNotNull()).alias("repaired"))
 
 
+def faithful(answers: DataFrame, sources: DataFrame, model: Model) -> DataFrame:
+    """(qid, score, why): a model's judgement from 0 to 1 how far its sources (qid, citation, text) carry an answer (qid, question, answer): the first number of its words, of a hundred; null without sources or a readable number."""
+    ctx = sources.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("citation", "text"))), lambda x: F.concat(F.lit("["), x["citation"], F.lit("] "), x["text"])), "\n\n").alias("ctx"))
+    asked = answers.join(ctx, "qid", "left")
+    said = capability.call(asked.where("ctx is not null").select("qid", F.concat(F.lit("FAITHFUL 0 TO 100?\n"), "ctx", F.lit("\n\nQUESTION\n"), "question", F.lit("\n\nANSWER\n"), "answer").alias("prompt")), model)
+    n = F.regexp_extract(F.coalesce("answer", F.lit("")), r"\d{1,3}", 0).try_cast("int")
+    got = answers.select("qid").join(said.select("qid", n.alias("n"), F.lit(True).alias("called")), "qid", "left")
+    return got.select("qid", F.round(F.least(F.col("n"), F.lit(100)) / 100.0, 2).alias("score"), F.when(F.col("called").isNull(), "no_source").when(F.col("n").isNull(), "unreadable").alias("why"))
+
+
 def respond(questions: DataFrame, corpora: DataFrame, find: Callable[[DataFrame], DataFrame], model: Model, most: int = ATTEMPTS) -> DataFrame:
     """(qid, status, answer, citations, attempts, error): the whole way of a batch of questions (qid, text, corpus_id). An empty question or an unknown corpus is an error row; nothing raises for one question."""
     known = questions.join(corpora.select("corpus_id", F.lit(True).alias("known")), "corpus_id", "left")

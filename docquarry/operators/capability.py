@@ -151,6 +151,48 @@ def answer(passages: DataFrame, questions: DataFrame, least: float = 0.15) -> Da
     return got.select("qid", F.when(F.col("b").isNull(), "refused").otherwise("answered").alias("status"), F.concat(text.excerpt(F.col("b.text")), F.lit(" [S1]")).alias("answer"), F.coalesce("n_sources", F.lit(0)).cast("long").alias("n_sources"))
 
 
+def accumulate(sources: DataFrame) -> DataFrame:
+    """Sources (qid, pos, doc_id, source, file_name, page, text) of a question without repeats: rows that agree in doc_id, source, file name, page and text are one, at their first place."""
+    first = sources.groupBy("qid", "doc_id", "source", "file_name", "page", "text").agg(F.min("pos").alias("first"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("first")).cast("long")
+    return first.withColumn("place", place).drop("first")
+
+
+def distinct_documents(sources: DataFrame) -> DataFrame:
+    """(qid, documents): names of the documents of sources (qid, pos, doc_id, source, file_name), file name before source before id, once each, in the order of their first source."""
+    name = F.coalesce(*(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in ("file_name", "source", "doc_id")))
+    first = sources.withColumn("name", name).where("name is not null").groupBy("qid", "name").agg(F.min("pos").alias("pos"))
+    return first.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("documents"))
+
+
+def analyse(docs: DataFrame, model: Model, categories: list[str], default: str, fields: dict[str, str], least: float = 0.55, most: int = BATCH) -> DataFrame:
+    """(doc_id, category, confidence, fallback, error, and the fields by their types, raw texts kept): what a model reads in each document (doc_id, file_name, text): JSON {category, confidence, metadata}. A category outside the list, a confidence below ``least``, or no readable answer gives the default category; the document goes on either way."""
+    from ..functions import arrays, values
+
+    prompt = F.concat(F.lit("ANALYSE\n"), F.coalesce("file_name", F.lit("")), F.lit("\nCATEGORIES: " + ", ".join(categories) + "\nFIELDS: " + ", ".join(fields) + "\n\n"), F.substring(F.coalesce("text", F.lit("")), 1, most))
+    said = call(docs.select("doc_id", prompt.alias("prompt")), model).withColumn("j", arrays.json_object(F.col("answer")))
+    confidence = values.confidence(F.get_json_object("j", "$.confidence"))
+    found = text.match_label(F.get_json_object("j", "$.category"), categories)
+    sure = found.isNotNull() & (confidence >= least)
+    meta = F.from_json(F.get_json_object("j", "$.metadata"), "map<string,string>")
+    error = F.when(~F.col("ok"), "failed_call").when(F.col("j").isNull() | F.get_json_object("j", "$").isNull(), "unreadable_answer")
+    got = said.select("doc_id", F.when(F.coalesce(sure, F.lit(False)), found).otherwise(F.lit(default)).alias("category"), F.coalesce(confidence, F.lit(0.0)).alias("confidence"), (~F.coalesce(sure, F.lit(False))).alias("fallback"), error.alias("error"), *(meta[f].alias(f) for f in fields))
+    return values.typed_row(got, fields)
+
+
+def classify_context(contexts: DataFrame, model: Model, categories: list[str]) -> DataFrame:
+    """(qid, category, citations, reason) of contexts (qid, text, citations array): one call each; a category of the list with a citation of the context, or none with the reason: failed_call, unknown_category or uncited."""
+    from ..functions import arrays
+
+    clean = list({" ".join(c.split()).casefold(): " ".join(c.split()) for c in reversed(categories) if c.strip()}.values())[::-1]
+    said = call(contexts.select("qid", "citations", F.concat(F.lit("CLASSIFY AS " + ", ".join(clean) + "\n\n"), "text").alias("prompt")), model).withColumn("j", arrays.json_object(F.col("answer")))
+    category = text.match_label(F.get_json_object("j", "$.category"), clean)
+    declared = F.coalesce(F.from_json(F.get_json_object("j", "$.citations"), "array<string>"), F.array().cast("array<string>"))
+    cited = F.array_intersect(F.transform(declared, lambda x: F.regexp_replace(x, r"[\[\]\s]", "")), F.col("citations"))
+    reason = F.when(~F.col("ok") | F.col("j").isNull(), "failed_call").when(category.isNull(), "unknown_category").when(F.size(cited) == 0, "uncited")
+    return said.select("qid", F.when(reason.isNull(), category).alias("category"), F.when(reason.isNull(), cited).otherwise(F.array().cast("array<string>")).alias("citations"), reason.alias("reason"))
+
+
 @dataclass
 class Tool:
     """A named capability; ``run`` takes keyword arguments and returns a DataFrame."""
@@ -184,6 +226,11 @@ class Registry:
             return False, None, f"{type(e).__name__}: {e}"
 
 
+def tool(name: str, description: str, read_only: bool = True):
+    """Make a function a tool of that name."""
+    return lambda run: Tool(name, description, run, read_only)
+
+
 def default_registry() -> Registry:
     out = Registry()
     for name, what, run in (("classify", "majority of batch votes", classify), ("extract", "values of fields with citations", extract), ("summarize", "reduced batch summaries", summarize), ("compare", "documents side by side", compare)):

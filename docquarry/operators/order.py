@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
+def seeded(df: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:
+    """df numbered in an order that a seed fixes: by a hash of the seed and the key, ties by the key. The same rows give the same order on every run and any cluster."""
+    h = F.xxhash64(F.lit(seed), F.col(key))
+    return number(df.withColumn("h_", h), "h_", key, name=name).drop("h_")
+
+
 def number(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
     """df with consecutive numbers from 1 in the given order: ranges are numbered apart, then shifted by the sizes of those before (one row a range). The ranges are cut first, so both readings see the same ones."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

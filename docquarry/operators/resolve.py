@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.values import comparison_key
 from ..session import ship
+from . import retrieval
 
 THRESHOLD, MARGIN, BOOST = 0.55, 0.15, 1.15
 # Phrases that restrict a question to a source.
@@ -20,28 +23,65 @@ def signatures(cards: DataFrame, key: str, label: str) -> DataFrame:
     return cards.select(key, label, F.explode(text.useful_tokens(F.col(label))).alias("token"))
 
 
+def _marked(question: Column) -> Column:
+    plain = F.array_join(text.tokens(question), " ")
+    out = F.lit(False)
+    for m in SCOPE_MARKS:
+        out = out | F.contains(plain, F.lit(m))
+    return out
+
+
+def _label_page(b: pa.RecordBatch):
+    return [b.column(c).to_pylist() for c in ("label", "n_cards", "tokens", "idfs")]
+
+
+def _question_block(b: pa.RecordBatch):
+    return [b.column(c).to_pylist() for c in ("text", "tokens", "marked")]
+
+
+def _named_groups(page, block):
+    """Of a page of labels, for each question the groups of the two highest scores: (text, score, found, n_documents, first_label)."""
+    labels, n_cards, tokens, idfs = page
+    texts, asked, marked = block
+    column = {t: i for i, t in enumerate(dict.fromkeys(t for ts in asked for t in ts))}
+    have = np.zeros((len(labels), len(column)))
+    for r, (ts, ws) in enumerate(zip(tokens, idfs, strict=True)):
+        for t, w in zip(ts, ws, strict=True):
+            if t in column:
+                have[r, column[t]] = w
+    ask = np.zeros((len(texts), len(column)))
+    for r, ts in enumerate(asked):
+        ask[r, [column[t] for t in ts]] = 1
+    share = (ask @ have.T) / np.array([sum(ws) for ws in idfs])[None]
+    score = np.round(np.where(np.array(marked)[:, None], np.minimum(1, share * BOOST), share), 6)
+    out: list[tuple] = []
+    for q in range(len(texts)):
+        top = np.unique(score[q][score[q] > 0])[-2:]
+        groups: dict[tuple, list] = {}
+        for r in np.flatnonzero(score[q] >= top[0]) if len(top) else ():
+            own = " ".join(sorted(t for t in tokens[r] if t in column and ask[q, column[t]]))
+            g = groups.setdefault((float(score[q, r]), own), [0, labels[r]])
+            g[0], g[1] = g[0] + n_cards[r], min(g[1], labels[r])
+        out += [(texts[q], s, found, n, first) for (s, found), (n, first) in groups.items()]
+    return list(zip(*out, strict=True)) or [()] * 5
+
+
 def resolve(questions: DataFrame, cards: DataFrame, key: str = "doc_id", label: str = "title") -> DataFrame:
     """(qid, status, score, n_documents, first_label, second_score): the documents that a question names.
 
-    A card's score is the idf of its label's tokens found in the question over that of all its tokens, times BOOST under a scope phrase (1 at most). Cards equal in score and tokens are one group. Under THRESHOLD nothing is named; a lead under MARGIN is ambiguous; one document is exact, several are compatible. Tokens meet by an equi-join, so only cards that share a token with a question are scored.
+    A card's score is the idf of its label's tokens found in the question over that of all its tokens, times BOOST under a scope phrase (1 at most). Cards equal in score and tokens are one group. Under THRESHOLD nothing is named; a lead under MARGIN is ambiguous; one document is exact, several are compatible. Labels in pages meet questions in blocks, and only the groups of a page's two highest scores leave it, so a token that most labels have costs no more than others.
     """
-    labels = cards.groupBy(label).agg(F.countDistinct(key).alias("n_cards"))  # cards of one label are scored once
-    sigs = signatures(labels, "n_cards", label)
+    ship(cards.sparkSession)
+    labels = cards.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.countDistinct(key).alias("n_cards"))  # cards of one label are scored once
+    sigs = signatures(labels, "n_cards", "label")
     n = cards.select(F.greatest(F.countDistinct(key), F.lit(1)).alias("n"))
     weights = sigs.groupBy("token").agg(F.sum("n_cards").alias("df")).crossJoin(F.broadcast(n)).select("token", F.log(1 + F.col("n") / (1 + F.col("df"))).alias("idf"))
-    weighted = sigs.join(weights, "token")
-    whole = weighted.groupBy(label).agg(F.sum("idf").alias("whole"))
-    texts = questions.select("text").distinct()  # questions of one text, too
-    asked = texts.select("text", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
-    hits = asked.join(weighted, "token").groupBy("text", label).agg(F.sum("idf").alias("part"), F.max("n_cards").alias("n_cards"), F.array_join(F.array_sort(F.collect_set("token")), " ").alias("found"))
-    plain = F.array_join(text.tokens(F.col("text")), " ")
-    marked = F.lit(False)
-    for m in SCOPE_MARKS:
-        marked = marked | F.contains(plain, F.lit(m))
-    scored = hits.join(whole, label)
-    share = F.col("part") / F.col("whole")
-    scored = scored.withColumn("score", F.round(F.when(marked, F.least(F.lit(1.0), share * BOOST)).otherwise(share), 6))
-    groups = scored.groupBy("text", "score", "found").agg(F.sum("n_cards").alias("n_documents"), F.min(label).alias("first_label"))
+    weighted = sigs.join(weights, "token").groupBy("label", "n_cards").agg(F.array_sort(F.collect_list(F.struct("token", "idf"))).alias("ts")).select("label", "n_cards", F.col("ts.token").alias("tokens"), F.col("ts.idf").alias("idfs"))
+    texts = questions.select("text").where("text is not null").distinct()  # questions of one text, too
+    asked = texts.select("text", F.array_distinct(text.tokens(F.col("text"))).alias("tokens"), _marked(F.col("text")).alias("marked"))
+    pages, blocks = retrieval.packed(weighted, "page", _label_page, retrieval.PAGE), retrieval.packed(asked, "block", _question_block, retrieval.QUERY_BLOCK * 4)
+    met = retrieval.meet(pages, blocks, _named_groups, "text string, score double, found string, n_documents long, first_label string")
+    groups = met.groupBy("text", "score", "found").agg(F.sum("n_documents").alias("n_documents"), F.min("first_label").alias("first_label"))
     w = Window.partitionBy("text").orderBy(F.col("score").desc(), "first_label", "found")
     ranked = groups.withColumn("place", F.row_number().over(w)).withColumn("second_score", F.coalesce(F.lead("score").over(w), F.lit(0.0))).where("place = 1")
     got = questions.select("qid", "text").join(ranked, "text", "left")

@@ -38,7 +38,7 @@ def idf(counts: DataFrame, n_docs: Column | int) -> DataFrame:
     return counts.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.log(1 + F.greatest(n, F.lit(1)) / (1 + F.col("df"))))
 
 
-def _packed(df: DataFrame, blob: str, pack, most: int) -> DataFrame:
+def packed(df: DataFrame, blob: str, pack, most: int) -> DataFrame:
     """df as blobs of at most ``most`` rows, made batch by batch without a shuffle; ``pack`` turns a record batch into what is pickled."""
 
     def run(batches):
@@ -49,7 +49,7 @@ def _packed(df: DataFrame, blob: str, pack, most: int) -> DataFrame:
     return df.mapInArrow(run, f"{blob} binary")
 
 
-def _meet(pages: DataFrame, blocks: DataFrame, score, schema: str) -> DataFrame:
+def meet(pages: DataFrame, blocks: DataFrame, score, schema: str) -> DataFrame:
     """``score`` (a page's and a block's content to columns) for every page and block. Blocks of a stated query set against all rows: the planner sends the blocks to the pages where they are small, and else pairs partitions."""
 
     def run(batches):
@@ -71,7 +71,7 @@ def _pages_of_tokens(docs: DataFrame) -> DataFrame:
         codes = [np.unique(np.array([number.setdefault(t, len(number)) for t in text.tokens_of(x)], np.int64)) for x in b.column("text").to_pylist()]
         return b.column("doc_id").to_numpy(zero_copy_only=False), list(number), np.array([len(c) for c in codes], np.int64), np.concatenate(codes or [np.zeros(0, np.int64)]).astype(np.int32)
 
-    return _packed(docs.select("doc_id", "text"), "page", pack, PAGE)
+    return packed(docs.select("doc_id", "text"), "page", pack, PAGE)
 
 
 def _held_words(k: int):
@@ -110,7 +110,7 @@ def by_words(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
         toks, units = b.column("token").to_pylist(), b.column("units").to_pylist()
         return b.column("qid").to_pylist(), [len(t) for t in toks], [x for t in toks for x in t], [x for t in units for x in t]
 
-    return _meet(_pages_of_tokens(docs), _packed(grouped, "block", pack, QUERY_BLOCK), _held_words(k), "qid long, doc_id long, units long")
+    return meet(_pages_of_tokens(docs), packed(grouped, "block", pack, QUERY_BLOCK), _held_words(k), "qid long, doc_id long, units long")
 
 
 def document_frequencies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -174,9 +174,9 @@ def dense(queries: DataFrame, points: DataFrame, k: int = 20, metric: str = "cos
                 o.append(x)
         return [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
 
-    blocks = _packed(queries.where("vector is not null").select("qid", "vector"), "block", pack, QUERY_BLOCK * 16)
-    pages = _packed(points.select("doc_id", "vector"), "page", pack, PAGE)
-    return best(_meet(pages, blocks, score, "qid long, doc_id long, score double"), k)
+    blocks = packed(queries.where("vector is not null").select("qid", "vector"), "block", pack, QUERY_BLOCK * 16)
+    pages = packed(points.select("doc_id", "vector"), "page", pack, PAGE)
+    return best(meet(pages, blocks, score, "qid long, doc_id long, score double"), k)
 
 
 def sparse(queries: DataFrame, points: DataFrame, k: int = 20) -> DataFrame:
@@ -202,8 +202,8 @@ def sparse(queries: DataFrame, points: DataFrame, k: int = 20) -> DataFrame:
         got = s[row, top.ravel()]
         return qids[row][got > 0], ids[top.ravel()][got > 0], got[got > 0]
 
-    blocks, pages = _packed(queries.select("qid", "sparse"), "block", pack, QUERY_BLOCK), _packed(points.select("doc_id", "sparse"), "page", pack, PAGE)
-    return best(_meet(pages, blocks, score, "qid long, doc_id long, score double"), k)
+    blocks, pages = packed(queries.select("qid", "sparse"), "block", pack, QUERY_BLOCK), packed(points.select("doc_id", "sparse"), "page", pack, PAGE)
+    return best(meet(pages, blocks, score, "qid long, doc_id long, score double"), k)
 
 
 def rrf(*lists: DataFrame, k: int = 60, limit: int = 6) -> DataFrame:

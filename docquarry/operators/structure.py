@@ -155,6 +155,18 @@ def chunks_of(text: str, size: int = CHUNK, parent: int = PARENT) -> list[dict]:
     return out
 
 
+def blocks(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, kind, section, text): every block of every document, in order."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            rows = [(i, n, *x) for i, t in zip(b.doc_id, b.text, strict=True) if t for n, x in enumerate(blocks_of(t), 1)]
+            yield pd.DataFrame(rows, columns=["doc_id", "pos", "kind", "section", "text"])
+
+    return spread(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, pos long, kind string, section string, text string")
+
+
 def recursive_chunks_of(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[dict]:
     """Chunks of a page by size alone, without kinds, sections or parents."""
     return [{"chunk_index": i, "kind": "text", "section": None, "parent": 1, "place": i, "text": p} for i, p in enumerate(split_text(text, size, overlap))]

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text
-from ..operators import agent, encode, multidoc, perimeter, retrieval, routing, search
+from ..operators import agent, capability, encode, multidoc, perimeter, retrieval, routing, search
 from .base import query
 from .texts import TOK
 
@@ -205,7 +205,33 @@ _NUM = f"(list_contains({_NUMBERS}, {{x}}) OR regexp_matches({{x}}, '^\\d+$'))"
 _HAS = lambda marks: " OR ".join("contains(u, '" + m.replace("'", "''") + "')" for m in marks)
 
 
-@query(f"""WITH x AS (SELECT conv_id, turn, strip_accents(lower(text)) AS u, {TOK} AS t, list_distinct(list_transform(regexp_extract_all(text, '(?i)\\b[\\w-]+\\.(?:pdf|txt|docx?|csv|json|md|xlsx?|pptx?|rtf|odt|html?)\\b'), lambda f: lower(f))) AS refs FROM conversations),
+#: What is put before turns, so that every rule has its cases.
+OPENINGS = [
+    "", "Résume ", "Compare these two reports: ", "Compare les deux méthodes de ce rapport : ", "Classe ce document : ", "Synthèse des chapitres de ce rapport ", "Récupère le montant et la date de ", "Quelle catégorie pour ", "Differences between a.pdf and b.docx, ", "Overview of both files ",
+    "Extract the totals: ? ", "Les 3 contrats, point commun ",
+]
+_OPENED = "SELECT conv_id, turn, [" + ", ".join(f"'{x}'" for x in OPENINGS) + f"][(conv_id + turn) % {len(OPENINGS)} + 1] || text AS text FROM conversations"
+
+
+def _opened(table):
+    opening = F.element_at(F.array(*map(F.lit, OPENINGS)), ((F.col("conv_id") + F.col("turn")) % len(OPENINGS) + 1).cast("int"))
+    return table("conversations").select("conv_id", "turn", F.concat(opening, "text").alias("text"))
+
+
+_ANY = lambda ws: f"len(list_intersect(t, {_L(ws)})) > 0"
+_LISTED = "(" + _HAS(routing.ENUMERATION) + ")"
+
+
+@query(f"""WITH o AS ({_OPENED}), x AS (SELECT conv_id, turn, text, strip_accents(lower(text)) AS u, {TOK} AS t FROM o)
+SELECT conv_id, turn, CASE WHEN {_ANY(routing.SUMMARIZE_WORDS)} OR {_HAS(routing.SUMMARIZE_PHRASES)} THEN 'summarize' WHEN {_ANY(routing.CLASSIFY_WORDS)} OR t[1] = 'classe' OR {_HAS(routing.CLASSIFY_PHRASES)} THEN 'classify'
+WHEN {_ANY(routing.CLASSIFY_UNSURE_WORDS)} OR {_HAS(routing.CLASSIFY_UNSURE_PHRASES)} THEN 'unsure_classify' WHEN {_ANY(routing.EXTRACT_WORDS)} OR {_HAS(routing.EXTRACT_PHRASES)} OR regexp_matches(text, '\\S+\\s*:\\s*\\?') OR ({_LISTED} AND {_ANY(routing.FETCH_WORDS)}) THEN 'extract'
+WHEN {_LISTED} THEN 'unsure_extract' ELSE 'search' END AS intent FROM x""")
+def turn_intents(spark, table):
+    """The intent that the rules see in every turn, under varying openings."""
+    return _opened(table).select("conv_id", "turn", routing.intent(F.col("text")).alias("intent"))
+
+
+@query(f"""WITH c AS ({_OPENED}), x AS (SELECT conv_id, turn, strip_accents(lower(text)) AS u, {TOK} AS t, list_distinct(list_transform(regexp_extract_all(text, '(?i)\\b[\\w-]+\\.(?:pdf|txt|docx?|csv|json|md|xlsx?|pptx?|rtf|odt|html?)\\b'), lambda f: lower(f))) AS refs FROM c),
 s AS (SELECT *, {_PAIR.format(a=_L(routing.NAME_ONE), b=_NOUNS)} AS single, {_PAIR.format(a=_L(routing.POINT_AT_ONE), b=_NOUNS)} AS pointed,
   len(list_filter(range(1, len(t) + 1), lambda i: list_contains({_L(routing.NAME_SEVERAL)}, t[i]) AND {_NUM.format(x='t[i + 1]')} AND list_contains({_NOUNS}, t[i + 2]))) > 0
   OR len(list_filter(range(1, len(t) + 1), lambda i: (list_contains({_L(routing.POINT_AT_SEVERAL)}, t[i]) AND list_contains({_PLURAL}, t[i + 1])) OR (t[i] = 'both' AND list_contains({_NOUNS}, t[i + 1])))) > 0
@@ -214,5 +240,37 @@ m AS (SELECT *, len(refs) >= 2 OR (plural AND NOT single) AS multi, NOT (len(ref
 o AS (SELECT *, CASE WHEN (multi AND ({_HAS(routing.COMPARE_MARKS)})) OR (one AND ({_HAS(routing.COMPARE_WITHIN_MARKS)})) THEN 'compare' WHEN ({_HAS(routing.SYNTHESIS_MARKS)}) AND (multi OR (one AND len(list_intersect(t, {_L(routing.PARTS)})) > 0)) THEN 'synthesize' ELSE 'none' END AS operation FROM m)
 SELECT conv_id, turn, multi AS is_multi, operation, CASE WHEN operation = 'none' THEN 'none' WHEN multi THEN 'inter' ELSE 'intra' END AS scope FROM o""")
 def signals_of_turns(spark, table):
-    """The signal of several documents in every turn of every conversation."""
-    return table("conversations").select("conv_id", "turn", routing.multi_document(F.col("text")).alias("m")).select("conv_id", "turn", "m.is_multi", "m.operation", "m.scope")
+    """The signal of several documents in every turn of every conversation, under varying openings."""
+    return _opened(table).select("conv_id", "turn", routing.multi_document(F.col("text")).alias("m")).select("conv_id", "turn", "m.is_multi", "m.operation", "m.scope")
+
+
+_SOURCES = "SELECT l_suppkey % 50 AS qid, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS pos, l_partkey % 20 AS doc_id, l_shipmode_ AS source, CASE WHEN l_partkey % 20 < 5 THEN ' ' ELSE 'f' || l_partkey % 20 END AS file_name, l_linenumber AS page, l_returnflag AS text FROM (SELECT *, l_linestatus AS l_shipmode_ FROM lineitem)"
+
+
+def _sources(table):
+    w = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    d = F.col("l_partkey") % 20
+    return table("lineitem").select((F.col("l_suppkey") % 50).alias("qid"), w.alias("pos"), d.alias("doc_id"), F.col("l_linestatus").alias("source"), F.when(d < 5, " ").otherwise(F.concat(F.lit("f"), d.cast("string"))).alias("file_name"), F.col("l_linenumber").alias("page"), F.col("l_returnflag").alias("text"))
+
+
+@query(f"""WITH s AS ({_SOURCES}), g AS (SELECT qid, doc_id, source, file_name, page, text, min(pos) AS pos FROM s GROUP BY ALL) SELECT qid, doc_id, source, file_name, page, text, row_number() OVER (PARTITION BY qid ORDER BY pos) AS place FROM g""")
+def accumulated_sources(spark, table):
+    """Sources of questions without repeats, in the order of their first place."""
+    return capability.accumulate(_sources(table))
+
+
+@query(f"""WITH s AS ({_SOURCES}), g AS (SELECT qid, CASE WHEN trim(file_name) <> '' THEN file_name ELSE source END AS name, min(pos) AS pos FROM s GROUP BY ALL) SELECT qid, string_agg(name, ',' ORDER BY pos) AS documents FROM g GROUP BY qid""")
+def source_documents(spark, table):
+    return capability.distinct_documents(_sources(table)).select("qid", F.array_join("documents", ",").alias("documents"))
+
+
+@query("""WITH p AS (SELECT o_custkey AS qid, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank, CASE o_orderkey % 3 WHEN 0 THEN 'dir/Doc-' || o_orderkey % 7 || '.PDF' WHEN 1 THEN 'doc ' || o_orderkey % 7 ELSE 'DOC_' || o_orderkey % 7 || '.txt' END AS name, 'doc' || o_orderkey % 7 AS key FROM orders),
+g AS (SELECT qid, key, min(rank) AS first, count(*)::BIGINT AS passages FROM p GROUP BY ALL) SELECT qid, key, row_number() OVER (PARTITION BY qid ORDER BY first) AS rank, passages FROM g""")
+def documents_by_key(spark, table):
+    """Documents in the order of their first passage, names of one document met by their key."""
+    k = F.col("o_orderkey")
+    n = (k % 7).cast("string")
+    name = F.when(k % 3 == 0, F.concat(F.lit("dir/Doc-"), n, F.lit(".PDF"))).when(k % 3 == 1, F.concat(F.lit("doc "), n)).otherwise(F.concat(F.lit("DOC_"), n, F.lit(".txt")))
+    p = table("orders").select(F.col("o_custkey").alias("qid"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("rank"), text.document_key(name).alias("key"))
+    g = p.groupBy("qid", "key").agg(F.min("rank").alias("first"), F.count("*").alias("passages"))
+    return g.select("qid", "key", F.row_number().over(Window.partitionBy("qid").orderBy("first")).cast("long").alias("rank"), "passages")

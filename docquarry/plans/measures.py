@@ -142,24 +142,6 @@ def corpus_status(spark, table):
     return d.groupBy(F.col("lang").alias("corpus_id")).agg(F.count("*").alias("n_points"), F.countDistinct("doc_id").alias("n_documents"), F.sum(F.length("text")).alias("n_chars"), F.when(bad > 0, "partial").otherwise("ready").alias("status"))
 
 
-QUESTIONS = [
-    ("Résume ce rapport.", "summarize", False, "none", "none"), ("Classe ce document.", "classify", False, "none", "none"), ("Quelle classe de risque ?", "search", False, "none", "none"),
-    ("Quelle est la classification de risque mentionnée ?", "unsure_classify", False, "none", "none"), ("Extract the totals.", "extract", False, "none", "none"), ("Fournisseur : ? Date : ?", "extract", False, "none", "none"),
-    ("Donne-moi le fournisseur, la date.", "unsure_extract", False, "none", "none"), ("Récupère le montant et la date", "extract", False, "none", "none"), ("What is the total revenue?", "search", False, "none", "none"),
-    ("Compare these two reports.", "search", True, "compare", "inter"), ("Compare les deux méthodes décrites dans rapport_alpha.pdf.", "search", False, "compare", "intra"),
-    ("Quels sont les différents dispositifs décrits dans ce rapport ?", "search", False, "none", "none"), ("Synthétise les différents chapitres de ce rapport.", "summarize", False, "synthesize", "intra"),
-    ("Peux-tu synthétiser rapport_alpha.pdf ?", "summarize", False, "none", "none"), ("Differences between a.pdf and b.docx", "unsure_extract", True, "compare", "inter"), ("Overview of both files", "search", True, "synthesize", "inter"),
-]
-_QUESTION_SQL = "(VALUES " + ", ".join(f"({i}, '{x[1]}', {str(x[2]).lower()}, '{x[3]}', '{x[4]}')" for i, x in enumerate(QUESTIONS)) + ") v(id, intent, is_multi, operation, scope)"
-
-
-@query(f"SELECT id::INTEGER AS id, intent, is_multi, operation, scope FROM {_QUESTION_SQL}")
-def routing_rules(spark, table):
-    """Intent and multi-document signal of questions with known answers."""
-    d = spark.createDataFrame([(i, x[0]) for i, x in enumerate(QUESTIONS)], "id int, q string").withColumn("m", routing.multi_document(F.col("q")))
-    return d.select("id", routing.intent(F.col("q")).alias("intent"), "m.is_multi", "m.operation", "m.scope")
-
-
 _W = ", ".join(f"'{w}'" for w in routing.SUMMARIZE_WORDS)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import capability, incremental, order, retrieval, structure
+from ..operators import capability, incremental, order, resolve, retrieval, structure
 from .base import query
 from .search import _LEX, _lexical
 from .texts import TOK
@@ -173,29 +173,31 @@ def ablation_table(spark, table):
     return a.select("k", F.round("v", 6).alias("hit_rate"), F.round(F.col("v") - reference, 4).alias("delta"))
 
 
-def _publication(questions):
-    from ..operators.resolve import publication_years
+_NOUN = "[" + ", ".join(f"'{w}'" for w in resolve.PUBLICATION_WORDS) + "]"
+_QUALIFIER = "[" + ", ".join(f"'{w}'" for w in resolve.PUBLICATION_QUALIFIERS) + "]"
+_ABOUT = """CASE o_orderkey % 5 WHEN 0 THEN 'value ' || y || ' in the ' || (y + 1) || ' report' WHEN 1 THEN 'Rapport ' || y || ' et ' || (y - 1) WHEN 2 THEN y || ' annual financial statements of ' || o_orderpriority WHEN 3 THEN y || ' in the document' ELSE o_orderstatus || ' ' || y || ' consolidated interim final filing ' || y END"""
 
-    return publication_years(questions)
 
-
-YEARS = [("value 2020 in the 2022 report", [2022], [2020]), ("rapport 2022", [2022], []), ("2021 annual financial statements", [2021], []), ("2020 in the document", [], [2020]), ("nothing here", [], []), ("exercice 2019 et 2018", [2019], [2018])]
-_YEARS_SQL = "(VALUES " + ", ".join(f"({i}, '{','.join(map(str, p))}', '{','.join(map(str, v))}')" for i, (_, p, v) in enumerate(YEARS)) + ") v(id, publication, named)"
-
-
-@query(f"SELECT id::INTEGER AS id, publication, named FROM {_YEARS_SQL}")
+@query(f"""WITH o AS (SELECT *, year(o_orderdate)::BIGINT AS y FROM orders), t AS (SELECT o_orderkey, regexp_extract_all(strip_accents(lower({_ABOUT})), '[a-z0-9]+') AS t FROM o), p AS (SELECT o_orderkey, t, unnest(range(1, len(t) + 1)) AS i FROM t),
+d AS (SELECT o_orderkey, t[i]::INTEGER AS y, coalesce(list_contains({_NOUN}, t[i - 1]) AND i > 1, false) OR coalesce(list_contains({_NOUN}, t[i + 1]), false) OR coalesce(list_contains({_QUALIFIER}, t[i + 1]) AND list_contains({_NOUN}, t[i + 2]), false) OR coalesce(list_contains({_QUALIFIER}, t[i + 1]) AND list_contains({_QUALIFIER}, t[i + 2]) AND list_contains({_NOUN}, t[i + 3]), false) AS dated FROM p WHERE regexp_matches(t[i], '^(19|20)[0-9][0-9]$'))
+SELECT o_orderkey, coalesce(string_agg(DISTINCT y, ',' ORDER BY y) FILTER (dated), '') AS publication, coalesce(string_agg(DISTINCT y, ',' ORDER BY y) FILTER (NOT dated), '') AS named FROM d GROUP BY 1""")
 def publication_years(spark, table):
-    """Years of publication against years of values in questions with known answers."""
-    d = spark.createDataFrame([(i, q) for i, (q, _, _) in enumerate(YEARS)], "id int, q string").withColumn("y", _publication(text.tokens(F.col("q"))))
-    return d.select("id", F.array_join("y.publication", ",").alias("publication"), F.array_join("y.named", ",").alias("named"))
+    """Years of publication against years of values in a question about every order."""
+    y = F.year("o_orderdate").cast("long")
+    say = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    k, n = F.col("o_orderkey") % 5, (lambda c: c.cast("string"))
+    about = (
+        F.when(k == 0, say("value ", n(y), " in the ", n(y + 1), " report")).when(k == 1, say("Rapport ", n(y), " et ", n(y - 1))).when(k == 2, say(n(y), " annual financial statements of ", F.col("o_orderpriority")))
+        .when(k == 3, say(n(y), " in the document")).otherwise(say(F.col("o_orderstatus"), " ", n(y), " consolidated interim final filing ", n(y)))
+    )
+    d = table("orders").select("o_orderkey", resolve.publication_years(text.tokens(about)).alias("y"))
+    return d.select("o_orderkey", F.array_join("y.publication", ",").alias("publication"), F.array_join("y.named", ",").alias("named"))
 
 
 @query("""WITH c AS (SELECT url, regexp_extract(trim(url), '([^/]*)/*$', 1) AS name, page_id FROM pages), n AS (SELECT lower(name) AS k, count(DISTINCT page_id) AS n, min(page_id) AS page_id FROM c GROUP BY 1)
 SELECT c.page_id AS qid, CASE WHEN n.n = 1 THEN 'exact' ELSE 'none' END AS status, CASE WHEN n.n = 1 THEN n.page_id END AS page_id FROM c JOIN n ON lower(c.name) = n.k""")
 def identifier_fast_path(spark, table):
     """Questions that hold a page's file name between other words: exact if one page has it."""
-    from ..operators.resolve import verbatim
-
     pages = table("pages").select("page_id", text.basename(F.col("url")).alias("name"))
     asked = pages.select(F.col("page_id").alias("qid"), F.concat(F.lit("What does « "), "name", F.lit(" » say?")).alias("text"))
-    return verbatim(asked, pages.select(F.col("page_id").alias("doc_id"), F.col("name").alias("identifier"))).select("qid", "status", F.col("doc_id").alias("page_id"))
+    return resolve.verbatim(asked, pages.select(F.col("page_id").alias("doc_id"), F.col("name").alias("identifier"))).select("qid", "status", F.col("doc_id").alias("page_id"))

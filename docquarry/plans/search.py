@@ -162,12 +162,25 @@ def diversify(spark, table):
     return retrieval.diversify(ranked).select("qid", "rank", "place")
 
 
-@query()
+_CHUNKS = "SELECT conv_id AS doc_id, turn AS c, CASE WHEN conv_id % 2 = 0 THEN turn // 3 END AS parent, length(text) AS n FROM conversations"
+
+
+@query(f"""WITH RECURSIVE k AS ({_CHUNKS}), h AS (SELECT * FROM (SELECT doc_id % 20 AS qid, *, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id, c) AS rank FROM k WHERE (doc_id + c) % 4 = 0) WHERE rank <= 6),
+o AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id, parent ORDER BY rank) AS nth FROM h), e AS (SELECT o.qid, o.rank, k.doc_id, k.c, k.n FROM o JOIN k ON k.doc_id = o.doc_id AND CASE WHEN o.parent IS NULL THEN abs(k.c - o.c) <= 1 ELSE k.parent = o.parent END
+  WHERE (o.parent IS NULL OR nth = 1) AND NOT EXISTS (SELECT 1 FROM h WHERE h.qid = o.qid AND h.doc_id = k.doc_id AND h.c = k.c)),
+s AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank, c) AS step FROM e), z AS (SELECT qid, 700 - sum(n) AS budget FROM h GROUP BY 1),
+f AS (SELECT qid, 0::BIGINT AS step, 0 AS added, budget AS rest, 0::BIGINT AS broken, []::VARCHAR[] AS got FROM z
+  UNION ALL SELECT f.qid, s.step, CASE WHEN t THEN added + 1 ELSE added END, CASE WHEN t THEN rest - s.n ELSE rest END, CASE WHEN b THEN s.rank ELSE broken END, CASE WHEN t THEN list_append(got, s.rank || ':' || s.doc_id || ':' || s.c) ELSE got END
+  FROM f JOIN s ON s.qid = f.qid AND s.step = f.step + 1, LATERAL (SELECT s.rank <> broken AND len(list_filter(got, lambda x: split_part(x, ':', 2) = s.doc_id::VARCHAR AND split_part(x, ':', 3) = s.c::VARCHAR)) = 0 AS open_) y, LATERAL (SELECT open_ AND added < 6 AND s.n <= rest AS t, open_ AND (added >= 6 OR s.n > rest) AS b) x),
+l AS (SELECT qid, unnest(got) AS g FROM (SELECT qid, arg_max(got, step) AS got FROM f GROUP BY qid)), u AS (SELECT qid, rank, 0 AS a, doc_id, c FROM h UNION ALL SELECT qid, split_part(g, ':', 1)::BIGINT, 1, split_part(g, ':', 2)::BIGINT, split_part(g, ':', 3)::BIGINT FROM l)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank, a, c) AS place, u.doc_id, u.c AS chunk_index, a = 1 AS added, n::BIGINT AS n_chars FROM u JOIN k ON k.doc_id = u.doc_id AND k.c = u.c""")
 def expand_context(spark, table):
-    chunks = structure.chunks(table("documents")).select("doc_id", "chunk_index", "parent_id", "text")
-    best = _lexical(table).where("rank <= 6")
-    first = best.join(chunks.where("chunk_index = 0"), "doc_id").select("qid", "rank", "doc_id", "chunk_index", "parent_id", "text")
-    return retrieval.expand_context(first, chunks)
+    """Hits of questions among turns of conversations with their context: parents of even conversations, neighbours in odd ones, within a budget."""
+    parent = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("p"), F.floor(F.col("turn") / 3).cast("string")))
+    chunks = table("conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), parent.alias("parent_id"), "text")
+    w = Window.partitionBy("qid").orderBy("doc_id", "chunk_index")
+    hits = chunks.where((F.col("doc_id") + F.col("chunk_index")) % 4 == 0).withColumn("qid", F.col("doc_id") % 20).withColumn("rank", F.row_number().over(w)).where("rank <= 6")
+    return retrieval.expand_context(hits.select("qid", "rank", "doc_id", "chunk_index", "parent_id", "text"), chunks, budget=700)
 
 
 @query("""WITH r AS (SELECT source, doc_id, length(text) AS size, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id) AS used, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)

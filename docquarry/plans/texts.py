@@ -117,6 +117,22 @@ def table_windows(spark, table):
     return structure.table_windows(structure.table_runs(structure.lines(table("documents"))))
 
 
+_BULLET = r"^\s*(?:[-*•·–—o]|\(?[0-9]{1,3}[.)]|[a-zA-Z][.)])\s+\S"
+
+
+@query(rf"""WITH g AS (SELECT doc_id, unnest(a) AS grp, unnest(range(len(a))) AS gi FROM (SELECT doc_id, regexp_split_to_array(text, '(?:\r?\n[ \t]*){{2,}}') AS a FROM documents WHERE text <> '')),
+l AS (SELECT doc_id, gi, unnest(a) AS line, unnest(range(len(a))) AS li FROM (SELECT doc_id, gi, regexp_split_to_array(grp, '\r\n|\r|\n') AS a FROM g)),
+n AS (SELECT doc_id, gi, li, regexp_replace(line, '\s+$', '') AS line, {_CELLS} AS cells FROM l WHERE regexp_matches(line, '\S')),
+t AS (SELECT *, contains(line, '|') AND len(cells) >= 2 AND len(list_filter(cells, lambda x: x <> '')) > 0 AS tab, regexp_matches(line, '{_BULLET}') AS bullet FROM n),
+c AS (SELECT *, CASE WHEN tab IS DISTINCT FROM lag(tab) OVER (PARTITION BY doc_id, gi ORDER BY li) THEN 1 ELSE 0 END AS new FROM t), r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, gi ORDER BY li) AS run FROM c),
+b AS (SELECT doc_id, gi, run, any_value(tab) AS tab, count(*) AS n, count(*) FILTER (bullet) AS bullets, string_agg(line, chr(10) ORDER BY li) AS text FROM r GROUP BY ALL),
+k AS (SELECT *, CASE WHEN tab AND n >= 2 THEN 'table' WHEN n = 1 AND length(trim(text)) <= 120 AND (trim(text) LIKE '#%' OR NOT (contains(text, '|') OR bullets > 0 OR regexp_matches(trim(text), '[.;,!?]$'))) THEN 'title' WHEN n >= 2 AND bullets >= greatest(2, n // 2) THEN 'list' ELSE 'paragraph' END AS kind FROM b)
+SELECT doc_id, row_number() OVER w::BIGINT AS pos, kind, last_value(CASE WHEN kind = 'title' THEN trim(regexp_replace(trim(text), '^#+', '')) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY gi, run ROWS UNBOUNDED PRECEDING) AS section, sha1(text) AS digest FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY gi, run)""")
+def text_blocks(spark, table):
+    """Blocks of every document: groups between blank lines, parted into tables, lists, titles and paragraphs, with the section that they stand in."""
+    return structure.blocks(table("documents")).select("doc_id", "pos", "kind", "section", F.sha1(F.col("text").cast("binary")).alias("digest"))
+
+
 @query()
 def structure_chunks(spark, table):
     return structure.chunks(table("documents"))

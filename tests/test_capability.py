@@ -105,3 +105,40 @@ def test_empty_tables(spark, passages):
     assert capability.summarize(passages.limit(0)).count() == 0
     assert capability.classify(passages.limit(0), capability.keyword_votes({"a": ["x"]})).count() == 0
     assert capability.extract(passages.where(F.lit(False)), {"a": "x"}).count() == 0
+
+
+def test_analysis_falls_back(spark):
+    def model(p):
+        return p.map(lambda x: '{"category": " LAW ", "confidence": 0.9, "metadata": {"day": "12 mars 2024", "n": 3}}' if "good" in x else '{"category": "law", "confidence": 0.2}' if "weak" in x else None)
+
+    docs = spark.createDataFrame([(1, "a", "good"), (2, "b", "weak"), (3, None, None)], "doc_id long, file_name string, text string")
+    got = {r.doc_id: r for r in capability.analyse(docs, model, ["Law", "Art"], "Other", {"day": "date", "n": "integer"}).collect()}
+    assert (got[1].category, str(got[1].day), got[1].n, got[1].fallback) == ("Law", "2024-03-12", 3, False) and got[1].day_raw == "12 mars 2024"
+    assert (got[2].category, got[2].fallback, got[2].error) == ("Other", True, None) and got[3].error == "failed_call"
+
+
+def test_classification_of_a_context(spark):
+    def model(p):
+        return p.map(lambda x: '{"category": "art", "citations": ["[S1]", "S9"]}' if "paint" in x else '{"category": "zz"}' if "odd" in x else '{"category": "law", "citations": ["S9"]}')
+
+    ctx = spark.createDataFrame([(1, "paint", ["S1"]), (2, "odd", ["S1"]), (3, "else", ["S1"])], "qid long, text string, citations array<string>")
+    got = {r.qid: (r.category, r.citations, r.reason) for r in capability.classify_context(ctx, model, ["Law", " Art ", "law"]).collect()}
+    assert got == {1: ("Art", ["S1"], None), 2: (None, [], "unknown_category"), 3: (None, [], "uncited")}
+
+
+def test_tools_by_decorator_seeded_order_and_faithfulness(spark):
+    from docquarry.operators import agent, order
+
+    @capability.tool("count", "rows of a table")
+    def rows(df):
+        return df.groupBy().count()
+
+    tools = capability.Registry()
+    tools.register(rows)
+    assert tools.execute("count", df=spark.range(3))[1].first()[0] == 3
+    a, b = ([r.id for r in order.seeded(spark.range(50).repartition(n), "id", 7).orderBy("place").collect()] for n in (2, 5))
+    assert a == b != sorted(a) and a != [r.id for r in order.seeded(spark.range(50), "id", 8).orderBy("place").collect()]
+    answers = spark.createDataFrame([(1, "q", "a"), (2, "q", "b"), (3, "q", "c")], "qid long, question string, answer string")
+    sources = spark.createDataFrame([(1, "S1", "t"), (2, "S1", "t")], "qid long, citation string, text string")
+    got = {r.qid: (r.score, r.why) for r in agent.faithful(answers, sources, lambda p: p.map(lambda x: "about 140" if "ANSWER\na" in x else "none")).collect()}
+    assert got == {1: (1.0, None), 2: (None, "unreadable"), 3: (None, "no_source")}

@@ -343,3 +343,29 @@ def test_sparse_search(spark):
     assert [(r.doc_id, r.score) for r in got] == [(2, 10.0), (1, 5.0)]
     pair = v.alias("a").crossJoin(v.alias("b")).where("a.doc_id = 1 and b.doc_id = 2").select(arrays.sparse_dot(F.col("a.sparse"), F.col("b.sparse")).alias("d"))
     assert pair.first().d == 10.0
+
+
+QUESTIONS = [
+    ("Résume ce rapport.", "summarize", False, "none", "none"), ("Classe ce document.", "classify", False, "none", "none"), ("Quelle classe de risque ?", "search", False, "none", "none"),
+    ("Quelle est la classification de risque mentionnée ?", "unsure_classify", False, "none", "none"), ("Extract the totals.", "extract", False, "none", "none"), ("Fournisseur : ? Date : ?", "extract", False, "none", "none"),
+    ("Donne-moi le fournisseur, la date.", "unsure_extract", False, "none", "none"), ("Récupère le montant et la date", "extract", False, "none", "none"), ("What is the total revenue?", "search", False, "none", "none"),
+    ("Compare these two reports.", "search", True, "compare", "inter"), ("Compare les deux méthodes décrites dans rapport_alpha.pdf.", "search", False, "compare", "intra"),
+    ("Quels sont les différents dispositifs décrits dans ce rapport ?", "search", False, "none", "none"), ("Synthétise les différents chapitres de ce rapport.", "summarize", False, "synthesize", "intra"),
+    ("Peux-tu synthétiser rapport_alpha.pdf ?", "summarize", False, "none", "none"), ("Differences between a.pdf and b.docx", "unsure_extract", True, "compare", "inter"), ("Overview of both files", "search", True, "synthesize", "inter"),
+]
+
+
+def test_rules_of_intent_and_signal(spark):
+    d = spark.createDataFrame([(i, x[0]) for i, x in enumerate(QUESTIONS)], "id int, q string")
+    got = d.select("id", routing.intent(F.col("q")).alias("intent"), routing.multi_document(F.col("q")).alias("m")).orderBy("id").collect()
+    assert [(r.intent, r.m.is_multi, r.m.operation, r.m.scope) for r in got] == [x[1:] for x in QUESTIONS]
+
+
+YEARS = [("value 2020 in the 2022 report", [2022], [2020]), ("rapport 2022", [2022], []), ("2021 annual financial statements", [2021], []), ("2020 in the document", [], [2020]), ("nothing here", [], []), ("exercice 2019 et 2018", [2019], [2018])]
+
+
+def test_years_of_publication(spark):
+    from docquarry.operators import resolve
+
+    d = spark.createDataFrame([(i, q) for i, (q, _, _) in enumerate(YEARS)], "id int, q string").withColumn("y", resolve.publication_years(text.tokens(F.col("q"))))
+    assert [(r.y.publication, r.y.named) for r in d.orderBy("id").collect()] == [(p, v) for _, p, v in YEARS]
