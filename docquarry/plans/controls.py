@@ -244,11 +244,11 @@ def signals_of_turns(spark, table):
     return _opened(table).select("conv_id", "turn", routing.multi_document(F.col("text")).alias("m")).select("conv_id", "turn", "m.is_multi", "m.operation", "m.scope")
 
 
-_SOURCES = "SELECT l_suppkey % 50 AS qid, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS pos, l_partkey % 20 AS doc_id, l_shipmode_ AS source, CASE WHEN l_partkey % 20 < 5 THEN ' ' ELSE 'f' || l_partkey % 20 END AS file_name, l_linenumber AS page, l_returnflag AS text FROM (SELECT *, l_linestatus AS l_shipmode_ FROM lineitem)"
+_SOURCES = "SELECT l_suppkey % 50 AS qid, (l_orderkey * 1000000000 + l_linenumber * 100000000 + l_partkey * 100 + l_quantity)::BIGINT AS pos, l_partkey % 20 AS doc_id, l_shipmode_ AS source, CASE WHEN l_partkey % 20 < 5 THEN ' ' ELSE 'f' || l_partkey % 20 END AS file_name, l_linenumber AS page, l_returnflag AS text FROM (SELECT *, l_linestatus AS l_shipmode_ FROM lineitem)"
 
 
 def _sources(table):
-    w = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    w = F.col("l_orderkey") * 1_000_000_000 + F.col("l_linenumber") * 100_000_000 + F.col("l_partkey") * 100 + F.col("l_quantity").cast("long")
     d = F.col("l_partkey") % 20
     return table("lineitem").select((F.col("l_suppkey") % 50).alias("qid"), w.alias("pos"), d.alias("doc_id"), F.col("l_linestatus").alias("source"), F.when(d < 5, " ").otherwise(F.concat(F.lit("f"), d.cast("string"))).alias("file_name"), F.col("l_linenumber").alias("page"), F.col("l_returnflag").alias("text"))
 

@@ -173,7 +173,7 @@ f AS (SELECT qid, 0::BIGINT AS step, 0 AS added, budget AS rest, 0::BIGINT AS br
   UNION ALL SELECT f.qid, s.step, CASE WHEN t THEN added + 1 ELSE added END, CASE WHEN t THEN rest - s.n ELSE rest END, CASE WHEN b THEN s.rank ELSE broken END, CASE WHEN t THEN list_append(got, s.rank || ':' || s.doc_id || ':' || s.c) ELSE got END
   FROM f JOIN s ON s.qid = f.qid AND s.step = f.step + 1, LATERAL (SELECT s.rank <> broken AND len(list_filter(got, lambda x: split_part(x, ':', 2) = s.doc_id::VARCHAR AND split_part(x, ':', 3) = s.c::VARCHAR)) = 0 AS open_) y, LATERAL (SELECT open_ AND added < 6 AND s.n <= rest AS t, open_ AND (added >= 6 OR s.n > rest) AS b) x),
 l AS (SELECT qid, unnest(got) AS g FROM (SELECT qid, arg_max(got, step) AS got FROM f GROUP BY qid)), u AS (SELECT qid, rank, 0 AS a, doc_id, c FROM h UNION ALL SELECT qid, split_part(g, ':', 1)::BIGINT, 1, split_part(g, ':', 2)::BIGINT, split_part(g, ':', 3)::BIGINT FROM l)
-SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank, a, c) AS place, u.doc_id, u.c AS chunk_index, a = 1 AS added, n::BIGINT AS n_chars FROM u JOIN k ON k.doc_id = u.doc_id AND k.c = u.c""")
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank, a, u.c) AS place, u.doc_id, u.c AS chunk_index, a = 1 AS added, n::BIGINT AS n_chars FROM u JOIN k ON k.doc_id = u.doc_id AND k.c = u.c""")
 def expand_context(spark, table):
     """Hits of questions among turns of conversations with their context: parents of even conversations, neighbours in odd ones, within a budget."""
     parent = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("p"), F.floor(F.col("turn") / 3).cast("string")))
