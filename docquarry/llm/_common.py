@@ -35,14 +35,19 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, most)
 
 
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def released(run):
     """A function over batches that gives what it has freed back to the system when its partition ends: workers live on, and what they keep adds up over the stages of a job."""
 
     def whole(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # no glibc
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        trim()
 
     return whole
 
@@ -128,14 +133,16 @@ def remainder(n: int):
 def label_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, most: int, extra: tuple = ()) -> DataFrame:
     """At most ``most`` labelled documents (doc_id, text, y) whose remainder is not ``held``, the first in the order of a hash of doc_id.
 
-    The sampled labels are bounded by ``most``, so they are broadcast and the texts are not shuffled. Of labels that contradict one another for a doc_id the greater holds. A doc_id that several rows bear may give more texts than labels; the limit is set again after the join, so that never more than ``most`` rows come to the driver.
+    The sampled labels are bounded by ``most``, so they are broadcast and the texts are not shuffled. Of labels that contradict one another for a doc_id the greater holds. Of several rows of one doc_id the one whose text has the least hash is taken, so never more than ``most`` rows come to the driver.
     """
     picked = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder(mod) != held))
         .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra).join(F.broadcast(picked.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id").limit(most)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra).join(F.broadcast(picked.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id")
+    one = F.min_by(F.struct("text", "y", *extra), F.xxhash64("text", *extra)).alias("d")
+    return found.groupBy("doc_id").agg(one).select("doc_id", "d.*")
 
 
 def fresh(names, *wanted: str) -> list[str]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, label_sample, mix64, released, remainder, shards, starts_of, texts_of, word_hashes, words_of
+from ._common import bounded_batches, label_sample, mix64, released, remainder, shards, starts_of, texts_of, trim, word_hashes, words_of
 
 #: Most labelled documents that a model is fitted on.
 MAX_TRAIN = 20_000
@@ -141,7 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     got = label_sample(docs, labels, "quality", HELD_MOD, HELD, most).mapInArrow(released(run), "doc_id long, y int, ids binary, vals binary").toArrow()
     got = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "y", "ids", "vals")), strict=True))
     ids = [np.frombuffer(r[2], "<i4") for r in got]
-    return fit(np.concatenate(ids or [np.zeros(0, np.int32)]), np.frombuffer(b"".join(r[3] for r in got), np.float32), np.array([len(x) for x in ids], np.int64), np.array([r[1] for r in got], np.float64))
+    model = fit(np.concatenate(ids or [np.zeros(0, np.int32)]), np.frombuffer(b"".join(r[3] for r in got), np.float32), np.array([len(x) for x in ids], np.int64), np.array([r[1] for r in got], np.float64))
+    del got, ids
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

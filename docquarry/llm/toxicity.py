@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, label_sample, released, remainder, shards, starts_of, texts_of, word_hashes, words_of
+from ._common import bounded_batches, label_sample, released, remainder, shards, starts_of, texts_of, trim, word_hashes, words_of
 
 TOKEN = re.compile(r"\w+")
 #: Most labelled documents that a model is fitted on.
@@ -25,6 +25,8 @@ BITS, PART, WIDTHS, FILTERS = 16, 6, (1, 2, 3), 12
 PREFIXES = (4, 5)
 TABLES = 2 + len(PREFIXES)
 HELD_MOD, HELD = 4, 2
+#: Ids of words as the driver gets them for training: they have BITS bits.
+IDS = np.dtype("<u2")
 #: Words of a very long text whose activations are held at once.
 WINDOW = 1 << 18
 
@@ -239,18 +241,21 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
         for b in batches:
             ids = [token_ids([t]) for t in texts_of(b.column("text"))]
             langs = b.column("lang").cast(pa.string()) if more else pa.nulls(b.num_rows, pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), langs, *(pa.array([x[0][k].astype("<i4").tobytes() for x in ids], pa.binary()) for k in range(TABLES))], ["doc_id", "y", "lang", *names])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), langs, *(pa.array([x[0][k].astype(IDS).tobytes() for x in ids], pa.binary()) for k in range(TABLES))], ["doc_id", "y", "lang", *names])
 
     got = label_sample(docs, labels, "toxic", HELD_MOD, HELD, most, more).mapInArrow(released(run), "doc_id long, y int, lang string, " + ", ".join(f"{c} binary" for c in names)).toArrow()
     keys = list(zip(got.column("doc_id").to_pylist(), (x.as_buffer().size for x in got.column("t0")), range(got.num_rows), strict=True))
     order = np.array([k[2] for k in sorted(keys)], np.int64)[np.random.default_rng(3).permutation(len(keys))]
     got = got.take(pa.array(order))
-    flat = [np.frombuffer(b"".join(x.as_buffer() for x in got.column(c)), "<i4") for c in names]
-    n = np.array([x.as_buffer().size // 4 for x in got.column("t0")], np.int64) - (max(WIDTHS) - 1)
+    flat = [np.frombuffer(b"".join(x.as_buffer() for x in got.column(c)), IDS) for c in names]
+    n = np.array([x.as_buffer().size // IDS.itemsize for x in got.column("t0")], np.int64) - (max(WIDTHS) - 1)
     y, langs = np.array(got.column("y").to_pylist(), np.float64), got.column("lang").to_pylist()
     del got, keys
-    pa.default_memory_pool().release_unused()
-    return fit(Tokens(flat, n), y, langs)
+    trim()
+    model = fit(Tokens(flat, n), y, langs)
+    del flat
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
