@@ -18,7 +18,9 @@ from .capability import Model
 #: Searches of a question at most, documents that a question may target, documents of a whole corpus, and the least share of the best score.
 ATTEMPTS, MOST_TARGETS, MOST_CORPUS, RATIO = 6, 3, 20, 0.5
 # How a question names the whole corpus, without accents.
-CORPUS_WORDS = ["tout le corpus", "le corpus entier", "ensemble du corpus", "documents du corpus", "fichiers du corpus", "tous les documents", "tous les fichiers", "all documents", "all the documents", "all files", "whole corpus", "entire corpus", "every document"]
+CORPUS_WORDS = ["corpus", "tous les documents", "chaque document", "ensemble des documents", "all documents", "all the documents", "each document"]
+# What parts the members of a list in a question.
+LISTING = [",", "/", " ou ", " or "]
 #: Intents that a comparison or synthesis may replace.
 REPLACED = ("search", "summarize")
 
@@ -95,19 +97,23 @@ def requested_fields(c: Column) -> Column:
 
 
 def requested_categories(question: Column, c: Column) -> Column:
-    """Categories that a model read out of a question and that stand in it word for word (case and accents aside), if there are two at least; else none."""
+    """Categories that a model read out of a question and that stand in it word for word (case and accents aside), if it lists anything and there are two at least; else none."""
     got = F.from_json(arrays.json_object(c), "struct<categories:array<string>>")["categories"]
     clean = text.first_spellings(F.transform(F.coalesce(got, F.array().cast("array<string>")), lambda x: F.regexp_replace(text.collapse(x), r"^[ .;:,]+|[ .;:,]+$", "")))
     plain = text.collapse(text.unaccent(question))
     kept = F.filter(clean, lambda x: F.contains(plain, text.collapse(text.unaccent(x))))
-    return F.when(F.size(kept) >= 2, kept).otherwise(F.array().cast("array<string>"))
+    listed = F.lit(False)
+    for w in LISTING:
+        listed = listed | plain.contains(w)
+    return F.when(listed & (F.size(kept) >= 2), kept).otherwise(F.array().cast("array<string>"))
 
 
 def whole_corpus(question: Column) -> Column:
-    t = text.unaccent(question)
+    """Whether a question is over the whole corpus, by whole words."""
+    words = F.concat(F.lit(" "), F.array_join(text.tokens(question), " "), F.lit(" "))
     out = F.lit(False)
     for w in CORPUS_WORDS:
-        out = out | t.contains(w)
+        out = out | words.contains(f" {w} ")
     return out
 
 
@@ -260,7 +266,7 @@ def faithful(answers: DataFrame, sources: DataFrame, model: Model) -> DataFrame:
     said = capability.call(asked.where("ctx is not null").select("qid", F.concat(F.lit("FAITHFUL 0 TO 100?\n"), "ctx", F.lit("\n\nQUESTION\n"), "question", F.lit("\n\nANSWER\n"), "answer").alias("prompt")), model)
     n = F.regexp_extract(F.coalesce("answer", F.lit("")), r"\d{1,3}", 0).try_cast("int")
     got = answers.select("qid").join(said.select("qid", n.alias("n"), F.lit(True).alias("called")), "qid", "left")
-    return got.select("qid", F.round(F.least(F.col("n"), F.lit(100)) / 100.0, 2).alias("score"), F.when(F.col("called").isNull(), "no_source").when(F.col("n").isNull(), "unreadable").alias("why"))
+    return got.select("qid", F.when(F.col("n").isNotNull(), F.round(F.least(F.col("n"), F.lit(100)) / 100.0, 2)).alias("score"), F.when(F.col("called").isNull(), "no_source").when(F.col("n").isNull(), "unreadable").alias("why"))
 
 
 def respond(questions: DataFrame, corpora: DataFrame, find: Callable[[DataFrame], DataFrame], model: Model, most: int = ATTEMPTS) -> DataFrame:

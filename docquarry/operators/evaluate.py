@@ -40,6 +40,10 @@ def confusion(df: DataFrame, expected: str, got: str) -> DataFrame:
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("expected")), 6))
 
 
+# The outcomes of an answered question.
+OUTCOMES = ("SUCCES", "SUCCES_CITATION_INVALIDE", "ECHEC_RETRIEVAL", "ECHEC_GENERATION", "CORRECT_SANS_EVIDENCE", "REFUS_CORRECT", "REFUS_INCORRECT", "FAUX_POSITIF", "ERREUR_TECHNIQUE")
+
+
 def case_class(answerable: Column, refused: Column, exact: Column, covered: Column, cited: Column) -> Column:
     """One of nine outcomes of an answered question (the ninth, a technical error, is set by the caller). ``covered`` is null without gold evidence."""
     good = F.when(cited, "SUCCES").otherwise("SUCCES_CITATION_INVALIDE")

@@ -5,6 +5,8 @@ References, cards and sources are tables; nothing is looked up one by one.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from . import resolve
 from .filters import SCOPE
 
 # Words and signs that part the documents of an enumeration.
-COORDINATORS = ["et", "and", "vs", "versus", "avec", "with", "contre", "against", "ainsi que", "as well as"]
+COORDINATORS = ["et", "and", "vs", "vs.", "versus", "avec", "with", "par rapport a", "par rapport à", "par rapport au", "par rapport aux", "face a", "face à", "face au", "face aux"]
 
 
 def identify(references: DataFrame, cards: DataFrame) -> DataFrame:
@@ -77,8 +79,8 @@ def from_questions(questions: DataFrame, cards: DataFrame) -> DataFrame:
 
 def fragments(questions: DataFrame) -> DataFrame:
     """(qid, pos, text): a question and its parts between commas, semicolons and coordinating words, once each."""
-    words = "|".join(COORDINATORS)
-    parts = F.concat(F.array("text"), F.split(F.regexp_replace("text", rf"(?i)\b(?:{words})\b", ","), "[,;]"))
+    words = "|".join(re.escape(w) for w in sorted(COORDINATORS, key=len, reverse=True))
+    parts = F.concat(F.array("text"), F.split(F.regexp_replace("text", rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])", ","), "[,;]"))
     clean = F.array_distinct(F.filter(F.transform(parts, text.collapse), lambda x: x != ""))
     return questions.select("qid", F.posexplode(clean).alias("pos", "text"))
 
