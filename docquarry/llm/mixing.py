@@ -18,8 +18,8 @@ from ._common import bounded_batches, cut, fresh, released
 
 BLOCK = 256
 MAX_SOURCES = 100_000
-#: Words that a hash bucket of a source's stream holds about, and the bits of the most buckets that a source may have.
-BUCKET_WORDS, MOST_BITS = 1 << 20, 20
+#: Words that a hash bucket of a source's stream holds about, and the bits of the fewest and the most buckets that a source has.
+BUCKET_WORDS, LEAST_BITS, MOST_BITS = 1 << 20, 8, 20
 CHUNK = 1 << 15
 GOLDEN = 0x9E3779B97F4A7C15
 WEIGHTS = (3, 1, 2)
@@ -118,7 +118,7 @@ def _prepare(docs: DataFrame, weights, share, most):
 
 
 def _schedule(sized: DataFrame, plan: DataFrame, quotas: list[int], block: int) -> DataFrame:
-    bits = min(MOST_BITS, max(4, (max(quotas, default=0) // BUCKET_WORDS).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (max(quotas, default=0) // BUCKET_WORDS).bit_length()))
     placed = _streams(sized, plan, bits).where((F.col("size") > 0) & (F.col("at") < F.col("quota")))
     end = F.least(F.col("at") + F.col("size"), F.col("quota"))
     parts = placed.select("doc_id", "k", "src", "pass", "at", end.alias("end"), F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block))).alias("rank"))

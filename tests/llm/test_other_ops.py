@@ -83,7 +83,7 @@ def test_mix_equals_brute_force(spark, docs, rows):
         at = 0
         for p, h in enumerate(("h0", "h1")):
             # Spark cuts streams by the leading bits of the hash as an unsigned number, then orders by it as a signed one.
-            own = sorted((r for r in base if r.source == s), key=lambda r: ((r[h] % 2**64) >> 60, r[h], str(r.doc_id), r.k))  # noqa: B023
+            own = sorted((r for r in base if r.source == s), key=lambda r: ((r[h] % 2**64) >> 64 - mixing.LEAST_BITS, r[h], str(r.doc_id), r.k))  # noqa: B023
             for r in own:
                 end = min(at + r["size"], quota[s])
                 while at < end:
