@@ -190,7 +190,7 @@ def publication_years(spark, table):
         F.when(k == 0, say("value ", n(y), " in the ", n(y + 1), " report")).when(k == 1, say("Rapport ", n(y), " et ", n(y - 1))).when(k == 2, say(n(y), " annual financial statements of ", F.col("o_orderpriority")))
         .when(k == 3, say(n(y), " in the document")).otherwise(say(F.col("o_orderstatus"), " ", n(y), " consolidated interim final filing ", n(y)))
     )
-    d = table("orders").select("o_orderkey", resolve.publication_years(text.tokens(about)).alias("y"))
+    d = table("orders").select("o_orderkey", text.let(text.tokens(about), resolve.publication_years).alias("y"))
     return d.select("o_orderkey", F.array_join("y.publication", ",").alias("publication"), F.array_join("y.named", ",").alias("named"))
 
 

@@ -86,10 +86,15 @@ def relevant(questions_: DataFrame, column: str, mode: str, prefix: str = "", su
 
 def link(gold_questions: DataFrame, sections: DataFrame) -> DataFrame:
     """(qid, doc_id, reason): the document of each question (qid, title, evidence array) by its title among documents (doc_id, title, sections array); of several of one title the one whose sections hold all evidence. reason: linked, unknown_title, no_evidence, evidence_not_found, ambiguous."""
-    e = F.coalesce("evidence", F.array().cast("array<string>"))
-    fits = F.size(F.array_except(e, F.coalesce("sections", F.array().cast("array<string>")))) == 0
-    both = gold_questions.join(sections.select("doc_id", "title", "sections"), "title", "left").withColumn("fits", F.col("doc_id").isNotNull() & fits)
-    g = both.groupBy("qid").agg(F.count("doc_id").alias("n"), F.count_if("fits").alias("n_fit"), F.min(F.when(F.col("fits"), F.col("doc_id"))).alias("doc_id"), F.max(F.size(e)).alias("n_evidence"))
+    e = F.array_distinct(F.coalesce("evidence", F.array().cast("array<string>")))
+    asked = gold_questions.select("qid", "title", e.alias("e")).withColumn("n_evidence", F.size("e"))
+    titles = sections.groupBy("title").agg(F.count("*").alias("n"))
+    # Evidence meets sections by title and text, so documents of one title are not paired with all of its questions.
+    held = sections.select("doc_id", "title", F.explode(F.array_distinct("sections")).alias("part"))
+    met = asked.select("qid", "title", "n_evidence", F.explode("e").alias("part")).join(held, ["title", "part"]).groupBy("qid", "doc_id", "n_evidence").agg(F.count("*").alias("found"))
+    fits = met.where("found = n_evidence").groupBy("qid").agg(F.count("*").alias("n_fit"), F.min("doc_id").alias("doc_id"))
+    zero = F.lit(0)
+    g = asked.join(titles, "title", "left").join(fits, "qid", "left").select("qid", "n_evidence", F.coalesce("n", zero).alias("n"), F.coalesce("n_fit", zero).alias("n_fit"), "doc_id")
     reason = F.when(F.col("n") == 0, "unknown_title").when(F.col("n_evidence") == 0, "no_evidence").when(F.col("n_fit") == 0, "evidence_not_found").when(F.col("n_fit") > 1, "ambiguous").otherwise("linked")
     return g.select("qid", F.when(reason == "linked", F.col("doc_id")).alias("doc_id"), reason.alias("reason"))
 
