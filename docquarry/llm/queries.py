@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, line_align, mixing, mtree, quality_fm, quality_rules, suffix_dedup, toxicity, unit_dedup
+from . import bagminhash, bpe, divergence, line_align, mixing, mtree, periodic, quality_fm, quality_rules, suffix_dedup, toxicity, unit_dedup, url_filters
 from ._common import read
 from .oracles import ORACLES as ORACLES
 
@@ -58,4 +58,27 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_quality_fm, op4_line_align, op5_unit_dedup, op6_mtree, op7_suffix_dedup, op8_bpe, op9_toxicity, op10_bagminhash)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"), least=3, top=200)
+
+
+#: The contract's rules.
+URL_RULES = "SELECT * FROM VALUES ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'block'), ('com/fr/', 'allow'), ('com/de/', 'block') AS rules(rule, verdict)"
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label of the document it shows, whose number is in its path."""
+    pages, labels = read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels")
+    bad = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.bool_or((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    doc = F.regexp_extract(url_filters.path_of(F.col("url")), r"/([0-9]{1,18})([/.]|\z)", 1).try_cast("long")
+    judged = pages.select("page_id", "url", doc.alias("doc")).join(bad, "doc", "left")
+    return url_filters.judge(judged, spark.sql(URL_RULES), limit=0.25).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's rewriting gives one document of ten a periodic tail before runs are sought."""
+    found = periodic.digests(read(spark, sf_dir, "documents"), exponent=4, least=6, rewrite=periodic.plant)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_quality_fm, op4_line_align, op5_unit_dedup, op6_mtree, op7_suffix_dedup, op8_bpe, op9_toxicity, op10_bagminhash, op11_divergence, op12_url_filters, op13_periodic)}
