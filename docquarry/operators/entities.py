@@ -5,15 +5,14 @@ registry: (field, canonical, alias array, frequency). A batch of values is resol
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values
 from ..functions.values import comparison_key
-from ..session import ship
+from ..session import cut
 from ..sources import snapshot
-from . import resolve
+from . import likeness, resolve
 
 SCHEMA = "field string, canonical string, alias array<string>, frequency long"
 #: Least likeness of letters and of vectors, and occurrences below which a name is rare.
@@ -45,52 +44,33 @@ def nearest(values_: DataFrame, known: DataFrame, threshold: float = VECTORS) ->
 
 
 def resolve_batch(batch: DataFrame, registry: DataFrame, letters: float = LETTERS, vectors: float = VECTORS) -> DataFrame:
-    """(field, value, canonical, phase): values (field, value, pos, and vector if there is one) against the registry and the names that the batch itself adds before them: exact, alias, letters, vectors or new. Order is part of the meaning, so a field's distinct values that neither a name nor an alias settles are folded in one task; fields are independent."""
-    ship(batch.sparkSession)
+    """(field, value, canonical, phase): values (field, value, pos, and vector if there is one) against the registry and the values that the batch itself has before them: exact, alias, letters, vectors or new.
+
+    A value that meets no name and no alias by its comparison key gets the canonical name of the most alike earlier name, be it a variant of the registry or a value of the batch, by letters; one that is like none by letters, by vectors; one that is like none at all is new. Of a tie the name that became canonical first holds, the registry's before the batch's. Values of one key are one name; the first spelling stands for it. Order is part of the meaning, but only through earlier neighbours, which come from similarity joins (``likeness``): no task holds a field.
+    """
     has = "vector" in batch.columns
-    first = batch.where(~values.is_null_word(F.col("value"))).groupBy("field", "value").agg(F.min("pos").alias("pos"), *([F.first("vector", ignorenulls=True).alias("vector")] if has else []))
-    k = comparison_key(F.col("value"))
+    first = batch.where(~values.is_null_word(F.col("value"))).groupBy("field", "value").agg(F.min("pos").cast("long").alias("pos"), *([F.first("vector", ignorenulls=True).alias("vector")] if has else []))
     known = variants(registry).select("field", "canonical", comparison_key(F.col("variant")).alias("k"), (F.col("variant") == F.col("canonical")).alias("own"))
     direct = known.groupBy("field", "k").agg(F.min(F.struct((~F.col("own")).alias("o"), "canonical")).alias("m"))
-    met = first.withColumn("k", k).join(direct, ["field", "k"], "left")
+    met = cut(first.withColumn("k", comparison_key(F.col("value"))).join(direct, ["field", "k"], "left"))
     settled = met.where("m is not null").select("field", "value", F.col("m.canonical").alias("canonical"), F.when(F.col("m.o"), "alias").otherwise("exact").alias("phase"))
 
-    def fold(key, d: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        names = [(x, c) for x, c in zip(r.k, r.canonical, strict=True)]
-        points: list[tuple[str, list]] = []
-        out = []
-        for row in d.sort_values("pos").itertuples():
-            exact = next((c for x, c in names if x == row.k), None)
-            if exact is not None:
-                out.append((row.value, exact, "exact"))
-                continue
-            close = [(resolve.indel_ratio(row.k, x), -i) for i, (x, _) in enumerate(names) if 2 * min(len(row.k), len(x)) >= letters * (len(row.k) + len(x))]
-            top = max(close, default=(0.0, 0))
-            if top[0] >= letters:
-                out.append((row.value, names[-top[1]][1], "letters"))
-                continue
-            v = row.vector if has and row.vector is not None else None
-            near = max(((_cosine(v, w), -i) for i, (_, w) in enumerate(points)), default=(0.0, 0)) if v is not None else (0.0, 0)
-            if near[0] >= vectors:
-                out.append((row.value, points[-near[1]][0], "vectors"))
-                continue
-            names.append((row.k, row.value))
-            if v is not None:
-                points.append((row.value, v))
-            out.append((row.value, row.value, "new"))
-        return pd.DataFrame([(key[0], *x) for x in out], columns=["field", "value", "canonical", "phase"], dtype=object)
-
-    open_ = met.where("m is null").select("field", "value", "k", "pos", *(["vector"] if has else []))
-    folded = open_.groupBy("field").cogroup(known.groupBy("field")).applyInPandas(lambda key, d, r: fold(key, d, r) if len(d) else pd.DataFrame(columns=["field", "value", "canonical", "phase"], dtype=object), "field string, value string, canonical string, phase string")
-    return settled.unionByName(folded)
-
-
-def _cosine(a, b) -> float:
-    import numpy as np
-
-    a, b = np.asarray(a, float), np.asarray(b, float)
-    n = np.linalg.norm(a) * np.linalg.norm(b)
-    return float(a @ b / n) if a.shape == b.shape and n else 0.0
+    open_ = met.where("m is null")
+    head = F.struct("pos", "value", *(["vector"] if has else []))
+    names = open_.groupBy("field", "k").agg(F.min_by(head, F.struct("pos", "value")).alias("h")).select("field", "k", F.col("h.pos").alias("ord"), F.col("h.value").alias("name"), *([F.col("h.vector").alias("vector")] if has else []))
+    names = cut(names)
+    every = names.select("field", "k", "ord").unionByName(direct.select("field", "k", F.lit(-1).cast("long").alias("ord")))
+    links = cut(likeness.closest(likeness.pairs(every, letters)).withColumn("phase", F.lit("letters")))
+    if has:
+        lone = names.join(links.select("field", "k"), ["field", "k"], "left_anti")
+        links = cut(links.unionByName(likeness.closest(likeness.near_vectors(lone, names, vectors)).withColumn("phase", F.lit("vectors"))))
+    order = names.select("field", F.col("k").alias("other"), F.col("ord").alias("rank"), F.col("name").alias("canonical"))
+    order = order.unionByName(direct.select("field", F.col("k").alias("other"), F.lit(-1).cast("long").alias("rank"), F.col("m.canonical").alias("canonical")))
+    roots = resolve.canonicals(links, order)
+    how = links.select("field", "k", "phase").distinct()
+    found = open_.join(names.select("field", "k", "name"), ["field", "k"]).join(roots, ["field", "k"], "left").join(how, ["field", "k"], "left")
+    phase = F.when(F.col("value") == F.col("name"), F.coalesce("phase", F.lit("new"))).when(F.col("phase").isNull(), "exact").otherwise("alias")
+    return settled.unionByName(found.select("field", "value", F.coalesce("canonical", "name").alias("canonical"), phase.alias("phase")))
 
 
 def update(registry: DataFrame, batch: DataFrame, resolved: DataFrame) -> DataFrame:

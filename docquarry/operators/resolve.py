@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.values import comparison_key
-from ..session import ship
-from . import retrieval
+from ..session import cut, ship
+from . import likeness, retrieval
 
 THRESHOLD, MARGIN, BOOST = 0.55, 0.15, 1.15
 # Phrases that restrict a question to a source.
@@ -102,42 +101,24 @@ def exact_entities(values: DataFrame, aliases: DataFrame) -> DataFrame:
     return got.select("value", F.coalesce("by_name", "by_alias", "value").alias("canonical"), phase.alias("phase"))
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """2 * longest common subsequence / total length, by bit-parallel rows; 1 for two empty strings."""
-    if not a and not b:
-        return 1.0
-    masks: dict[str, int] = {}
-    for i, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | 1 << i
-    row = (1 << len(a)) - 1
-    full = row
-    for c in b:
-        m = masks.get(c, 0)
-        row = ((row + (row & m)) | (row & ~m)) & full
-    return 2 * (len(a) - bin(row).count("1")) / (len(a) + len(b))
-
-
 def fuzzy_entities(values: DataFrame, threshold: float = 0.88) -> DataFrame:
-    """(value, canonical, ratio): values in the order given (pos) meet the most similar earlier canonical of at least the threshold, else become canonical. Arrival order is part of the meaning, so each field's distinct values are folded in one task; fields (column field) are independent."""
-    ship(values.sparkSession)
-
-    def fold(d: pd.DataFrame) -> pd.DataFrame:
-        known: list[tuple[str, str]] = []
-        out = []
-        for v in d.sort_values("pos").value:
-            k = " ".join(v.lower().split())
-            top = max(((indel_ratio(k, c), -i) for i, (c, _) in enumerate(known) if 2 * min(len(k), len(c)) >= threshold * (len(k) + len(c))), default=(0.0, 0))
-            if top[0] >= threshold:
-                out.append((v, known[-top[1]][1], top[0]))
-            else:
-                known.append((k, v))
-                out.append((v, v, 1.0))
-        r = pd.DataFrame(out, columns=["value", "canonical", "ratio"])
-        r.insert(0, "field", d.field.iloc[0])
-        return r
-
-    first = values.groupBy("field", "value").agg(F.min("pos").alias("pos"))
-    return first.groupBy("field").applyInPandas(fold, "field string, value string, canonical string, ratio double")
+    """(field, value, canonical, ratio): values in the order given (pos). A value becomes canonical unless an earlier one of its field is at least as like it as the threshold; then it gets the canonical name of the most alike, of a tie the one that became canonical first. So names chain: what was met becomes an alias that later values meet too.
+
+    Whether a value is canonical needs only its earlier neighbours, so they come from one similarity join (``likeness``) and canonical names from following links; no task holds a field. Spellings that differ in case and space alone are one name.
+    """
+    first = values.groupBy("field", "value").agg(F.min("pos").alias("pos")).withColumn("k", F.lower(text.collapse(F.col("value"))))
+    names = cut(first.groupBy("field", "k").agg(F.min(F.struct("pos", "value")).alias("m")).select("field", "k", F.col("m.pos").cast("long").alias("ord"), F.col("m.value").alias("name")))
+    best = cut(likeness.closest(likeness.pairs(names, threshold)))
+    roots = canonicals(best, names.select("field", F.col("k").alias("other"), F.col("ord").alias("rank"), F.col("name").alias("canonical")))
+    ratio = F.when(F.col("value") != F.col("name"), 1.0).otherwise(F.coalesce("ratio", F.lit(1.0)))
+    found = first.join(names.select("field", "k", "name"), ["field", "k"]).join(roots, ["field", "k"], "left").join(best.select("field", "k", "ratio").distinct(), ["field", "k"], "left")
+    return found.select("field", "value", F.coalesce("canonical", "name").alias("canonical"), ratio.alias("ratio"))
+
+
+def canonicals(links: DataFrame, names: DataFrame) -> DataFrame:
+    """(field, k, canonical): of the names that a linked name reaches the first; names (field, other, rank, canonical)."""
+    reached = likeness.ends(links).join(names, ["field", "other"])
+    return reached.groupBy("field", "k").agg(F.min(F.struct("rank", "canonical")).alias("m")).select("field", "k", F.col("m.canonical").alias("canonical"))
 
 
 # Nouns of a publication, and the qualifiers that may stand between a year and such a noun.

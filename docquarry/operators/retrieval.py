@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -12,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text
-from ..session import ship, spread
+from ..session import cut, ship, spread
+from . import postings
 
 #: Queries of a block, documents or points of a page: what one step of a search holds at once.
 QUERY_BLOCK, PAGE = 64, 2048
@@ -63,78 +63,24 @@ def meet(pages: DataFrame, blocks: DataFrame, score, schema: str) -> DataFrame:
     return pages.crossJoin(blocks).mapInArrow(run, schema)
 
 
-def _pages_of_tokens(docs: DataFrame) -> DataFrame:
-    """Documents as pages: ids, vocabulary, and each document's distinct tokens as numbers into it."""
-
-    def pack(b: pa.RecordBatch):
-        number: dict[str, int] = {}
-        codes = [np.unique(np.array([number.setdefault(t, len(number)) for t in text.tokens_of(x)], np.int64)) for x in b.column("text").to_pylist()]
-        return b.column("doc_id").to_numpy(zero_copy_only=False), list(number), np.array([len(c) for c in codes], np.int64), np.concatenate(codes or [np.zeros(0, np.int64)]).astype(np.int32)
-
-    return packed(docs.select("doc_id", "text"), "page", pack, PAGE)
-
-
-def _held_words(k: int):
-    """Scores a page of documents for a block of queries: the units of a query's tokens that a document has, the k best for each query."""
-
-    def score(page, block):
-        ids, vocabulary, lengths, codes = page
-        qids, sizes, toks, units = block
-        column = {t: i for i, t in enumerate(dict.fromkeys(toks))}
-        place = np.array([column.get(t, -1) for t in vocabulary], np.int64)
-        hit = place[codes] >= 0 if len(codes) else np.zeros(0, bool)
-        doc = np.repeat(np.arange(len(ids)), lengths)[hit]
-        have = np.zeros((len(ids), len(column)))
-        have[doc, place[codes[hit]]] = 1
-        weight = np.zeros((len(column), len(qids)))
-        weight[[column[t] for t in toks], np.repeat(np.arange(len(qids)), sizes)] = units
-        s = (have @ weight).T.astype(np.int64)  # whole units, exact below 2^53
-        top = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-        row = np.repeat(np.arange(len(qids)), top.shape[1])
-        got = s[row, top.ravel()]
-        keep = got > 0
-        return np.array(qids)[row][keep], ids[top.ravel()][keep].astype(np.int64), got[keep]
-
-    return score
-
-
 def by_words(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(qid, doc_id, units): the k documents of most units for each query (at least) and page; asked (qid, token, units) are the distinct tokens of queries with whole weights.
-
-    A document is scored in its own row against blocks of queries, so no postings are shuffled; what leaves a page is k rows a query.
-    """
-    ship(docs.sparkSession)
-    grouped = asked.groupBy("qid").agg(F.collect_list(F.struct("token", "units")).alias("ts")).select("qid", "ts.token", "ts.units")
-
-    def pack(b: pa.RecordBatch):
-        toks, units = b.column("token").to_pylist(), b.column("units").to_pylist()
-        return b.column("qid").to_pylist(), [len(t) for t in toks], [x for t in toks for x in t], [x for t in units for x in t]
-
-    return meet(_pages_of_tokens(docs), packed(grouped, "block", pack, QUERY_BLOCK), _held_words(k), "qid long, doc_id long, units long")
-
+    """(qid, doc_id, units): the k documents of most units for each query (at least) and shard; asked (qid, token, units) are the distinct tokens of queries with whole weights. docs is read once, into an inverted index of which only the asked tokens travel."""
+    return postings.search(asked, postings.of_texts(docs), k)
 
-def document_frequencies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(token, df) of the wanted tokens: counted within batches, reduced to the wanted ones, then summed."""
-    ship(docs.sparkSession)
-
-    def run(batches):
-        for b in batches:
-            n: Counter = Counter()
-            for t in b.column("text").to_pylist():
-                n.update(set(text.tokens_of(t)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["token", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "token string, n long")
-    return counted.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.sum("n").alias("df"))
+def weights(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(token, units): the idf of the asked tokens, ln(1 + N / (1 + df)), in billionths."""
+    n = postings.size(index).scalar()
+    df = postings.frequencies(index).join(asked.select("token").distinct(), "token", "left_semi")
+    return df.select("token", F.round(F.log(1 + F.greatest(n, F.lit(1)) / (1 + F.col("df"))) * 1e9).cast("long").alias("units"))
 
 
-def lexical(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
-    """(qid, doc_id, score, rank): sum of the idf of the distinct query tokens that a document has; idf = ln(1 + N / (1 + df))."""
-    docs = spread(docs.select("doc_id", "text"))
+def lexical(queries: DataFrame, docs: DataFrame, k: int = 20, index: DataFrame | None = None) -> DataFrame:
+    """(qid, doc_id, score, rank): sum of the idf of the distinct query tokens that a document has; idf = ln(1 + N / (1 + df)). With a kept ``index`` of the documents (``postings``) they are not read at all; else one is made, of which the asked tokens' postings are written once."""
     asked = queries.select("qid", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
-    n = docs.select(F.count("*").alias("n"))
-    weights = document_frequencies(docs, asked).crossJoin(F.broadcast(n)).select("token", F.round(F.log(1 + F.greatest("n", F.lit(1)) / (1 + F.col("df"))) * 1e9).cast("long").alias("units"))
-    found = by_words(asked.join(weights, "token"), docs, k)
+    if index is None:
+        index = cut(postings.wanted(postings.of_texts(spread(docs.select("doc_id", "text"))), asked))
+    found = postings.search(asked.join(weights(index, asked), "token"), index, k)
     return best(found.select("qid", "doc_id", (F.col("units") / 1e9).alias("score")), k)
 
 
@@ -179,31 +125,11 @@ def dense(queries: DataFrame, points: DataFrame, k: int = 20, metric: str = "cos
     return best(meet(pages, blocks, score, "qid long, doc_id long, score double"), k)
 
 
-def sparse(queries: DataFrame, points: DataFrame, k: int = 20) -> DataFrame:
-    """(qid, doc_id, score, rank): nearest points by the dot product of sparse vectors (structs of indices and values, column sparse); points that share no index with a query are no candidates."""
-    ship(points.sparkSession)
-
-    def pack(b: pa.RecordBatch):
-        v = [x or {"indices": [], "values": []} for x in b.column("sparse").to_pylist()]
-        n = np.array([len(x["indices"]) for x in v], np.int64)
-        flat = lambda c, t: np.array([y for x in v for y in x[c]], t)
-        return b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), n, flat("indices", np.int64), flat("values", np.float64)
-
-    def score(page, block):
-        (ids, n, at, w), (qids, m, q_at, q_w) = page, block
-        axis = np.unique(q_at)
-        hit = np.isin(at, axis)
-        have, ask = np.zeros((len(ids), len(axis))), np.zeros((len(qids), len(axis)))
-        have[np.repeat(np.arange(len(ids)), n)[hit], np.searchsorted(axis, at[hit])] = w[hit]
-        ask[np.repeat(np.arange(len(qids)), m), np.searchsorted(axis, q_at)] = q_w
-        s = ask @ have.T
-        top = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-        row = np.repeat(np.arange(len(qids)), top.shape[1])
-        got = s[row, top.ravel()]
-        return qids[row][got > 0], ids[top.ravel()][got > 0], got[got > 0]
-
-    blocks, pages = packed(queries.select("qid", "sparse"), "block", pack, QUERY_BLOCK), packed(points.select("doc_id", "sparse"), "page", pack, PAGE)
-    return best(meet(pages, blocks, score, "qid long, doc_id long, score double"), k)
+def sparse(queries: DataFrame, points: DataFrame, k: int = 20, index: DataFrame | None = None) -> DataFrame:
+    """(qid, doc_id, score, rank): nearest points by the dot product of sparse vectors (structs of indices and values, column sparse), where it is positive; a kept ``index`` of the points (``postings.of_vectors``) stands in for them."""
+    asked = queries.select("qid", F.explode(F.arrays_zip("sparse.indices", "sparse.values")).alias("x")).select("qid", F.col("x.indices").cast("string").alias("token"), F.col("x.values").cast("double").alias("score"))
+    index = postings.of_vectors(points) if index is None else index
+    return best(postings.search(asked, index, k, weight="score", whole=False), k)
 
 
 def rrf(*lists: DataFrame, k: int = 60, limit: int = 6) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..session import cut, spread
-from . import filters, perimeter, retrieval
+from . import filters, perimeter, postings, retrieval
 
 #: Least score of a passage for an answer, and the default threshold of a reranked passage.
 LEAST, THRESHOLD = 0.15, 0.30
@@ -34,11 +34,10 @@ def lexical_candidates(questions: DataFrame, chunks: DataFrame, bounds: DataFram
     """(qid, doc_id, score, rank) of passages (doc_id holds their point): idf sums of the question's tokens, over the perimeter where one binds. Weights come from all passages, so they do not depend on the perimeter."""
     docs = spread(chunks.select(F.col("point").alias("doc_id"), "text"))
     asked = questions.select("qid", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
-    n = docs.select(F.count("*").alias("n"))
-    units = F.round(F.log(1 + F.greatest("n", F.lit(1)) / (1 + F.col("df"))) * 1e9).cast("long")
-    weighted = asked.join(retrieval.document_frequencies(docs, asked).crossJoin(F.broadcast(n)).select("token", units.alias("units")), "token")
+    index = cut(postings.wanted(postings.of_texts(docs), asked))
+    weighted = asked.join(retrieval.weights(index, asked), "token")
     free = weighted.join(bounds.select("qid"), "qid", "left_anti")
-    found = retrieval.by_words(free, docs, k)
+    found = postings.search(free, index, k)
     pairs = _bound_pairs(questions, chunks, bounds)
     own = pairs.join(chunks.select("point", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token")), "point").join(weighted, ["qid", "token"])
     inside = own.groupBy("qid", F.col("point").alias("doc_id")).agg(F.sum("units").alias("units"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text
-from ..operators import agent, capability, encode, multidoc, perimeter, retrieval, routing, search
+from ..operators import agent, capability, encode, multidoc, perimeter, postings, retrieval, routing, search
+from ..session import shared_folder
+from ..sources import deltas
 from .base import query
 from .texts import TOK
 
@@ -274,3 +278,34 @@ def documents_by_key(spark, table):
     p = table("orders").select(F.col("o_custkey").alias("qid"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("rank"), text.document_key(name).alias("key"))
     g = p.groupBy("qid", "key").agg(F.min("rank").alias("first"), F.count("*").alias("passages"))
     return g.select("qid", "key", F.row_number().over(Window.partitionBy("qid").orderBy("first")).cast("long").alias("rank"), "passages")
+
+
+@query("""WITH t AS (SELECT conv_id || ':' || turn AS point_id, conv_id AS doc_id, role, text FROM conversations), b AS (SELECT DISTINCT doc_id FROM t WHERE contains(lower(text), 'password') OR length(text) < 12),
+a AS (SELECT point_id, doc_id, CASE WHEN role = 'assistant' THEN '> ' || text ELSE text END AS text, CASE WHEN role = 'assistant' THEN 2 ELSE 1 END AS revision FROM t),
+g AS (SELECT * FROM a WHERE doc_id NOT IN (SELECT doc_id FROM b)), r AS (SELECT point_id, doc_id, text, 3 AS revision FROM t WHERE doc_id IN (SELECT doc_id FROM b) AND role = 'user')
+SELECT point_id, doc_id, sha1(text) AS digest, revision FROM (SELECT * FROM g UNION ALL SELECT * FROM r)""")
+def points_after_changes(spark, table):
+    """A point table of turns after a series of small changes, merged on read: all turns enter, answers are replaced, whole conversations leave, their questions come back."""
+    t = table("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("point_id"), F.col("conv_id").alias("doc_id"), "role", "text")
+    points = lambda df, text_, revision: df.select("point_id", "doc_id", text_.alias("text"), F.lit(revision).alias("revision"))
+    store = deltas.Deltas(f"{shared_folder(spark)}/points-{uuid.uuid4().hex}")
+    left = t.where(F.contains(F.lower("text"), F.lit("password")) | (F.length("text") < 12)).select("doc_id").distinct()
+    store.create(points(t, F.col("text"), 1))
+    store.upsert(points(t.where("role = 'assistant'"), F.concat(F.lit("> "), "text"), 2))
+    store.forget(left)
+    store.upsert(points(t.join(left, "doc_id", "left_semi").where("role = 'user'"), F.col("text"), 3))
+    return store.read(spark).select("point_id", "doc_id", F.sha1(F.col("text").cast("binary")).alias("digest"), "revision")
+
+
+@query(f"""WITH d AS (SELECT DISTINCT doc_id, unnest({TOK}) AS token FROM documents), q AS (SELECT DISTINCT item_id AS qid, unnest({TOK}) AS token FROM benchmark), n AS (SELECT count(*) AS n FROM documents),
+w AS (SELECT token, round(ln(1 + greatest(n, 1) / (1.0 + count(*))) * 1e9)::BIGINT AS u FROM d, n GROUP BY token, n), s AS (SELECT qid, doc_id, sum(u)::BIGINT AS u FROM q JOIN w USING (token) JOIN d USING (token) GROUP BY ALL)
+SELECT * FROM (SELECT qid, doc_id, u / 1e9 AS score, row_number() OVER (PARTITION BY qid ORDER BY u DESC, doc_id) AS rank FROM s) WHERE rank <= 20""")
+def indexed_search(spark, table):
+    """Lexical search over a kept index: built from the documents of one language after another, appended, and opened again; the documents are not read by the search."""
+    docs = table("documents")
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    postings.write(postings.of_texts(docs.where(english)), path)
+    postings.write(postings.of_texts(docs.where(~english)), path, append=True)
+    asked = table("benchmark").select(F.col("item_id").alias("qid"), "text")
+    return retrieval.lexical(asked, docs, 20, index=postings.open_(spark, path)).select("qid", "doc_id", "score", "rank")

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import capability, incremental, order, resolve, retrieval, structure
+from ..operators import capability, incremental, order, postings, resolve, structure
+from ..session import cut, spread
 from .base import query
 from .search import _LEX, _lexical
 from .texts import TOK
@@ -157,14 +158,16 @@ def entity_stats(spark, table):
 h AS (SELECT k, item_id, max(CASE WHEN l.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS hit FROM k, p LEFT JOIN lex l ON l.qid = p.item_id AND l.doc_id = p.doc_id AND l.rank <= k GROUP BY ALL), a AS (SELECT k, avg(hit) AS v FROM h GROUP BY 1)
 SELECT k::INTEGER AS k, round(v, 6) AS hit_rate, round(v - (SELECT v FROM a WHERE k = 10), 4) AS delta FROM a""")
 def ablation_table(spark, table):
-    """Hit rate of lexical search at several cut-offs, and its difference to the reference row at ten. Gold documents hold the item's whole text; items are few and broadcast in blocks by the reader of dense search, here as one column of texts per item joined on an eight-word run first."""
+    """Hit rate of lexical search at several cut-offs, and its difference to the reference row at ten. Gold documents hold the item's whole text: a document that does has all tokens of the item but the first and last, so only documents with the rarest of those are looked through; items of two tokens and fewer have none and are looked for everywhere."""
     items = table("benchmark").select("item_id", F.col("text").alias("item"), text.tokens(F.col("text")).alias("t"))
-    docs = table("documents").select("doc_id", "text", text.tokens(F.col("text")).alias("t"))
-    # A document that holds an item's text holds each of its inner token runs; one run of up to eight tokens is enough to meet.
-    key = lambda t: F.array_join(F.slice(t, 2, 6), " ")
-    runs = docs.select("doc_id", F.explode(text.ngrams(F.col("t"), 6)).alias("g"))
-    meet = runs.join(items.select("item_id", key(F.col("t")).alias("g")), "g").select("item_id", "doc_id").distinct()
-    gold = meet.join(items.select("item_id", "item"), "item_id").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id")
+    docs = table("documents").select("doc_id", "text")
+    inner = items.select("item_id", F.explode(F.slice("t", 2, F.greatest(F.size("t") - 2, F.lit(0)))).alias("token")).distinct()
+    index = cut(postings.wanted(postings.of_texts(spread(docs)), inner))
+    rare = inner.join(postings.frequencies(index), "token", "left").groupBy("item_id").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), F.col("token"))).alias("token"))
+    meet = postings.holding(rare.select(F.col("item_id").alias("qid"), "token"), index)
+    found = meet.select(F.col("qid").alias("item_id"), "doc_id").join(items.select("item_id", "item"), "item_id").join(docs, "doc_id")
+    short = items.where(F.size("t") <= 2).select("item_id", "item").join(docs, F.contains("text", F.col("item")))
+    gold = found.where(F.contains("text", F.col("item"))).select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id")).distinct()
     ks = gold.select("item_id", "doc_id", F.explode(F.array(*map(F.lit, (1, 3, 5, 10, 20)))).alias("k"))
     ranked = _lexical(table).select(F.col("qid").alias("item_id"), "doc_id", "rank")
     hits = ks.join(ranked, ["item_id", "doc_id"], "left").groupBy("k", "item_id").agg(F.max(F.when(F.col("rank") <= F.col("k"), 1).otherwise(0)).alias("hit"))

@@ -247,7 +247,17 @@ def entity_exact_alias(spark, table):
     return resolve.exact_entities(every, aliases)
 
 
-@query()
+_MASK = "list_transform(string_split({b}, ''), lambda c: list_sum(list_transform(range(length({a})), lambda i: CASE WHEN substr({a}, i::INTEGER + 1, 1) = c THEN 1::BIGINT << i ELSE 0 END))::BIGINT)"
+_LCS = f"length(a) - bit_count(list_reduce(list_prepend((1::BIGINT << length(a)) - 1, {_MASK.format(a='a', b='b')}), lambda row, m: ((row + (row & m)) | (row & ~m)) & ((1::BIGINT << length(a)) - 1)))"
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT p_brand AS field, p_name AS value, lower(p_name) AS k, min(p_partkey) AS ord FROM part GROUP BY ALL), p AS (SELECT x.field, x.k AS a, y.k AS b, y.ord FROM f x JOIN f y ON x.field = y.field AND y.ord < x.ord),
+u AS (SELECT DISTINCT a, b FROM p), r AS (SELECT a, b, 2.0 * ({_LCS}) / (length(a) + length(b)) AS ratio FROM u WHERE 2 * least(length(a), length(b)) >= 0.88 * (length(a) + length(b))),
+e AS (SELECT p.field, a AS k, b AS other, ratio, max(ratio) OVER (PARTITION BY p.field, a) AS top FROM p JOIN r USING (a, b) WHERE ratio >= 0.88), t AS (SELECT field, k, other FROM e WHERE ratio = top),
+w AS (SELECT field, k, other FROM t UNION SELECT w.field, w.k, t.other FROM w JOIN t ON w.field = t.field AND w.other = t.k),
+c AS (SELECT w.field, w.k, arg_min(f.value, f.ord) AS canonical FROM w JOIN f ON w.field = f.field AND w.other = f.k WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.field = w.field AND t.k = w.other) GROUP BY ALL)
+SELECT f.field, f.value, coalesce(c.canonical, f.value) AS canonical, coalesce(m.top, 1.0) AS ratio FROM f LEFT JOIN c USING (field, k) LEFT JOIN (SELECT DISTINCT field, k, top FROM e) m USING (field, k)""")
 def entity_fuzzy(spark, table):
+    """Names of parts by brand: canonical ones, and those that are like an earlier one by their letters."""
     part = table("part").select(F.col("p_brand").alias("field"), F.col("p_name").alias("value"), F.col("p_partkey").alias("pos"))
     return resolve.fuzzy_entities(part)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .operators import agent, multidoc, perimeter, search, structure
 from .operators.filters import Profile
-from .sources import corpora, files, registry, snapshot, uploads
+from .sources import commits, corpora, files, registry, snapshot, uploads
 
 POINTS = "point_id string, point long, doc_id long, file_name string, source string, chunk_index long, parent_id string, kind string, section string, text string"
 FILES = "path string, hash string, signature string"
@@ -159,7 +159,7 @@ class App:
     # -- files
 
     def _write(self, corpus_id: str, path: str, raw: bytes) -> None:
-        store, p = snapshot._store(self.spark, f"{self.store.folder('managed', corpus_id)}/{path}")
+        store, p = commits.store(self.spark, f"{self.store.folder('managed', corpus_id)}/{path}")
         out = store.create(p, True)
         try:
             out.write(bytearray(raw))
@@ -311,9 +311,8 @@ def ingest(spark: SparkSession, store: corpora.Store, corpus_id: str, source, se
     pid = registry.point_id(F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))
     points = chunks.select(pid.alias("point_id"), F.xxhash64(pid).alias("point"), "doc_id", F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"), F.col("path").alias("source"), "chunk_index", "parent_id", "kind", "section", "text")
     gone = status.where(F.col("status").isin("deleted", "changed")).select(doc.alias("doc_id"))
-    current = snapshot.current(spark, store.folder("points", corpus_id))
-    have = spark.read.schema(POINTS).parquet(current) if current else spark.createDataFrame([], POINTS)
-    snapshot.publish(have.join(gone, "doc_id", "left_anti").select([f.name for f in have.schema]).unionByName(points), store.folder("points", corpus_id), allow_empty=True)
+    store.create(spark.createDataFrame([], POINTS), corpus_id)
+    store.change(spark, corpus_id, points, gone)
     counts = {r.status: r["count"] for r in status.groupBy("status").count().collect()}
     snapshot.publish(after.select("path", "hash", "signature"), place, allow_empty=True)
     found = sum(n for s, n in counts.items() if s != "deleted")

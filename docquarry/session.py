@@ -29,19 +29,42 @@ def ship(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its files give fewer tasks than that (a single row group cannot be split); otherwise df as it is. For scans that heavy work on each row follows."""
+    """df over all cores where its files give fewer tasks than that (a single row group cannot be split); otherwise df as it is. For scans that heavy work on each row follows: what shuffles is left as it is, since its partitions could only be counted by running it."""
     n = df.sparkSession.sparkContext.defaultParallelism
+    if not _scans(df):
+        return df
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+#: Nodes of a logical plan that leave the partitions of a scan as they are.
+ROWWISE = ("Project", "Filter", "LogicalRelation", "SubqueryAlias", "Relation")
+
+
+def _scans(df: DataFrame) -> bool:
+    """Whether df is a scan with projections and filters, nothing else."""
+    node = df._jdf.queryExecution().analyzed()
+    while True:
+        if not node.getClass().getSimpleName() in ROWWISE:
+            return False
+        below = node.children()
+        if below.isEmpty():
+            return True
+        node = below.head()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what all executors and the driver must see, as ``spark.checkpoint.dir`` names it. Where none is set, a local session gets one of its own; on a cluster that is an error, as executors do not share a machine's folders."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or "/tmp/checkpoints/docquarry"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the folder that the session names. Where none is set, a local session gets one of its own; on a cluster that is an error, as executors do not share a machine's folders."""
+    """Cut lineage by a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.match(r"local(\[|$)", sc.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(named or "/tmp/checkpoints/docquarry")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -1,6 +1,6 @@
-"""Corpora and their point tables: declared, listed, renamed and dropped; each corpus is a partition of a versioned table.
+"""Corpora and their point tables: declared, listed, renamed and dropped.
 
-A store is a folder with a registry of corpora and one point table for all of them, partitioned by corpus. Changes write a new version and switch to it, so readers never see half of one.
+A store is a folder with a registry of corpora and a point table for each. The registry is small and written anew; a point table takes changes as segments that are merged on read (``deltas``), so an upsert writes what it is given and no more. Readers never see half of a change.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import filters
-from . import registry, snapshot
+from . import deltas, snapshot
 
 DEFAULT = "default"
 CORPORA = "corpus_id string, name string, source string, profile string"
@@ -83,31 +83,34 @@ class Store:
 
     # -- points
 
+    def table(self, corpus_id: str) -> deltas.Deltas:
+        return deltas.Deltas(self.folder("points", corpus_id))
+
     def info(self, spark: SparkSession, corpus_id: str) -> tuple[bool, int]:
         """Whether a corpus has a point table, and how many points."""
-        path = snapshot.current(spark, self.folder("points", corpus_id))
-        return (False, 0) if path is None else (True, spark.read.parquet(path).count())
+        table = self.table(corpus_id)
+        return (True, table.read(spark).count()) if table.exists(spark) else (False, 0)
 
     def points(self, spark: SparkSession, corpus_id: str) -> DataFrame:
-        return snapshot.read(spark, self.folder("points", corpus_id))
+        return self.table(corpus_id).read(spark)
 
     def create(self, points: DataFrame, corpus_id: str, reset: bool = False) -> None:
         """The first version of a corpus's table; an existing one stays unless ``reset``."""
-        if reset or snapshot.current(points.sparkSession, self.folder("points", corpus_id)) is None:
-            snapshot.publish(points, self.folder("points", corpus_id), allow_empty=True)
+        self.table(corpus_id).create(points, reset)
+
+    def change(self, spark: SparkSession, corpus_id: str, points: DataFrame | None = None, gone: DataFrame | None = None) -> None:
+        """In one commit: all points of the documents in ``gone`` (doc_id) leave, then ``points`` enter or replace those of the same point_id; small segments that have piled up are merged afterwards."""
+        table = self.table(corpus_id)
+        table.change(points, gone)
+        table.compact(spark)
 
     def upsert(self, incoming: DataFrame, corpus_id: str) -> None:
         """Points of the same point_id are replaced; of repeated ones in ``incoming`` one stays."""
-        spark = incoming.sparkSession
-        new = incoming.dropDuplicates(["point_id"])
-        if snapshot.current(spark, self.folder("points", corpus_id)) is not None:
-            new = registry.upsert(self.points(spark, corpus_id), new)
-        snapshot.publish(new, self.folder("points", corpus_id), allow_empty=True)
+        self.change(incoming.sparkSession, corpus_id, points=incoming)
 
     def forget(self, documents: DataFrame, corpus_id: str) -> None:
         """Delete all points of documents (doc_id)."""
-        spark = documents.sparkSession
-        snapshot.publish(self.points(spark, corpus_id).join(documents.select("doc_id").distinct(), "doc_id", "left_anti"), self.folder("points", corpus_id), allow_empty=True)
+        self.change(documents.sparkSession, corpus_id, gone=documents)
 
     def drop(self, spark: SparkSession, corpus_id: str) -> bool:
         """Delete a corpus's table; false if there was none."""

@@ -1,6 +1,6 @@
-"""Sources as complete snapshots: staged aside, published only as a whole, in versions that readers choose by a pointer.
+"""Sources as complete snapshots: staged aside, published only as a whole, in versions.
 
-Files go through Spark's own file systems, so any store that Spark reads will do. A version is a folder; the pointer is a small file that names the current one. A writer that fails leaves a version that nothing points to.
+Files go through Spark's own file systems. A version is a folder; numbered commits name the versions in the order of publication, and the newest holds. Two writers that publish on top of the same commit cannot both succeed: the second gets ``commits.Conflict`` and its version stays unpublished. A writer that fails leaves a version that nothing names.
 """
 
 from __future__ import annotations
@@ -11,57 +11,37 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import files, registry
-
-
-def _store(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+from . import commits, files, registry
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    store, p = _store(spark, path)
+    store, p = commits.store(spark, path)
     return store.exists(p)
 
 
 def remove(spark: SparkSession, path: str) -> bool:
     """Delete a path and all below it; false if it was not there."""
-    store, p = _store(spark, path)
+    store, p = commits.store(spark, path)
     return store.exists(p) and store.delete(p, True)
 
 
-def rename(spark: SparkSession, old: str, new: str) -> None:
-    store, p = _store(spark, old)
-    _, q = _store(spark, new)
-    if not store.rename(p, q):
-        raise OSError(f"{old} could not become {new}")
-
-
 def current(spark: SparkSession, root: str) -> str | None:
-    """The published version's folder; null before the first. A pointer whose switch was cut short is completed from the one prepared."""
-    pointer, ready = f"{root}/CURRENT", f"{root}/CURRENT.next"
-    if not exists(spark, pointer):
-        if not exists(spark, ready):
-            return None
-        rename(spark, ready, pointer)
-    return f"{root}/" + spark.read.text(pointer).first()[0]
+    """The published version's folder; null before the first."""
+    found = commits.last(spark, root)
+    return f"{root}/{found[1]}" if found else None
 
 
 def publish(df: DataFrame, root: str, partition: list[str] | None = None, allow_empty: bool = False) -> str:
-    """Write df as a new version below root and point readers to it. An empty snapshot is an error unless allowed, and leaves the published version as it is."""
+    """Write df as a new version below root and publish it, unless another writer has published since this one began. An empty snapshot is an error unless allowed, and leaves the published version as it is."""
     spark = df.sparkSession
+    before = max(commits.numbers(spark, root), default=0)
     name = f"v-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition) if partition else writer).parquet(f"{root}/{name}")
     if not allow_empty and spark.read.schema(df.schema).parquet(f"{root}/{name}").isEmpty():
         remove(spark, f"{root}/{name}")
         raise ValueError("the snapshot is empty; the published version stays")
-    ready, pointer = f"{root}/CURRENT.next", f"{root}/CURRENT"
-    remove(spark, ready)
-    spark.createDataFrame([(name,)], "version string").coalesce(1).write.text(ready)
-    remove(spark, pointer)
-    rename(spark, ready, pointer)
+    commits.write(spark, root, before + 1, name)
     return f"{root}/{name}"
 
 
@@ -74,7 +54,7 @@ def read(spark: SparkSession, root: str) -> DataFrame:
 
 
 def versions(spark: SparkSession, root: str) -> list[str]:
-    store, p = _store(spark, root)
+    store, p = commits.store(spark, root)
     if not store.exists(p):
         return []
     return sorted(s.getPath().getName() for s in store.listStatus(p) if s.getPath().getName().startswith("v-"))

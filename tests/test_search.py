@@ -352,6 +352,7 @@ QUESTIONS = [
     ("Compare these two reports.", "search", True, "compare", "inter"), ("Compare les deux méthodes décrites dans rapport_alpha.pdf.", "search", False, "compare", "intra"),
     ("Quels sont les différents dispositifs décrits dans ce rapport ?", "search", False, "none", "none"), ("Synthétise les différents chapitres de ce rapport.", "summarize", False, "synthesize", "intra"),
     ("Peux-tu synthétiser rapport_alpha.pdf ?", "summarize", False, "none", "none"), ("Differences between a.pdf and b.docx", "unsure_extract", True, "compare", "inter"), ("Overview of both files", "search", True, "synthesize", "inter"),
+    ("What is the similarity of these two reports?", "search", True, "none", "none"), ("Quelle similarité entre ces deux rapports ?", "search", True, "compare", "inter"), ("Combined view of those three files", "search", True, "synthesize", "inter"),
 ]
 
 

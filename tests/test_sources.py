@@ -2,13 +2,15 @@
 
 import io
 import json
+import random
 import zipfile
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.sources import corpora, datasets, files, registry, snapshot, uploads
+from docquarry.sources import commits, corpora, datasets, deltas, files, registry, snapshot, uploads
 
 
 def zipped(**parts: str) -> bytes:
@@ -61,9 +63,11 @@ def test_snapshots_switch_as_a_whole(spark, tmp_path):
     assert snapshot.read(spark, root).count() == 3 and len(snapshot.versions(spark, root)) == 1
     snapshot.publish(spark.range(5), root)
     assert snapshot.read(spark, root).count() == 5 and snapshot.tidy(spark, root) == 1
-    # A switch that was cut short between removing the old pointer and renaming the new one.
-    snapshot.rename(spark, f"{root}/CURRENT", f"{root}/CURRENT.next")
-    assert snapshot.read(spark, root).count() == 5
+    # A writer that is second on top of the same version.
+    commits.write(spark, root, 3, "v-other")
+    with pytest.raises(commits.Conflict):
+        commits.write(spark, root, 3, "v-late")
+    commits.forget(spark, root, 3)
     broken = snapshot.Fetched(root, lambda s: s.range(1).select(F.raise_error(F.lit("no")).alias("id")))
     with pytest.raises(Exception):
         broken.snapshot(spark)
@@ -91,6 +95,64 @@ def test_sync_of_a_folder(spark, tmp_path):
     assert sorted(r.path for r in inv) == ["b.txt", "c.docx"]
 
 
+POINT = "point_id string, doc_id long, text string"
+
+
+def _points(spark, rows):
+    return spark.createDataFrame(rows, POINT)
+
+
+def test_deltas_equal_a_dictionary(spark, tmp_path):
+    """Random changes against a plain dictionary, with compactions in between; old versions stay readable."""
+    rng = random.Random(4)
+    table = deltas.Deltas(str(tmp_path / "t"))
+    have, old = {}, {}
+    for step in range(14):
+        new = [(f"p{rng.randrange(40)}", rng.randrange(12), f"t{step}-{i}") for i in range(rng.randrange(1, 9))]
+        new = list({r[0]: r for r in new}.values())
+        gone = [(rng.randrange(12),) for _ in range(rng.randrange(3))]
+        n = table.change(_points(spark, new) if step % 5 != 3 else None, spark.createDataFrame(gone, "doc_id long") if gone or step % 5 == 3 else None)
+        have = {k: v for k, v in have.items() if (v[1],) not in gone} | ({r[0]: r for r in new} if step % 5 != 3 else {})
+        old[n] = dict(have)
+        if step % 3 == 2:
+            table.compact(spark)
+        assert sorted(map(tuple, table.read(spark).collect())) == sorted(have.values()), step
+    for n in list(old)[:3]:
+        assert sorted(map(tuple, table.read(spark, n).collect())) == sorted(old[n].values())
+    assert table.compact(spark, whole=True) and len(table.segments(spark)) == 1
+    assert table.vacuum(spark) > 5 and sorted(map(tuple, table.read(spark).collect())) == sorted(have.values())
+
+
+def test_deltas_write_what_they_are_given(spark, tmp_path):
+    table = deltas.Deltas(str(tmp_path / "t"))
+    base = spark.range(20_000).select(F.concat(F.lit("p"), "id").alias("point_id"), F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    assert table.create(base) and not table.create(base)
+    table.upsert(base.where("doc_id < 200").withColumn("text", F.lit("new")).withColumn("more", F.lit(1)))
+    first, second = table.segments(spark)
+    assert second.rows == 200 and second.size < first.size / 20
+    got = table.read(spark)
+    assert got.count() == 20_000 and got.where("text = 'new' and more = 1").count() == 200
+    plan = got._jdf.queryExecution().toString()
+    assert "Window" in plan and "LeftAnti" in plan
+    table.forget(spark.createDataFrame([(5,), (None,)], "doc_id long"))
+    assert table.read(spark).count() == 19_999
+    assert not table.change(_points(spark, []), spark.createDataFrame([], "doc_id long")) == 0 and table.read(spark).count() == 19_999
+
+
+def test_two_writers_of_deltas(spark, tmp_path):
+    """Both changes are kept, whoever commits first; a compaction that another writer has overtaken gives up."""
+    table = deltas.Deltas(str(tmp_path / "t"))
+    table.create(_points(spark, [("a", 1, "x")]))
+    with ThreadPoolExecutor(6) as pool:
+        numbers = list(pool.map(lambda i: table.upsert(_points(spark, [(f"w{i}", i, str(i))])), range(6)))
+    assert sorted(numbers) == list(range(2, 8)) and table.read(spark).count() == 7
+    stale = table.segments(spark)
+    assert table.compact(spark, whole=True)
+    with pytest.raises(commits.Conflict):
+        commits.write(spark, table.root, 2, "late")
+    assert stale != table.segments(spark) and table.read(spark).count() == 7
+
+
 def test_store(spark, tmp_path):
     store = corpora.Store(str(tmp_path / "store"))
     store.declare(spark, "law", "Law")
