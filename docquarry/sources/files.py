@@ -1,15 +1,15 @@
 """Readers from file trees to pages. A file that cannot be read is a row with an error, never an exception of the job.
 
-Plain text, Markdown, HTML, JSON, delimited files, Word, spreadsheets and slides (zipped XML) and simple PDF files are read without libraries beyond Python's own, in Arrow batches; each file in one task. Pages without text that need recognition are told from empty ones, and go through a recogniser where the caller has one.
+Plain text, Markdown, HTML, JSON, delimited files, Word, spreadsheets and slides (zipped XML) and PDF files (``pdf``) are read without libraries beyond Python's own, in Arrow batches; each file in one task. Pages without text that need recognition are told from empty ones, and go through a recogniser where the caller has one.
 """
 
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import re
 import zipfile
-import zlib
 from collections.abc import Callable
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import basename
 from ..session import ship
+from . import pdf as pdfs
 
 EXTENSIONS = ("txt", "md", "html", "htm", "csv", "tsv", "json", "pdf", "docx", "xlsx", "pptx")
 MAX_BYTES = 50 << 20
@@ -173,65 +174,13 @@ def pptx(raw: bytes) -> list[str]:
         return ["\n".join(x for x in (_words(p).strip() for p in _part(z, n).iter() if _local(p.tag) == "p") if x) for n in names]
 
 
-_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
-_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
-_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]+>|\[|\]|(-?\d+\.?\d*)|\b(?:Tj|TJ|Td|TD|Tm|ET)\b|T\*|['\"]", re.S)
-_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
-
-
-def _string(token: bytes) -> str:
-    if token.startswith(b"<"):
-        digits = re.sub(rb"\s", b"", token[1:-1])
-        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-    else:
-        raw = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.S)
-    return raw[2:].decode("utf-16-be", "replace") if raw.startswith(b"\xfe\xff") else raw.decode("cp1252", "replace")
-
-
-def _shown(content: bytes) -> str:
-    """Text that a page's content shows, a line for each move to another one."""
-    out, held = [], []
-    for m in _SHOWN.finditer(content):
-        t = m[0]
-        if t[:1] in b"(<":
-            held.append(_string(t))
-        elif m[1]:
-            if held and float(m[1]) < -200:  # a wide gap inside a shown array
-                held.append(" ")
-        elif t in (b"Tj", b"TJ", b"'", b'"'):
-            if t in (b"'", b'"'):
-                out.append("\n")
-            out += held
-            held = []
-        elif t in (b"Td", b"TD", b"Tm", b"T*", b"ET"):
-            out.append("\n")
-            held = []
-    return "\n".join(x for x in (_BLANK.sub(" ", s).strip() for s in "".join(out).split("\n")) if x)
-
-
 def pdf(raw: bytes) -> list[str]:
-    """Text of a PDF's pages as far as it is stored plainly: uncompressed or deflated contents with simple fonts, in the order of the pages' objects. Encrypted files are refused; fonts with their own codes give no readable text and look like scans."""
-    if not raw.lstrip().startswith(b"%PDF"):
-        raise ValueError("no PDF")
-    if b"/Encrypt" in raw:
-        raise ValueError("encrypted")
-    objects = {int(m[1]): m[2] for m in _OBJECT.finditer(raw)}
-
-    def content(number: int) -> bytes:
-        body = objects.get(number, b"")
-        m = _STREAM.search(body)
-        if not m:
-            return b""
-        if b"FlateDecode" in body:
-            return zlib.decompressobj().decompress(m[1], MAX_PART)
-        return m[1] if b"/Filter" not in body[: m.start()] else b""
-
-    pages = []
-    for _, body in sorted((n, b) for n, b in objects.items() if re.search(rb"/Type\s*/Page\b(?!s)", b)):
-        refs = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
-        numbers = [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", refs[1])] if refs else []
-        pages.append("\n".join(x for x in (_shown(content(n)) for n in numbers) if x))
-    return pages
+    """Pages of a PDF: its text, without the lines that its reliable tables hold, and these tables' rows."""
+    out = []
+    for text, grids in pdfs.read(raw):
+        held = [t for t in map(table_lines, grids) if reliable(t)]
+        out.append("\n\n".join(x for x in [without_tables(text, held).strip(), *map("\n".join, held)] if x))
+    return out
 
 
 def pages_of(extension: str, raw: bytes) -> list[str]:
@@ -262,16 +211,10 @@ def inventory(files: DataFrame, root: str) -> DataFrame:
     return files.select(F.regexp_replace("path", rf"^(?:file:)?/*{re.escape(top.lstrip('/'))}", "").alias("path"), "length")
 
 
-def pages(files: DataFrame, recognise: Callable[[bytes, list[int]], list[str]] | None = None) -> DataFrame:
-    """(path, page, text, error, warning) of files (path, extension, content): pages from 1, empty ones left out; a file without any is one row with page null and the error: empty, needs_recognition, unsupported, or what failed.
-
-    A PDF with fewer than SCAN_CHARS characters is a scan. With ``recognise`` (a file's bytes and page numbers to texts) its pages are recognised, OCR_BATCH at a time, in order; the warning says so.
-    """
-    ship(files.sparkSession)
-    schema = pa.schema([("path", pa.string()), ("page", pa.int32()), ("text", pa.string()), ("error", pa.string()), ("warning", pa.string())])
-
-    def read(extension: str, raw: bytes):
-        warning = None
+def _read(extension: str, raw: bytes, recognise: Callable | None) -> tuple[list[str], str | None, str | None]:
+    """(pages, error, warning) of a file, whatever is in it."""
+    warning = None
+    try:
         got = pages_of(extension, raw)
         if extension == "pdf" and sum(map(len, got)) < SCAN_CHARS:
             if recognise is None:
@@ -279,16 +222,24 @@ def pages(files: DataFrame, recognise: Callable[[bytes, list[int]], list[str]] |
             numbers = list(range(1, len(got) + 1))
             got = [t for s in range(0, len(numbers), OCR_BATCH) for t in recognise(raw, numbers[s : s + OCR_BATCH])]
             warning = "recognised"
-        return got, None if any(t.strip() for t in got) else "empty", warning
+    except Exception as e:  # a broken file of any kind is that file's error
+        return [], str(e) if str(e) in ("unsupported", "encrypted", "too_large") else f"unreadable: {type(e).__name__}", None
+    return got, None if any(t.strip() for t in got) else "empty", warning
+
+
+def pages(files: DataFrame, recognise: Callable[[bytes, list[int]], list[str]] | None = None) -> DataFrame:
+    """(path, page, text, error, warning) of files (path, extension, content): pages from 1, empty ones left out; a file without any is one row with page null and the error: empty, needs_recognition, unsupported, encrypted, too_large, or what failed.
+
+    A PDF with fewer than SCAN_CHARS characters is a scan. With ``recognise`` (a file's bytes and page numbers to texts) its pages are recognised, OCR_BATCH at a time, in order; the warning says so.
+    """
+    ship(files.sparkSession)
+    schema = pa.schema([("path", pa.string()), ("page", pa.int32()), ("text", pa.string()), ("error", pa.string()), ("warning", pa.string())])
 
     def run(batches):
         for b in batches:
             rows = []
             for path, extension, raw in zip(b.column("path").to_pylist(), b.column("extension").to_pylist(), b.column("content").to_pylist(), strict=True):
-                try:
-                    got, error, warning = read(extension or "", raw or b"")
-                except Exception as e:  # a broken file of any kind is that file's error
-                    got, error, warning = [], str(e) if str(e) in ("unsupported", "encrypted") else f"unreadable: {type(e).__name__}", None
+                got, error, warning = _read(extension or "", raw or b"", recognise)
                 full = [(path, i, t.strip(), None, warning) for i, t in enumerate(got, 1) if t.strip()]
                 rows += full or [(path, None, None, error or "empty", warning)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, schema, strict=True)], schema=schema)
@@ -297,9 +248,18 @@ def pages(files: DataFrame, recognise: Callable[[bytes, list[int]], list[str]] |
 
 
 def load(files: DataFrame) -> DataFrame:
-    """(path, name, hash, text, n_chars, error) of discovered files: one row a file, its pages joined by blank lines."""
-    read = pages(files).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("page").isNotNull(), F.struct("page", "text")))), lambda x: x["text"]), "\n\n").alias("text"), F.max("error").alias("error"))
-    named = files.select("path", "name", F.sha2("content", 256).alias("hash"))
-    got = named.join(read, "path", "left")
-    text = F.when(F.col("error").isNull(), F.col("text"))
-    return got.select("path", "name", "hash", text.alias("text"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"), "error")
+    """(path, name, hash, text, n_chars, error) of discovered files: one row a file, its pages joined by blank lines. Each file is read once."""
+    ship(files.sparkSession)
+    schema = pa.schema([("path", pa.string()), ("name", pa.string()), ("hash", pa.string()), ("text", pa.string()), ("error", pa.string())])
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, name, extension, raw in zip(*(b.column(c).to_pylist() for c in ("path", "name", "extension", "content")), strict=True):
+                got, error, _ = _read(extension or "", raw or b"", None)
+                full = [t.strip() for t in got if t.strip()]
+                rows.append((path, name, hashlib.sha256(raw or b"").hexdigest(), "\n\n".join(full) if full else None, None if full else error or "empty"))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, schema, strict=True)], schema=schema)
+
+    got = files.select("path", "name", "extension", "content").mapInArrow(run, "path string, name string, hash string, text string, error string")
+    return got.select("path", "name", "hash", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), "error")
