@@ -84,6 +84,12 @@ def lexical(queries: DataFrame, docs: DataFrame, k: int = 20, index: DataFrame |
     return best(found.select("qid", "doc_id", (F.col("units") / 1e9).alias("score")), k)
 
 
+def apart(squares, product):
+    """Euclidean distances from sums of squared lengths and inner products; what lies within the rounding of that difference is nought, so that equal vectors tie."""
+    d = squares - 2 * product
+    return np.sqrt(np.where(d <= 1e-12 * squares, 0, d))
+
+
 def dense(queries: DataFrame, points: DataFrame, k: int = 20, metric: str = "cosine") -> DataFrame:
     """(qid, doc_id, score, rank): exact nearest points by cosine, dot or euclid (negative distance); scores round to nine places, ties by doc_id.
 
@@ -112,7 +118,7 @@ def dense(queries: DataFrame, points: DataFrame, k: int = 20, metric: str = "cos
                 norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(p, axis=1)[None]
                 s = np.divide(s, norm, out=np.zeros_like(s), where=norm > 0)
             elif metric == "euclid":
-                s = -np.sqrt(np.maximum((q * q).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * s, 0))
+                s = -apart((q * q).sum(1)[:, None] + (p * p).sum(1)[None], s)
             s = np.round(s, 9) + 0.0
             top = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
             row = np.repeat(np.arange(len(qids)), top.shape[1])

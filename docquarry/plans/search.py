@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text
-from ..operators import filters, resolve, retrieval, structure
-from ..session import spread
+from ..operators import cells, filters, resolve, retrieval, structure
+from ..session import shared_folder, spread
 from .base import query
 from .texts import TOK, useful_sql
 
@@ -114,6 +116,19 @@ def topk_dense(spark, table):
     return retrieval.dense(points.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "qid"), points)
 
 
+@query("""WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT qid, vec_id AS doc_id, round(list_cosine_similarity(v, embedding::DOUBLE[]), 6) AS score, list_cosine_similarity(v, embedding::DOUBLE[]) AS c FROM q, embeddings)
+SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(c, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 20""")
+def indexed_neighbours(spark, table):
+    """Exact nearest vectors through cells and quantised residuals: bounds decide which vectors are scored."""
+    points = table("embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    model = cells.fit(points)
+    path = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    cells.write(cells.build(points, model), model, path)
+    index, model = cells.open_(spark, path)
+    found = cells.search(points.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "qid"), index, model, 20)
+    return found.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 _RRF = f"{_LEX}, {_DENSE}, f AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT qid, doc_id, rank FROM lex UNION ALL SELECT qid, doc_id, rank FROM den) GROUP BY ALL)"
 
 
