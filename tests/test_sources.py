@@ -139,6 +139,50 @@ def test_deltas_write_what_they_are_given(spark, tmp_path):
     assert not table.change(_points(spark, []), spark.createDataFrame([], "doc_id long")) == 0 and table.read(spark).count() == 19_999
 
 
+def test_files_are_skipped(spark, tmp_path):
+    """Bounds on indexed fields open few files, and give the rows of a whole read; newer versions that no longer fit hide older ones."""
+    table = deltas.Deltas(str(tmp_path / "t"), indexed=("year", "name", "score"))
+    n = 4000
+    base = spark.range(n).select(F.col("id").cast("string").alias("point_id"), (F.col("id") % 50).alias("doc_id"), (F.when(F.col("id") % 97 > 0, 1990 + F.col("id") * 7 % 30)).alias("year"), F.concat(F.chr(97 + F.col("id") * 11 % 26), F.lit("x")).alias("name"), (F.rand(3) * 100).alias("score"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        table.create(base.cache())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    segment = table.segments(spark)[0]
+    every = spark.read.parquet(f"{table.root}/_stats/{segment.folder}").count()
+    assert every > 20
+    for within in ({"year": (1995, 1999)}, {"year": (2015, None), "name": (None, "f")}, {"name": ("cx", "cx")}, {"score": (10.0, 20.0), "year": (1990, 1994)}, {"year": (1700, 1701)}):
+        got = table.read(spark, within=within)
+        want = base.where(" and ".join(f"{f} >= {v[0]!r}" if v[0] is not None else f"{f} is not null" for f, v in within.items())).where(" and ".join(f"{f} <= {v[1]!r}" if v[1] is not None else "true" for f, v in within.items()))
+        assert sorted(r.point_id for r in got.collect()) == sorted(r.point_id for r in want.collect())
+        assert len(table.files(spark, segment, within)) <= every * (0.5 if "year" in within else 0.8), within
+    assert len(table.files(spark, segment, {"year": (1700, 1701)})) == 0
+    table.upsert(base.where("year = 1996").withColumn("year", F.lit(2001).cast("long")))
+    assert table.read(spark, within={"year": (1996, 1996)}).isEmpty() and table.read(spark, within={"year": (2001, 2001)}).count() == base.where("year in (1996, 2001)").count()
+    with pytest.raises(ValueError):
+        table.read(spark, within={"doc_id": (1, 2)})
+    assert table.compact(spark, whole=True) and table.read(spark, within={"year": (2001, 2001)}).count() == base.where("year in (1996, 2001)").count()
+    base.unpersist()
+
+
+def test_a_catalogue_knows_when_it_is_stale(spark, tmp_path):
+    table = deltas.Deltas(str(tmp_path / "t"))
+    made = []
+    cards = deltas.Catalogue(table, lambda p: made.append(1) or p.groupBy("doc_id").agg(F.count("*").alias("n")))
+    with pytest.raises(FileNotFoundError):
+        cards.get(spark)
+    table.create(_points(spark, [("a", 1, "x"), ("b", 1, "y")]))
+    assert cards.stale(spark) and cards.get(spark).first().n == 2 and not cards.stale(spark)
+    cards.get(spark)
+    assert len(made) == 1
+    table.upsert(_points(spark, [("c", 1, "z")]))
+    assert cards.stale(spark) and cards.get(spark).first().n == 3 and len(made) == 2
+
+
 def test_two_writers_of_deltas(spark, tmp_path):
     """Both changes are kept, whoever commits first; a compaction that another writer has overtaken gives up."""
     table = deltas.Deltas(str(tmp_path / "t"))
