@@ -297,6 +297,16 @@ def points_after_changes(spark, table):
     return store.read(spark).select("point_id", "doc_id", F.sha1(F.col("text").cast("binary")).alias("digest"), "revision")
 
 
+@query("SELECT o_orderkey::VARCHAR AS point_id, o_custkey AS doc_id, o_orderstatus AS status, CASE WHEN o_orderstatus = 'P' THEN 0.5 ELSE o_totalprice END AS price FROM orders WHERE o_custkey BETWEEN 100 AND 900 AND o_orderstatus <> 'P' AND o_totalprice >= 50000")
+def points_within(spark, table):
+    """Points of a table that is clustered on two fields, read within bounds of them after a change: files that hold none are not opened, and a newer version that no longer fits hides the older one."""
+    points = table("orders").select(F.col("o_orderkey").cast("string").alias("point_id"), F.col("o_custkey").alias("doc_id"), F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    store = deltas.Deltas(f"{shared_folder(spark)}/points-{uuid.uuid4().hex}", indexed=("customer", "price"))
+    store.create(points)
+    store.upsert(points.where("status = 'P'").withColumn("price", F.lit(0.5)))
+    return store.read(spark, within={"customer": (100, 900), "price": (50000.0, None)}).drop("customer")
+
+
 @query(f"""WITH d AS (SELECT DISTINCT doc_id, unnest({TOK}) AS token FROM documents), q AS (SELECT DISTINCT item_id AS qid, unnest({TOK}) AS token FROM benchmark), n AS (SELECT count(*) AS n FROM documents),
 w AS (SELECT token, round(ln(1 + greatest(n, 1) / (1.0 + count(*))) * 1e9)::BIGINT AS u FROM d, n GROUP BY token, n), s AS (SELECT qid, doc_id, sum(u)::BIGINT AS u FROM q JOIN w USING (token) JOIN d USING (token) GROUP BY ALL)
 SELECT * FROM (SELECT qid, doc_id, u / 1e9 AS score, row_number() OVER (PARTITION BY qid ORDER BY u DESC, doc_id) AS rank FROM s) WHERE rank <= 20""")
