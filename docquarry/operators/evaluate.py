@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def at_k(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """For each query of ``gold`` (qid, doc_id): precision (over k), recall, hit, reciprocal rank and average precision of ranked (qid, doc_id, rank)."""
@@ -22,16 +24,48 @@ def at_k(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     )
 
 
+#: Rows of a group that are put in order at once, marks of a round, targets that are broadcast.
+EXACT, MARKS, TARGETS = 50_000, 200, 10_000
+
+
 def half_even_percentile(df: DataFrame, by: list[str], value: str, qs: list[float]) -> DataFrame:
     """For each group: the element whose index is q * (n - 1), rounded half to even; nulls are left out.
 
-    Equal values are counted first, so that a group with few distinct values is small; positions are running counts."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    run = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-    at = lambda q: F.bround(F.lit(q) * (F.col("n") - 1), 0)
-    picks = [F.min(F.when(F.col("upto") > at(q), F.col(value))).alias(f"p{round(q * 100)}") for q in qs]
-    return run.groupBy(*by).agg(F.max("n").alias("n"), *picks)
+    Selection by counting: a sketch of quantiles brackets each target, the rows below and inside the bracket are counted exactly, and rounds go on inside it until it is one value or holds at most EXACT rows, which alone are put in order. So no group is sorted as a whole; rows are aggregated before they are shuffled, and only targets (groups times qs) meet them."""
+    names = {q: f"p{round(q * 100)}" for q in qs}
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v_"))
+    sizes = cut(rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("v_").alias("lo_"), F.max("v_").alias("hi_")))
+    each = [F.struct(F.lit(names[q]).alias("p_"), F.bround(F.lit(q) * (F.col("n") - 1), 0).cast("long").alias("at_")) for q in qs]
+    targets = sizes.select(*by, "n", "lo_", "hi_", F.explode(F.array(*each)).alias("t")).select(*by, "t.p_", "t.at_", "lo_", "hi_", F.col("n").alias("m_"), (F.col("n") > EXACT).alias("wide_"))
+    grid = F.array(*[F.lit(i / MARKS) for i in range(MARKS + 1)])
+
+    def inside(t: DataFrame) -> DataFrame:
+        few = t.limit(TARGETS + 1).count() <= TARGETS
+        named = t.withColumnsRenamed({c: f"{c}_key" for c in by})
+        same = [F.col(c).eqNullSafe(F.col(f"{c}_key")) for c in by]
+        met = rows.join(F.broadcast(named) if few else named, [*same, F.col("v_").between(F.col("lo_"), F.col("hi_"))])
+        return met.drop(*(f"{c}_key" for c in by))
+
+    while True:
+        wide = targets.where("wide_ and lo_ < hi_")
+        if wide.isEmpty():
+            break
+        marks = inside(wide).groupBy(*by, "p_", "at_", "lo_", "hi_", "m_").agg(F.percentile_approx("v_", grid, F.lit(20 * MARKS)).alias("marks"))
+        i = F.floor(F.col("at_") / F.col("m_") * MARKS).cast("int")
+        near = marks.select(*by, "p_", "at_", "lo_", "hi_", "m_", F.get("marks", F.greatest(i - 2, F.lit(0))).alias("from_"), F.get("marks", F.least(i + 3, F.lit(MARKS))).alias("to_"))
+        n = inside(near).groupBy(*by, "p_", "at_", "lo_", "hi_", "m_", "from_", "to_").agg(F.count_if(F.col("v_") < F.col("from_")).alias("below"), F.count_if(F.col("v_") <= F.col("to_")).alias("upto"))
+        good = (F.col("below") <= F.col("at_")) & (F.col("at_") < F.col("upto")) & (F.col("upto") - F.col("below") < F.col("m_"))
+        pick = lambda a, b: F.when(good, a).otherwise(F.col(b))
+        size = pick(F.col("upto") - F.col("below"), "m_")
+        # A bracket that cannot be narrowed is put in order as it is.
+        done = n.select(*by, "p_", pick(F.col("at_") - F.col("below"), "at_").alias("at_"), pick(F.col("from_"), "lo_").alias("lo_"), pick(F.col("to_"), "hi_").alias("hi_"), size.alias("m_"), (good & (size > EXACT)).alias("wide_"))
+        targets = cut(targets.where("not wide_ or lo_ = hi_").unionByName(done))
+    one = targets.where("lo_ = hi_").select(*by, "p_", F.col("lo_").alias("v_"))
+    order = Window.partitionBy(*by, "p_").orderBy("v_")
+    some = inside(targets.where("lo_ < hi_")).withColumn("place_", F.row_number().over(order)).where("place_ = at_ + 1").select(*by, "p_", "v_")
+    picks = one.unionByName(some).groupBy(*by).agg(*(F.max(F.when(F.col("p_") == p, F.col("v_"))).alias(p) for p in dict.fromkeys(names.values())))
+    held = picks.withColumnsRenamed({c: f"{c}_key" for c in by})
+    return sizes.join(held, [F.col(c).eqNullSafe(F.col(f"{c}_key")) for c in by]).select(*by, "n", *dict.fromkeys(names.values()))
 
 
 def confusion(df: DataFrame, expected: str, got: str) -> DataFrame:

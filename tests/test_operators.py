@@ -1,5 +1,8 @@
 """Operators on small cases: votes, batches, contexts, chunks, diversity, filters, sources, routing, streams."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +186,18 @@ def test_targets_and_fields(spark):
     want = spark.createDataFrame([(1, "Total amount"), (1, "Date"), (1, "Supplier legal name"), (1, "Nothing")], "case_id long, label string")
     have = spark.createDataFrame([(1, "total_amount", 0), (1, "due date", 1), (1, "name of supplier", 2)], "case_id long, field string, pos int")
     assert {r.label: (r.field, r["pass"]) for r in resolve.match_fields(want, have).collect()} == {"Total amount": ("total_amount", 1), "Date": ("due date", 2), "Supplier legal name": ("name of supplier", 3)}
+
+
+def test_percentiles_equal_sorting(spark, monkeypatch):
+    """Groups beyond what is put in order at once: skewed values, ties, two values alone, nulls in values and groups; no window over a group."""
+    monkeypatch.setattr(evaluate, "EXACT", 50)
+    monkeypatch.setattr(evaluate, "MARKS", 20)
+    rng = random.Random(12)
+    make = {"wide": lambda: math.exp(rng.uniform(-600, 600)), "ties": lambda: float(rng.choice([1, 1, 1, 2, 7])), "two": lambda: float(rng.random() < 0.5), "near": lambda: 1 + rng.random() * 1e-13, None: lambda: rng.gauss(0, 1)}
+    rows = [(g, rng.choice([f(), f(), f(), None])) for g, f in make.items() for _ in range(1500)] + [("small", 3.0), ("none", None)]
+    qs = [0.0, 0.01, 0.5, 0.95, 1.0]
+    got = {r.g: r for r in evaluate.half_even_percentile(spark.createDataFrame(rows, "g string, v double").repartition(6), ["g"], "v", qs).collect()}
+    for g in {g for g, v in rows if v is not None}:
+        have = sorted(v for k, v in rows if k == g and v is not None)
+        assert got[g].n == len(have) and [got[g][f"p{round(q * 100)}"] for q in qs] == [have[round(q * (len(have) - 1))] for q in qs], g
+    assert "none" not in got
