@@ -22,3 +22,14 @@ def number(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
     shift = sizes.select("part_", (F.sum("size_").over(Window.orderBy("part_")) - F.col("size_")).alias("shift_"))
     own = F.row_number().over(Window.partitionBy("part_").orderBy(*order))
     return dealt.withColumn("own_", own).join(F.broadcast(shift), "part_").withColumn(name, (F.col("own_") + F.col("shift_")).cast("long")).drop("part_", "own_", "shift_")
+
+
+def running(df: DataFrame, by: str, order: str, value, name: str = "running") -> DataFrame:
+    """df with the sum of a whole value over the rows of its group up to each one; the order is unique in a group. Ranges of (by, order) are summed apart, then shifted by those before, so a group may have any size."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.withColumn("value_", value.cast("long")).repartitionByRange(parts, by, order).withColumn("part_", F.spark_partition_id()))
+    sums = dealt.groupBy(by, "part_").agg(F.sum("value_").alias("sum_"))
+    shift = sums.select(F.col(by).alias("by_"), "part_", (F.sum("sum_").over(Window.partitionBy(by).orderBy("part_")) - F.col("sum_")).alias("shift_"))
+    own = F.sum("value_").over(Window.partitionBy(by, "part_").orderBy(order))
+    met = dealt.withColumn("own_", own).join(shift.withColumnRenamed("part_", "of_"), F.col(by).eqNullSafe(F.col("by_")) & (F.col("part_") == F.col("of_")))
+    return met.withColumn(name, F.col("own_") + F.col("shift_")).drop("part_", "of_", "own_", "shift_", "by_", "value_")

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship, spread
+from ..session import cut, ship, spread
+from .order import number, running
 
 # What starts a list item, what ends a sentence, a separator cell of a table, and separators for splitting text.
 BULLET = r"^\s*(?:[-*•·–—o]|\(?\d{1,3}[.)]|[a-zA-Z][.)])\s+\S"
@@ -194,28 +195,75 @@ def chunks(docs: DataFrame, strategy: str = "structure") -> DataFrame:
     return spread(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, chunk_index long, kind string, section string, parent_id string, place long, text string")
 
 
+#: Items of a group that one row's fold deals; larger groups are dealt by pointers. First items of a context that are looked at before a whole group is.
+FOLD, HEAD = 10_000, 1000
+
+
 def batches(items: DataFrame, by: str, order: str, cost: Column, limit: int = 16_000) -> DataFrame:
-    """items with batch: in the order given, an item joins the open batch if its cost (plus 8) still fits, else it opens the next; nothing is dropped or split.
+    """items with batch: in the order given (unique in a group), an item joins the open batch if its cost (plus 8) still fits, else it opens the next; nothing is dropped or split.
 
-    The fold needs a group's costs in order, so groups (the passages of one document) must fit a row as numbers.
+    Groups of up to FOLD items are folded in a row of numbers. Larger ones, of any size, are dealt without holding a group: each item points to the one that would open the next batch if it opened one itself, and which items do is found by following pointers, doubled in each round.
     """
-    listed = items.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), (cost + 8).cast("long").alias("c")))).alias("xs"))
-    state = "struct<batch:long,used:long,out:array<struct<o:long,batch:long>>>"
+    costs = items.select(F.col(by), F.col(order), (cost + 8).cast("long").alias("c"))
+    sizes = costs.groupBy(by).agg(F.count("*").alias("n"))
+    wide = cut(sizes.where(F.col("n") > FOLD).select(by))
+    small = costs.join(sizes.where(F.col("n") <= FOLD).select(by), by, "left_semi")
+    folded = _folded(small, by, order, limit)
+    if not wide.isEmpty():
+        folded = folded.unionByName(_pointed(costs.join(wide, by, "left_semi"), by, order, limit))
+    return items.join(folded, [by, order])
+
+
+def _folded(costs: DataFrame, by: str, order: str, limit: int) -> DataFrame:
+    listed = costs.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "c"))).alias("xs"))
+    state = "struct<batch:long,used:long,out:array<long>>"
     start = F.expr(f"cast(named_struct('batch', 1, 'used', 0, 'out', array()) as {state})")
 
     def step(s, x):
         new = (s["used"] > 0) & (s["used"] + x["c"] > limit)
         number = F.when(new, s["batch"] + 1).otherwise(s["batch"])
         used = F.when(new, x["c"]).otherwise(s["used"] + x["c"])
-        return F.struct(number.alias("batch"), used.alias("used"), F.array_append(s["out"], F.struct(x["o"].cast("long").alias("o"), number.alias("batch"))).alias("out"))
-
-    folded = listed.select(by, F.explode(F.aggregate("xs", start, step, lambda s: s["out"])).alias("r")).select(by, F.col("r.o").alias(order), F.col("r.batch").alias("batch"))
-    return items.join(folded, [by, order])
+        return F.struct(number.alias("batch"), used.alias("used"), F.array_append(s["out"], number).alias("out"))
+
+    dealt = listed.select(by, F.explode(F.arrays_zip(F.transform("xs", lambda x: x["o"]).alias("o"), F.aggregate("xs", start, step, lambda s: s["out"]).alias("batch"))).alias("r"))
+    return dealt.select(by, F.col("r.o").alias(order), F.col("r.batch").alias("batch"))
+
+
+def _pointed(costs: DataFrame, by: str, order: str, limit: int) -> DataFrame:
+    """The same fold over groups of any size."""
+    placed = number(costs, by, order, name="at")  # consecutive over all groups, so a group's items follow one another
+    run = cut(running(placed, by, "at", F.col("c"), name="upto").withColumn("before", F.col("upto") - F.col("c")))
+    # Where a batch that an item opens would overflow: inside the item that holds this place on the line of costs. The line is cut into stretches of the limit; every stretch knows the item that it begins in.
+    stretch = F.sequence(F.floor(F.col("before") / limit), F.floor((F.col("upto") - 1) / limit))
+    begins = run.select(by, F.explode(stretch).alias("stretch"), "before", "at").select(by, "stretch", F.greatest("before", F.col("stretch") * limit).alias("place"), F.lit(0).alias("kind"), "at")
+    asks = run.select(by, F.floor((F.col("before") + limit) / limit).alias("stretch"), (F.col("before") + limit).alias("place"), F.lit(1).alias("kind"), "at")
+    line = Window.partitionBy(by, "stretch").orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    held = begins.unionByName(asks).withColumn("into", F.last(F.when(F.col("kind") == 0, F.col("at")), ignorenulls=True).over(line))
+    ends = run.groupBy(by).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.max("upto").alias("total"))
+    to = F.when(F.col("place") < F.col("total"), F.greatest("into", F.col("at") + 1))
+    jumps = cut(held.where("kind = 1").join(ends, by).withColumn("to", to).where("to <= last").select("at", "to"))
+    opens = cut(ends.select(F.col("first").alias("at")))
+    while True:
+        more = opens.join(jumps, "at").select(F.col("to").alias("at"))
+        grown = cut(opens.unionByName(more).distinct())
+        if grown.count() == opens.count():
+            break
+        opens = grown
+        jumps = cut(jumps.join(jumps.select(F.col("at").alias("to"), F.col("to").alias("on")), "to").select("at", F.col("on").alias("to")))
+    flagged = run.join(opens.withColumn("opens", F.lit(1)), "at", "left")
+    return running(flagged.select(by, order, "at", "opens"), by, "at", F.coalesce("opens", F.lit(0)), name="batch").select(by, order, "batch")
 
 
 def context(items: DataFrame, by: str, order: str, size: Column, limit: int = 16_000) -> DataFrame:
-    """Items that enter a context: from the first on while their sizes fit; it stops at the first overflow. A first item that is too large alone enters cut. Adds the columns size, used and cut, in place of those of the same name."""
+    """Items that enter a context: from the first on while their sizes fit; it stops at the first overflow. A first item that is too large alone enters cut. Adds the columns size, used and cut, in place of those of the same name. The order is unique in a group.
+
+    Only a group's first HEAD items are looked at, which leave the others behind before the shuffle, unless all of these fit; then the whole group is."""
     w = Window.partitionBy(by).orderBy(order)
     sized = items.withColumn("size", size.cast("long"))
-    run = sized.withColumn("used", F.sum("size").over(w)).withColumn("place_", F.row_number().over(w))
+    head = cut(sized.withColumn("place_", F.row_number().over(w)).where(F.col("place_") <= HEAD).withColumn("used", F.sum("size").over(w)))
+    open_ = head.groupBy(by).agg(F.max("place_").alias("n_"), F.max("used").alias("most_")).where((F.col("n_") == HEAD) & (F.col("most_") <= limit)).select(by)
+    run = head
+    if not open_.isEmpty():
+        whole = sized.join(open_, by, "left_semi").withColumn("place_", F.row_number().over(w)).withColumn("used", F.sum("size").over(w))
+        run = head.join(open_, by, "left_anti").unionByName(whole)
     return run.where((F.col("used") <= limit) | (F.col("place_") == 1)).withColumn("cut", F.col("used") > limit).drop("place_")

@@ -201,3 +201,43 @@ def test_percentiles_equal_sorting(spark, monkeypatch):
         have = sorted(v for k, v in rows if k == g and v is not None)
         assert got[g].n == len(have) and [got[g][f"p{round(q * 100)}"] for q in qs] == [have[round(q * (len(have) - 1))] for q in qs], g
     assert "none" not in got
+
+
+def _batches(costs, limit):
+    out, used, number = [], 0, 1
+    for c in costs:
+        if used > 0 and used + c + 8 > limit:
+            used, number = 0, number + 1
+        used += c + 8
+        out.append(number)
+    return out
+
+
+def test_batches_of_groups_of_any_size(spark, monkeypatch):
+    """Large groups by pointers, small ones by the fold: the same as a plain fold; items beyond the limit, empty ones, many tiny ones."""
+    monkeypatch.setattr(structure, "FOLD", 30)
+    rng = random.Random(21)
+    groups = {"hot": [rng.choice([0, 5, 40, 90, 700]) for _ in range(1500)], "long": [2500] * 40, "tiny": [0] * 400, "small": [50] * 20, "edge": [92] * 31, "one": [1]}
+    rows = [(g, i * 3, c) for g, cs in groups.items() for i, c in enumerate(cs)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, i long, size long")
+    got = {(r.g, r.i): r.batch for r in structure.batches(df, "g", "i", F.col("size"), 400).collect()}
+    assert got == {(g, i * 3): b for g, cs in groups.items() for i, b in enumerate(_batches(cs, 400))}
+
+
+def test_contexts_of_groups_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(structure, "HEAD", 10)
+    groups = {"hot": [7] * 500, "zero": [0] * 300 + [90, 20, 1], "large": [500, 1], "few": [40, 40, 40], "exact": [50, 50, 1]}
+    df = spark.createDataFrame([(g, i, c) for g, cs in groups.items() for i, c in enumerate(cs)], "g string, i long, c long")
+    got = {(r.g, r.i): (r.used, r.cut) for r in structure.context(df, "g", "i", F.col("c"), 100).collect()}
+    want = {}
+    for g, cs in groups.items():
+        used = 0
+        for i, c in enumerate(cs):
+            used += c
+            if used > 100 and i:
+                break
+            want[g, i] = (used, used > 100)
+            if used > 100:
+                break
+    assert got == want
