@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def share(gold: Column, found: Column) -> Column:
-    """Part of the gold set that is found; 0 for an empty gold set."""
-    g = F.array_distinct(gold)
-    return F.when(F.size(g) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(g, found)) / F.size(g))
+    """Part of the gold set that is found; 0 for an empty gold set. Both are evaluated once."""
+    part = lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(g, found)) / F.size(g))
+    return F.get(F.transform(F.array(F.array_distinct(gold)), part), F.lit(0))
 
 
 def jaccard(a: Column, b: Column) -> Column:

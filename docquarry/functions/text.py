@@ -40,9 +40,10 @@ SECRETS = (
     (r"\beyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}", "[JWT]"),
     (r"://[^\s/:@]+:[^\s/:@]+@", "://[REDACTED]@"),
     (r"(?i)\b(authorization|proxy-authorization|cookie|set-cookie|x-api-key)\b\s*:\s*[^\r\n]+", "[HEADER]"),
-    (r"(?i)\b(api[_-]?key|access[_-]?token|refresh[_-]?token|secret[_-]?key|client[_-]?secret|password|passwd|pwd|token|secret)\b\s*[=:]\s*[^\s,;]+", "[SECRET]"),
+    (r"(?i)\b(authorization|api[_-]?key|apikey|access[_-]?key|access[_-]?token|refresh[_-]?token|secret[_-]?key|client[_-]?secret|private[_-]?key|password|passwd|pwd|passphrase|token|secret|credential|credentials)\b\s*[:=]\s*[^\s,;)\]}\"']+", "[SECRET]"),
     (r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{6,}", "[BEARER]"),
     (r"[A-Za-z]:\\(?:[^\\\s]+\\?)+", "[PATH]"),
+    (r"(^|[^\p{L}\p{N}_./])(?:/[A-Za-z0-9_.\-]+){2,}/?", "$1[PATH]"),
 )
 
 

@@ -55,6 +55,45 @@ def dense_candidates(questions: DataFrame, chunks: DataFrame, bounds: DataFrame,
     return retrieval.best(free.select("qid", "doc_id", "score").unionByName(inside), k)
 
 
+def found(live: DataFrame, chunks: DataFrame, binding: DataFrame, want: int, fusion: int = 60, lexical: bool = True) -> DataFrame:
+    """First stage: the ``want`` best candidates of questions (qid, text, vector) by the lists there are, fused by rank, with their passages' columns and within, the values of the perimeter."""
+    lists = []
+    if lexical and "text" in chunks.columns:
+        lists.append(lexical_candidates(live, chunks, binding, want))
+    if "vector" in chunks.columns and "vector" in live.columns:
+        lists.append(dense_candidates(live, chunks, binding, want))
+    fused = retrieval.rrf(*lists, k=fusion, limit=want).select("qid", F.col("doc_id").alias("point"), "rank")
+    hits = fused.join(chunks, "point")
+    # The guard stays even though candidates came from the perimeter: a passage of another document must never pass.
+    identity = [F.col(c) for c in filters.SCOPE if c in chunks.columns]
+    # Cut: at most a hundred rows a question, which all that follows starts from.
+    return cut(hits.join(binding.select("qid", F.col("values").alias("within")), "qid", "left").where(F.col("within").isNull() | ~perimeter.outside(F.col("within"), *identity)))
+
+
+def ranked(guarded: DataFrame, asked: DataFrame, score: Callable[[Column, Column], Column] | None, threshold: float | None) -> DataFrame:
+    """Second stage: candidates in the order of a second score, those below its threshold gone; without a score in the order of fusion."""
+    if score is None:
+        return guarded.withColumn("rerank_score", F.lit(None).cast("double"))
+    both = guarded.join(asked.select("qid", F.col("text").alias("question")), "qid")
+    return retrieval.rerank(both, score(F.col("question"), F.col("text")), None, threshold).drop("rank").withColumnRenamed("new_rank", "rank")
+
+
+def kept(ranked_: DataFrame, chunks: DataFrame, top_k: int, per_document: int) -> DataFrame:
+    """Third stage: the first ``top_k`` passages without repetition, ``per_document`` of a document at most; a perimeter of one document lifts that."""
+    single = F.coalesce(F.size("within") == 1, F.lit(False))
+    got = retrieval.diversify(ranked_, F.when(single, top_k).otherwise(per_document), top_k)
+    return got.select("qid", F.col("place").alias("rank"), "point", "doc_id", "chunk_index", F.col("text"), F.col("rerank_score").alias("score"), *(["parent_id"] if "parent_id" in chunks.columns else []))
+
+
+def expanded(passages: DataFrame, chunks: DataFrame, radius: int) -> DataFrame:
+    """Fourth stage: the passages' neighbours beside them, in a new order; added tells them apart."""
+    parent = [] if "parent_id" in chunks.columns else [F.lit(None).cast("string").alias("parent_id")]
+    all_chunks = chunks.select("doc_id", "chunk_index", "text", *(parent or ["parent_id"]))
+    wide = retrieval.expand_context(passages.select("qid", "rank", "doc_id", "chunk_index", "text", *(parent or ["parent_id"])), all_chunks, radius)
+    at = wide.select("qid", F.col("place").alias("rank"), "doc_id", "chunk_index", "added").join(chunks.select("point", "doc_id", "chunk_index", "text"), ["doc_id", "chunk_index"])
+    return at.join(passages.select("qid", "point", "score"), ["qid", "point"], "left")
+
+
 def search(
     questions: DataFrame,
     chunks: DataFrame,
@@ -68,11 +107,12 @@ def search(
     per_document: int = 3,
     radius: int = 1,
     expand: bool = True,
+    fusion: int = 60,
 ) -> tuple[DataFrame, DataFrame]:
     """(passages, report).
 
     questions (qid, text, and vector for dense search); chunks (point, doc_id, chunk_index, text, and as far as there are file_name, source, parent_id, vector and columns that criteria name); bounds are perimeters as ``perimeter`` makes them: exact and compatible ones bind, others do not, and an unknown one finds nothing.
-    ``score`` reranks (None keeps the order of fusion; the threshold belongs to the reranked score alone). A perimeter of one document lifts the limit of passages a document.
+    ``fusion`` is the constant of rank fusion. ``score`` reranks (None keeps the order of fusion; the threshold belongs to the reranked score alone). A perimeter of one document lifts the limit of passages a document.
     passages: (qid, rank, citation, point, doc_id, chunk_index, text, score, added). report: (qid, status, n_candidates, n_passages, reason): reason is null, perimeter_without_passage, no_candidate or no_passage_kept. An empty question has the status empty_question. Nothing is searched again without a perimeter that gave nothing.
     """
     if top_k < 1 or per_document < 1:
@@ -90,33 +130,9 @@ def search(
     dead = bounds.where("status = 'unknown'").select("qid")
     live = usable.join(dead, "qid", "left_anti")
 
-    lists = []
-    if "text" in chunks.columns:
-        lists.append(lexical_candidates(live, chunks, binding, want))
-    if "vector" in chunks.columns and "vector" in questions.columns:
-        lists.append(dense_candidates(live, chunks, binding, want))
-    fused = retrieval.rrf(*lists, limit=want).select("qid", F.col("doc_id").alias("point"), "rank")
-    hits = fused.join(chunks, "point")
-    # The guard stays even though candidates came from the perimeter: a passage of another document must never pass.
-    identity = [F.col(c) for c in filters.SCOPE if c in chunks.columns]
-    # Cut: at most a hundred rows a question, which all that follows starts from.
-    guarded = cut(hits.join(binding.select("qid", F.col("values").alias("within")), "qid", "left").where(F.col("within").isNull() | ~perimeter.outside(F.col("within"), *identity)))
-
-    if score is not None:
-        ranked = retrieval.rerank(guarded.join(asked.select("qid", F.col("text").alias("question")), "qid"), score(F.col("question"), F.col("text")), None, threshold).drop("rank").withColumnRenamed("new_rank", "rank")
-    else:
-        ranked = guarded.withColumn("rerank_score", F.lit(None).cast("double"))
-    single = F.coalesce(F.size("within") == 1, F.lit(False))
-    kept = retrieval.diversify(ranked, F.when(single, top_k).otherwise(per_document), top_k)
-    passages = kept.select("qid", F.col("place").alias("rank"), "point", "doc_id", "chunk_index", F.col("text"), F.col("rerank_score").alias("score"), *(["parent_id"] if "parent_id" in chunks.columns else []))
-    if expand:
-        parent = [] if "parent_id" in chunks.columns else [F.lit(None).cast("string").alias("parent_id")]
-        all_chunks = chunks.select("doc_id", "chunk_index", "text", *(parent or ["parent_id"]))
-        wide = retrieval.expand_context(passages.select("qid", "rank", "doc_id", "chunk_index", "text", *(parent or ["parent_id"])), all_chunks, radius)
-        at = wide.select("qid", F.col("place").alias("rank"), "doc_id", "chunk_index", "added").join(chunks.select("point", "doc_id", "chunk_index", "text"), ["doc_id", "chunk_index"])
-        passages = at.join(passages.select("qid", "point", "score"), ["qid", "point"], "left")
-    else:
-        passages = passages.withColumn("added", F.lit(False))
+    guarded = found(live, chunks, binding, want, fusion)
+    passages = kept(ranked(guarded, asked, score, threshold), chunks, top_k, per_document)
+    passages = expanded(passages, chunks, radius) if expand else passages.withColumn("added", F.lit(False))
     passages = cut(passages).select("qid", "rank", F.concat(F.lit("S"), F.col("rank").cast("string")).alias("citation"), "point", "doc_id", "chunk_index", "text", "score", "added")
 
     n_candidates = guarded.groupBy("qid").agg(F.count("*").alias("n_candidates"))

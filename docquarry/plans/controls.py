@@ -91,6 +91,23 @@ def search_reports(spark, table):
     return _search(spark, table)[1]
 
 
+@query(f"""WITH RECURSIVE p AS (SELECT doc_id AS point, text, embedding::DOUBLE[] AS v FROM documents JOIN embeddings ON vec_id = doc_id), q AS (SELECT item_id AS qid, text, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON vec_id = item_id), n AS (SELECT count(*) AS n FROM p),
+dt AS (SELECT DISTINCT point, unnest({TOK}) AS token FROM p), qt AS (SELECT DISTINCT qid, unnest({TOK}) AS token FROM q), w AS (SELECT token, round(ln(1 + greatest(n, 1) / (1.0 + count(*))) * 1e9)::BIGINT AS u FROM dt, n GROUP BY token, n),
+s AS (SELECT qid, point, sum(u) AS u FROM qt JOIN w USING (token) JOIN dt USING (token) GROUP BY ALL), lex AS (SELECT qid, point, row_number() OVER (PARTITION BY qid ORDER BY u DESC, point) AS rank FROM s), den AS (SELECT qid, point, row_number() OVER (PARTITION BY qid ORDER BY round(list_cosine_similarity(q.v, p.v), 9) DESC, point) AS rank FROM q, p),
+f AS (SELECT qid, point, round(sum(1.0::DOUBLE / (20 + rank)), 9) AS score FROM (SELECT * FROM lex WHERE rank <= 24 UNION ALL SELECT * FROM den WHERE rank <= 24) GROUP BY ALL), l AS (SELECT qid, point, row_number() OVER (PARTITION BY qid ORDER BY score DESC, point) AS nr FROM f),
+c AS (SELECT qid, nr, point, sha1(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS fp, trim(coalesce(text, '')) <> '' AS ok FROM l JOIN p USING (point) WHERE nr <= 24),
+g AS (SELECT qid, 0::BIGINT AS nr, []::BIGINT[] AS kept, []::VARCHAR[] AS fps FROM (SELECT DISTINCT qid FROM c)
+  UNION ALL SELECT g.qid, c.nr, CASE WHEN t THEN list_append(kept, c.nr) ELSE kept END, CASE WHEN t THEN list_append(fps, fp) ELSE fps END FROM g JOIN c ON c.qid = g.qid AND c.nr = g.nr + 1, LATERAL (SELECT ok AND NOT list_contains(fps, fp) AND len(kept) < 6 AS t)),
+k AS (SELECT qid, unnest(kept) AS nr, unnest(range(1, len(kept) + 1)) AS rank FROM (SELECT qid, arg_max(kept, nr) AS kept FROM g GROUP BY qid))
+SELECT k.qid, k.rank, 'S' || k.rank AS citation, c.point FROM k JOIN c ON c.qid = k.qid AND c.nr = k.nr""")
+def search_hybrid(spark, table):
+    """The whole search over documents with vectors: lexical and dense candidates, rank fusion with a constant of its own, no reranking, diversity, numbering."""
+    vectors = table("embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    chunks = table("documents").join(vectors, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("point"), "doc_id", F.lit(0).cast("long").alias("chunk_index"), "text", "vector")
+    asked = table("benchmark").join(vectors, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("qid"), "text", "vector")
+    return search.search(asked, chunks, score=None, expand=False, fusion=20)[0].select("qid", "rank", "citation", "point")
+
+
 @query(f"""WITH t AS (SELECT conv_id, turn, {TOK} AS t FROM conversations) SELECT conv_id, turn, 64::BIGINT AS size, len(t)::BIGINT AS n_tokens, (len(t) = 0) AS empty FROM t""")
 def hashed_vectors(spark, table):
     """Texts as dense and sparse vectors: size of the dense one, tokens counted by the sparse one."""

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text, values
-from ..operators import entities, filters, scoring, structure
+from ..operators import attributes, entities, filters, scoring, structure
 from ..sources import corpora, datasets, files, pdf, uploads
 from .base import query
 from .texts import TOK
@@ -97,6 +97,21 @@ def pdf_pages(spark, table):
     return files.pages(turns.mapInArrow(run, "path string, extension string, content binary"))
 
 
+@query("""SELECT o_orderkey AS request, CASE WHEN o_orderkey % 2 = 0 THEN 'search' END AS capability, CASE WHEN o_orderkey % 3 = 0 THEN 'c' || o_custkey || ',x' || o_custkey ELSE o_orderpriority || ',c' || o_custkey END AS documents, 3::BIGINT AS source_count, CASE WHEN o_orderstatus = 'O' THEN 'no_evidence' END AS refusal_code,
+CASE WHEN o_orderstatus = 'P' THEN 'agent' END AS error_category, CASE WHEN o_orderstatus = 'P' THEN 'model' END AS error_code, CASE WHEN o_orderstatus = 'P' THEN 'order ' || o_orderkey || ' in [PATH]' END AS error_message FROM orders""")
+def response_attributes(spark, table):
+    """What events say of responses: documents resolved or else of the sources, codes of refusals and errors, messages without folders; read back from the JSON that leaves."""
+    key, state, who = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_custkey").cast("string")
+    status = F.when(state == "F", "answered").when(state == "O", "refused").otherwise("error")
+    clerk, none = F.concat(F.lit("c"), who), F.lit(None).cast("string")
+    resolved = F.when(key % 3 == 0, F.array(clerk, none, F.concat(F.lit("x"), who), clerk, F.lit("")))
+    sources, code = F.array("o_orderpriority", clerk, clerk), F.when(state == "O", "no_evidence").otherwise("model")
+    made = attributes.agent(status, F.when(key % 2 == 0, "search").otherwise(""), resolved, sources, F.array(F.lit("S1")), code, F.concat(F.lit("order "), key.cast("string"), F.lit(" in /var/spool/orders")))
+    kept = F.from_json(attributes.serialized("agent", made), "capability string, documents array<string>, source_count long, refusal_code string, error_category string, error_code string, error_message string")
+    d = table("orders").select(key.alias("request"), kept.alias("a"))
+    return d.select("request", "a.capability", F.array_join("a.documents", ",").alias("documents"), "a.source_count", "a.refusal_code", "a.error_category", "a.error_code", "a.error_message")
+
+
 _UPLOAD = "SELECT o_custkey AS batch, o_orderkey AS pos, CASE o_orderkey % 7 WHEN 0 THEN 'a/../b.txt' WHEN 1 THEN '/abs.txt' WHEN 2 THEN 'x.exe' ELSE 'f' || o_orderkey || '.TXT' END AS path, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE o_orderkey % 1000 END AS length FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 7 > 2"
 
 

@@ -59,11 +59,11 @@ def str_citations(spark, table):
 
 SECRET_ROWS = [
     (1, "Authorization: Basic abc"), (2, "see https://joe:pw1@host/x"), (3, "password=hunter2, next"), (4, "sent Bearer abcdef123456 ok"), (5, r"C:\Users\me\file.txt here"),
-    (6, "tok eyJhbGci.eyJzdWIi.c2lnbmF0 end"), (7, "plain text, nothing to hide"), (8, "api_key: k-123; done"),
+    (6, "tok eyJhbGci.eyJzdWIi.c2lnbmF0 end"), (7, "plain text, nothing to hide"), (8, "api_key: k-123; done"), (9, "see /home/me/x.txt, /etc/hosts and /usr/lib/ but not a/b/c or 12/03/2024 or /single"), (10, "passphrase=x y credentials: (abc)"),
 ]
 _R = "t"
 for _p, _by in text.SECRETS:
-    _R = f"regexp_replace({_R}, '{_p}', '{_by}', 'g')"
+    _R = "regexp_replace({}, '{}', '{}', 'g')".format(_R, _p.replace("'", "''"), _by.replace("$1", "\\1"))
 _SECRET_SQL = " UNION ALL ".join(f"SELECT {i}::BIGINT AS id, '{t}' AS t" for i, t in SECRET_ROWS)
 
 

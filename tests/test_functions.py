@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry.functions import arrays, text, values
-from docquarry.operators.resolve import indel_ratio
+from docquarry.operators.likeness import indel_ratio
 from docquarry.sources import registry
 
 

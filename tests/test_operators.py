@@ -1,5 +1,6 @@
 """Operators on small cases: votes, batches, contexts, chunks, diversity, filters, sources, routing, streams."""
 
+import json
 import math
 import random
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry.functions import text
-from docquarry.operators import evaluate, filters, retrieval, routing, structure
+from docquarry.operators import attributes, evaluate, filters, retrieval, routing, structure
 from docquarry.sources import files, registry
 from docquarry.streaming import windows
 
@@ -241,3 +242,16 @@ def test_contexts_of_groups_of_any_size(spark, monkeypatch):
             if used > 100:
                 break
     assert got == want
+
+
+def test_attributes_of_events(spark):
+    """Only the names of a kind leave, messages and stacks are cleaned, unknown kinds give nothing."""
+    none = F.lit(None).cast("string")
+    run = attributes.ingestion(F.lit("Folder"), F.lit(""), {"files_found": F.lit(3), "chunks_indexed": none}, F.lit("ingestion"), F.lit("OSError"), F.lit("no file /home/me/secret/x.txt"), F.lit('Traceback\n  File "/home/me/a/b.py", line 3'))
+    request = attributes.http(F.lit("http"), F.lit("KeyError"), F.lit("Bearer abcdefghijklmnop"), none)
+    answer = attributes.agent(F.lit("refused"), F.lit(None).cast("string"), F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>"), F.lit("empty"), F.lit("said"))
+    r = spark.range(1).select(attributes.serialized("ingestion", run).alias("i"), attributes.serialized("http", request).alias("h"), attributes.serialized("agent", answer).alias("a"), attributes.serialized("other", answer).alias("o")).first()
+    i, h, a = (json.loads(x) for x in (r.i, r.h, r.a))
+    assert i["files_found"] == 3 and i["chunks_indexed"] == i["files_ocr"] == 0 and "profile" not in i and i["error_code"] == "OSError" and "/home/me" not in r.i and 'File "b.py"' in i["error_stack"]
+    assert set(h) <= set(attributes.HTTP) and "abcdefghijklmnop" not in r.h
+    assert a == {"documents": [], "citations": [], "source_count": 0, "refusal_code": "empty"} and r.o is None

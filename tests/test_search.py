@@ -370,3 +370,27 @@ def test_years_of_publication(spark):
 
     d = spark.createDataFrame([(i, q) for i, (q, _, _) in enumerate(YEARS)], "id int, q string").withColumn("y", resolve.publication_years(text.tokens(F.col("q"))))
     assert [(r.y.publication, r.y.named) for r in d.orderBy("id").collect()] == [(p, v) for _, p, v in YEARS]
+
+
+def test_ablation_shares_stages(spark):
+    """Seven settings: every distinct prefix once, and each the same as a search of its own."""
+    import numpy as np
+
+    from docquarry.operators import ablation
+
+    rng = np.random.default_rng(3)
+    words = "alpha beta gamma delta turbine harbour winter report".split()
+    rows = [(d * 10 + c, d, c, f"/x/{d}.pdf", " ".join(rng.choice(words, 8)), rng.normal(size=4).tolist()) for d in range(12) for c in range(4)]
+    chunks = spark.createDataFrame(rows, "point long, doc_id long, chunk_index long, source string, text string, vector array<double>")
+    asked = spark.createDataFrame([(q, " ".join(rng.choice(words, 3)), rng.normal(size=4).tolist()) for q in range(8)], "qid long, text string, vector array<double>")
+    bounds = spark.createDataFrame([(1, "exact", "doc_id", ["3"], ["d"], "explicit"), (2, "unknown", None, None, None, "explicit")], "qid long, status string, field string, values array<string>, labels array<string>, origin string")
+    gold = spark.createDataFrame([(q, int(rng.integers(0, 12))) for q in range(8)], "qid long, doc_id long")
+    runs = ablation.Runs(asked, chunks, bounds)
+    got = {r.setting: r for r in ablation.table(runs, gold).collect()}
+    assert runs.made == {"found": 3, "ranked": 5, "kept": 6, "context": 7} and len(got) == 7 and got["reference"].delta == 0
+    own = {"without_perimeter": {"bounds": None}, "without_reranking": {"score": None}, "with_threshold": {"threshold": search.THRESHOLD}, "without_neighbours": {"expand": False}, "without_diversity": {"per_document": 999}, "reference": {}}
+    for name, options in own.items():
+        mine = search.search(asked, chunks, **{"bounds": bounds, **options})[0]
+        path = next(s for s in ablation.levers() if s.name == name).path()
+        assert {(r.qid, r["rank"], r.point) for r in mine.collect()} == {(r.qid, r["rank"], r.point) for r in runs.at(path).collect()}, name
+    assert got["dense_alone"].n_passages > 0
