@@ -86,17 +86,24 @@ def relevant(questions_: DataFrame, column: str, mode: str, prefix: str = "", su
 
 def link(gold_questions: DataFrame, sections: DataFrame) -> DataFrame:
     """(qid, doc_id, reason): the document of each question (qid, title, evidence array) by its title among documents (doc_id, title, sections array); of several of one title the one whose sections hold all evidence. reason: linked, unknown_title, no_evidence, evidence_not_found, ambiguous."""
-    e = F.array_distinct(F.coalesce("evidence", F.array().cast("array<string>")))
-    asked = gold_questions.select("qid", "title", e.alias("e")).withColumn("n_evidence", F.size("e"))
+    e = F.array_sort(F.array_distinct(F.coalesce("evidence", F.array().cast("array<string>"))))
+    asked = gold_questions.select("qid", "title", e.alias("e"))
+    # Questions of one title and evidence are one wish, documents of one title that hold the same wished parts one class: wishes meet classes, never questions documents.
+    wishes = asked.groupBy("title", "e").agg(F.count("*").alias("n_questions"))
     titles = sections.groupBy("title").agg(F.count("*").alias("n"))
-    # Evidence meets sections by title and text, so documents of one title are not paired with all of its questions.
-    held = sections.select("doc_id", "title", F.explode(F.array_distinct("sections")).alias("part"))
-    met = asked.select("qid", "title", "n_evidence", F.explode("e").alias("part")).join(held, ["title", "part"]).groupBy("qid", "doc_id", "n_evidence").agg(F.count("*").alias("found"))
-    fits = met.where("found = n_evidence").groupBy("qid").agg(F.count("*").alias("n_fit"), F.min("doc_id").alias("doc_id"))
+    parts = wishes.select("title", F.explode("e").alias("part")).distinct()
+    held = sections.select("doc_id", "title", F.explode(F.array_distinct("sections")).alias("part")).join(parts, ["title", "part"], "left_semi")
+    classes = held.groupBy("title", "doc_id").agg(F.array_sort(F.collect_set("part")).alias("has")).groupBy("title", "has").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("least"))
+    reached = classes.select("title", "has", "n_docs", "least", F.explode("has").alias("part"))
+    # A wish looks among the classes of its rarest part; a part that none holds counts as nought.
+    common = reached.groupBy("title", "part").agg(F.count("*").alias("n_classes"))
+    rarest = wishes.select("title", "e", F.explode("e").alias("part")).join(common, ["title", "part"], "left").groupBy("title", "e").agg(F.min_by("part", F.struct(F.coalesce("n_classes", F.lit(0)), F.col("part"))).alias("part"))
+    fits = rarest.join(reached, ["title", "part"]).where(F.size(F.array_except("e", "has")) == 0).groupBy("title", "e").agg(F.sum("n_docs").alias("n_fit"), F.min("least").alias("doc_id"))
     zero = F.lit(0)
-    g = asked.join(titles, "title", "left").join(fits, "qid", "left").select("qid", "n_evidence", F.coalesce("n", zero).alias("n"), F.coalesce("n_fit", zero).alias("n_fit"), "doc_id")
-    reason = F.when(F.col("n") == 0, "unknown_title").when(F.col("n_evidence") == 0, "no_evidence").when(F.col("n_fit") == 0, "evidence_not_found").when(F.col("n_fit") > 1, "ambiguous").otherwise("linked")
-    return g.select("qid", F.when(reason == "linked", F.col("doc_id")).alias("doc_id"), reason.alias("reason"))
+    g = wishes.join(titles, "title", "left").join(fits, ["title", "e"], "left").select("title", "e", F.coalesce("n", zero).alias("n"), F.coalesce("n_fit", zero).alias("n_fit"), "doc_id")
+    reason = F.when(F.col("n") == 0, "unknown_title").when(F.size("e") == 0, "no_evidence").when(F.col("n_fit") == 0, "evidence_not_found").when(F.col("n_fit") > 1, "ambiguous").otherwise("linked")
+    settled = g.select(F.col("title").alias("t_"), F.col("e").alias("e_"), F.when(reason == "linked", F.col("doc_id")).alias("doc_id"), reason.alias("reason"))
+    return asked.join(settled, F.col("title").eqNullSafe(F.col("t_")) & (F.col("e") == F.col("e_"))).select("qid", "doc_id", "reason")
 
 
 def audit(df: DataFrame) -> DataFrame:

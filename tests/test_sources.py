@@ -3,6 +3,7 @@
 import io
 import json
 import random
+import time
 import zipfile
 import zlib
 from concurrent.futures import ThreadPoolExecutor
@@ -278,3 +279,20 @@ def test_large_corpora_are_written_by_many_tasks(spark, tmp_path):
     points = spark.range(4000).select(F.col("id").cast("string").alias("point_id"), F.lit("one").alias("corpus_id"))
     registry.publish(points, str(tmp_path / "p"))
     assert len(spark.read.parquet(str(tmp_path / "p")).inputFiles()) >= 1 and spark.read.parquet(str(tmp_path / "p")).count() == 4000
+
+
+def test_link_with_evidence_of_several_parts(spark):
+    sections = spark.createDataFrame([(1, "t", ["a", "b", "a"]), (2, "t", ["a", "c"]), (3, "t", ["a"]), (4, "u", ["a", "b"]), (5, None, ["z"]), (6, "v", None)], "doc_id long, title string, sections array<string>")
+    rows = [(1, "t", ["b", "a"]), (2, "t", ["a", "b", "b"]), (3, "t", ["a"]), (4, "t", ["b", "c"]), (5, "t", []), (6, "t", None), (7, "w", ["a"]), (8, None, ["z"]), (9, "t", ["a", None]), (10, "v", ["x"]), (11, "t", ["c"])]
+    got = {r.qid: (r.doc_id, r.reason) for r in datasets.link(spark.createDataFrame(rows, "qid long, title string, evidence array<string>"), sections).collect()}
+    none = (None, "evidence_not_found")
+    assert got == {1: (1, "linked"), 2: (1, "linked"), 3: (None, "ambiguous"), 4: none, 5: (None, "no_evidence"), 6: (None, "no_evidence"), 7: (None, "unknown_title"), 8: (None, "unknown_title"), 9: none, 10: none, 11: (2, "linked")}
+
+
+def test_link_of_one_title_and_evidence(spark):
+    """As pairs these would be 1.6 billion."""
+    rows = spark.range(40_000).select(F.col("id").alias("qid"), F.lit("t").alias("title"), F.array(F.lit("e")).alias("evidence"))
+    sections = rows.select(F.col("qid").alias("doc_id"), "title", F.array(F.lit("e"), F.col("qid").cast("string")).alias("sections"))
+    began = time.time()
+    assert [(r.reason, r["count"]) for r in datasets.link(rows, sections).groupBy("reason").count().collect()] == [("ambiguous", 40_000)]
+    assert time.time() - began < 60
