@@ -94,3 +94,15 @@ def test_empty_table(spark):
     assert postings.search(asked, postings.of_texts(none), 3).isEmpty()
     assert postings.search(asked.where("qid < 0"), postings.of_texts(none), 3).isEmpty()
     assert retrieval.lexical(asked.select("qid", F.col("token").alias("text")), none).isEmpty()
+
+
+def test_vectors_without_an_index_meet_by_term(spark):
+    """No group of shard and block of questions; repeated rows are documents of their own, a null doc_id is -1."""
+    made = lambda *w: {"indices": list(range(len(w))), "values": list(w)}
+    points = [(1, made(1.0, 2.0)), (1, made(1.0, 2.0)), (1, made(3.0)), (None, made(9.0)), (2, made(-1.0, 1.0)), (3, None)]
+    df = spark.createDataFrame(points, "doc_id long, sparse struct<indices:array<long>,values:array<double>>")
+    asked = spark.createDataFrame([(7, made(1.0, 1.0)), (8, None), (9, made(0.0, 2.0))], "qid long, sparse struct<indices:array<long>,values:array<double>>")
+    found = retrieval.sparse(asked, df, 4)
+    assert "InPandas" not in found._jdf.queryExecution().toString() and "InArrow" not in found._jdf.queryExecution().toString()
+    got = sorted((r.qid, r["rank"], r.doc_id, r.score) for r in found.collect())
+    assert got == [(7, 1, -1, 9.0), (7, 2, 1, 3.0), (7, 3, 1, 3.0), (7, 4, 1, 3.0), (9, 1, 1, 4.0), (9, 2, 1, 4.0), (9, 3, 2, 2.0)]
