@@ -106,3 +106,11 @@ def test_vectors_without_an_index_meet_by_term(spark):
     assert "InPandas" not in found._jdf.queryExecution().toString() and "InArrow" not in found._jdf.queryExecution().toString()
     got = sorted((r.qid, r["rank"], r.doc_id, r.score) for r in found.collect())
     assert got == [(7, 1, -1, 9.0), (7, 2, 1, 3.0), (7, 3, 1, 3.0), (7, 4, 1, 3.0), (9, 1, 1, 4.0), (9, 2, 1, 4.0), (9, 3, 2, 2.0)]
+
+
+def test_a_shard_holds_half_a_million_tokens(spark):
+    """One task over 700,000 tokens holds them in two shards at least."""
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(700)), lambda i: F.concat(F.lit("w"), (F.col("id") % 7 * 1000 + i).cast("string"))), " ").alias("text")).coalesce(1)
+    shards = postings.of_texts(docs).groupBy("shard").agg(F.sum(F.when(F.col("term") != "", F.col("n"))).alias("tokens"), F.sum(F.when(F.col("term") == "", F.col("n"))).alias("docs")).collect()
+    assert len(shards) > 1 and max(r.tokens for r in shards) <= (1 << 19) + 700
+    assert sum(r.tokens for r in shards) == 700_000 and sum(r.docs for r in shards) == 1000
