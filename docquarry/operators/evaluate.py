@@ -11,8 +11,21 @@ from ..session import cut
 def at_k(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """For each query of ``gold`` (qid, doc_id): precision (over k), recall, hit, reciprocal rank and average precision of ranked (qid, doc_id, rank)."""
     rel = gold.select("qid", "doc_id").distinct()
-    total = rel.groupBy("qid").agg(F.count("*").alias("n_rel"))
     hits = ranked.where(F.col("rank") <= k).select("qid", "doc_id", "rank").join(rel, ["qid", "doc_id"], "left_semi")
+    return _measured(hits, rel.groupBy("qid").agg(F.count("*").alias("n_rel")), k)
+
+
+def at_k_of_classes(ranked: DataFrame, classes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``at_k`` where the gold documents of a query (queries: qid) are all others of its class (classes: doc_id, class; one row a document, null classes have no members). Classes are counted, and only what was found is compared; pairs of a query and a document of its class are never made."""
+    of = classes.where("doc_id is not null and class is not null").select("doc_id", "class").distinct()
+    own = of.withColumnRenamed("doc_id", "qid").join(queries.select("qid").distinct(), "qid", "left_semi")
+    total = own.join(of.groupBy("class").agg((F.count("*") - 1).alias("n_rel")), "class").where("n_rel > 0")
+    found = ranked.where((F.col("rank") <= k) & (F.col("qid") != F.col("doc_id"))).select("qid", "doc_id", "rank").join(own, "qid").join(of.withColumnRenamed("class", "its"), "doc_id")
+    return _measured(found.where(F.col("class") == F.col("its")).select("qid", "doc_id", "rank"), total.select("qid", "n_rel"), k)
+
+
+def _measured(hits: DataFrame, total: DataFrame, k: int) -> DataFrame:
+    """The measures of hits (qid, doc_id, rank) against the numbers of gold documents (qid, n_rel)."""
     nth = hits.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
     sums = nth.groupBy("qid").agg(F.count("*").alias("h"), F.min("rank").alias("first"), F.sum(F.col("nth") / F.col("rank")).alias("ap"))
     got = total.join(sums, "qid", "left")

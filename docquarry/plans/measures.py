@@ -64,10 +64,9 @@ h AS (SELECT r.qid, rank, row_number() OVER (PARTITION BY r.qid ORDER BY rank) A
 SELECT n.qid, round(coalesce(h, 0) / 10.0::DOUBLE, 6) AS precision, round(coalesce(h, 0) / n::DOUBLE, 6) AS recall, CASE WHEN coalesce(h, 0) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit, round(coalesce(1.0::DOUBLE / first, 0), 6) AS rr, round(coalesce(ap, 0) / least(n, 10), 6) AS ap FROM n LEFT JOIN s USING (qid)""")
 def metrics_at_k(spark, table):
     label = table("embeddings").select("vec_id", "label")
-    asked = label.where("vec_id % 100 = 0").toDF("qid", "label")
-    gold = asked.join(label.withColumnRenamed("vec_id", "doc_id"), "label").where("qid <> doc_id")
+    asked = label.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"))
     w = Window.partitionBy("qid").orderBy("rank")
-    return evaluate.at_k(_near(table).withColumn("rank", F.row_number().over(w)), gold, 10)
+    return evaluate.at_k_of_classes(_near(table).withColumn("rank", F.row_number().over(w)), label.toDF("doc_id", "class"), asked, 10)
 
 
 @query("""SELECT axis, value, n, errors, round(errors / n::DOUBLE, 6) AS rate, cents FROM (SELECT CASE WHEN grouping(o_orderpriority) = 0 THEN 'priority' WHEN grouping(o_orderstatus) = 0 THEN 'status' ELSE 'year' END AS axis,

@@ -1,6 +1,7 @@
 """Filters, perimeters, the whole search, several documents, control, entities and scoring on small cases."""
 
 import json
+import random
 
 import pandas as pd
 import pytest
@@ -394,3 +395,30 @@ def test_ablation_shares_stages(spark):
         path = next(s for s in ablation.levers() if s.name == name).path()
         assert {(r.qid, r["rank"], r.point) for r in mine.collect()} == {(r.qid, r["rank"], r.point) for r in runs.at(path).collect()}, name
     assert got["dense_alone"].n_passages > 0
+
+
+def test_at_k_of_classes_equals_pairs(spark):
+    from docquarry.operators import evaluate
+
+    rng = random.Random(4)
+    label = [(i, rng.choice([0, 1, 2, None]) if i else 9) for i in range(120)] + [(None, 1)]
+    classes = spark.createDataFrame(label, "doc_id long, class int")
+    ranked = spark.createDataFrame([(q, d, r) for q in range(0, 120, 10) for r, d in enumerate(rng.sample(range(120), 9), 1)], "qid long, doc_id long, rank long")
+    asked = classes.where("doc_id % 10 = 0").select(F.col("doc_id").alias("qid"))
+    gold = asked.join(classes.withColumnRenamed("doc_id", "qid"), "qid").join(classes, "class").where("qid <> doc_id")
+    made = evaluate.at_k_of_classes(ranked, classes, asked, 7)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, evaluate.at_k(ranked.where("qid <> doc_id"), gold, 7).collect())) and made.count() > 3
+
+
+def test_at_k_of_classes_makes_no_pairs(spark):
+    """As pairs of queries and gold documents these would be 1.6 billion."""
+    import time
+
+    from docquarry.operators import evaluate
+
+    classes = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("class"))
+    asked = classes.select(F.col("doc_id").alias("qid"))
+    ranked = asked.select("qid", ((F.col("qid") + 1) % 40_000).alias("doc_id"), F.lit(1).cast("long").alias("rank"))
+    began = time.time()
+    assert evaluate.at_k_of_classes(ranked, classes, asked, 10).where("hit = 1 and precision = 0.1").count() == 40_000
+    assert time.time() - began < 60
