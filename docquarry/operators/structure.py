@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +17,8 @@ SENTENCE_ENDS = (".", ";", ",", "!", "?")
 SEPARATOR_CELL = r"^:?-{2,}:?$"
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 CHUNK, OVERLAP, PARENT, TITLE = 1800, 250, 5000, 120
+#: Documents whose pieces a task holds at once.
+SLICE = 128
 
 
 def cells(line: Column) -> Column:
@@ -156,16 +158,28 @@ def chunks_of(text: str, size: int = CHUNK, parent: int = PARENT) -> list[dict]:
     return out
 
 
+def _slices(batches):
+    """The rows of Arrow batches in small frames; a batch may hold ten thousand texts."""
+    for b in batches:
+        for s in range(0, b.num_rows, SLICE):
+            yield b.slice(s, SLICE).to_pylist()
+
+
+def _batch(rows: list[tuple], fields: list[tuple]) -> pa.RecordBatch:
+    schema = pa.schema(fields)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(schema.types)], schema=schema)
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, kind, section, text): every block of every document, in order."""
     ship(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
-            rows = [(i, n, *x) for i, t in zip(b.doc_id, b.text, strict=True) if t for n, x in enumerate(blocks_of(t), 1)]
-            yield pd.DataFrame(rows, columns=["doc_id", "pos", "kind", "section", "text"])
+        for some in _slices(batches):
+            rows = [(r["doc_id"], n, *x) for r in some if r["text"] for n, x in enumerate(blocks_of(r["text"]), 1)]
+            yield _batch(rows, [("doc_id", pa.int64()), ("pos", pa.int64()), ("kind", pa.string()), ("section", pa.string()), ("text", pa.string())])
 
-    return spread(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, pos long, kind string, section string, text string")
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, pos long, kind string, section string, text string")
 
 
 def recursive_chunks_of(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[dict]:
@@ -185,14 +199,11 @@ def chunks(docs: DataFrame, strategy: str = "structure") -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
-            rows = [{"doc_id": i, **c} for i, t in zip(b.doc_id, b.text, strict=True) if t for c in cut_up(t)]
-            if rows:
-                d = pd.DataFrame(rows)
-                d["parent_id"] = "p1s" + d.parent.astype(str)
-                yield d[["doc_id", "chunk_index", "kind", "section", "parent_id", "place", "text"]]
-
-    return spread(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, chunk_index long, kind string, section string, parent_id string, place long, text string")
+        for some in _slices(batches):
+            rows = [(r["doc_id"], c["chunk_index"], c["kind"], c["section"], f"p1s{c['parent']}", c["place"], c["text"]) for r in some if r["text"] for c in cut_up(r["text"])]
+            yield _batch(rows, [("doc_id", pa.int64()), ("chunk_index", pa.int64()), ("kind", pa.string()), ("section", pa.string()), ("parent_id", pa.string()), ("place", pa.int64()), ("text", pa.string())])
+
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, chunk_index long, kind string, section string, parent_id string, place long, text string")
 
 
 #: Items of a group that one row's fold deals; larger groups are dealt by pointers. First items of a context that are looked at before a whole group is.

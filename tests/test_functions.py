@@ -115,3 +115,19 @@ def test_json(one):
     answer = 'Sure: {"total": [{"value": " 12 ", "citations": ["S1", "S9"]}, {"value": "", "citations": ["S1"]}], "date": [{"value": "x", "citations": ["S9"]}], "other": [{"value": "y", "citations": ["S1"]}]}'
     got = one(lambda c: arrays.valid_entries(c, ["total", "date"], F.array(F.lit("S1"))), answer)
     assert [(e.field, e.value, e.citations) for e in got] == [("total", "12", ["S1"])]
+
+
+def test_chunks_are_made_a_few_documents_at_once(spark):
+    """A batch of a thousand texts, null and empty ones among them, leaves in slices; chunks are those of each text alone."""
+    import pyarrow as pa
+
+    from docquarry.operators import structure
+
+    texts = [None if i % 9 == 0 else "" if i % 9 == 1 else f"# Head {i}\n\nOne line, and\nanother line {i}.\n\na | b\n1 | {i}" for i in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": texts})
+    sizes = [len(x) for x in structure._slices([batch])]
+    assert max(sizes) <= structure.SLICE and sum(sizes) == 1000
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.chunk_index, r.kind, r.section, r.parent_id, r.place, r.text) for r in structure.chunks(df).collect())
+    assert got == sorted((i, c["chunk_index"], c["kind"], c["section"], f"p1s{c['parent']}", c["place"], c["text"]) for i, t in enumerate(texts) if t for c in structure.chunks_of(t))
+    assert structure.blocks(df).count() == sum(len(structure.blocks_of(t)) for t in texts if t)
