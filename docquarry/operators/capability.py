@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,8 @@ from . import evaluate, structure
 Model = Callable[[pd.Series], pd.Series]
 #: Characters of a batch, batches of a document, depth of a reduction, and characters taken for a token.
 BATCH, MOST_BATCHES, DEPTH, CHARS = 16_000, 24, 12, 2.5
+#: Prompts that a task gives to a model at once.
+CALLS = 128
 
 
 def input_budget(context_tokens: int, output_tokens: int, reserve: int = 512) -> int:
@@ -32,15 +35,18 @@ def call(df: DataFrame, model: Model, prompt: str = "prompt", answer: str = "ans
     ship(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField(answer, T.StringType()), T.StructField("ok", T.BooleanType())])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in parts:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(s, CALLS) for b in batches for s in range(0, b.num_rows, CALLS)):
+            asked = pd.Series(b.column(prompt).to_pylist(), dtype=object)
             try:
-                got = model(d[prompt]).astype(object)
+                got = model(asked).astype(object).reindex(asked.index)
             except Exception:
-                got = pd.Series([_alone(model, p) for p in d[prompt]], index=d.index, dtype=object)
-            yield d.assign(**{answer: got.where(got.notna(), None), "ok": got.notna()})
+                got = pd.Series([_alone(model, p) for p in asked], index=asked.index, dtype=object)
+            ok = got.notna()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got.where(ok, None).tolist(), pa.string()), pa.array(ok.tolist(), pa.bool_())], names)
 
-    return df.mapInPandas(run, schema)
+    names = schema.names
+    return df.mapInArrow(run, schema)
 
 
 def _alone(model: Model, prompt: str):

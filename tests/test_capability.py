@@ -142,3 +142,12 @@ def test_tools_by_decorator_seeded_order_and_faithfulness(spark):
     sources = spark.createDataFrame([(1, "S1", "t"), (2, "S1", "t")], "qid long, citation string, text string")
     got = {r.qid: (r.score, r.why) for r in agent.faithful(answers, sources, lambda p: p.map(lambda x: "about 140" if "ANSWER\na" in x else "none")).collect()}
     assert got == {1: (1.0, None), 2: (None, "unreadable"), 3: (None, "no_source")}
+
+
+def test_a_model_gets_a_few_prompts_at_once(spark):
+    """A task of a thousand prompts asks for 128 at once at most; other columns pass as they are."""
+    df = spark.range(1000).coalesce(1).selectExpr("id", "if(id = 3, null, cast(id as string)) AS prompt", "array('S1', null) AS citations", "if(id % 2 = 0, id, null) AS n")
+    sized = capability.call(df, lambda s: s.map(lambda p: None if p is None or p == "5" else f"{len(s)}:{p}"))
+    rows = sized.collect()
+    assert len(rows) == 1000 and max(int(r.answer.split(":")[0]) for r in rows if r.ok) <= 128
+    assert {r.id for r in rows if not r.ok} == {3, 5} and all((r.answer is None) != r.ok and r.citations == ["S1", None] and r.n == (None if r.id % 2 else r.id) for r in rows)
