@@ -55,6 +55,31 @@ def test_references(spark, cards):
     assert perimeter.from_filter(q, "source", ("a", "b")).first().status == "compatible"
 
 
+def test_perimeters_gather_no_table_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(perimeter, "EACH", 1 << 13, raising=False)
+    spark.range(70_000).repartition(1).write.parquet(str(tmp_path / "c"))
+    ids = spark.read.parquet(str(tmp_path / "c"))
+    common = F.when(F.col("id") < 20_000, "index.html")
+    many = ids.select(F.col("id").alias("doc_id"), F.concat(F.lit("f"), "id", F.lit(".pdf")).alias("file_name"), common.alias("source"), F.lit(None).cast("string").alias("title"))
+    asked = ids.select(F.col("id").alias("qid"), F.posexplode(F.when(F.col("id") % 2 == 0, F.array(F.lit("nowhere"), F.col("id").cast("string"))).otherwise(F.array(F.concat(F.lit("F"), "id", F.lit(".PDF")), F.lit(" Index")))).alias("pos", "reference"))
+    got, found = perimeter.explicit(asked, many), perimeter.identify(asked, many)
+    assert {(r.status, r["count"]) for r in got.groupBy("status").count().collect()} == {("compatible", 35_000), ("unknown", 35_000)}
+    assert got.where("qid % 2 = 1 AND (values[0] <> qid OR values[1] <> 0)").isEmpty() and got.where("qid % 2 = 0 AND labels[0] <> 'nowhere'").isEmpty()
+    rows = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(rows) >= 18 and max(rows) < 1.5 * sum(rows) / len(rows)  # the scan is one task, and half of the references are two
+    for df in (got, found):  # common keys alone are broadcast
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == 2 + (df is got)
+
+
+def test_perimeters_of_odd_references(spark):
+    c = spark.createDataFrame([(1, "a.pdf", None, None), (1, "b.pdf", None, None), (2, " ", "s", "T"), (None, "n.pdf", None, None)], "doc_id long, file_name string, source string, title string")
+    r = refs(spark, (1, 0, "a.pdf"), (1, 1, "1"), (2, 0, "n.pdf"), (2, 1, "2"), (3, 0, None), (4, 0, "t"), (4, 1, "S"), (5, 0, "x"), (5, 1, "x"), (5, 2, "b"), (6, 0, ""))
+    got = {x.qid: (x.status, x.field, x["values"], x.labels) for x in perimeter.explicit(r, c).collect()}
+    assert got[1] == ("compatible", "doc_id", ["1", "1"], ["a.pdf", "b.pdf"]) and got[2] == ("unknown", None, None, ["n.pdf"]) and got[3] == ("unknown", None, None, [])
+    assert got[4] == ("exact", "doc_id", ["2"], ["T"]) and got[5] == ("unknown", None, None, ["x"]) and got[6][0] == "exact"
+
+
 def test_questions_name_documents(spark, cards):
     q = spark.createDataFrame([(1, "What does the report on Alpha turbines say, and Beta harbours?"), (2, "nothing named"), (3, "revenue in Beta harbours")], "qid long, text string")
     named = sorted((r.qid, r.doc_id) for r in perimeter.named_documents(q, cards).collect())
