@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text, values
-from ..operators import evaluate, retrieval, routing
+from ..operators import evaluate, nearest, retrieval, routing
 from ..session import spread
 from ..streaming import windows
 from .base import query
@@ -50,13 +50,14 @@ def _near(table):
     return got.where("qid <> doc_id")
 
 
-@query(f"WITH {_NEAR}, f AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS r FROM near), p AS (SELECT a.label AS expected, b.label AS got, count(*)::BIGINT AS n FROM f JOIN v a ON a.vec_id = qid JOIN v b ON b.vec_id = doc_id WHERE r = 1 GROUP BY ALL) SELECT expected, got, n, round(n / sum(n) OVER (PARTITION BY expected), 6)::DOUBLE AS share FROM p")
+@query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), f AS (SELECT q.vec_id AS qid, v.vec_id AS doc_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e, v.e), 9) DESC, v.vec_id) AS r FROM v AS q JOIN v ON q.vec_id <> v.vec_id),
+p AS (SELECT a.label AS expected, b.label AS got, count(*)::BIGINT AS n FROM f JOIN v a ON a.vec_id = qid JOIN v b ON b.vec_id = doc_id WHERE r = 1 GROUP BY ALL) SELECT expected, got, n, round(n / sum(n) OVER (PARTITION BY expected), 6)::DOUBLE AS share FROM p""")
 def confusion_matrix(spark, table):
-    label = table("embeddings").select("vec_id", "label")
-    w = Window.partitionBy("qid").orderBy("rank")
-    first = _near(table).withColumn("r", F.row_number().over(w)).where("r = 1")
-    a, b = label.toDF("qid", "a"), label.toDF("doc_id", "b")
-    return evaluate.confusion(first.join(a, "qid").join(b, "doc_id"), "a", "b")
+    """Each vector's label against that of its nearest other vector; all vectors are counted."""
+    e = table("embeddings")
+    found = nearest.nearest_other(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")))
+    a, b = e.select("vec_id", "label").toDF("qid", "a"), e.select("vec_id", "label").toDF("doc_id", "b")
+    return evaluate.confusion(found.join(a, "qid").join(b, "doc_id"), "a", "b")
 
 
 @query(f"""WITH {_NEAR}, r AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM near), g AS (SELECT q.vec_id AS qid, v.vec_id AS doc_id FROM q JOIN v ON q.label = v.label AND q.vec_id <> v.vec_id), n AS (SELECT qid, count(*) AS n FROM g GROUP BY 1),
